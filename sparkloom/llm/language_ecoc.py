@@ -22,7 +22,7 @@ from sparkloom.llm.common import U64, arrow_map, batches, fold_of, mix
 N_BITS = 13
 ORDERS = (1, 2, 3, 4)
 #: Documents of the training sample, over all languages (at least 20 of each).
-MAX_TRAIN = 2000
+MAX_TRAIN = 1200
 #: A letter: Unicode category L.
 LETTER = r"\p{L}"
 
@@ -99,10 +99,10 @@ def decode(m: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     return best, top[:, -1], top[:, -1] - second < 0.2
 
 
-def fit_bits(x: np.ndarray, target: np.ndarray, epochs: int = 300, decay: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
+def fit_bits(x: np.ndarray, target: np.ndarray, epochs: int = 80, decay: float = 1e-7) -> tuple[np.ndarray, np.ndarray]:
     """Logistic regression of every bit at once (dense rows of n-gram shares), by gradient steps with momentum."""
     scale = np.sqrt((x**2).mean(0)) + 1e-5
-    z = x / scale
+    z = (x / scale).astype(np.float32)
     w, vel, bias = np.zeros((x.shape[1], target.shape[1])), 0.0, np.zeros(target.shape[1])
     rate = 1.0 / max(1.0, (z**2).sum(1).mean() / 4)
     balance = 1 / np.maximum(np.stack([(target == s).mean(0) for s in (-1, 1)]), 1e-9)
