@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_transducer, exact_dedup, language_ecoc, packing, quality_fm, warc_zstd
+from sparkloom.llm import bpe_transducer, exact_dedup, language_ecoc, ngram_join, packing, quality_fm, warc_zstd
 from sparkloom.llm.common import table
 
 
@@ -31,12 +31,16 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_best_fit_packing, op5_bpe_transducer, op8_quality_classifier, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_best_fit_packing, op5_bpe_transducer, op8_quality_classifier, op9_ngram_join, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
