@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_transducer, exact_dedup, language_ecoc, ngram_join, packing, quality_fm, suffix_dedup, warc_zstd
+from sparkloom.llm import bpe_transducer, exact_dedup, language_ecoc, ngram_join, packing, quality_fm, suffix_dedup, toxic_grammar, vector_tree, warc_zstd
 from sparkloom.llm.common import table
 
 
@@ -31,6 +31,14 @@ def op5_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_transducer.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_vector_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_tree.search(table(spark, sf_dir, "embeddings"))
+
+
+def op7_toxic_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxic_grammar.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_bpe_transducer, op8_quality_classifier, op9_ngram_join, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_warc, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_bpe_transducer, op6_vector_tree, op7_toxic_grammar, op8_quality_classifier, op9_ngram_join, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -129,13 +129,13 @@ PUNCT = np.zeros(256, bool)
 PUNCT[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
-def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.ndarray = LOWER, prefix: int = 0) -> tuple[np.ndarray, ...]:
+def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.ndarray = LOWER, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(start, end, document, hash) of each maximal run of bytes outside ``sep``; words never cross documents.
 
-    With ``prefix``, also the hash of each word's first ``prefix`` bytes (0 for words not longer than that).
+    With ``stems``, also, for each of these lengths, the hash of each word's first bytes (0 for shorter words).
     """
     empty = np.zeros(0, np.int64)
-    none = (empty, empty, empty, np.zeros(0, U64)) + ((np.zeros(0, U64),) if prefix else ())
+    none = (empty, empty, empty, np.zeros(0, U64)) + tuple(np.zeros(0, U64) for _ in stems)
     if not len(data):
         return none
     inside = ~sep[data]
@@ -153,10 +153,11 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.
     value = (fold[data[at]].astype(U64) + U64(1)) * powers(int(length.max()))[within]
     h = mix(np.add.reduceat(value, head))
     doc = np.searchsorted(offs, start, "right") - 1
-    if prefix:
-        stem = mix(np.add.reduceat(np.where(within < prefix, value, U64(0)), head) + U64(0x5BD1E995))
-        return start, start + length, doc, h, np.where(length > prefix, stem, U64(0))
-    return start, start + length, doc, h
+    out = [start, start + length, doc, h]
+    for k in stems:
+        stem = mix(np.add.reduceat(np.where(within < k, value, U64(0)), head) + U64(0x5BD1E995 + k))
+        out.append(np.where(length >= k, stem, U64(0)))
+    return tuple(out)
 
 
 def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
