@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 U64 = np.uint64
 #: Odd multiplier of the polynomial word hash (2**64 divided by the golden ratio).
@@ -160,6 +161,6 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.
     return tuple(out)
 
 
-def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` of a function on (iterator of batches) -> iterator of batches."""
     return df.mapInArrow(fn, schema)

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, discard, mix, stored
+from sparkloom.llm.common import U64, mix, stored
 
 #: Distinct digests that one filter holds on average.
 BUCKET_KEYS = 1 << 17
@@ -217,12 +217,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     drop = groups.filter("not kept").select("doc_id", "text_sha256")
     twice = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
     cols = docs.columns
-    marked = docs.withColumn("_sha", F.sha2(normalised(F.col("text")), 256))
-    gone = drop.unionByName(twice).withColumnRenamed("doc_id", "_id").withColumnRenamed("text_sha256", "_sha")
-    on = marked["doc_id"].eqNullSafe(gone["_id"]) & (marked["_sha"] == gone["_sha"])
+    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
+    gone = drop.unionByName(twice).withColumnRenamed("doc_id", "__id").withColumnRenamed("text_sha256", "__sha")
+    on = marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__sha"] == gone["__sha"])
     out = marked.join(gone, on, "left_anti").select(*cols)
     if twice.head(1):
-        again = twice.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_sha256", "_sha2")
-        pick = marked.join(again, marked["doc_id"].eqNullSafe(again["_id"]) & (marked["_sha"] == again["_sha2"]), "left_semi")
-        out = out.unionByName(pick.dropDuplicates(["doc_id", "_sha"]).select(*cols))
+        again = twice.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_sha256", "__sha2")
+        pick = marked.join(again, marked["doc_id"].eqNullSafe(again["__id"]) & (marked["__sha"] == again["__sha2"]), "left_semi")
+        out = out.unionByName(pick.dropDuplicates(["doc_id", "__sha"]).select(*cols))
     return out

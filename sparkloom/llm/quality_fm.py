@@ -136,8 +136,8 @@ def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     return model
 
 
-def _n_chars(batch: pa.RecordBatch) -> np.ndarray:
-    return np.array([np.nan if v is None else float(v) for v in batch.column("n_chars").to_pylist()])
+def _n_chars(batch: pa.RecordBatch, name: str = "n_chars") -> np.ndarray:
+    return np.array([np.nan if v is None else float(v) for v in batch.column(name).to_pylist()])
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -201,6 +201,23 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
     return arrow_map(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, score double")
 
 
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (all columns) that score at least ``threshold``, by a model learned from all labelled rows."""
+    model = train(docs, labels, buckets=1, held=-1)
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
+    names = docs.columns
+    n = F.col("n_chars").cast("double") if "n_chars" in names else F.lit(None).cast("double")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bias, linear, factors = shared.value
+        fm = FactorisationMachine(bias, linear.astype(float), factors.astype(float))
+        for batch, data, offs in batches(it, "text"):
+            s = fm.score(*features(data, offs, _n_chars(batch, "__n_chars")), len(offs) - 1)
+            yield batch.select(names).filter(pa.array(s >= threshold))
+
+    return arrow_map(docs.withColumn("__n_chars", n), run, docs.schema)
+
+
 def classify(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of ``docs`` (doc_id, text, n_chars).
 

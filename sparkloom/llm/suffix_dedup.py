@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, mix, powers, stored
 from sparkloom.llm.induced_sort import falling
@@ -240,7 +241,8 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
-    """Every row of ``docs`` (all columns) with kept (binary: what remains of the text), n_bytes, n_removed, n_spans.
+    """Every row of ``docs`` (all columns) with ``__kept`` (binary: what remains of the text), ``__n_bytes``,
+    ``__n_removed`` and ``__n_spans``.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else (the same document included) is
     removed; strings are judged on the input, and never cross documents. Null and empty texts, and texts shorter
@@ -249,18 +251,20 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, length, min(gram, length))
-    ranges = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("_ranges")).withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key"))
-    rows = docs.withColumn("_text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("_k", F.xxhash64("doc_id", "_text"))
-    joined = rows.join(ranges, (rows["_k"] == ranges["_key"]) & rows["doc_id"].eqNullSafe(ranges["_id"]), "left").drop("_key", "_id", "_k")
-    names = [c for c in docs.columns]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    ranges = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges")).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
+    rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
+    rows = rows.withColumn("__k", F.xxhash64("doc_id", "__text"))
+    joined = rows.join(ranges, (rows["__k"] == ranges["__key"]) & rows["doc_id"].eqNullSafe(ranges["__id"]), "left").drop("__key", "__id", "__k")
+    names = docs.columns
+    schema = T.StructType(docs.schema.fields)
+    for name, kind in (("__kept", T.BinaryType()), ("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType())):
+        schema = schema.add(name, kind)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(it, "_text"):
+        for batch, data, offs in batches(it, "__text"):
             raw = data.tobytes()
             kept, removed, spans = [], [], []
-            lists = batch.column("_ranges")
+            lists = batch.column("__ranges")
             edges, flat = lists.offsets.to_numpy(), lists.flatten()
             base = edges[0]
             los, his = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
@@ -280,16 +284,16 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
                 kept.append(text)
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*names, "kept", "n_bytes", "n_removed", "n_spans"]
+                [*cols, pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"]
             )
 
-    return arrow_map(joined, run, f"{schema}, kept binary, n_bytes long, n_removed long, n_spans long")
+    return arrow_map(joined, run, schema)
 
 
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of :func:`remove_repeats`."""
     out = remove_repeats(docs.select("doc_id", "text"), length)
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.sha2("__kept", 256).alias("kept_sha256"))
 
 
 def cut_texts(docs: DataFrame, length: int = 250) -> DataFrame:
@@ -298,6 +302,6 @@ def cut_texts(docs: DataFrame, length: int = 250) -> DataFrame:
     A character that loses a byte goes as a whole. A null text stays null.
     """
     out = remove_repeats(docs, length)
-    clean = F.when(F.col("text").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    clean = F.when(F.col("text").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "\ufffd", ""))
     cols = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)
