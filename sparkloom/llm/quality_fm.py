@@ -104,8 +104,7 @@ def fit(doc: np.ndarray, feature: np.ndarray, value: np.ndarray, y: np.ndarray,
     n, rng = len(y), np.random.default_rng(seed)
     model = FactorisationMachine(0.0, np.zeros(N_FEATURES), rng.normal(0, 0.02, (N_FEATURES, rank)))
     if n == 0 or len(np.unique(y)) < 2:
-        model.bias = 0.0 if n == 0 else (6.0 if y[0] else -6.0)
-        return model
+        return FactorisationMachine(0.0 if n == 0 else 6.0 if y[0] else -6.0, model.linear, np.zeros_like(model.factors))
     weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
     bounds = np.searchsorted(doc, np.arange(n + 1))
     g_lin, g_fac, g_bias = np.full(N_FEATURES, 1e-6), np.full((N_FEATURES, rank), 1e-6), 1e-6
