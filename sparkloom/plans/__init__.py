@@ -1 +1,6 @@
+"""Named queries over the driver tables, by theme."""
 
+from sparkloom.plans import tables
+from sparkloom.plans.registry import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "tables"]
