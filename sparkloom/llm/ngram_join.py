@@ -28,6 +28,8 @@ from sparkloom.llm.components import components
 #: Buckets of the frequency sketch (a fixed size; it only orders tokens, any order gives the same links).
 SKETCH_BITS = 20
 TASK_BUCKETS = 1 << 16
+#: The largest buckets, which the driver gathers; the rest count as the smallest of them.
+KEPT_BUCKETS = 1 << 16
 MAX_MATCH = 3
 SMALL_LIST = 32
 #: A hot token's list is dealt into parts of about so many documents; blocks are compared in pairs.
@@ -73,9 +75,10 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
         top = top[total[top] > 0]
         yield pa.RecordBatch.from_arrays([pa.array(top.astype(np.int32)), pa.array(total[top])], ["bucket", "n"])
 
-    rows = arrow_map(docs.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH_BITS rows
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
-    out[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    rows = arrow_map(docs.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(KEPT_BUCKETS).collect()
+    out = np.full(1 << SKETCH_BITS, rows[-1]["n"] if len(rows) == KEPT_BUCKETS else 0, np.int64)
+    for r in rows:
+        out[r["bucket"]] = r["n"]
     return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
 
 
