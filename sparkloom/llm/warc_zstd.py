@@ -129,14 +129,19 @@ def record_id(page_id: int | None, row: int) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"page/{page_id}" if page_id is not None else f"row/{row}").urn
 
 
-def plan_records(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
-    """``pages`` with payload, sha1 (hex), payload_bytes and response_id: the smallest page_id with equal payload,
-    null where the payload is shorter than ``min_revisit_bytes``."""
+def plan_records(pages: DataFrame, archives: int, min_revisit_bytes: int = 0) -> DataFrame:
+    """``pages`` with payload, sha1 (hex), payload_bytes and, for revisits, response_id: the smallest page_id with
+    an equal payload of at least ``min_revisit_bytes`` bytes. Rows are dealt evenly to ``archives`` partitions.
+
+    Equal payloads are found on digests alone; payloads are shuffled once, by row, so a payload that a third of
+    all pages share is spread over all archives."""
     payload = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("sha1", F.sha1("payload")).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    groups = pages.select("page_id", payload.alias("p")).select("page_id", F.sha1("p").alias("sha1"), F.octet_length("p").cast("long").alias("payload_bytes"))
-    groups = groups.filter(F.col("payload_bytes") >= min_revisit_bytes).groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n"))
-    return rows.join(groups.filter("n > 1").drop("n"), ["sha1", "payload_bytes"], "left")
+    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = rows.withColumns({"sha1": F.sha1("payload"), "payload_bytes": F.octet_length("payload").cast("long")}).withColumn("_k", F.xxhash64("page_id", "sha1"))
+    small = rows.select("page_id", "sha1", "payload_bytes", "_k").filter(F.col("payload_bytes") >= min_revisit_bytes)
+    groups = small.groupBy("sha1", "payload_bytes").agg(F.min("page_id").alias("response_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    revisits = small.join(groups, ["sha1", "payload_bytes"]).filter("not (page_id <=> response_id)").select("_k", "response_id").distinct()
+    return rows.repartition(archives, "_k").join(revisits.repartition(archives, "_k"), "_k", "left")
 
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
@@ -145,7 +150,6 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
     dictionary = train_dictionary(sample)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     archives = max(1, -(-int(total) // ARCHIVE_BYTES))
-    kind = pages.schema["page_id"].dataType.simpleString()
 
     def frames(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zdict = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
@@ -155,7 +159,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
             out = [head] if head else []
             head = b""
             for page, url, payload, sha1, response, row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "sha1", "response_id", "_row"))):
-                revisit = response is not None and page != response
+                revisit = response is not None
                 uri = "".join(c for c in (url or "urn:none") if c >= " ")
                 out.append(
                     writer.compress(
@@ -164,8 +168,7 @@ def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> N
                 )
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    rows = plan_records(pages, min_revisit_bytes).withColumn("_row", F.monotonically_increasing_id()).repartition(archives, F.xxhash64("_row"))
-    del kind
+    rows = plan_records(pages, archives, min_revisit_bytes).withColumn("_row", F.monotonically_increasing_id())
     arrow_map(rows.select("page_id", "url", "payload", "sha1", "response_id", "_row"), frames, "frame binary").select(F.col("frame").cast("string")).write.option("lineSep", SEPARATOR).text(path)
 
 
