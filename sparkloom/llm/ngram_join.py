@@ -32,9 +32,10 @@ TASK_BUCKETS = 1 << 16
 KEPT_BUCKETS = 1 << 16
 MAX_MATCH = 3
 SMALL_LIST = 32
-#: A hot token's list is dealt into parts of about so many documents; blocks are compared in pairs.
+#: A hot token's list is dealt into parts of about so many documents; what stays unconnected in it is compared in
+#: pairs of blocks of about so many shingles.
 PART = 20_000
-BLOCK = 400
+BLOCK = 1_000_000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,7 +171,7 @@ def _admissible(n1, p1, m1, n2, p2, m2, num: int, den: int):
 
 def _lists(postings: DataFrame, num: int, den: int) -> DataFrame:
     """Rows from the token lists. kind 0: a pair (a, b) that shares the token, ``need`` shared tokens in all;
-    kind 1: a star pair; kind 2: membership of a in the long list of ``token``."""
+    kind 1: a star pair; kind 2: membership of a (of b shingles) in the long list of ``token``."""
     rows = postings.repartition("token", "part").sortWithinPartitions("token", "part", "pos", "doc_id")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -212,7 +213,7 @@ def _lists(postings: DataFrame, num: int, den: int) -> DataFrame:
             hub = live[0]
             near = live[1:][_admissible(n[hub], pos[hub], match[hub], n[live[1:]], pos[live[1:]], match[live[1:]], num, den)]
             out.append((np.ones(len(near), np.int8), token[near], np.minimum(doc[hub], doc[near]), np.maximum(doc[hub], doc[near]), np.ones(len(near), np.int64)))
-            out.append((np.full(len(live), 2, np.int8), token[live], doc[live], pos[live], match[live]))
+            out.append((np.full(len(live), 2, np.int8), token[live], doc[live], n[live], match[live]))
         if out:
             cols = [np.concatenate(c) for c in zip(*out)]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4].astype(np.int32))], ["kind", "token", "a", "b", "need"])
@@ -309,8 +310,8 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 
 def _long_lists(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that the stars of long lists missed, found by comparing blocks of members of different components."""
-    named = members.join(comps, members["a"] == comps["node"], "left").select("token", F.col("a").alias("id"), F.coalesce("component", "a").alias("component"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.count(F.lit(1)).alias("n")).filter("c1 <> c2").select("token", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    named = members.join(comps, members["a"] == comps["node"], "left").select("token", F.col("a").alias("id"), F.coalesce("component", "a").alias("component"), F.col("b").alias("n"))
+    mixed = named.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum("n").alias("total")).filter("c1 <> c2").select("token", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
     rows = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("token", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
@@ -336,7 +337,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
     lists = stored(_lists(_postings(reps, sketch), num, den))
     small = lists.filter("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need")
     pairs = stored(small.select("a", "b").unionByName(lists.filter("kind = 1").select("a", "b")).distinct())
-    members = lists.filter("kind = 2").select("token", "a")
+    members = lists.filter("kind = 2").select("token", "a", "b")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
     sets = stored(shingle_sets(docs, ids, n))
     links = stored(_verify(pairs, sets, num, den))

@@ -1,6 +1,6 @@
 """Named queries over the driver tables, by theme."""
 
-from sparkloom.plans import evaluation, tables
+from sparkloom.plans import composites, evaluation, modelling, tables
 from sparkloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "evaluation", "tables"]
+__all__ = ["QUERIES", "SQL", "composites", "evaluation", "modelling", "tables"]

@@ -93,7 +93,7 @@ def test_join_awkward(spark, n, num, den):
     assert got(ngram_join.similar_groups(docs(spark, extra=True), n, num, den), "doc_id", "n_shingles", "component_id") == join_brute(awkward_rows(), n, num, den)
 
 
-@pytest.mark.parametrize("part,small,block", [(20_000, 32, 400), (6, 2, 5), (20_000, 2, 7)])
+@pytest.mark.parametrize("part,small,block", [(20_000, 32, 1_000_000), (6, 2, 300), (20_000, 2, 420)])
 def test_join_long_lists(spark, monkeypatch, part, small, block):
     """Near copies of one text with one to four edits; long and hot lists, several blocks."""
     import random
