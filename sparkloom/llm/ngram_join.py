@@ -8,7 +8,8 @@ the two. Copies (equal sets) are joined as one class.
 Scale: texts are read twice to make frequencies and prefixes; only prefixes are shuffled by token. A token's list
 of at most ``SMALL_LIST`` documents yields its admissible pairs. A longer list (split by salt beforehand when the
 token is hot) first yields a star around its most central member; what the stars leave unconnected is compared
-inside tasks, block against block, without making rows for pairs. Links are verified on full 64-bit shingle sets.
+inside tasks, block against block, without making rows for pairs. Pairs are screened with a few bits a shingle
+(a bound that loses no link); only the texts of those left move, to be verified on full 64-bit shingle sets.
 """
 
 from __future__ import annotations
@@ -22,14 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BASE, U64, arrow_map, batches, mix, stored, words
+from sparkloom.llm.common import BASE, U64, arrow_map, batches, discard, mix, stored, words
 from sparkloom.llm.components import components
 
-#: Buckets of the frequency sketch (a fixed size; it only orders tokens, any order gives the same links).
+#: Buckets of the frequency sketch (a fixed size; it only orders tokens, any order gives the same links), and
+#: buckets that travel as one row.
 SKETCH_BITS = 20
-TASK_BUCKETS = 1 << 16
-#: The largest buckets, which the driver gathers; the rest count as the smallest of them.
-KEPT_BUCKETS = 1 << 16
+CHUNK = 1 << 12
 MAX_MATCH = 3
 SMALL_LIST = 32
 #: A hot token's list is dealt into parts of about so many documents; what stays unconnected in it is compared in
@@ -65,22 +65,33 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np
 
 
 def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingle counts by hash bucket over all documents: every task adds up its own and reports its largest buckets."""
+    """Shingle counts by hash bucket over all documents, added up by chunks of buckets."""
+
+    def rows(chunks, counts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["chunk", "counts"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, np.int64)
         for _, data, offs in batches(it, "text"):
             _, s = shingles(data, offs, n)
             total += np.bincount((s >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
-        top = np.argpartition(-total, TASK_BUCKETS)[:TASK_BUCKETS]
-        top = top[total[top] > 0]
-        yield pa.RecordBatch.from_arrays([pa.array(top.astype(np.int32)), pa.array(total[top])], ["bucket", "n"])
+        parts = total.reshape(-1, CHUNK)
+        used = np.flatnonzero(parts.any(1))
+        yield rows(used, parts[used])
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in it:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int64)
+        yield rows(list(total), [np.minimum(t, np.iinfo(np.int32).max).astype(np.int32) for t in total.values()])
 
-    rows = arrow_map(docs.select("text"), count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(KEPT_BUCKETS).collect()
-    out = np.full(1 << SKETCH_BITS, rows[-1]["n"] if len(rows) == KEPT_BUCKETS else 0, np.int64)
-    for r in rows:
-        out[r["bucket"]] = r["n"]
-    return np.minimum(out, np.iinfo(np.int32).max).astype(np.int32)
+    schema = "chunk int, counts binary"
+    summed = arrow_map(arrow_map(docs.select("text"), count, schema).repartition("chunk"), add, schema).collect()  # at most 2**20 counts
+    out = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int32).reshape(-1, CHUNK)
+    for r in summed:
+        out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
 
 
 def least_overlap(nx, ny, num: int, den: int):
@@ -93,8 +104,33 @@ def prefix_length(n: np.ndarray, match: int, num: int, den: int) -> np.ndarray:
     return np.minimum(n, n - (-(-(num * n) // den)) + match)
 
 
+def parity_bits(s: np.ndarray, start: np.ndarray) -> list[bytes]:
+    """For each set, 2 to 4 bits a shingle (a power of two in all): the parity of the shingles that fall on each bit.
+
+    Two sets differ in at least as many shingles as their bits do, whatever collides."""
+    size = np.diff(start)
+    width = 1 << np.maximum(6, np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64))
+    base = np.r_[0, np.cumsum(width)]
+    at = np.repeat(base[:-1], size) + (s & (np.repeat(width, size) - 1).astype(U64)).astype(np.int64)
+    raw = np.packbits((np.bincount(at, minlength=base[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [raw[a:b] for a, b in zip((base[:-1] // 8).tolist(), (base[1:] // 8).tolist())]
+
+
+def most_overlap(n1: int, bits1: bytes, n2: int, bits2: bytes) -> int:
+    """An upper bound of the overlap of two sets, from their sizes and parity bits; wider bits fold onto narrower."""
+    x, y = int.from_bytes(bits1, "little"), int.from_bytes(bits2, "little")
+    w1, w2 = 8 * len(bits1), 8 * len(bits2)
+    while w1 > w2:
+        w1 //= 2
+        x = (x >> w1) ^ (x & ((1 << w1) - 1))
+    while w2 > w1:
+        w2 //= 2
+        y = (y >> w2) ^ (y & ((1 << w2) - 1))
+    return (n1 + n2 - (x ^ y).bit_count()) // 2
+
+
 def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray) -> DataFrame:
-    """doc_id, n, sig1, sig2 (of the whole set), match (its L) and prefix (its rarest shingles, packed)."""
+    """doc_id, n, sig1, sig2 (of the whole set), match (its L), prefix (its rarest shingles, packed) and parity bits."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -112,6 +148,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
             if len(full):
                 sig1[full] = np.add.reduceat(mix(s + U64(1)), start[full])
                 sig2[full] = np.bitwise_xor.reduceat(mix(s * BASE + U64(2)), start[full])
+            bits = parity_bits(s, start)
             order = np.lexsort((s, f, d))
             s, f = s[order], f[order]
             extra = np.r_[0, np.cumsum(np.maximum(f.astype(np.int64) - level, 0))]
@@ -124,11 +161,11 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
             length = np.choose(match - 1, [prefix_length(size, m, num, den) for m in range(1, MAX_MATCH + 1)])
             prefix = [s[a : a + k].tobytes() for a, k in zip(start[:-1].tolist(), length.tolist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(match.astype(np.int32)), pa.array(prefix, pa.binary())],
-                ["doc_id", "n", "sig1", "sig2", "match", "prefix"],
+                [batch.column("doc_id"), pa.array(size), pa.array(sig1.view(np.int64)), pa.array(sig2.view(np.int64)), pa.array(match.astype(np.int32)), pa.array(prefix, pa.binary()), pa.array(bits, pa.binary())],
+                ["doc_id", "n", "sig1", "sig2", "match", "prefix", "bits"],
             )
 
-    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, sig1 long, sig2 long, match int, prefix binary")
+    return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, sig1 long, sig2 long, match int, prefix binary, bits binary")
 
 
 def _postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
@@ -247,6 +284,23 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
     return arrow_map(picked, run, "id long, shingles binary")
 
 
+def _screen(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose parity bits leave room for the threshold: all links, and few others."""
+    side = lambda k: reps.select(F.col("doc_id").alias(k), F.col("n").cast("int").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            ok = []
+            for n1, x, n2, y in zip(*(batch.column(c).to_pylist() for c in ("n_a", "bits_a", "n_b", "bits_b"))):
+                fits = den * min(n1, n2) >= num * max(n1, n2)
+                ok.append(fits and most_overlap(n1, x, n2, y) >= least_overlap(n1, n2, num, den))
+            keep = pa.array(ok, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
+
+    return arrow_map(both, run, "a long, b long")
+
+
 def _verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold."""
     left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
@@ -332,22 +386,25 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
     sketch = frequency_sketch(docs, n)
     sig = stored(signatures(docs, n, num, den, sketch))
     usable = sig.filter("n > 0 and doc_id is not null")
-    classes = usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "match", "prefix")).alias("r"))
-    reps = classes.select("n", "r.*")
+    classes = usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "match", "prefix", "bits")).alias("r"))
+    reps = stored(classes.select("n", "sig1", "sig2", "r.*"))
     lists = stored(_lists(_postings(reps, sketch), num, den))
     small = lists.filter("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need")
-    pairs = stored(small.select("a", "b").unionByName(lists.filter("kind = 1").select("a", "b")).distinct())
+    met = small.select("a", "b").unionByName(lists.filter("kind = 1").select("a", "b")).distinct()
+    pairs = stored(_screen(met, reps, num, den))
     members = lists.filter("kind = 2").select("token", "a", "b")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).unionByName(members.select(F.col("a").alias("id"))).distinct()
     sets = stored(shingle_sets(docs, ids, n))
     links = stored(_verify(pairs, sets, num, den))
+    discard(pairs)
     comps = components(links)
     if members.head(1):
         more = _long_lists(members, comps, sets, num, den)
         joined = stored(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         comps = components(joined)
+    discard(lists, sets)
     named = sig.select("doc_id", "n", "sig1", "sig2")
-    keys = classes.select("n", "sig1", "sig2", F.col("r.doc_id").alias("rep"))
+    keys = reps.select("n", "sig1", "sig2", F.col("doc_id").alias("rep"))
     keys = keys.join(comps, keys["rep"] == comps["node"], "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = named.join(keys, ["n", "sig1", "sig2"], "left")
