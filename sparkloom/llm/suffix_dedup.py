@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, mix, powers, stored
+from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard, mix, powers, stored
 from sparkloom.llm.induced_sort import falling
 
 GRAM = 48
@@ -92,17 +92,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
+    """One row for each distinct stretch of a document, with all places (``firsts``) where it starts there."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text"):
             doc, first, size, g, w = anchors(data, offs, length, gram)
-            pick = pa.array(doc)
+            order = np.lexsort((w, g, doc))
+            doc, first, size, g, w = doc[order], first[order], size[order], g[order], w[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]) | (w[1:] != w[:-1])
+            head = np.flatnonzero(new)
+            pick = pa.array(doc[head])
+            firsts = pa.ListArray.from_arrays(pa.array(np.r_[head, len(doc)].astype(np.int32)), pa.array(first.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(g.view(np.int64)), pa.array(w.view(np.int64))],
-                ["doc_id", "key", "first", "size", "gram", "stretch"],
+                [batch.column("doc_id").take(pick), batch.column("key").take(pick), firsts, pa.array(size[head].astype(np.int32)), pa.array(g[head].view(np.int64)), pa.array(w[head].view(np.int64))],
+                ["doc_id", "key", "firsts", "size", "gram", "stretch"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, first int, size int, gram long, stretch long")
+    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, firsts array<int>, size int, gram long, stretch long")
 
 
 def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
@@ -172,23 +180,28 @@ def _repeated(order: Iterator[tuple[np.ndarray, np.ndarray]], owned: np.ndarray,
 
 
 def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
-    """(doc_id, key, lo, hi): byte ranges of ``keyed`` rows to remove; ranges of a row may overlap."""
+    """(doc_id, key, ranges): for each row of ``keyed`` with something to remove, lists of byte ranges (los, his),
+    which may overlap. A hot stretch is counted once a document, and its documents are joined with one row."""
     rows = stored(_anchor_rows(keyed, length, gram))
-    shared = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("stretch").alias("s1"), F.max("stretch").alias("s2")).filter("n > 1")
+    places = F.size("firsts")
+    shared = stored(rows.groupBy("gram").agg(F.sum(places).alias("n"), F.min("stretch").alias("s1"), F.max("stretch").alias("s2")).filter("n > 1"))
     live = stored(rows.join(shared.select("gram", (F.col("s1") != F.col("s2")).alias("mixed")), "gram"))
-    kinds = live.groupBy("gram", "stretch").agg(F.count(F.lit(1)).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", "first", "size")).alias("at"))
-    kinds = stored(kinds)
+    discard(rows, shared)
+    kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size")).alias("at")))
     whole = kinds.filter("n > 1").select("gram", "stretch")
     need = kinds.filter("mixed").select("gram", "stretch", "at.*")
     total = need.agg(F.sum(F.col("size") + length)).first()[0] or 0
-    parts = live.join(whole, ["gram", "stretch"], "left_semi").select("doc_id", "key", F.col("first").alias("lo"), (F.col("first") + F.col("size") + (length - 1)).alias("hi"))
-    if not total:
-        return parts
-    shards = max(1, -(-int(total) // SHARD_BYTES))
-    bodies = _bodies(keyed, need, length).repartition(shards, "gram")
-    found = _sort_shards(bodies.select("gram", "stretch", "size", "body"), length)
-    partly = live.join(found.join(whole, ["gram", "stretch"], "left_anti"), ["gram", "stretch"])
-    return parts.unionByName(_start_ranges(partly, length))
+    marks = whole.withColumn("starts", F.lit(None).cast("binary"))
+    if total:
+        shards = max(1, -(-int(total) // SHARD_BYTES))
+        bodies = _bodies(keyed, need, length).repartition(shards, "gram")
+        found = _sort_shards(bodies.select("gram", "stretch", "size", "body"), length)
+        marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
+    marks = stored(marks)
+    ranges = _ranges(live.select("doc_id", "key", "firsts", "size", "gram", "stretch").join(marks, ["gram", "stretch"]), length)
+    out = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("los", "his")).alias("ranges")))
+    discard(live, kinds, marks)
+    return out
 
 
 def _bodies(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
@@ -211,25 +224,35 @@ def _bodies(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
     return arrow_map(both, run, "gram long, stretch long, size int, body binary")
 
 
-def _start_ranges(partly: DataFrame, length: int) -> DataFrame:
+def _ranges(marked: DataFrame, length: int) -> DataFrame:
+    """(doc_id, key, los, his): what to remove of each stretch: all that it owns, or the ``starts`` that repeat."""
+
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
-            first = batch.column("first").to_numpy()
-            rows, lo, hi = [], [], []
+            firsts = batch.column("firsts")
+            edges, flat = firsts.offsets.to_numpy(), firsts.flatten().to_numpy()
+            edges = edges - edges[0]
+            width = batch.column("size").to_numpy() + (length - 1)
+            los, his = [], []
             for i, packed in enumerate(batch.column("starts").to_pylist()):
-                starts = np.frombuffer(packed, np.int32) + first[i]
-                cut = np.flatnonzero(np.r_[True, np.diff(starts) > 1])
-                rows.append(np.full(len(cut), i))
-                lo.append(starts[cut])
-                hi.append(starts[np.r_[cut[1:], len(starts)] - 1] + length)
-            pick = pa.array(np.concatenate(rows)) if rows else pa.array([], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pick), batch.column("key").take(pick), pa.array(np.concatenate(lo) if lo else [], pa.int32()), pa.array(np.concatenate(hi) if hi else [], pa.int32())],
-                ["doc_id", "key", "lo", "hi"],
-            )
-
-    kind = partly.schema["doc_id"].dataType.simpleString()
-    return arrow_map(partly.select("doc_id", "key", "first", "starts"), run, f"doc_id {kind}, key long, lo int, hi int")
+                first = flat[edges[i] : edges[i + 1]]
+                if packed is None:
+                    lo, hi = first, first + width[i]
+                else:
+                    starts = np.frombuffer(packed, np.int32)
+                    cut = np.flatnonzero(np.r_[True, np.diff(starts) > 1])
+                    lo = (first[:, None] + starts[cut]).ravel()
+                    hi = (first[:, None] + starts[np.r_[cut[1:], len(starts)] - 1] + length).ravel()
+                if len(lo) > 1:
+                    lo, hi = _union(lo, hi)
+                los.append(lo)
+                his.append(hi)
+            ends = pa.array(np.r_[0, np.cumsum([len(x) for x in los])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x or [np.zeros(0, np.int32)]).astype(np.int32))) for x in (los, his)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *lists], ["doc_id", "key", "los", "his"])
+
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    return arrow_map(marked.select("doc_id", "key", "firsts", "size", "starts"), run, f"doc_id {kind}, key long, los array<int>, his array<int>")
 
 
 def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +274,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, length, min(gram, length))
-    ranges = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("lo", "hi")).alias("__ranges")).withColumnRenamed("doc_id", "__id").withColumnRenamed("key", "__key"))
+    ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("ranges").alias("__ranges"))
     rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
     rows = rows.withColumn("__k", F.xxhash64("doc_id", "__text"))
     joined = rows.join(ranges, (rows["__k"] == ranges["__key"]) & rows["doc_id"].eqNullSafe(ranges["__id"]), "left").drop("__key", "__id", "__k")
@@ -266,13 +289,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
             kept, removed, spans = [], [], []
             lists = batch.column("__ranges")
             edges, flat = lists.offsets.to_numpy(), lists.flatten()
-            base = edges[0]
-            los, his = flat.field("lo").to_numpy(), flat.field("hi").to_numpy()
+            inner = flat.field("los").offsets.to_numpy()
+            edges = inner[edges - edges[0]] - inner[0]
+            los, his = flat.field("los").flatten().to_numpy(), flat.field("his").flatten().to_numpy()
             valid = lists.is_valid().to_numpy(zero_copy_only=False)
             for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist())):
                 text = raw[a:b]
                 if valid[i] and edges[i + 1] > edges[i]:
-                    s = slice(edges[i] - base, edges[i + 1] - base)
+                    s = slice(edges[i], edges[i + 1])
                     lo, hi = _union(los[s], his[s])
                     at = np.r_[0, hi]
                     text = b"".join(text[x:y] for x, y in zip(at.tolist(), [*lo.tolist(), b - a]))
