@@ -11,32 +11,38 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparkloom.functions import dist
 from sparkloom.operators.stats import average_rank, midranks
 
 
-@F.pandas_udf("double")
+def _corr(a: str, b: str) -> Column:
+    """Pearson correlation; null where a column doesn't vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else dist.chi2_sf(a, b) for a, b in zip(x, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else dist.f_sf(a, b, c) for a, b, c in zip(x, d1, d2)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_sf2(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else dist.t_sf2(a, b) for a, b in zip(t, df)], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_sf2(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) else dist.normal_sf2(a) for a in z], dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def coin_p(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([dist.binomial_two_sided(int(a), int(b)) for a, b in zip(k, n)], dtype="float64")
 
@@ -69,7 +75,7 @@ def nemenyi(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     m = average_rank(df, [block], value).groupBy(treatment).agg(F.avg("rank").alias("rank"), F.count(F.lit(1)).alias("n"))
     k = m.count()
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def tail(d: pd.Series, n: pd.Series) -> pd.Series:
         return pd.Series([dist.studentized_range_sf(abs(a) * math.sqrt(2) / math.sqrt(k * (k + 1) / (6 * b)), k) for a, b in zip(d, n)])
 
@@ -127,7 +133,7 @@ def corrected_t(df: DataFrame, a: str, b: str, test_over_train: float, keys: Seq
 def rope(df: DataFrame, a: str, b: str, test_over_train: float, width: float, keys: Sequence[str] = ()) -> DataFrame:
     """Posterior shares below, inside and above the region of practical equivalence."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def cdf(t: pd.Series, df: pd.Series) -> pd.Series:
         return pd.Series([dist.t_cdf(x, d) for x, d in zip(t, df)])
 
@@ -143,7 +149,7 @@ def wilcoxon(df: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFra
     d = df.select(*keys, (F.col(a) - F.col(b)).alias("_d")).filter("_d <> 0").withColumn("_a", F.round(F.abs("_d"), 12))
     r = average_rank(d, list(keys), "_a", descending=False, name="_r")
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def exact(w: pd.Series, ranks: pd.Series) -> pd.Series:
         return pd.Series([dist.wilcoxon_exact(x, list(r)) for x, r in zip(w, ranks)])
 
@@ -206,7 +212,7 @@ def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     for c in cols:
         d = midranks(d, c, f"_r_{c}")
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = d.agg(*[F.corr(f"_r_{a}", f"_r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
+    row = d.agg(*[_corr(f"_r_{a}", f"_r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")
 
 
@@ -215,7 +221,7 @@ def vif(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     import numpy as np
 
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
-    row = df.agg(*[F.corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
+    row = df.agg(*[_corr(a, b).alias(f"{i}") for i, (a, b) in enumerate(pairs)]).first()
     m = np.eye(len(cols))
     for i, (a, b) in enumerate(pairs):
         m[cols.index(a), cols.index(b)] = m[cols.index(b), cols.index(a)] = row[i]

@@ -110,7 +110,8 @@ class Fitted:
     def transform(self, df: DataFrame, p: str = "p") -> DataFrame:
         """``df`` with the score of class 1."""
         out = self.model.transform(self.prepare.transform(df))
-        raw = vector_to_array("probability")[1] if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
+        # a model fitted on one class has one probability, that of class 0
+        raw = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)) if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
         return out.withColumn(p, raw).select(*df.columns, p)
 
 

@@ -25,9 +25,9 @@ NUM, CAT = ["n_orders", "total", "noise"], ["c_mktsegment"]
 
 
 def parts(spark: SparkSession, sf: str) -> DataFrame:
-    """A learnable task: is a line's price above 35 000? Features are quantity, tax and discount of a part's lines."""
+    """A learnable task: is the mean price of a part's lines above 53 000? Features are quantity, tax and discount of a part's lines."""
     li = read(spark, sf, "lineitem").groupBy("l_partkey").agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"), F.avg("l_discount").alias("d"), F.avg("l_extendedprice").alias("price"))
-    return li.select(F.col("l_partkey").alias("id"), "q", "t", "d", (F.col("price") > 38000).cast("int").alias("y"))
+    return li.select(F.col("l_partkey").alias("id"), "q", "t", "d", (F.col("price") > 53000).cast("int").alias("y"))
 
 
 def _report(scored_rows: DataFrame) -> DataFrame:
