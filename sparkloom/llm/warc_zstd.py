@@ -146,7 +146,10 @@ def plan_records(pages: DataFrame, archives: int, min_revisit_bytes: int = 0) ->
 
 def write_archives(pages: DataFrame, path: str, min_revisit_bytes: int = 0) -> None:
     """Write one record per row of ``pages`` (page_id, url, html) to archives in the folder ``path``."""
-    sample = [r["h"].encode() for r in pages.select(F.substring(F.coalesce("html", F.lit("")), 1, DICT_SAMPLE_BYTES).alias("h"), F.xxhash64("page_id").alias("k"), "page_id").orderBy("k", "page_id").limit(DICT_SAMPLE).collect()]
+    keyed = pages.withColumn("_k", F.xxhash64("page_id"))
+    smallest = keyed.select("_k").orderBy("_k").limit(DICT_SAMPLE).agg(F.max("_k")).first()[0]
+    picked = keyed.filter(F.col("_k") <= smallest).select(F.substring(F.coalesce("html", F.lit("")), 1, DICT_SAMPLE_BYTES).alias("h"))
+    sample = [r["h"].encode() for r in picked.limit(DICT_SAMPLE).collect()] if smallest is not None else []
     dictionary = train_dictionary(sample)
     total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
     archives = max(1, -(-int(total) // ARCHIVE_BYTES))
