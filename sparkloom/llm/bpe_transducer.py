@@ -25,37 +25,25 @@ from pyspark.sql import functions as F
 from sparkloom.llm.bpe import Vocabulary, classify, encode_texts, hashes, merge_words, ragged, split, vocabulary
 from sparkloom.llm.common import arrow_map, batches
 
-#: Words in the lexicon, and words that each task reports as its most frequent.
+#: Words in the lexicon.
 LEXICON_WORDS = 40_000
-TASK_WORDS = 20_000
 
 
-def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS, per_task: int = TASK_WORDS) -> list[bytes]:
-    """The ``limit`` words with the largest sum of the tasks' counts (each task counts all its texts and reports its
-    ``per_task`` most frequent words); which words are chosen changes the speed, never the ids."""
+def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> list[bytes]:
+    """The ``limit`` most frequent words of all texts; which words these are changes the speed, never the ids."""
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v, total, seen = vocabulary(path), pd.Series(dtype="int64"), {}
+        v = vocabulary(path)
         for _, data, offs in batches(it, "text"):
-            if not len(data):
-                continue
-            first, end = split(data, offs, classify(data), v.lower)
+            first, end = split(data, offs, classify(data), v.lower) if len(data) else (data, data)
             if not len(first):
                 continue
-            h = hashes(data, first, end)
-            code, uniq = pd.factorize(h)
-            n = np.bincount(code)
-            top = np.argsort(-n, kind="stable")[:per_task]
+            code, uniq = pd.factorize(hashes(data, first, end))
             pick = np.zeros(len(uniq), np.int64)
             pick[code[::-1]] = np.arange(len(code))[::-1]
-            for k in top.tolist():
-                seen.setdefault(int(uniq[k]), data[first[pick[k]] : end[pick[k]]].tobytes())
-            total = total.add(pd.Series(n[top], index=uniq[top]), fill_value=0)
-            if len(total) > 4 * per_task:
-                total = total.nlargest(2 * per_task)
-                seen = {int(k): seen[int(k)] for k in total.index}
-        total = total.nlargest(per_task)
-        yield pa.RecordBatch.from_arrays([pa.array([seen[int(k)] for k in total.index], pa.binary()), pa.array(total.to_numpy().astype(np.int64))], ["word", "n"])
+            raw = data.tobytes()
+            found = [raw[a:b] for a, b in zip(first[pick].tolist(), end[pick].tolist())]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(code))], ["word", "n"])
 
     rows = arrow_map(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).collect()
     return [bytes(r["word"]) for r in rows]
