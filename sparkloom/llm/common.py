@@ -20,7 +20,7 @@ U64 = np.uint64
 #: Odd multiplier of the polynomial word hash (2**64 divided by the golden ratio).
 BASE = U64(0x9E3779B97F4A7C15)
 #: Bytes of text that one array step handles at a time; a longer document is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,13 +86,13 @@ def steps(lengths: np.ndarray, limit: int = STEP_BYTES) -> Iterator[slice]:
         at += n
 
 
-def batches(it: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def batches(it: Iterator[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with the bytes and offsets of ``column``."""
     for batch in it:
         if not batch.num_rows:
             continue
         _, offs = buffers(batch.column(column))
-        for part in steps(np.diff(offs)):
+        for part in steps(np.diff(offs), limit):
             piece = batch.slice(part.start, part.stop - part.start)
             yield (piece, *buffers(piece.column(column)))
 

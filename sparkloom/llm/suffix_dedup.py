@@ -31,6 +31,8 @@ from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard
 from sparkloom.llm.induced_sort import falling
 
 GRAM = 48
+#: Bytes of text that one array step looks for anchors in (it holds about 100 bytes for each).
+ANCHOR_BYTES = 1 << 20
 #: Bytes of stretches that a shard holds on average.
 SHARD_BYTES = 4 << 20
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
@@ -95,7 +97,7 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """One row for each distinct stretch of a document, with all places (``firsts``) where it starts there."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(it, "text"):
+        for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
             doc, first, size, g, w = anchors(data, offs, length, gram)
             order = np.lexsort((w, g, doc))
             doc, first, size, g, w = doc[order], first[order], size[order], g[order], w[order]
