@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import Vocabulary, classify, encode_texts, hashes, merge_words, ragged, split, vocabulary
-from sparkloom.llm.common import arrow_map, batches
+from sparkloom.llm.common import arrow_map, batches, discard, stored
 
 #: Words in the lexicon.
 LEXICON_WORDS = 40_000
@@ -45,7 +45,12 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
             found = [raw[a:b] for a, b in zip(first[pick].tolist(), end[pick].tolist())]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(code))], ["word", "n"])
 
-    rows = arrow_map(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit).collect()
+    total = stored(arrow_map(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    octave = F.floor(F.log2("n") * 8)
+    sizes = sorted(((r["o"], r["count"]) for r in total.groupBy(octave.alias("o")).count().collect()), reverse=True)  # at most 8 * 63 rows
+    least = next((o for i, (o, _) in enumerate(sizes) if sum(c for _, c in sizes[: i + 1]) >= limit), 0)
+    rows = total.filter(octave >= least).orderBy(F.desc("n"), "word").limit(limit).collect()
+    discard(total)
     return [bytes(r["word"]) for r in rows]
 
 
