@@ -10,9 +10,12 @@ it that have the same one. What an anchor owns is a *stretch* of text.
 * The stretches left whose gram has several different texts go to *shards* by gram, one copy of each. A task
   spools its shard to disk, sorts the suffixes of the stretches by external induction with common prefixes, and
   reports owned strings whose common prefix with another one reaches ``length``.
+* Stretches of a *hot* gram (more than ``HOT_BYTES`` of different ones) are not sorted: each of their owned strings
+  is a row with its hash, and strings that share gram and hash are the same.
 
-Scale: one anchor per ~180 bytes is shuffled; a third of all documents may hold the same passage, as only its
-different surroundings are sorted; a shard may be far larger than its task's memory.
+Scale: one anchor per ~180 bytes is shuffled. A third of all documents may hold the same passage: the different
+surroundings of its edges are hot, and their strings are dealt to all tasks by hash. As no gram in a shard exceeds
+``HOT_BYTES``, shards stay near ``SHARD_BYTES``; a task holds its shard's hashes, types and order in memory.
 """
 
 from __future__ import annotations
@@ -23,11 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard, mix, powers, stored
+from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard, mix, powers, steps, stored
 from sparkloom.llm.induced_sort import falling
 
 GRAM = 48
@@ -35,6 +38,8 @@ GRAM = 48
 ANCHOR_BYTES = 1 << 20
 #: Bytes of stretches that a shard holds on average.
 SHARD_BYTES = 4 << 20
+#: A gram with more bytes of different stretches goes by the hashes of its owned strings.
+HOT_BYTES = SHARD_BYTES >> 3
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
 _INVERSES = np.ones(1, U64)
@@ -192,38 +197,85 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
     kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size")).alias("at")))
     whole = kinds.filter("n > 1").select("gram", "stretch")
     need = kinds.filter("mixed").select("gram", "stretch", "at.*")
-    total = need.agg(F.sum(F.col("size") + length)).first()[0] or 0
+    weights = stored(need.groupBy("gram").agg(F.sum(F.col("size") + length).alias("bytes")))
+    hot = F.col("bytes") > HOT_BYTES
+    total, hot_total = weights.agg(F.sum(F.when(~hot, F.col("bytes"))), F.sum(F.when(hot, F.col("bytes")))).first()
+    heavy = F.broadcast(weights.filter(hot).select("gram"))  # at most a row for each HOT_BYTES
     marks = whole.withColumn("starts", F.lit(None).cast("binary"))
     if total:
         shards = max(1, -(-int(total) // SHARD_BYTES))
-        bodies = _bodies(keyed, need, length).repartition(shards, "gram")
+        bodies = _bodies(keyed, need.join(heavy, "gram", "left_anti"), length).repartition(shards, "gram")
         found = _sort_shards(bodies.select("gram", "stretch", "size", "body"), length)
         marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
+    if hot_total:
+        found = _match_strings(_strings(keyed, need.join(heavy, "gram", "left_semi"), length))
+        marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
     marks = stored(marks)
     ranges = _ranges(live.select("doc_id", "key", "firsts", "size", "gram", "stretch").join(marks, ["gram", "stretch"]), length)
     out = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("los", "his")).alias("ranges")))
-    discard(live, kinds, marks)
+    discard(live, kinds, weights, marks)
     return out
 
 
-def _bodies(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """``need`` rows (gram, stretch, size) with the bytes of the stretch, cut out of one document that has it."""
+def _with_cuts(keyed: DataFrame, need: DataFrame) -> DataFrame:
+    """(text, cuts): the ``need`` rows of each document that has some."""
     per_doc = need.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "stretch", "first", "size")).alias("cuts"))
     per_doc = per_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
-    both = keyed.join(per_doc, (keyed["key"] == per_doc["_key"]) & keyed["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "cuts")
+    return keyed.join(per_doc, (keyed["key"] == per_doc["_key"]) & keyed["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "cuts")
+
+
+def _cuts(batch: pa.RecordBatch, offs: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The cuts of a batch of :func:`_with_cuts`, and the place of each in its bytes and its size."""
+    cuts = batch.column("cuts")
+    flat = cuts.flatten()
+    doc = np.repeat(np.arange(len(cuts)), np.diff(cuts.offsets.to_numpy()))
+    return flat, offs[doc] + flat.field("first").to_numpy().astype(np.int64), flat.field("size").to_numpy().astype(np.int64)
+
+
+def _bodies(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
+    """``need`` rows (gram, stretch, size) with the bytes of the stretch, cut out of one document that has it."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text"):
-            cuts = batch.column("cuts")
-            flat = cuts.flatten()
-            doc = np.repeat(np.arange(len(cuts)), np.diff(cuts.offsets.to_numpy()))
-            first, size = flat.field("first").to_numpy().astype(np.int64), flat.field("size").to_numpy().astype(np.int64)
-            lo = offs[doc] + first
+            flat, lo, size = _cuts(batch, offs)
             raw = data.tobytes()
             body = [raw[a:b] for a, b in zip(lo.tolist(), (lo + size + length - 1).tolist())]
             yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("stretch"), flat.field("size"), pa.array(body, pa.binary())], ["gram", "stretch", "size", "body"])
 
-    return arrow_map(both, run, "gram long, stretch long, size int, body binary")
+    return arrow_map(_with_cuts(keyed, need), run, "gram long, stretch long, size int, body binary")
+
+
+def _strings(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
+    """(gram, stretch, start, hash) of every owned string of the ``need`` rows; starts count from the stretch's first."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
+            flat, lo, size = _cuts(batch, offs)
+            of, _, _ = _range_hashes(data)
+            gram, stretch = flat.field("gram").to_numpy(), flat.field("stretch").to_numpy()
+            for part in steps(size, ANCHOR_BYTES):
+                n = size[part]
+                start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+                at = np.repeat(lo[part], n) + start
+                columns = [np.repeat(gram[part], n), np.repeat(stretch[part], n), start.astype(np.int32), of(at, at + length).view(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "stretch", "start", "hash"])
+
+    return arrow_map(_with_cuts(keyed, need), run, "gram long, stretch long, start int, hash long")
+
+
+def _match_strings(strings: DataFrame) -> DataFrame:
+    """(gram, stretch, starts) as :func:`_sort_shards` gives them: the strings that several stretches own."""
+    same = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "hash"))).filter("n > 1")
+    lists = same.groupBy("gram", "stretch").agg(F.sort_array(F.collect_list("start")).alias("starts"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            starts = batch.column("starts")
+            edges, flat = starts.offsets.to_numpy(), starts.flatten().to_numpy()
+            packed = [flat[a:b].tobytes() for a, b in zip((edges[:-1] - edges[0]).tolist(), (edges[1:] - edges[0]).tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("stretch"), pa.array(packed, pa.binary())], ["gram", "stretch", "starts"])
+
+    return arrow_map(lists, run, "gram long, stretch long, starts binary")
 
 
 def _ranges(marked: DataFrame, length: int) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from helpers import SCHEMA, awkward_rows, docs
+from helpers import SCHEMA, awkward_rows, docs, prose
 from tokenizers import Tokenizer
 
 from sparkloom.llm import bpe, bpe_transducer, exact_dedup, induced_sort, ngram_join, packing, suffix_dedup
@@ -139,6 +139,30 @@ def test_suffix_dedup(spark, length):
     assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_brute(awkward_rows(), length)
 
 
+@pytest.mark.parametrize("length", [400, 120])
+def test_suffix_dedup_splits_hot_grams(spark, monkeypatch, length):
+    """A passage with different surroundings in every document: no shard takes all the edges of one gram."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    shared, tails = prose(rng, 160), [prose(rng, 30) for _ in range(4)]
+    rows = awkward_rows() + [(100 + i, f"{prose(rng, 90)} {shared} {rng.choice(tails)} {prose(rng, 90)}", None, None, None) for i in range(60)]
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 16_000)
+    monkeypatch.setattr(suffix_dedup, "HOT_BYTES", 4000, raising=False)
+    largest, sort_shards = [0], suffix_dedup._sort_shards
+
+    def spy(bodies, length):
+        largest.append(bodies.groupBy("gram").agg(F.sum(F.length("body")).alias("n")).agg(F.max("n")).first()[0])
+        return sort_shards(bodies, length)
+
+    monkeypatch.setattr(suffix_dedup, "_sort_shards", spy)
+    out = suffix_dedup.digests(docs(spark, rows), length)
+    assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_brute(rows, length)
+    assert max(largest) <= 4000
+
+
 def test_suffix_dedup_empty(spark):
     assert suffix_dedup.digests(spark.createDataFrame([], SCHEMA)).count() == 0
 
