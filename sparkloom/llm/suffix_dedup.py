@@ -317,14 +317,22 @@ def _union(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[new], top[np.r_[np.flatnonzero(new)[1:] - 1, len(lo) - 1]]
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> DataFrame:
+def _to_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges widened to whole UTF-8 characters of ``data``, which has at most three bytes after a lead byte."""
+    inner = np.r_[(data & 0xC0) == 0x80, False]
+    for _ in range(3):
+        lo, hi = lo - (inner[lo] & (lo > 0)), hi + inner[hi]
+    return _union(lo, hi)
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, characters: bool = False) -> DataFrame:
     """Every row of ``docs`` (all columns) with ``__kept`` (binary: what remains of the text), ``__n_bytes``,
     ``__n_removed`` and ``__n_spans``.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else (the same document included) is
     removed; strings are judged on the input, and never cross documents. Null and empty texts, and texts shorter
     than ``length``, keep all their bytes. Rows repeated with the same text are repeats of each other. An empty
-    table gives an empty result.
+    table gives an empty result. With ``characters``, a character that loses a byte goes as a whole.
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, length, min(gram, length))
@@ -352,6 +360,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM) -> Data
                 if valid[i] and edges[i + 1] > edges[i]:
                     s = slice(edges[i], edges[i + 1])
                     lo, hi = _union(los[s], his[s])
+                    if characters:
+                        lo, hi = _to_characters(data[a:b], lo, hi)
                     at = np.r_[0, hi]
                     text = b"".join(text[x:y] for x, y in zip(at.tolist(), [*lo.tolist(), b - a]))
                     removed.append(int((hi - lo).sum()))
@@ -377,9 +387,9 @@ def digests(docs: DataFrame, length: int = 400) -> DataFrame:
 def cut_texts(docs: DataFrame, length: int = 250) -> DataFrame:
     """``docs`` with repeated strings of ``length`` bytes removed from text (and n_chars, where present, renewed).
 
-    A character that loses a byte goes as a whole. A null text stays null.
+    A character that loses a byte goes as a whole. A text that loses none stays as it is, null too.
     """
-    out = remove_repeats(docs, length)
-    clean = F.when(F.col("text").isNotNull(), F.regexp_replace(F.make_valid_utf8(F.col("__kept").cast("string")), "\ufffd", ""))
-    cols = [clean.alias("text") if c == "text" else F.length(clean).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = remove_repeats(docs, length, characters=True)
+    text = F.when(F.col("__n_removed") > 0, F.col("__kept").cast("string")).otherwise(F.col("text"))
+    cols = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)

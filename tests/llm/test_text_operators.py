@@ -174,6 +174,21 @@ def test_cut_texts_keeps_columns(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.collect() if r["text"] is not None)
 
 
+def test_cut_texts_removes_no_other_replacement_character(spark):
+    """Clean texts and the rest of a cut text keep U+FFFD; a character cut in the middle goes as a whole."""
+    import random
+
+    rng = random.Random(4)
+    clean, shared = "\ufffd " + prose(rng, 30) + " \ufffd", prose(rng, 40)
+    # the lead bytes of é and è are equal, as are the trail bytes of é and ũ: the repeated bytes end inside characters
+    pair = ["\ufffd one é" + shared + "è \ufffd end", "second ũ" + shared + "é other"]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate([clean, *pair, "short \ufffd"])]
+    out = {r["doc_id"]: r for r in suffix_dedup.cut_texts(docs(spark, rows), 100).collect()}
+    want = [clean, "\ufffd one  \ufffd end", "second  other", "short \ufffd"]
+    assert [out[i]["text"] for i in range(4)] == want
+    assert [out[i]["n_chars"] for i in range(4)] == [len(t) for t in want]
+
+
 @pytest.mark.parametrize("memory", [1, 500, 1 << 26])
 @pytest.mark.parametrize("few", [2, 2048])
 def test_induced_sort(monkeypatch, memory, few):
