@@ -223,6 +223,16 @@ def test_encode_texts(path):
         assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encode_texts_finds_odd_letters_before_lower_case(path):
+    """Letters whose lower case is Latin, each alone in a Latin text."""
+    library = Tokenizer.from_file(path)
+    texts = [f"{c}stanbul, a{c}b {c}" for c in "\u0130\u1e9e\u212a\u212b\u2c7e\u2c7f\ua7dc"] + ["Istanbul", "ISTANBUL ıstanbul"]
+    ids, ends = bpe.encode_texts(pa.array(texts), bpe.vocabulary(path))
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+
+
 def test_lexicon_is_minimal_and_exact():
     v = bpe.vocabulary(BYTE)
     words = [b"walking", b"talking", b"walk", b"talk", b"walked", b"talked", "déjà".encode()]
