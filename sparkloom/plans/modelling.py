@@ -109,13 +109,14 @@ def oblique_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _explained(spark: SparkSession, sf: str):
+    """All test rows, the columns, the scores to explain, and a background of 12 training rows."""
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
     cols = ["q", "t", "d"]
     forest = oblique.fit_forest(rows.filter("part = 'train'"), "id", "y", cols, trees=8, q=2, max_depth=4)
     trees = forest.trees
     predict = lambda x: np.mean([oblique.route(x, t) for t in trees], axis=0)
     background = np.array([list(r) for r in splits.sample_n(rows.filter("part = 'train'"), "id", 12).select(*cols).collect()], float)
-    return splits.sample_n(rows.filter("part = 'test'"), "id", 40), cols, predict, background
+    return rows.filter("part = 'test'"), cols, predict, background
 
 
 @query()

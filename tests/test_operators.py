@@ -160,3 +160,15 @@ def test_streaming_board_closes_windows(spark, tmp_path):
     want = board.windowed_progress(events)
     assert 0 < got.count() < want.count()
     assert got.select("start", "event_type", "n").exceptAll(want.select("start", "event_type", "n")).isEmpty()
+
+
+def test_attributions_cover_every_test_row(spark):
+    from sparkloom import plans
+    from sparkloom.plans import modelling
+
+    sf = "/root/testdata/sf0.01"
+    rows = splits.stratified_split(modelling.parts(spark, sf), "id", "y", 0.25).filter("part = 'test'")
+    want = {r["id"] for r in rows.select("id").collect()}
+    out = plans.QUERIES["shapley_values"](spark, sf)
+    assert len(want) > 40 and out.count() == 3 * len(want) and {r["id"] for r in out.select("id").distinct().collect()} == want
+    assert plans.QUERIES["attribution_agreement"](spark, sf).first()["n"] == len(want)
