@@ -125,16 +125,19 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest rows of x for each q by cosine, without the query's own id; ties go to the smaller id.
+    """The k nearest ids of x for each q by cosine, without the query's own id; ties go to the smaller id.
 
-    A matrix product selects; what it selects is scored row by row, so that equal vectors score alike."""
+    An id counts once, by its nearest row, whose index is given as ``row``. A matrix product selects; what it selects is scored row by row, so that equal vectors score alike."""
     qn, xn = np.sqrt((q * q).sum(1)), np.sqrt((x * x).sum(1))
     rough = (q @ x.T) / qn[:, None] / xn[None]
     rows = []
+    by_id = np.argsort(xid, kind="stable")
+    heads = np.flatnonzero(np.r_[True, np.diff(xid[by_id]) != 0]) if len(xid) else np.zeros(0, np.int64)
     for i in range(len(q)):
         s = np.where(xid == qid[i], -np.inf, rough[i])
-        if len(s) > k:
-            edge = np.partition(s, len(s) - k)[len(s) - k]
+        if len(heads) > k:
+            best = s if len(heads) == len(s) else np.maximum.reduceat(s[by_id], heads)
+            edge = np.partition(best, len(best) - k)[len(best) - k]
             near = np.flatnonzero((s >= edge - 1e-9) & np.isfinite(s))
         else:
             near = np.flatnonzero(np.isfinite(s))
@@ -142,8 +145,8 @@ def top(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, k: int)
         order = np.lexsort((xid[near], -exact))
         ids, first = np.unique(xid[near][order], return_index=True)
         order = order[np.sort(first)][:k]
-        rows.append(pd.DataFrame({"query_id": qid[i], "vec_id": xid[near][order], "score": exact[order]}))
-    return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        rows.append(pd.DataFrame({"query_id": qid[i], "vec_id": xid[near][order], "score": exact[order], "row": near[order]}))
+    return pd.concat(rows, ignore_index=True) if rows else pd.DataFrame({"query_id": [], "vec_id": [], "score": [], "row": []})
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _exact(rows: DataFrame, q: np.ndarray, qid: np.ndarray, k: int) -> DataFrame:
-    """Exact neighbours of a bounded set of queries against all rows."""
+    """Exact neighbours of a bounded set of queries against all filed rows, with the leaf of each one's nearest row."""
     shared = rows.sparkSession.sparkContext.broadcast((q, qid))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,9 +167,12 @@ def _exact(rows: DataFrame, q: np.ndarray, qid: np.ndarray, k: int) -> DataFrame
             for at in range(0, batch.num_rows, BLOCK):
                 piece = batch.slice(at, BLOCK)
                 out = top(qs, ids, _matrix(piece.column("embedding")), piece.column("vec_id").to_numpy(), k)
-                yield pa.RecordBatch.from_pandas(out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
+                out["leaf"] = piece.column("leaf").to_numpy()[out.pop("row").to_numpy(np.int64)]
+                yield pa.RecordBatch.from_pandas(out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "leaf": "int32"}), preserve_index=False)
 
-    return ranked(arrow_map(rows, run, "query_id long, vec_id long, score double"), k)
+    found = stored(arrow_map(rows, run, "query_id long, vec_id long, score double, leaf int"))
+    leaves = found.groupBy("query_id", "vec_id").agg(F.max_by("leaf", F.struct("score", "leaf")).alias("leaf"))
+    return ranked(found, k).join(leaves, ["query_id", "vec_id"])
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
@@ -176,12 +182,12 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def calibrate(tree: Tree, q: np.ndarray, qid: np.ndarray, truth: pd.DataFrame, leaf_of: dict[int, int], sizes: np.ndarray, target: float, k: int) -> int:
+def calibrate(tree: Tree, q: np.ndarray, qid: np.ndarray, truth: pd.DataFrame, sizes: np.ndarray, target: float, k: int) -> int:
     """The least number of leaves to visit with which the sample of queries reaches ``target`` recall."""
     need = []
     for i in range(len(q)):
         place = {leaf: n for n, leaf in enumerate(visit_order(q[i], tree, tree.leaves, sizes, 0))}
-        need += [place[leaf_of[v]] + 1 for v in truth.loc[truth["query_id"] == qid[i], "vec_id"].tolist()]
+        need += [place[leaf] + 1 for leaf in truth.loc[truth["query_id"] == qid[i], "leaf"].tolist()]
     if not need:
         return 1
     return int(np.sort(need)[min(len(need) - 1, math.ceil(target * len(need)) - 1)])
@@ -195,7 +201,7 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
     frequent dimension take no part. Rows repeated with one vec_id count once, as their nearest. With fewer than
     ``k`` candidates all are returned; an empty table gives an empty result. Other columns are ignored.
     """
-    rows = stored(usable(vectors))
+    rows = stored(usable(vectors).dropDuplicates())
     spark = rows.sparkSession
     total = rows.count()
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
@@ -215,21 +221,23 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
     sizes = np.zeros(max(1, tree.leaves), np.int64)
     for r in filed.groupBy("leaf").count().collect():  # one row per leaf
         sizes[r["leaf"]] = r["count"]
+    ids = np.zeros_like(sizes)  # each id in one of its leaves, so that repeats don't count as candidates
+    for r in filed.groupBy("vec_id").agg(F.min("leaf").alias("leaf")).groupBy("leaf").count().collect():  # one row per leaf
+        ids[r["leaf"]] = r["count"]
     queries = filed.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"])
     chosen = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATE).collect()
     visits = 1
     if chosen:
         q, qid = np.array([r["embedding"] for r in chosen], float), np.array([r["vec_id"] for r in chosen])
-        truth = _exact(rows, q, qid, k).toPandas()
-        wanted = filed.join(F.broadcast(spark.createDataFrame(truth[["vec_id"]].drop_duplicates(), "vec_id long")), "vec_id").select("vec_id", "leaf").collect() if len(truth) else []
-        visits = calibrate(tree, unit(q), qid, truth, {r["vec_id"]: r["leaf"] for r in wanted}, sizes, target, k)
+        truth = _exact(filed, q, qid, k).toPandas()
+        visits = calibrate(tree, unit(q), qid, truth, ids, target, k)
 
     def walk(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             m = _matrix(batch.column("embedding"))
             if not len(m):
                 continue
-            lists = [visit_order(u, shared.value, visits, sizes, k + 1) for u in unit(m)]
+            lists = [visit_order(u, shared.value, visits, ids, k + 1) for u in unit(m)]
             pick = pa.array(np.repeat(np.arange(len(m)), [len(x) for x in lists]))
             leaf = np.concatenate([np.array(x, np.int32) for x in lists])
             yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pick), batch.column("embedding").take(pick), pa.array(leaf)], ["query_id", "q", "leaf"])
@@ -239,13 +247,13 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
     blocks = spark.createDataFrame([(int(r["leaf"]), int(-(-sizes[r["leaf"]] // BLOCK)), int(-(-r["count"] // QUERY_BLOCK))) for r in loads] or [(0, 1, 1)], "leaf int, parts int, q_parts int")
     blocks = F.broadcast(blocks)  # at most MAX_LEAVES + BRANCH rows
     left = visited.join(blocks, "leaf").withColumn("q_part", F.pmod(F.xxhash64("query_id"), F.col("q_parts"))).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)))
-    right = filed.join(blocks, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts"))).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)))
+    right = filed.join(blocks, "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts"))).withColumn("q_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q_parts").cast("long") - 1)))
 
     def compare(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             out = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         else:
-            out = top(_matrix(a.column("q").combine_chunks()), a.column("query_id").to_numpy(), _matrix(b.column("embedding").combine_chunks()), b.column("vec_id").to_numpy(), k)
+            out = top(_matrix(a.column("q").combine_chunks()), a.column("query_id").to_numpy(), _matrix(b.column("embedding").combine_chunks()), b.column("vec_id").to_numpy(), k).drop(columns="row")
         return pa.Table.from_pandas(out.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"}), preserve_index=False)
 
     keys = ["leaf", "part", "q_part"]

@@ -215,6 +215,30 @@ def test_search(spark):
     assert hit / (5 * len(q)) >= 0.9
 
 
+def test_repeated_ids_take_no_place():
+    """The nearest id fills more rows than there are places; the others still count."""
+    x = np.array([[1.0, 0.01 * i] for i in range(8)] + [[1.0, 0.2], [1.0, 0.3], [1.0, 0.4], [1.0, 0.5], [0.0, 1.0]])
+    xid = np.array([7] * 8 + [1, 2, 3, 4, 5])
+    out = vector_tree.top(np.array([[1.0, 0.0]]), np.array([0]), x, xid, 5)
+    assert out["vec_id"].tolist() == [7, 1, 2, 3, 4] and out["score"].iloc[0] == 1.0
+
+
+def test_search_counts_repeated_rows_once(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8))
+    hot = [x[0] + 1e-3 * rng.normal(size=8) for _ in range(60)]  # near each other and query 0, under one id
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9, v.tolist()) for v in hot] + [(11, x[11].tolist())] * 60
+    out = vector_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), target=1.0)
+    norm = np.sqrt((x * x).sum(1))
+    for i in range(0, 400, 50):
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in out.collect() if r["query_id"] == i)
+        s = (x @ x[i]) / (norm * norm[i])
+        s[9] = max([s[9]] + [v @ x[i] / np.linalg.norm(v) / norm[i] for v in hot])
+        s[i] = -2
+        assert [m[1] for m in mine] == np.argsort(-s)[:5].tolist()
+        assert [m[2] for m in mine] == pytest.approx(np.sort(-s)[:5] * -1)
+
+
 def test_search_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [0.0, 2.0])], "vec_id long, embedding array<float>")
     assert [(r["rank"], r["vec_id"]) for r in vector_tree.search(few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
