@@ -3,8 +3,7 @@
 ``Vocabulary`` reads a tokenizer file (its path is a parameter; nothing is trained or copied). ``merge_words``
 applies the merges exactly: in every round each unfinished word merges its pair of lowest rank, all words in the
 same few array operations. ``encode_texts`` splits a batch of texts into words with array operations on its
-bytes, encodes each distinct word once (words are told apart by a 64-bit hash and their length) and lays the ids
-out by text. A text with a special token, or with characters other than Latin letters, digits, usual white space
+bytes, encodes each distinct word once (words are told apart by their bytes) and lays the ids out by text. A text with a special token, or with characters other than Latin letters, digits, usual white space
 and common punctuation, is given to the tokenizers library as it is.
 """
 
@@ -16,11 +15,10 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from sparkloom.llm.common import U64, buffers, mix, powers
+from sparkloom.llm.common import buffers
 
 #: Endings that the split patterns of both tokenizer kinds cut off after an apostrophe.
 CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
@@ -252,13 +250,23 @@ def split(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, by_word: bool) -
     return first, end
 
 
-def hashes(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range."""
-    size = end - first
-    at = ragged(first, size)
-    edge = np.r_[0, np.cumsum(size)[:-1]]
-    value = (data[at].astype(U64) + U64(1)) * powers(int(size.max()))[np.arange(len(at)) - np.repeat(edge, size)]
-    return mix(np.add.reduceat(value, edge) + size.astype(U64) * U64(0x9FB21C651E98DF25))
+def distinct_words(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """(number of each word, the distinct words): the byte ranges, told apart by their bytes."""
+    if not len(first):
+        return np.zeros(0, np.int64), []
+    joined = bool((first[1:] == end[:-1]).all())
+    edges = np.empty(len(first) + 1 if joined else 2 * len(first), np.int64)
+    if joined:
+        edges[:-1], edges[-1] = first, end[-1]
+    else:  # the gaps between words are values too, and dropped below
+        edges[0::2], edges[1::2] = first, end
+    values = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(np.ascontiguousarray(data))])
+    coded = values.dictionary_encode()
+    code = coded.indices.to_numpy()[:: 1 if joined else 2]
+    used = np.flatnonzero(np.bincount(code, minlength=len(coded.dictionary)))
+    number = np.zeros(len(coded.dictionary), np.int64)
+    number[used] = np.arange(len(used))
+    return number[code], coded.dictionary.take(pa.array(used)).to_pylist()
 
 
 def encode_texts(texts: pa.Array, v: Vocabulary, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -280,11 +288,8 @@ def encode_texts(texts: pa.Array, v: Vocabulary, encode_words: Callable[[list[by
             fine = ~odd[doc]
             first, end, doc = first[fine], end[fine], doc[fine]
     if len(data) and len(first):
-        code, _ = pd.factorize(hashes(data, first, end))
-        pick = np.zeros(code.max() + 1, np.int64)
-        pick[code[::-1]] = np.arange(len(code))[::-1]
-        raw = data.tobytes()
-        flat, woffs = (encode_words or (lambda w: merge_words(w, v)))([raw[a:b] for a, b in zip(first[pick].tolist(), end[pick].tolist())])
+        code, distinct = distinct_words(data, first, end)
+        flat, woffs = (encode_words or (lambda w: merge_words(w, v)))(distinct)
         size = np.diff(woffs)[code]
         ids = flat[ragged(woffs[:-1][code], size)]
         ends = np.r_[0, np.cumsum(np.bincount(doc, size, len(offs) - 1).astype(np.int64))]

@@ -16,13 +16,12 @@ from collections.abc import Iterator
 from functools import lru_cache, partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.bpe import Vocabulary, classify, encode_texts, hashes, merge_words, ragged, split, vocabulary
+from sparkloom.llm.bpe import Vocabulary, classify, distinct_words, encode_texts, merge_words, ragged, split, vocabulary
 from sparkloom.llm.common import arrow_map, batches, discard, stored
 
 #: Words in the lexicon.
@@ -38,11 +37,7 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
             first, end = split(data, offs, classify(data), v.lower) if len(data) else (data, data)
             if not len(first):
                 continue
-            code, uniq = pd.factorize(hashes(data, first, end))
-            pick = np.zeros(len(uniq), np.int64)
-            pick[code[::-1]] = np.arange(len(code))[::-1]
-            raw = data.tobytes()
-            found = [raw[a:b] for a, b in zip(first[pick].tolist(), end[pick].tolist())]
+            code, found = distinct_words(data, first, end)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array(np.bincount(code))], ["word", "n"])
 
     total = stored(arrow_map(docs.select("text"), count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")))

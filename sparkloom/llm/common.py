@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,9 +30,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and
+    everything runs in one process. A cluster without a shared folder is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = getattr(spark, "_sparkloom_scratch", None) or "file://" + tempfile.mkdtemp(prefix="sparkloom-")
         spark._sparkloom_scratch = base
     return f"{base.rstrip('/')}/sparkloom-{uuid.uuid4().hex}"
@@ -56,6 +61,18 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to clash with no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def fold_of(doc_id: str, buckets: int) -> "F.Column":
     """CRC-32 of the id's decimal text modulo ``buckets``."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % F.lit(buckets)
@@ -130,6 +147,10 @@ PUNCT = np.zeros(256, bool)
 PUNCT[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
+#: Bytes from which on a word is hashed by XXH3: sums of powers modulo 2**64 are equal for some regular long words.
+LONG_WORD = 256
+
+
 def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.ndarray = LOWER, stems: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
     """(start, end, document, hash) of each maximal run of bytes outside ``sep``; words never cross documents.
 
@@ -153,6 +174,8 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.
     within = np.arange(len(at)) - np.repeat(head, length)
     value = (fold[data[at]].astype(U64) + U64(1)) * powers(int(length.max()))[within]
     h = mix(np.add.reduceat(value, head))
+    for i in np.flatnonzero(length >= LONG_WORD).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(fold[data[start[i] : start[i] + length[i]]].tobytes())
     doc = np.searchsorted(offs, start, "right") - 1
     out = [start, start + length, doc, h]
     for k in stems:
@@ -164,3 +187,47 @@ def words(data: np.ndarray, offs: np.ndarray, sep: np.ndarray = SPACE, fold: np.
 def arrow_map(df: DataFrame, fn: Callable, schema: T.StructType | str) -> DataFrame:
     """``mapInArrow`` of a function on (iterator of batches) -> iterator of batches."""
     return df.mapInArrow(fn, schema)
+
+
+#: A prime, and the base and letter values of range hashes modulo that prime (any base and values do).
+P61 = (1 << 61) - 1
+BASE61 = 0x1B873593CC9E2D51 % P61
+LETTER61 = np.array([xxhash.xxh3_64_intdigest(bytes([b])) % P61 for b in range(256)], U64)
+
+
+def mul61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    low, half = U64((1 << 31) - 1), U64(31)
+    a1, a0, b1, b0 = a >> half, a & low, b >> half, b & low
+    mid = a1 * b0 + a0 * b1
+    return _fold61((a1 * b1 << U64(1)) + (mid >> U64(30)) + ((mid & U64((1 << 30) - 1)) << half) + a0 * b0)
+
+
+def _fold61(x: np.ndarray) -> np.ndarray:
+    x = (x & U64(P61)) + (x >> U64(61))
+    return np.where(x >= U64(P61), x - U64(P61), x)
+
+
+def _powers61(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(n, 1), U64)
+    k = 1
+    while k < n:
+        m = min(k, n - k)
+        out[k : k + m] = mul61(out[:m], np.full(m, pow(base, k, P61), U64))
+        k += m
+    return out
+
+
+def range_hashes61(data: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """(start, end) -> hash of the byte ranges: a polynomial over the field of 2**61 - 1 elements."""
+    n = len(data)
+    value = mul61(LETTER61[data], _powers61(BASE61, n)[:n])
+    low, high = np.cumsum(value & U64(0xFFFFFFFF), dtype=U64), np.cumsum(value >> U64(32), dtype=U64)
+    prefix = np.zeros(n + 1, U64)
+    prefix[1:] = _fold61(_fold61(low) + mul61(_fold61(high), np.full(n, 1 << 32, U64)))
+    down = _powers61(pow(BASE61, -1, P61), n + 1)
+
+    def of(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mul61(_fold61(prefix[end] + U64(P61) - prefix[start]), down[start])
+
+    return of

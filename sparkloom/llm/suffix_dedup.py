@@ -6,32 +6,36 @@ strings have equal anchors: a string is *owned* by its anchor, together with the
 it that have the same one. What an anchor owns is a *stretch* of text.
 
 * Anchors whose gram is nowhere else own nothing that repeats.
-* Stretches that are equal as a whole are counted; all that they own repeats.
-* The stretches left whose gram has several different texts go to *shards* by gram, one copy of each. A task
-  spools its shard to disk, sorts the suffixes of the stretches by external induction with common prefixes, and
-  reports owned strings whose common prefix with another one reaches ``length``.
+* Stretches that are equal as a whole (gram, XXH3 digest, place of the anchor and size) are counted; all that they
+  own repeats.
+* A string that contains its anchor's gram goes on for half the rest or more on one side of it. Stretches with
+  several different texts by gram are dropped unless another one has that much in common with them on that side.
+* The stretches left go to *shards* by gram, one copy of each. A task spools its shard to disk, sorts the suffixes
+  of the stretches by external induction with common prefixes, and reports owned strings whose common prefix with
+  another one reaches ``length``.
 * Stretches of a *hot* gram (more than ``HOT_BYTES`` of different ones) are not sorted: each of their owned strings
-  is a row with its hash, and strings that share gram and hash are the same.
+  is a row with its hash (over the field of 2**61 - 1 elements), and strings that share gram and hash are the same.
 
 Scale: one anchor per ~180 bytes is shuffled. A third of all documents may hold the same passage: the different
 surroundings of its edges are hot, and their strings are dealt to all tasks by hash. As no gram in a shard exceeds
-``HOT_BYTES``, shards stay near ``SHARD_BYTES``; a task holds its shard's hashes, types and order in memory.
+``HOT_BYTES``, shards stay near ``SHARD_BYTES``. A larger one takes more disk but not more memory: what grows with
+a shard (its text, order, prefixes and hits) is in memory-mapped files.
 """
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard, mix, powers, steps, stored
-from sparkloom.llm.induced_sort import falling
+from sparkloom.llm.common import BASE, U64, arrow_map, batches, buffers, discard, free_names, mix, powers, range_hashes61, steps, stored
+from sparkloom.llm.induced_sort import Spool, falling, mapped
 
 GRAM = 48
 #: Bytes of text that one array step looks for anchors in (it holds about 100 bytes for each).
@@ -67,9 +71,11 @@ def _range_hashes(data: np.ndarray):
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, starts, gram hash, stretch hash) of each anchor's owned starts, positions in the document."""
+    """(document, first start, starts, gram hash, stretch digest, contexts) of each anchor's owned starts, positions in
+    the document. Contexts are 31-bit hashes of the bytes that every owned string has left (upper half) or right of
+    the gram, 0 where none reaches so far."""
     n, window = len(data), length - gram + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64), np.zeros(0, U64))
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
     if n < length:
         return none
     of, prefix, down = _range_hashes(data)
@@ -89,8 +95,14 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     head = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (doc[1:] != doc[:-1])])
     size = np.diff(np.r_[head, len(at)])
     first, owner, spot = start[head], doc[head], at[head]
-    stretch = mix(of(first, first + size + length - 1) + (spot - first).astype(U64) * BASE + size.astype(U64))
-    return owner, first - offs[owner], size, grams[spot], stretch
+    raw, end = data.tobytes(), first + size + length - 1
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(first.tolist(), end.tolist())), U64, len(first))
+    stretch = mix(digest + (spot - first).astype(U64) * BASE + size.astype(U64))
+    side = (length - gram + 1) // 2
+    left, right = spot - side, spot + gram + side
+    reach = [(left >= first, of(np.maximum(left, 0), spot)), (right <= end, of(spot + gram, np.minimum(right, n)))]
+    upper, lower = (np.where(ok, (h >> U64(33)) | U64(1), U64(0)) for ok, h in reach)
+    return owner, first - offs[owner], size, grams[spot], stretch, (upper << U64(32) | lower).view(np.int64)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -103,21 +115,21 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
-            doc, first, size, g, w = anchors(data, offs, length, gram)
+            doc, first, size, g, w, near = anchors(data, offs, length, gram)
             order = np.lexsort((w, g, doc))
-            doc, first, size, g, w = doc[order], first[order], size[order], g[order], w[order]
+            doc, first, size, g, w, near = doc[order], first[order], size[order], g[order], w[order], near[order]
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]) | (w[1:] != w[:-1])
             head = np.flatnonzero(new)
             pick = pa.array(doc[head])
             firsts = pa.ListArray.from_arrays(pa.array(np.r_[head, len(doc)].astype(np.int32)), pa.array(first.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pick), batch.column("key").take(pick), firsts, pa.array(size[head].astype(np.int32)), pa.array(g[head].view(np.int64)), pa.array(w[head].view(np.int64))],
-                ["doc_id", "key", "firsts", "size", "gram", "stretch"],
+                [batch.column("doc_id").take(pick), batch.column("key").take(pick), firsts, pa.array(size[head].astype(np.int32)), pa.array(g[head].view(np.int64)), pa.array(w[head].view(np.int64)), pa.array(near[head])],
+                ["doc_id", "key", "firsts", "size", "gram", "stretch", "near"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, firsts array<int>, size int, gram long, stretch long")
+    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, firsts array<int>, size int, gram long, stretch long, near long")
 
 
 def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
@@ -127,63 +139,56 @@ def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            path, meta, at = os.path.join(folder, "text"), [], 0
-            with open(path, "wb") as f:
-                for batch in it:
-                    if not batch.num_rows:
-                        continue
-                    data, offs = buffers(batch.column("body"))
-                    full = np.zeros(len(data) + batch.num_rows, np.int16)
-                    spots = np.arange(len(data)) + np.repeat(np.arange(batch.num_rows), np.diff(offs))
-                    full[spots] = data.astype(np.int16) + 1
-                    full.tofile(f)
-                    meta.append((batch.column("gram").to_numpy(), batch.column("stretch").to_numpy(), batch.column("size").to_numpy(), at + offs[:-1] + np.arange(batch.num_rows)))
-                    at += len(full)
-            if not at:
+            text, meta = Spool(folder, "i2"), Spool(folder, "i8", "i8", "i4", "i8")
+            for batch in it:
+                if not batch.num_rows:
+                    continue
+                data, offs = buffers(batch.column("body"))
+                full = np.zeros(len(data) + batch.num_rows, np.int16)
+                full[np.arange(len(data)) + np.repeat(np.arange(batch.num_rows), np.diff(offs))] = data.astype(np.int16) + 1
+                meta.add(batch.column("gram").to_numpy(), batch.column("stretch").to_numpy(), batch.column("size").to_numpy(), text.n + offs[:-1] + np.arange(batch.num_rows))
+                text.add(full)
+            if not text.n:
                 return
-            gram, stretch, size, begin = (np.concatenate(c) for c in zip(*meta))
-            text = np.memmap(path, np.int16, "r", shape=(at,))
-            owned = np.zeros(at, bool)
-            owned[np.repeat(begin, size) + np.arange(int(size.sum())) - np.repeat(np.r_[0, np.cumsum(size)[:-1]], size)] = True
-            hits = list(_repeated(falling(text, 257, length, folder), owned, length))
-            if not hits:
-                return
-            pos = np.sort(np.concatenate(hits))
-            row = np.searchsorted(begin, pos, "right") - 1
-            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-            which = row[cut]
-            offset = (pos - begin[row]).astype(np.int32)
-            packed = [x.tobytes() for x in np.split(offset, cut[1:])]
-            for lo in range(0, len(which), 5000):
-                part = which[lo : lo + 5000]
-                yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(stretch[part]), pa.array(packed[lo : lo + 5000], pa.binary())], ["gram", "stretch", "starts"])
+            (symbols,), (gram, stretch, size, begin) = text.arrays(), meta.arrays()
+            hits = mapped(folder, "u1", len(symbols))
+            _mark_repeats(falling(symbols, 257, length, folder), begin, size, length, hits)
+            for lo in range(0, len(begin), 4000):
+                hi = min(len(begin), lo + 4000)
+                edge = int(begin[lo])
+                pos = np.flatnonzero(hits[edge : begin[hi] if hi < len(begin) else len(hits)]) + edge
+                if not len(pos):
+                    continue
+                row = np.searchsorted(begin[lo:hi], pos, "right") - 1 + lo
+                cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                packed = [x.tobytes() for x in np.split((pos - begin[row]).astype(np.int32), cut[1:])]
+                which = row[cut]
+                yield pa.RecordBatch.from_arrays([pa.array(gram[which]), pa.array(stretch[which]), pa.array(packed, pa.binary())], ["gram", "stretch", "starts"])
 
     return arrow_map(rows, run, "gram long, stretch long, starts binary")
 
 
-def _repeated(order: Iterator[tuple[np.ndarray, np.ndarray]], owned: np.ndarray, length: int) -> Iterator[np.ndarray]:
-    """Owned positions of each run of suffixes that agree in ``length`` symbols, where the run has two or more."""
-    held = np.zeros(0, np.int64)
-    for pos, lcp in order:
-        # lcp[i] is with the suffix before pos[i] in this (falling) order
-        group = np.cumsum(lcp < length)
-        mine = owned[pos]
-        pos, group = pos[mine], group[mine]
-        if not len(pos):
-            if len(lcp) and (lcp < length).any():
-                if len(held) > 1:
-                    yield held
-                held = np.zeros(0, np.int64)
-            continue
-        pos, group = np.r_[held, pos], np.r_[np.zeros(len(held), np.int64), group]
-        _, inverse, count = np.unique(group, return_inverse=True, return_counts=True)
-        last = (group == group[-1]) if not (lcp < length).any() or group[-1] == np.sum(lcp < length) else np.zeros(len(group), bool)
-        ready = (count[inverse] > 1) & ~last
-        if ready.any():
-            yield pos[ready]
-        held = pos[last]
-    if len(held) > 1:
-        yield held
+def _mark_repeats(order: Iterator[tuple[np.ndarray, np.ndarray]], begin: np.ndarray, size: np.ndarray, length: int, hits: np.ndarray) -> None:
+    """Set ``hits`` at the owned positions of each run of suffixes that agree in ``length`` symbols, where it has two
+    or more. A stretch owns ``size`` positions from its ``begin``."""
+    held, alone = 0, -1  # owned positions of the run that goes on, and the only one if there is one
+    for pos, lcp in order:  # lcp[i] is with the suffix before pos[i]
+        run = np.cumsum(lcp < length)
+        row = np.searchsorted(begin, pos, "right") - 1
+        mine = np.flatnonzero(pos - begin[row] < size[row])
+        owned, group = pos[mine], run[mine]
+        count = np.bincount(group, minlength=int(run[-1]) + 1)
+        total = count.copy()
+        total[0] += held
+        hits[owned[total[group] > 1]] = 1
+        if alone >= 0 and total[0] > 1:
+            hits[alone] = 1
+        if run[-1] == 0:
+            held = int(total[0])
+            alone = alone if count[0] == 0 else int(owned[0]) if held == 1 else -1
+        else:
+            held = int(count[-1])
+            alone = int(owned[-1]) if held == 1 else -1
 
 
 def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFrame:
@@ -194,9 +199,9 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
     shared = stored(rows.groupBy("gram").agg(F.sum(places).alias("n"), F.min("stretch").alias("s1"), F.max("stretch").alias("s2")).filter("n > 1"))
     live = stored(rows.join(shared.select("gram", (F.col("s1") != F.col("s2")).alias("mixed")), "gram"))
     discard(rows, shared)
-    kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size")).alias("at")))
+    kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size", "near")).alias("at")))
     whole = kinds.filter("n > 1").select("gram", "stretch")
-    need = kinds.filter("mixed").select("gram", "stretch", "at.*")
+    need = stored(_with_company(kinds.filter("mixed").select("gram", "stretch", "at.*")))
     weights = stored(need.groupBy("gram").agg(F.sum(F.col("size") + length).alias("bytes")))
     hot = F.col("bytes") > HOT_BYTES
     total, hot_total = weights.agg(F.sum(F.when(~hot, F.col("bytes"))), F.sum(F.when(hot, F.col("bytes")))).first()
@@ -213,10 +218,19 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
     marks = stored(marks)
     ranges = _ranges(live.select("doc_id", "key", "firsts", "size", "gram", "stretch").join(marks, ["gram", "stretch"]), length)
     out = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("los", "his")).alias("ranges")))
-    discard(live, kinds, weights, marks)
+    discard(live, kinds, need, weights, marks)
     return out
 
 
+def _with_company(need: DataFrame) -> DataFrame:
+    """The ``need`` rows that share a context (left or right) with another stretch of their gram."""
+    left, right = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF))
+    sides = need.select("gram", "stretch", F.explode(F.array(left * 2, right * 2 + 1)).alias("side")).filter("side > 1")
+    shared = sides.groupBy("gram", "side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    kept = sides.join(shared, ["gram", "side"], "left_semi").select("gram", "stretch").distinct()
+    return need.drop("near").join(kept, ["gram", "stretch"], "left_semi")
+
+
 def _with_cuts(keyed: DataFrame, need: DataFrame) -> DataFrame:
     """(text, cuts): the ``need`` rows of each document that has some."""
     per_doc = need.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "stretch", "first", "size")).alias("cuts"))
@@ -251,7 +265,7 @@ def _strings(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
             flat, lo, size = _cuts(batch, offs)
-            of, _, _ = _range_hashes(data)
+            of = range_hashes61(data)
             gram, stretch = flat.field("gram").to_numpy(), flat.field("stretch").to_numpy()
             for part in steps(size, ANCHOR_BYTES):
                 n = size[part]
@@ -325,9 +339,17 @@ def _to_characters(data: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np
     return _union(lo, hi)
 
 
+#: Columns that :func:`remove_repeats` adds; :func:`result_names` keeps them from clashing with those of the table.
+RESULTS = ("kept_bytes", "n_bytes", "n_removed", "n_spans")
+
+
+def result_names(docs: DataFrame) -> list[str]:
+    return free_names(docs, *RESULTS)
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, characters: bool = False) -> DataFrame:
-    """Every row of ``docs`` (all columns) with ``__kept`` (binary: what remains of the text), ``__n_bytes``,
-    ``__n_removed`` and ``__n_spans``.
+    """Every row of ``docs`` (all columns) and, in columns named by :func:`result_names`, what remains of the text
+    (binary), its bytes, and the number of removed bytes and spans.
 
     Each byte covered by a ``length``-byte string that also starts anywhere else (the same document included) is
     removed; strings are judged on the input, and never cross documents. Null and empty texts, and texts shorter
@@ -336,20 +358,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, charact
     """
     keyed = _keyed(docs)
     ranges = repeated_ranges(keyed, length, min(gram, length))
-    ranges = ranges.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("ranges").alias("__ranges"))
-    rows = docs.withColumn("__text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("__k", F.xxhash64("doc_id", "__text"))
-    joined = rows.join(ranges, (rows["__k"] == ranges["__key"]) & rows["doc_id"].eqNullSafe(ranges["__id"]), "left").drop("__key", "__id", "__k")
+    results = result_names(docs)
+    _, _, _, _, text_, k_, id_, key_, ranges_ = free_names(docs, *RESULTS, "_text", "_k", "_id", "_key", "_ranges")
+    ranges = ranges.select(F.col("doc_id").alias(id_), F.col("key").alias(key_), F.col("ranges").alias(ranges_))
+    rows = docs.withColumn(text_, F.coalesce("text", F.lit("")))
+    rows = rows.withColumn(k_, F.xxhash64("doc_id", text_))
+    joined = rows.join(ranges, (rows[k_] == ranges[key_]) & rows["doc_id"].eqNullSafe(ranges[id_]), "left").drop(key_, id_, k_)
     names = docs.columns
-    schema = T.StructType(docs.schema.fields)
-    for name, kind in (("__kept", T.BinaryType()), ("__n_bytes", T.LongType()), ("__n_removed", T.LongType()), ("__n_spans", T.LongType())):
+    schema = T.StructType(list(docs.schema.fields))
+    for name, kind in zip(results, (T.BinaryType(), T.LongType(), T.LongType(), T.LongType())):
         schema = schema.add(name, kind)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(it, "__text"):
+        for batch, data, offs in batches(it, text_):
             raw = data.tobytes()
             kept, removed, spans = [], [], []
-            lists = batch.column("__ranges")
+            lists = batch.column(ranges_)
             edges, flat = lists.offsets.to_numpy(), lists.flatten()
             inner = flat.field("los").offsets.to_numpy()
             edges = inner[edges - edges[0]] - inner[0]
@@ -372,7 +396,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, charact
                 kept.append(text)
             cols = [batch.column(c) for c in names]
             yield pa.RecordBatch.from_arrays(
-                [*cols, pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*names, "__kept", "__n_bytes", "__n_removed", "__n_spans"]
+                [*cols, pa.array(kept, pa.binary()), pa.array(np.diff(offs)), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())], [*names, *results]
             )
 
     return arrow_map(joined, run, schema)
@@ -381,15 +405,18 @@ def remove_repeats(docs: DataFrame, length: int = 400, gram: int = GRAM, charact
 def digests(docs: DataFrame, length: int = 400) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of :func:`remove_repeats`."""
     out = remove_repeats(docs.select("doc_id", "text"), length)
-    return out.select("doc_id", *(F.col(f"__{c}").alias(c) for c in ("n_bytes", "n_removed", "n_spans")), F.sha2("__kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
 
 
 def cut_texts(docs: DataFrame, length: int = 250) -> DataFrame:
     """``docs`` with repeated strings of ``length`` bytes removed from text (and n_chars, where present, renewed).
 
-    A character that loses a byte goes as a whole. A text that loses none stays as it is, null too.
+    A character that loses a byte goes as a whole. A text that loses none stays as it is, null too; rows repeated
+    with one text lose all that is longer; an empty table gives an empty result; other columns stay, whatever
+    their names.
     """
     out = remove_repeats(docs, length, characters=True)
-    text = F.when(F.col("__n_removed") > 0, F.col("__kept").cast("string")).otherwise(F.col("text"))
+    kept, _, removed, _ = result_names(docs)
+    text = F.when(F.col(removed) > 0, F.col(kept).cast("string")).otherwise(F.col("text"))
     cols = [text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return out.select(*cols)

@@ -111,6 +111,11 @@ def test_join_long_lists(spark, monkeypatch, part, small, block):
     assert got(ngram_join.similar_groups(docs(spark, rows), 4, 85, 100), "doc_id", "n_shingles", "component_id") == join_brute(rows, 4, 85, 100)
 
 
+def test_join_tells_mirrored_words_apart(spark):
+    rows = [(i + 1, t, None, None, None) for i, t in enumerate(mirrored())]
+    assert got(ngram_join.similar_groups(docs(spark, rows)), "doc_id", "n_shingles", "component_id") == join_brute(rows, 4, 85, 100)
+
+
 def test_join_empty(spark):
     assert ngram_join.similar_groups(spark.createDataFrame([], SCHEMA)).count() == 0
     assert ngram_join.similar_groups(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect()[0]["component_id"] == 1
@@ -189,12 +194,13 @@ def test_cut_texts_removes_no_other_replacement_character(spark):
     assert [out[i]["n_chars"] for i in range(4)] == [len(t) for t in want]
 
 
-@pytest.mark.parametrize("memory", [1, 500, 1 << 26])
-@pytest.mark.parametrize("few", [2, 2048])
-def test_induced_sort(monkeypatch, memory, few):
-    monkeypatch.setattr(induced_sort, "FEW_SYMBOLS", few)
+@pytest.mark.parametrize("memory", [1, 500, 1 << 24])
+@pytest.mark.parametrize("part,base", [(1 << 17, 0), (7, 0), (64, 100), (1 << 17, 1 << 21)])
+def test_induced_sort(monkeypatch, memory, part, base):
+    monkeypatch.setattr(induced_sort, "PART", part)
+    monkeypatch.setattr(induced_sort, "BASE", base)
     rng = np.random.default_rng(7)
-    for letters, n, times in ((1, 30, 1), (2, 60, 1), (3, 20, 4), (200, 80, 2)):
+    for letters, n, times in ((1, 1, 1), (1, 30, 1), (2, 60, 1), (3, 20, 4), (4, 200, 1), (200, 80, 2)):
         text = np.tile(rng.integers(0, letters, n).astype(np.uint8), times)
         raw = bytes(text)
         want = sorted(range(len(raw)), key=lambda i: raw[i:])
@@ -205,10 +211,57 @@ def test_induced_sort(monkeypatch, memory, few):
             assert lcp[k] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_induced_sort_recurses_in_bounded_memory(monkeypatch):
+    """Prose goes through several levels of names, and four times the text takes no more memory (files aside)."""
+    import random
+    import tempfile
+    import tracemalloc
+
+    for name, value in (("PART", 1 << 13), ("BASE", 1 << 12), ("WINDOW", 1 << 12)):
+        monkeypatch.setattr(induced_sort, name, value)
+    calls, falling = [], induced_sort.falling
+
+    def spy(text, *args):
+        calls.append(len(text))
+        return falling(text, *args)
+
+    monkeypatch.setattr(induced_sort, "falling", spy)
+    rng, peaks = random.Random(3), []
+    for size in (100_000, 400_000):
+        calls.clear()
+        raw = "".join(prose(rng, 2000) + " " for _ in range(1 + size // 12_000)).encode()[:size]
+        with tempfile.TemporaryDirectory() as folder:
+            spool = induced_sort.Spool(folder, "i2")
+            spool.add(np.r_[np.frombuffer(raw, np.uint8).astype(np.int16) + 1, 0])
+            (text,) = spool.arrays()
+            tracemalloc.start()
+            total = sum(len(pos) for pos, _ in induced_sort.falling(text, 257, 400, folder, 1 << 16))
+            peaks.append(tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+        assert total == len(raw) + 1 and len(calls) >= 3
+    assert peaks[1] < 1.5 * peaks[0] and peaks[1] < 6 << 20, peaks
+
+
+def mirrored(n: int = 1024) -> tuple[str, str]:
+    """Two different words whose sums of powers modulo 2**64 are equal for any odd base."""
+    a = "a"
+    while len(a) < n:
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_suffix_dedup_tells_mirrored_words_apart(spark):
+    a, b = mirrored()
+    rows = [(1, a, None, None, None), (2, b, None, None, None), (3, a[:700] + " " + prose(__import__("random").Random(1), 100), None, None, None)]
+    for length in (400, 1024):
+        out = suffix_dedup.digests(docs(spark, rows), length)
+        assert got(out, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == repeats_brute(rows, length)
+
+
 # --- BPE
 
 
-TRICKY = ["", "aaaa aaa", "a<|endoftext|>b <|startoftext|>", "İstanbul ΣΑΣ déjà́", "it's we'll 12345 ½ \n\n x\t y ", "'s's it'sion 's\n's ''ll", "日本語 текст", "\x85\x1c a", "É ß ſ µ \xa0b", " ", "\r\n b"]
+TRICKY = [*mirrored(), " ".join(mirrored()), "", "aaaa aaa", "a<|endoftext|>b <|startoftext|>", "İstanbul ΣΑΣ déjà́", "it's we'll 12345 ½ \n\n x\t y ", "'s's it'sion 's\n's ''ll", "日本語 текст", "\x85\x1c a", "É ß ſ µ \xa0b", " ", "\r\n b"]
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
