@@ -61,6 +61,12 @@ def discard(*frames: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def discard_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder made under :func:`scratch` that no later plan reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def free_names(df: DataFrame, *names: str) -> list[str]:
     """The names, each with as many underscores in front as it takes to clash with no column of ``df``."""
     taken = {c.lower() for c in df.columns}

@@ -1,26 +1,28 @@
 """Exact deduplication with static binary-fuse filters.
 
-Every immutable snapshot keeps its digests in *buckets* (hash ranges of the digest) and one static 3-wise
-binary-fuse filter of 8-bit fingerprints for each bucket. An incoming batch is first grouped within itself, so
-that its own duplicates cost one probe; the distinct digests are then screened by the filters. A negative is
-certainly new. A positive (true, or one of the 1/256 false ones) joins the exact bucket, and the texts behind
-equal digests are compared byte by byte.
-
-Scale: only digests are shuffled (a third of all rows may share one: groups are pre-aggregated, joins are left
-to the skew-aware sort-merge join); the number of buckets follows the number of digests, so a filter stays
-below a few hundred KB; texts move only for rows that share a digest with another row.
+An immutable snapshot is written once: its distinct digests in *buckets* (folders by a hash of the digest) and one
+static 3-wise binary-fuse filter of 8-bit fingerprints for each bucket. It is opened again by its path for any
+number of batches. An incoming batch is first grouped within itself, so that its own duplicates cost one probe; the
+distinct digests are then screened by the filters. A negative is certainly new. A positive (true, or one of the
+1/256 false ones) joins the exact buckets, of which only those with positives are read and shuffled. Texts behind
+equal digests are compared byte by byte with the text of the row that stays.
+
+Scale: mostly digests are shuffled (a third of all rows may share one: groups are pre-aggregated, and joins of rows
+with large groups use salted keys); the number of buckets follows the number of digests, so a filter stays below a
+few hundred KB; texts are compared only for rows that share a digest with another row.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import U64, mix, stored
+from sparkloom.llm.common import U64, discard, discard_path, free_names, mix, scratch, stored
 
 #: Distinct digests that one filter holds on average.
 BUCKET_KEYS = 1 << 17
@@ -143,21 +145,61 @@ def digest_groups(digests: DataFrame) -> DataFrame:
     return digests.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("size"))
 
 
-def merge_snapshot(snapshot: DataFrame, incoming: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
-    """Grouped digests of the snapshot and the batch together.
+@dataclass(frozen=True)
+class Snapshot:
+    """Digest groups that no longer change: files of exact buckets and of filters under ``path``."""
+
+    path: str
+    buckets: int
+    groups: DataFrame
+    filters: DataFrame
+
+    @staticmethod
+    def write(groups: DataFrame, path: str, bucket_keys: int = BUCKET_KEYS) -> Snapshot:
+        """Keep :func:`digest_groups` as a snapshot under a new ``path``."""
+        groups = stored(groups)
+        buckets = max(1, math.ceil(groups.count() / bucket_keys))
+        bucketed(groups, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/groups")
+        snapshot_filters(groups, buckets).write.parquet(f"{path}/filters")
+        groups.sparkSession.createDataFrame([(buckets, groups.schema["first_id"].dataType.simpleString())], "buckets int, kind string").write.parquet(f"{path}/about")
+        discard(groups)
+        return Snapshot.open(groups.sparkSession, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> Snapshot:
+        about = spark.read.parquet(f"{path}/about").first()
+        groups = spark.read.schema(f"digest binary, first_id {about['kind']}, size long, bucket int").parquet(f"{path}/groups")
+        return Snapshot(path, about["buckets"], groups, spark.read.schema("bucket int, seed int, seg int, prints binary").parquet(f"{path}/filters"))
+
+    def merged(self, incoming: DataFrame) -> DataFrame:
+        """Digest groups of the snapshot and a batch together (``incoming``: :func:`digest_groups` of the batch).
+
+        Only positives meet the exact buckets, and only buckets with positives (at most one number each comes to
+        the driver) are read for that; what the positives don't touch passes through without a shuffle."""
+        screened = stored(screen(incoming, self.filters, self.buckets))
+        new = screened.filter(~F.col("maybe")).select("digest", "first_id", "size")
+        maybe = bucketed(screened.filter("maybe"), self.buckets).select("bucket", "digest", F.col("first_id").alias("in_id"), F.col("size").alias("in_size"))
+        hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
+        rest = self.groups.filter(~F.col("bucket").isin(hit)) if hit else self.groups
+        known = self.groups.filter(F.col("bucket").isin(hit)).join(maybe, ["bucket", "digest"], "full").select(
+            "digest", F.least("first_id", "in_id").alias("first_id"), (F.coalesce("size", F.lit(0)) + F.coalesce("in_size", F.lit(0))).alias("size")
+        )
+        return rest.select("digest", "first_id", "size").unionByName(known).unionByName(new)
 
-    Both sides are :func:`digest_groups`. Negatives of the filter skip the join with the exact buckets.
-    """
-    buckets = max(1, math.ceil(snapshot.count() / bucket_keys))
-    screened = stored(screen(incoming, snapshot_filters(snapshot, buckets), buckets))
-    new = screened.filter(~F.col("maybe")).drop("maybe")
-    maybe = screened.filter("maybe").select("digest", F.col("first_id").alias("in_id"), F.col("size").alias("in_size"))
-    known = snapshot.join(maybe, "digest", "full").select(
-        "digest",
-        F.least("first_id", "in_id").alias("first_id"),
-        (F.coalesce("size", F.lit(0)) + F.coalesce("in_size", F.lit(0))).alias("size"),
-    )
-    return known.unionByName(new.select("digest", "first_id", "size"))
+
+#: Parts into which the rows of a large group are dealt where they meet their group, rows from which on it is large,
+#: and large groups that are known to all tasks (40 bytes each; others are joined unsalted).
+SALTS, LARGE, HOT_GROUPS = 64, 1000, 100_000
+
+
+def _with_groups(rows: DataFrame, groups: DataFrame, how: str) -> DataFrame:
+    """``rows`` (digest, …) joined with one row of ``groups`` (digest, n, …); rows of large groups are dealt into
+    ``SALTS`` parts, so that no task takes a whole one."""
+    large = F.col("n") >= LARGE
+    many = groups.filter(large).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    hot = F.broadcast(groups.filter(large).select("digest", F.lit(True).alias("_hot")).orderBy("digest").limit(HOT_GROUPS))
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64("_row"), F.lit(SALTS))).otherwise(-1).cast("int")
+    return rows.join(hot, "digest", "left").withColumn("_salt", salt).drop("_hot").join(many.unionByName(groups.withColumn("_salt", F.lit(-1))), ["digest", "_salt"], how).drop("_salt")
 
 
 def exact_groups(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
@@ -166,37 +208,45 @@ def exact_groups(docs: DataFrame, snapshot_share: int = 2) -> DataFrame:
     The rows with ``pmod(xxhash64(doc_id), snapshot_share) = 0`` form the immutable snapshot, the others the
     incoming batch. Null text is empty text; a null doc_id sorts after all others and is kept only if its group
     has no other id; rows repeated with the same doc_id and text count each in ``group_size`` and are all kept or
-    all dropped together. Other columns are ignored. An empty table gives an empty result.
+    all dropped together. Very long texts are texts like others; other columns are ignored. An empty table gives an
+    empty result.
     """
     norm = normalised(F.col("text"))
     digests = stored(
         docs.select("doc_id", norm.alias("_n")).select(
-            "doc_id", F.unhex(F.sha2("_n", 256)).alias("digest"), (F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(snapshot_share)), F.lit(0)) == 0).alias("old")
+            "doc_id",
+            F.unhex(F.sha2("_n", 256)).alias("digest"),
+            (F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(snapshot_share)), F.lit(0)) == 0).alias("old"),
+            F.monotonically_increasing_id().alias("_row"),
         )
     )
-    old, new = digests.filter("old"), digests.filter("not old")
-    groups = stored(merge_snapshot(stored(digest_groups(old)), digest_groups(new)))
-    shared = groups.filter("size > 1")
-    # Byte checks: rows that share a digest are compared with the text of the row that stays.
-    rows = digests.join(shared, "digest").select("doc_id", "digest", "first_id")
-    checked = _byte_check(docs, rows)
+    snapshot = Snapshot.write(digest_groups(digests.filter("old")), scratch(docs.sparkSession))
+    groups = stored(snapshot.merged(digest_groups(digests.filter("not old"))))
+    discard_path(docs.sparkSession, snapshot.path)
+    shared = groups.filter("size > 1").select("digest", "first_id", F.col("size").alias("n"))
+    named = stored(_with_groups(digests.drop("old"), shared, "left"))
+    discard(digests, groups)
+    members, checked = _byte_check(docs, named.filter("n is not null"))
     bad = checked.filter("not same")
-    out = digests.join(shared.select("digest", F.col("first_id").alias("k"), F.col("size").alias("n")), "digest", "left").select(
-        "doc_id", F.coalesce("k", "doc_id").alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256")
-    )
+    keep_id = F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("first_id"))
+    out = named.select("doc_id", keep_id.alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"), F.lower(F.hex("digest")).alias("text_sha256"))
     if bad.head(1):
         out = _split_collisions(docs, out, bad)
+    else:
+        discard(members)
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
 
-def _byte_check(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (doc_id, digest, first_id) with ``same``: whether the normalised bytes equal those of ``first_id``'s row."""
+def _byte_check(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The texts of ``rows`` (doc_id, digest, first_id, n, _row), and (doc_id, digest, same): whether their normalised
+    bytes equal those of ``first_id``'s row."""
     text = docs.select("doc_id", normalised(F.col("text")).alias("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
-    rows = rows.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "first_id").distinct()
-    members = stored(text.join(rows, text["doc_id"].eqNullSafe(rows["_id"]) & (text["digest"] == rows["_digest"])).select("doc_id", "digest", "norm", "first_id"))
-    first = members.filter("doc_id <=> first_id").groupBy("digest").agg(F.min("norm").alias("first_norm"))
-    return members.join(first, "digest").select("doc_id", "digest", (F.col("norm") == F.col("first_norm")).alias("same"))
+    rows = rows.groupBy(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "first_id", "n").agg(F.min("_row").alias("_row"))
+    members = stored(text.join(rows, text["doc_id"].eqNullSafe(rows["_id"]) & (text["digest"] == rows["_digest"])).select("doc_id", "digest", "norm", "first_id", "n", "_row"))
+    first = members.filter("doc_id <=> first_id").groupBy("digest").agg(F.min("norm").alias("first_norm"), F.max("n").alias("n"))
+    both = _with_groups(members.drop("n"), first, "inner")
+    return members, both.select("doc_id", "digest", (F.col("norm") == F.col("first_norm")).alias("same"))
 
 
 def _split_collisions(docs: DataFrame, out: DataFrame, bad: DataFrame) -> DataFrame:
@@ -211,18 +261,21 @@ def _split_collisions(docs: DataFrame, out: DataFrame, bad: DataFrame) -> DataFr
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each distinct normalised text: the one with the smallest doc_id; all columns stay.
 
-    Of rows repeated with the same doc_id and text one stays.
+    Null text is empty text; a null doc_id stays only where its text has no other; of rows repeated with the same
+    doc_id and text one stays. Very long texts are texts like others, an empty table gives an empty result, and other
+    columns stay, whatever their names.
     """
-    groups = stored(exact_groups(docs))
+    id_, sha, sha_ = free_names(docs, "_id", "_sha", "_sha_of")
+    groups = stored(exact_groups(docs.select("doc_id", "text")))
     drop = groups.filter("not kept").select("doc_id", "text_sha256")
     twice = groups.filter("kept").groupBy("doc_id", "text_sha256").count().filter("count > 1").drop("count")
     cols = docs.columns
-    marked = docs.withColumn("__sha", F.sha2(normalised(F.col("text")), 256))
-    gone = drop.unionByName(twice).withColumnRenamed("doc_id", "__id").withColumnRenamed("text_sha256", "__sha")
-    on = marked["doc_id"].eqNullSafe(gone["__id"]) & (marked["__sha"] == gone["__sha"])
-    out = marked.join(gone, on, "left_anti").select(*cols)
+    marked = docs.withColumn(sha, F.sha2(normalised(F.col("text")), 256))
+    rename = lambda df: df.select(F.col("doc_id").alias(id_), F.col("text_sha256").alias(sha_))
+    on = lambda other: marked["doc_id"].eqNullSafe(other[id_]) & (marked[sha] == other[sha_])
+    gone, again = rename(drop.unionByName(twice)), rename(twice)
+    out = marked.join(gone, on(gone), "left_anti").select(*cols)
     if twice.head(1):
-        again = twice.withColumnRenamed("doc_id", "__id").withColumnRenamed("text_sha256", "__sha2")
-        pick = marked.join(again, marked["doc_id"].eqNullSafe(again["__id"]) & (marked["__sha"] == again["__sha2"]), "left_semi")
-        out = out.unionByName(pick.dropDuplicates(["doc_id", "__sha"]).select(*cols))
+        pick = marked.join(again, on(again), "left_semi")
+        out = out.unionByName(pick.dropDuplicates(["doc_id", sha]).select(*cols))
     return out

@@ -5,11 +5,16 @@ at least L tokens of their prefixes of length n - (least overlap) + L; each docu
 ``MAX_MATCH``) by the estimated cost of its candidates, and a pair is verified when it shares the smaller L of
 the two. Copies (equal sets) are joined as one class.
 
+Shingles are told apart by 64-bit hashes of their words' hashes (words of ``common.LONG_WORD`` bytes or more by
+XXH3), so a set, and a link, is exact up to the collision of two such hashes among the shingles of one pair.
+
 Scale: texts are read twice to make frequencies and prefixes; only prefixes are shuffled by token. A token's list
 of at most ``SMALL_LIST`` documents yields its admissible pairs. A longer list (split by salt beforehand when the
-token is hot) first yields a star around its most central member; what the stars leave unconnected is compared
-inside tasks, block against block, without making rows for pairs. Pairs are screened with a few bits a shingle
-(a bound that loses no link); only the texts of those left move, to be verified on full 64-bit shingle sets.
+token is hot: when more than ``PART`` documents have it in their prefix, counted exactly for those tokens whose
+bucket of the sketch stands out) first yields a star around its most central member; what the stars leave
+unconnected is compared inside tasks, block against block of members of like sizes, without making rows for pairs.
+Pairs are screened with a few bits a shingle (a bound that loses no link); only the texts of those left move, to be
+verified on full shingle sets.
 """
 
 from __future__ import annotations
@@ -23,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import BASE, U64, arrow_map, batches, discard, mix, stored, words
+from sparkloom.llm.common import BASE, U64, arrow_map, batches, discard, free_names, mix, stored, words
 from sparkloom.llm.components import components
 
-#: Buckets of the frequency sketch (a fixed size; it only orders tokens, any order gives the same links), and
-#: buckets that travel as one row.
-SKETCH_BITS = 20
+#: Least and most bits of the frequency sketch's bucket numbers (it only orders tokens: any order gives the same
+#: links), shingles that a bucket should hold, and buckets that travel as one row.
+SKETCH_BITS, MOST_BITS, BUCKET_SHINGLES = 20, 24, 64
 CHUNK = 1 << 12
 MAX_MATCH = 3
 SMALL_LIST = 32
@@ -36,6 +41,8 @@ SMALL_LIST = 32
 #: pairs of blocks of about so many shingles.
 PART = 20_000
 BLOCK = 1_000_000
+#: Hot tokens (12 bytes each) that are broadcast; more are joined by token.
+BROADCAST_ROWS = 1_000_000
 
 
 def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,17 +71,26 @@ def shingles(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np
     return d[new], s[new]
 
 
+def buckets(s: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+    """The sketch's bucket of each shingle."""
+    return (s >> U64(65 - len(sketch).bit_length())).astype(np.int64)
+
+
 def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
-    """Shingle counts by hash bucket over all documents, added up by chunks of buckets."""
+    """Shingle counts by hash bucket over all documents, added up by chunks of buckets.
+
+    Buckets are as many as the texts call for (a word takes about six bytes), at most ``2 ** MOST_BITS``."""
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bits = min(MOST_BITS, max(SKETCH_BITS, int(volume / 6 / BUCKET_SHINGLES).bit_length()))
 
     def rows(chunks, counts) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(chunks, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["chunk", "counts"])
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.int32)
         for _, data, offs in batches(it, "text"):
             _, s = shingles(data, offs, n)
-            total += np.bincount((s >> U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(total))
+            np.add.at(total, buckets(s, total), 1)
         parts = total.reshape(-1, CHUNK)
         used = np.flatnonzero(parts.any(1))
         yield rows(used, parts[used])
@@ -83,12 +99,12 @@ def frequency_sketch(docs: DataFrame, n: int) -> np.ndarray:
         total: dict[int, np.ndarray] = {}
         for batch in it:
             for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(counts, np.int32).astype(np.int64)
         yield rows(list(total), [np.minimum(t, np.iinfo(np.int32).max).astype(np.int32) for t in total.values()])
 
     schema = "chunk int, counts binary"
-    summed = arrow_map(arrow_map(docs.select("text"), count, schema).repartition("chunk"), add, schema).collect()  # at most 2**20 counts
-    out = np.zeros((1 << SKETCH_BITS) // CHUNK * CHUNK, np.int32).reshape(-1, CHUNK)
+    summed = arrow_map(arrow_map(docs.select("text"), count, schema).repartition("chunk"), add, schema).collect()  # at most 2 ** MOST_BITS counts
+    out = np.zeros(1 << bits, np.int32).reshape(-1, CHUNK)
     for r in summed:
         out[r["chunk"]] = np.frombuffer(r["counts"], np.int32)
     return out.ravel()
@@ -140,7 +156,7 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
         for batch, data, offs in batches(it, "text"):
             docs_n = len(offs) - 1
             d, s = shingles(data, offs, n)
-            f = freq[(s >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+            f = freq[buckets(s, freq)]
             size = np.bincount(d, minlength=docs_n)
             start = np.r_[0, np.cumsum(size)]
             full = np.flatnonzero(size)
@@ -168,36 +184,59 @@ def signatures(docs: DataFrame, n: int, num: int, den: int, sketch: np.ndarray)
     return arrow_map(docs.select("doc_id", "text"), run, f"doc_id {kind}, n long, sig1 long, sig2 long, match int, prefix binary, bits binary")
 
 
-def _postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """(token, part, doc_id, n, pos, match, hot): one row per prefix token; hot tokens are dealt into parts."""
+def _tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All prefix tokens of a batch, and how many each row has."""
+    raw = batch.column("prefix").to_pylist()
+    return np.frombuffer(b"".join(raw), U64), np.array([len(x) // 8 for x in raw], np.int64)
+
+
+def hot_tokens(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(token, parts) of the tokens in the prefixes of more than ``PART`` rows, counted exactly.
+
+    Only tokens are counted whose bucket holds clearly more than what unrelated shingles put into a bucket."""
     shared = classes.sparkSession.sparkContext.broadcast(sketch)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         freq = shared.value
+        least = int(np.median(freq)) + PART // 2
+        for batch in it:
+            for at in range(0, batch.num_rows, 2000):
+                token, _ = _tokens(batch.slice(at, 2000))
+                token, count = np.unique(token[freq[buckets(token, freq)] > least], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(count)], ["token", "n"])
+
+    found = arrow_map(classes.select("prefix"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    return stored(found.filter(F.col("n") > PART).select("token", F.ceil(F.col("n") / PART).cast("int").alias("parts")))
+
+
+def _postings(classes: DataFrame, sketch: np.ndarray) -> DataFrame:
+    """(token, part, doc_id, n, pos, match, hot): one row per prefix token; hot tokens are dealt into parts."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             for at in range(0, batch.num_rows, 2000):
                 piece = batch.slice(at, 2000)
-                raw = piece.column("prefix").to_pylist()
-                length = np.array([len(x) // 8 for x in raw])
-                token = np.frombuffer(b"".join(raw), U64)
-                ids = np.repeat(piece.column("doc_id").to_numpy(), length)
+                token, length = _tokens(piece)
                 pos = np.arange(len(token)) - np.repeat(np.r_[0, np.cumsum(length)[:-1]], length)
-                parts = freq[(token >> U64(64 - SKETCH_BITS)).astype(np.int64)] // PART + 1
-                part = (mix(ids.astype(U64)) % parts.astype(U64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(token.view(np.int64)),
-                        pa.array(part),
-                        pa.array(ids.astype(np.int64)),
-                        pa.array(np.repeat(piece.column("n").to_numpy(), length).astype(np.int32)),
-                        pa.array(pos.astype(np.int32)),
-                        pa.array(np.repeat(piece.column("match").to_numpy(), length).astype(np.int8)),
-                        pa.array(parts > 1),
-                    ],
-                    ["token", "part", "doc_id", "n", "pos", "match", "hot"],
-                )
-
-    return arrow_map(classes.select("doc_id", "n", "match", "prefix"), run, "token long, part int, doc_id long, n int, pos int, match byte, hot boolean")
+                columns = [
+                    token.view(np.int64),
+                    np.repeat(piece.column("doc_id").to_numpy(), length).astype(np.int64),
+                    np.repeat(piece.column("n").to_numpy(), length).astype(np.int32),
+                    pos.astype(np.int32),
+                    np.repeat(piece.column("match").to_numpy(), length).astype(np.int8),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["token", "doc_id", "n", "pos", "match"])
+
+    rows = arrow_map(classes.select("doc_id", "n", "match", "prefix"), run, "token long, doc_id long, n int, pos int, match byte")
+    hot = hot_tokens(classes, sketch)
+    size = hot.count()
+    if not size:
+        return rows.withColumn("part", F.lit(0)).withColumn("hot", F.lit(False))
+    if size <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    rows = rows.join(hot, "token", "left")
+    part = F.when(F.col("parts").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc_id"), F.col("parts"))).cast("int")
+    return rows.withColumn("part", part).withColumn("hot", F.col("parts").isNotNull()).drop("parts")
 
 
 def _admissible(n1, p1, m1, n2, p2, m2, num: int, den: int):
@@ -330,7 +369,7 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
     """Links between members of different components in one pair of blocks: overlaps by counting along the lists of
     an inverted index, a member at a time; members that become connected are not compared again."""
     sets = [np.frombuffer(x, U64) for x in pdf["shingles"]]
-    ids, block = pdf["id"].to_numpy(), pdf["block"].to_numpy()
+    ids, block, low = pdf["id"].to_numpy(), pdf["block"].to_numpy(), pdf["low"].to_numpy()
     _, comp = np.unique(pdf["component"].to_numpy(), return_inverse=True)
     lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
     size = np.array([len(s) for s in sets])
@@ -344,7 +383,7 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
         for i in range(len(sets)):
             if lo != hi and block[i] != lo:
                 continue
-            other = comp != comp[i]
+            other = (comp != comp[i]) & (low | low[i])
             if lo != hi:
                 other &= block == hi
             if not other.any():
@@ -365,12 +404,16 @@ def _block_links(pdf: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
 def _long_lists(members: DataFrame, comps: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links that the stars of long lists missed, found by comparing blocks of members of different components."""
     named = members.join(comps, members["a"] == comps["node"], "left").select("token", F.col("a").alias("id"), F.coalesce("component", "a").alias("component"), F.col("b").alias("n"))
-    mixed = named.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.sum("n").alias("total")).filter("c1 <> c2").select("token", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
-    rows = named.join(mixed, "token").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    # sizes of a linked pair differ by less than the factor den / num, so they lie in one band or in neighbours
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(den / num) + 1e-9).cast("int") if den > num else F.col("n").cast("int")
+    named = named.withColumn("_b", band).withColumn("pair", F.explode(F.array(F.struct(F.col("_b").alias("band"), F.lit(True).alias("low")), F.struct((F.col("_b") - 1).alias("band"), F.lit(False).alias("low"))))).select("token", "id", "component", "n", "pair.*")
+    mixed = named.groupBy("token", "band").agg(F.min("component").alias("c1"), F.max("component").alias("c2"), F.bool_or("low").alias("any"), F.sum("n").alias("total"))
+    mixed = mixed.filter("c1 <> c2 and any").select("token", "band", F.ceil(F.col("total") / BLOCK).cast("int").alias("blocks"))
+    rows = named.join(mixed, ["token", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("token", "id", "component", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
+    rows = rows.select("token", "band", "id", "component", "low", "block", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"))
     full = rows.join(sets, "id")
-    return full.groupBy("token", "lo", "hi").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
+    return full.groupBy("token", "band", "lo", "hi").applyInPandas(lambda pdf: _block_links(pdf, num, den), "a long, b long")
 
 
 def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -379,16 +422,19 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
     Words are runs of bytes other than ASCII white space, A-Z lower-cased; a document's set holds its distinct
     ``n``-word shingles (all its words as one, if fewer). Documents link when den * overlap >= num * union;
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts have no shingle and link
-    with nothing. Rows repeated with one doc_id count as one node; a null doc_id is never linked and has a null
-    component_id. Other columns are ignored; an empty table gives an empty result.
+    with nothing; very long texts are sets like others. Rows repeated with one doc_id count as one node; a null doc_id
+    is never linked and has a null component_id. doc_id is a whole number (other kinds raise ``TypeError``). Other
+    columns are ignored; an empty table gives an empty result.
     """
+    if docs.schema["doc_id"].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError("doc_id must be a whole number")
     docs = docs.select("doc_id", "text")
     sketch = frequency_sketch(docs, n)
     sig = stored(signatures(docs, n, num, den, sketch))
     usable = sig.filter("n > 0 and doc_id is not null")
     classes = usable.groupBy("n", "sig1", "sig2").agg(F.min(F.struct(F.col("doc_id").cast("long").alias("doc_id"), "match", "prefix", "bits")).alias("r"))
     reps = stored(classes.select("n", "sig1", "sig2", "r.*"))
-    lists = stored(_lists(_postings(reps, sketch), num, den))
+    lists = stored(_lists(_postings(reps, sketch).select("token", "part", "doc_id", "n", "pos", "match", "hot"), num, den))
     small = lists.filter("kind = 0").groupBy("a", "b").agg(F.count(F.lit(1)).alias("met"), F.min("need").alias("need")).filter("met >= need")
     met = small.select("a", "b").unionByName(lists.filter("kind = 1").select("a", "b")).distinct()
     pairs = stored(_screen(met, reps, num, den))
@@ -402,7 +448,7 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
         more = _long_lists(members, comps, sets, num, den)
         joined = stored(comps.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
         comps = components(joined)
-    discard(lists, sets)
+    discard(lists, sets, links)
     named = sig.select("doc_id", "n", "sig1", "sig2")
     keys = reps.select("n", "sig1", "sig2", F.col("doc_id").alias("rep"))
     keys = keys.join(comps, keys["rep"] == comps["node"], "left").select("n", "sig1", "sig2", F.coalesce("component", "rep").alias("component"))
@@ -413,7 +459,12 @@ def similar_groups(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100) -
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the smallest of its similarity group; all columns stay."""
+    """The rows of ``docs`` whose doc_id is the smallest of its similarity group; all columns stay.
+
+    Null, empty and blank texts and rows without doc_id stay, as do rows repeated with one doc_id; an empty table
+    gives an empty result; other columns stay, whatever their names.
+    """
+    (name,) = free_names(docs, "_gone")
     groups = similar_groups(docs, n, num, den)
-    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    gone = stored(groups.filter("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct())
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")

@@ -57,6 +57,30 @@ def test_fuse_filter():
         assert exact_dedup.fuse_contains(other, seed, seg, table).mean() < 0.02
 
 
+def test_snapshot_is_opened_again_for_each_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    group = lambda ids: exact_dedup.digest_groups(spark.createDataFrame([(i, f"t{i % 50}") for i in ids], "doc_id long, text string").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")))
+    path = f"file://{tmp_path}/snapshot"
+    exact_dedup.Snapshot.write(group(range(30)), path, bucket_keys=5)
+    for batch in (range(40, 60), range(100, 130), []):
+        out = exact_dedup.Snapshot.open(spark, path).merged(group(batch))
+        want = defaultdict(list)
+        for i in [*range(30), *batch]:
+            want[hashlib.sha256(f"t{i % 50}".encode()).digest()].append(i)
+        assert {bytes(r["digest"]): (r["first_id"], r["size"]) for r in out.collect()} == {k: (min(v), len(v)) for k, v in want.items()}
+
+
+def test_exact_groups_deals_large_groups(spark, monkeypatch):
+    for name, value in (("LARGE", 5), ("SALTS", 4), ("HOT_GROUPS", 1)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    rows = [(i, f"text {i % 3 if i < 90 else i}", None, None, None) for i in range(120)]
+    out = exact_dedup.exact_groups(docs(spark, rows))
+    assert got(out, "doc_id", "keep_id", "group_size", "kept", "text_sha256") == sorted(
+        ((i, i % 3 if i < 90 else i, 30 if i < 90 else 1, i < 3 or i >= 90, hashlib.sha256(t.encode()).hexdigest()) for i, t, *_ in rows), key=repr
+    )
+
+
 def test_snapshot_merge_finds_equal_digests_on_both_sides(spark):
     rows = [(i, f"text {i % 7}") for i in range(60)]
     out = exact_dedup.exact_groups(spark.createDataFrame(rows, "doc_id long, text string"), snapshot_share=3)
@@ -111,6 +135,26 @@ def test_join_long_lists(spark, monkeypatch, part, small, block):
     assert got(ngram_join.similar_groups(docs(spark, rows), 4, 85, 100), "doc_id", "n_shingles", "component_id") == join_brute(rows, 4, 85, 100)
 
 
+def test_join_counts_heat_by_token(spark, monkeypatch):
+    """With buckets fuller than PART, only tokens with long lists are hot, and no link is lost."""
+    import random
+
+    rng = random.Random(9)
+    rows = []
+    for i in range(150):
+        text = rows[-1][1] + " more" if i % 3 == 1 else f"the same opening words here {prose(rng, 60)}"
+        rows.append((i, text, None, None, None))
+    for name, value in (("PART", 40), ("SKETCH_BITS", 6), ("MOST_BITS", 6), ("CHUNK", 64)):
+        monkeypatch.setattr(ngram_join, name, value)
+    df = docs(spark, rows)
+    sketch = ngram_join.frequency_sketch(df, 4)
+    reps = ngram_join.signatures(df, 4, 85, 100, np.zeros_like(sketch))  # without frequencies any token may lead
+    hot = {r["token"] for r in ngram_join.hot_tokens(reps, sketch).collect()}
+    count = Counter(x for r in reps.collect() for x in np.frombuffer(r["prefix"], np.int64).tolist())
+    assert hot == {x for x, n in count.items() if n > 40}
+    assert got(ngram_join.similar_groups(df), "doc_id", "n_shingles", "component_id") == join_brute(rows, 4, 85, 100)
+
+
 def test_join_tells_mirrored_words_apart(spark):
     rows = [(i + 1, t, None, None, None) for i, t in enumerate(mirrored())]
     assert got(ngram_join.similar_groups(docs(spark, rows)), "doc_id", "n_shingles", "component_id") == join_brute(rows, 4, 85, 100)
