@@ -250,3 +250,39 @@ def test_tree_widens_until_enough(spark):
     assert tree.leaves > 10
     assert sorted(vector_tree.visit_order(np.ones(4) / 2, tree, tree.leaves, np.ones(tree.leaves, int), 0)) == list(range(tree.leaves))
     assert len(vector_tree.visit_order(np.ones(4) / 2, tree, 1, np.ones(tree.leaves, int), 6)) == 6
+
+
+def nearest_brute(x, ids, step, k):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    out = {}
+    for i in np.flatnonzero(ids % step == 0):
+        s = u @ u[i]
+        s[ids == ids[i]] = -np.inf
+        out[int(ids[i])] = {int(ids[j]) for j in np.lexsort((ids, -s))[:k]}
+    return out
+
+
+@pytest.mark.parametrize("clusters", [0, 40])
+def test_vector_tree_grows_lower_trees(spark, monkeypatch, clusters):
+    """A table that outgrows the upper tree; vectors in clusters and vectors alike in all directions."""
+    for name, value in (("MAX_LEAVES", 3), ("BRANCH", 3), ("LEAF_ROWS", 40), ("LOWER_SAMPLE", 300), ("SAMPLE", 500), ("BLOCK", 64)):
+        monkeypatch.setattr(vector_tree, name, value)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 12))
+    if clusters:
+        x = rng.normal(size=(clusters, 12))[rng.integers(0, clusters, 3000)] * 4 + x
+    ids = np.arange(1, 3001)
+    out = vector_tree.search(spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), query_step=20)
+    got = {}
+    for r in out.collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    want = nearest_brute(x, ids, 20, 5)
+    assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
+    assert sum(len(got[i] & want[i]) for i in want) >= 0.9 * 5 * len(want)
+
+
+def test_vector_tree_takes_large_and_small_components(spark):
+    rows = [(50, [1e200, 0.0]), (1, [1e-200, 1e-200]), (2, [3e180, 1e180]), (3, [-1e300, 1.0])]
+    out = vector_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
+    assert [r["vec_id"] for r in out] == [2, 1, 3]
+    assert np.allclose([r["score"] for r in out], [3 / 10**0.5, 1 / 2**0.5, -1])
