@@ -3,13 +3,15 @@
 ``Vocabulary`` reads a tokenizer file (its path is a parameter; nothing is trained or copied). ``merge_words``
 applies the merges exactly: in every round each unfinished word merges its pair of lowest rank, all words in the
 same few array operations. ``encode_texts`` splits a batch of texts into words with array operations on its
-bytes, encodes each distinct word once (words are told apart by their bytes) and lays the ids out by text. A text with a special token, or with characters other than Latin letters, digits, usual white space
-and common punctuation, is given to the tokenizers library as it is.
+bytes, encodes each distinct word once (words are told apart by their bytes) and lays the ids out by text. Characters of every script are classified by their Unicode category; special tokens cut a text
+before it is split. The tokenizers library itself encodes only texts with characters that Unicode 15.1 leaves
+unassigned (it may know them), and normalises texts in word vocabularies beyond Latin letters.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Callable
 from functools import lru_cache
@@ -25,8 +27,26 @@ CONTRACTIONS = (b"s", b"t", b"m", b"d", b"re", b"ve", b"ll")
 NONE = np.iinfo(np.int32).max
 
 
+#: What a tokenizer file says of its normaliser and split, for the two kinds that are handled.
+BYTES_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+WORDS_NORMALISER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+WORDS_SPLIT = [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+
+
+def _is_by_word(spec: dict) -> bool:
+    """Whether a file drops white space and lower-cases (True) or keeps every byte (False); other kinds are refused."""
+    said = lambda part: {k: v for k, v in (part or {}).items() if k != "trim_offsets"}  # noqa: E731  (offsets aren't used)
+    model, split = spec["model"], spec["pre_tokenizer"]
+    plain = model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if plain and spec["normalizer"] is None and said(split) == BYTES_SPLIT and not model.get("end_of_word_suffix"):
+        return False
+    if plain and (spec["normalizer"] or {}).get("normalizers") == WORDS_NORMALISER and [said(x) for x in (split or {}).get("pretokenizers", [])] == WORDS_SPLIT:
+        return True
+    raise ValueError("a tokenizer file with another normaliser, split or model")
+
+
 def byte_letters() -> list[str]:
-    """The printable character that stands for each byte in byte-level vocabularies."""
+    """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
     rest = iter(range(256, 512))
     return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
@@ -38,6 +58,7 @@ class Vocabulary:
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         model, self.path = spec["model"], path
+        self.by_word = _is_by_word(spec)
         vocab = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
         letters = byte_letters()
@@ -45,6 +66,9 @@ class Vocabulary:
         self.last = np.array([vocab[c + self.end] for c in letters], np.int32)
         self.size = max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]) + 1
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        if any(t[k] for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError("special tokens that take in their surroundings")
+        self.cut = re.compile("|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True))) if self.special else None
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)
@@ -60,7 +84,6 @@ class Vocabulary:
             self.bytes[i] = bytes(back[c] for c in body)
         for token, i in self.special.items():
             self.bytes[i] = token.encode()
-        self.lower = self.end != ""
         bits = 18
         self._shift, self._mask = np.uint64(64 - bits), (1 << bits) - 1
         self._slot_key, self._slot_at = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int32)
@@ -90,6 +113,20 @@ class Vocabulary:
             todo, at = todo[on], (at[on] + 1) & self._mask
         return out
 
+    def normalised(self, texts: pa.Array) -> pa.Array:
+        """The texts as the split sees them."""
+        if not self.by_word:
+            return texts
+        data, offs = buffers(texts)
+        lead, point, _ = code_points(data)
+        far = np.zeros(len(texts), bool)
+        far[np.searchsorted(offs, lead[~LATIN[point]], "right") - 1] = True
+        out = pc.utf8_lower(texts)
+        if far.any():
+            rule = self.library.normalizer
+            out = pc.replace_with_mask(out, pa.array(far), pa.array([rule.normalize_str(x) for x in texts.filter(pa.array(far)).to_pylist()], pa.large_string()))
+        return out
+
     @property
     def library(self):
         if not hasattr(self, "_library"):
@@ -171,44 +208,48 @@ def merge_words(words: list[bytes], v: Vocabulary) -> tuple[np.ndarray, np.ndarr
 LETTER, NUMBER, SPACE_, OTHER, ODD = 0, 1, 2, 3, 4
 
 
-def _classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class of each single byte, and of each two-byte character by lead and trail byte."""
-    one = np.full(256, ODD, np.uint8)
-    for b in range(0x20, 0x7F):
-        c = chr(b)
-        one[b] = SPACE_ if b == 0x20 else LETTER if c.isalpha() else NUMBER if c.isdigit() else OTHER
-    one[[9, 10, 13]] = SPACE_
-    two = np.full(1 << 16, ODD, np.uint8)
-    for code in [*range(0xA1, 0x130), *range(0x131, 0x250)]:
-        lead, trail = chr(code).encode()
-        kind = unicodedata.category(chr(code))[0]
-        two[lead << 8 | trail] = LETTER if kind == "L" else NUMBER if kind == "N" else OTHER
-    return one, two
+#: The characters with Unicode's White_Space property.
+WHITE_SPACE = (*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+
 
+@lru_cache(maxsize=1)
+def classes() -> np.ndarray:
+    """Class of every code point."""
+    by = {"L": LETTER, "N": NUMBER}
+    out = np.fromiter((ODD if (c := unicodedata.category(chr(i))) == "Cn" else by.get(c[0], OTHER) for i in range(0x110000)), np.uint8, 0x110000)
+    out[list(WHITE_SPACE)] = SPACE_
+    return out
 
-ONE, TWO = _classes()
-#: Characters outside the classes that pyarrow lower-cases into them, so that they must be found before: U+0130
-#: becomes a plain i there, but i and U+0307 in the tokenizer.
-FOLDED = ("\u0130", "\u1e9e", "\u212a", "\u212b", "\u2c7e", "\u2c7f", "\ua7dc")
-#: Trail bytes of the general punctuation U+2010-2027, U+2030-203F (after E2 80) and of the euro sign (after E2 82).
-_E280 = np.zeros(256, bool)
-_E280[[*range(0x90, 0xA8), *range(0xB0, 0xC0)]] = True
+
+ASCII = np.array([SPACE_ if b in WHITE_SPACE else LETTER if chr(b).isalpha() else NUMBER if chr(b).isdigit() else OTHER for b in range(128)] + [ODD] * 128, np.uint8)
+#: Latin letters and usual punctuation, for which lower case is the same everywhere and NFC changes nothing (U+0130 is
+#: i and U+0307 in one place, a plain i in another).
+LATIN = np.zeros(0x110000, bool)
+LATIN[[*range(0x80), *range(0xA1, 0x130), *range(0x131, 0x250), *range(0x2010, 0x2028), *range(0x2030, 0x2040), 0x20AC]] = True
+
+
+def code_points(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place, code point, bytes) of the characters beyond ASCII in UTF-8 bytes."""
+    lead = np.flatnonzero(data >= 0xC0)
+    first = data[lead].astype(np.int64)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    point = first & (0x7F >> size)
+    for step in (1, 2, 3):
+        more = np.flatnonzero(size > step)
+        point[more] = point[more] << 6 | (data[lead[more] + step] & 0x3F)
+    return lead, point, size
 
 
 def classify(data: np.ndarray) -> np.ndarray:
     """Class of the character that each byte belongs to."""
-    kind = ONE[data]
-    high = np.flatnonzero(data >= 0x80)
-    if len(high):
-        pad = np.r_[data, np.zeros(2, np.uint8)]
-        lead = high[data[high] >= 0xC0]
-        pair = TWO[pad[lead].astype(np.int64) << 8 | pad[lead + 1]]
-        three = lead[data[lead] == 0xE2]
-        fine = ((pad[three + 1] == 0x80) & _E280[pad[three + 2]]) | ((pad[three + 1] == 0x82) & (pad[three + 2] == 0xAC))
-        kind[lead] = pair
-        kind[lead[data[lead] < 0xE0] + 1] = pair[data[lead] < 0xE0]
-        for step in range(3):
-            kind[three[fine] + step] = OTHER
+    kind = ASCII[data]
+    lead, point, size = code_points(data)
+    if len(lead):
+        known = classes()[point]
+        kind[lead] = known
+        for step in (1, 2, 3):
+            more = size > step
+            kind[lead[more] + step] = known[more]
     return kind
 
 
@@ -223,14 +264,15 @@ def split(data: np.ndarray, offs: np.ndarray, kind: np.ndarray, by_word: bool) -
     space = kind == SPACE_
     start = change.copy()
     if by_word:
-        start |= (kind == NUMBER) & ((data < 0x80) | (data >= 0xC0))
+        start |= (kind == NUMBER) & ((data & 0xC0) != 0x80)
     else:
         follows = np.zeros(n, bool)  # directly after a blank of the same text, which belongs to this word
         follows[1:] = (data[:-1] == 0x20) & ~head[1:]
         start &= ~follows | space
-        last = np.zeros(n, bool)
-        last[:-1] = space[:-1] & change[1:] & ~head[1:]
-        start |= last
+        last = np.flatnonzero(space[:-1] & change[1:] & ~head[1:])
+        while len(inner := np.flatnonzero((data[last] & 0xC0) == 0x80)):
+            last[inner] -= 1
+        start[last] = True
     mark = np.flatnonzero((data == 0x27) & start)
     if len(mark):
         end_of = offs[np.searchsorted(offs, mark, "right")]
@@ -272,17 +314,17 @@ def distinct_words(data: np.ndarray, first: np.ndarray, end: np.ndarray) -> tupl
 def encode_texts(texts: pa.Array, v: Vocabulary, encode_words: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and offsets of the texts, as the tokenizers library gives them without added special tokens."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    data, offs = buffers(pc.utf8_lower(texts) if v.lower else texts)
+    cut = np.zeros(len(texts), bool)
+    for token in v.special:
+        cut |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
+    if cut.any():
+        return _encode_cut(texts, cut, v, encode_words)
+    data, offs = buffers(v.normalised(texts))
     kind = classify(data)
     odd = np.diff(np.r_[0, np.cumsum(kind == ODD)][offs]) > 0
-    for token in v.special:
-        odd |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
-    if v.lower:
-        for letter in FOLDED:
-            odd |= pc.match_substring(texts, letter).to_numpy(zero_copy_only=False)
     ids, ends = np.zeros(0, np.int32), np.zeros(len(offs), np.int64)
     if len(data):
-        first, end = split(data, offs, kind, v.lower)
+        first, end = split(data, offs, kind, v.by_word)
         doc = np.searchsorted(offs, first, "right") - 1
         if odd.any():
             fine = ~odd[doc]
@@ -297,3 +339,21 @@ def encode_texts(texts: pa.Array, v: Vocabulary, encode_words: Callable[[list[by
         parts = [np.array(v.library.encode(texts[i].as_py(), add_special_tokens=False).ids, np.int32) if odd[i] else ids[ends[i] : ends[i + 1]] for i in range(len(odd))]
         return np.concatenate(parts), np.r_[0, np.cumsum([len(p) for p in parts])]
     return ids, ends
+
+
+def _encode_cut(texts: pa.Array, cut: np.ndarray, v: Vocabulary, encode_words) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`encode_texts` where some texts hold special tokens: what lies between these is encoded by itself."""
+    pieces: list[str] = []
+    plan: list[list[int | np.ndarray]] = []  # per text: piece numbers, and ids of special tokens as arrays
+    for text, has in zip(texts.to_pylist(), cut.tolist()):
+        plan.append([])
+        at = 0
+        for hit in v.cut.finditer(text) if has else ():
+            plan[-1] += [len(pieces), np.array([v.special[hit[0]]], np.int32)]
+            pieces.append(text[at : hit.start()])
+            at = hit.end()
+        plan[-1].append(len(pieces))
+        pieces.append(text[at:])
+    ids, ends = encode_texts(pa.array(pieces, pa.large_string()), v, encode_words)
+    rows = [np.concatenate([x if isinstance(x, np.ndarray) else ids[ends[x] : ends[x + 1]] for x in row]) for row in plan]
+    return np.concatenate(rows).astype(np.int32), np.r_[0, np.cumsum([len(r) for r in rows])]

@@ -9,7 +9,9 @@ step. Words that the automaton lacks are merged exactly.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.bpe import Vocabulary, classify, distinct_words, encode_texts, merge_words, ragged, split, vocabulary
-from sparkloom.llm.common import arrow_map, batches, discard, stored
+from sparkloom.llm.common import arrow_map, batches, buffers, discard, stored
 
 #: Words in the lexicon.
 LEXICON_WORDS = 40_000
@@ -33,8 +35,9 @@ def frequent_words(docs: DataFrame, path: str, limit: int = LEXICON_WORDS) -> li
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for _, data, offs in batches(it, "text"):
-            first, end = split(data, offs, classify(data), v.lower) if len(data) else (data, data)
+        for batch, _, _ in batches(it, "text"):
+            data, offs = buffers(v.normalised(batch.column("text").cast(pa.large_string()).fill_null("")))
+            first, end = split(data, offs, classify(data), v.by_word) if len(data) else (data, data)
             if not len(first):
                 continue
             code, found = distinct_words(data, first, end)
@@ -120,8 +123,8 @@ def compile_lexicon(words: list[bytes], v: Vocabulary) -> dict[str, np.ndarray]:
 def ship(spark, arrays: dict[str, np.ndarray]) -> str:
     """Give every executor the arrays as files; returns the name to open them by."""
     name = f"lexicon-{uuid.uuid4().hex}"
-    folder = os.path.join(tempfile.mkdtemp(), name)
-    os.makedirs(folder)
+    folder = tempfile.mkdtemp(prefix=name)  # the driver's copy, served to executors until the driver ends
+    atexit.register(shutil.rmtree, folder, True)
     for key, a in arrays.items():
         np.save(os.path.join(folder, f"{name}.{key}.npy"), a)
         spark.sparkContext.addFile(os.path.join(folder, f"{name}.{key}.npy"))
@@ -215,8 +218,9 @@ def encode(docs: DataFrame, path: str, name: str) -> DataFrame:
 def round_trip(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row of ``docs`` (doc_id, text).
 
-    Null text is empty: no tokens and the digests of the empty string. Repeated rows give repeated results; other
-    columns are ignored; an empty table gives an empty result.
+    Null text is empty: no tokens and the digests of the empty string. Very long texts are encoded as a whole.
+    Repeated rows give repeated results; other columns are ignored, whatever their names; an empty table gives an
+    empty result.
     """
     lex = compile_lexicon(frequent_words(docs, path), vocabulary(path))
     out = encode(docs, path, ship(docs.sparkSession, lex))

@@ -186,7 +186,10 @@ def identify(docs: DataFrame, buckets: int = 4, held: int = 2) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for every row of ``docs`` (doc_id, text, lang).
 
     Learns from text and non-null lang outside the held-out fold only. Texts that are null, empty or without a
-    letter give ``und`` with score 0; a table without labels gives ``und`` everywhere. Null ids are not held out.
+    letter give ``und`` with score 0; a table without labels gives ``und`` everywhere. Null ids are not held out. Of
+    codewords that lie equally near the one of the first language (by name) wins, and is flagged as ambiguous. Very
+    long texts are read to their end; repeated rows give repeated results; an empty table gives an empty result; other
+    columns are ignored, whatever their names.
     """
     out = predict(docs, train(docs, buckets, held))
     return out.select("doc_id", F.coalesce(fold_of("doc_id", buckets) == held, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

@@ -93,13 +93,18 @@ def pieces(docs: DataFrame, path: str, capacity: int, eos: int = 0) -> DataFrame
 def pack(docs: DataFrame, path: str, capacity: int = 2048, max_docs: int | None = None, max_cost: float | None = None, rule: str = "norm") -> DataFrame:
     """Pieces of every document of ``docs`` (doc_id, text) with their place: sequence_id and offset.
 
-    Only documents longer than ``capacity`` are cut. ``max_docs`` and ``max_cost`` (sum of squared piece lengths)
-    bound each sequence too; unset, they never bind. Null and empty texts are one piece with only the end id.
-    Repeated rows are packed each. sequence_ids are group * 2**32 + number; an empty table gives an empty result.
+    Only documents longer than ``capacity`` are cut. ``max_docs`` (pieces) and ``max_cost`` (sum of squared piece
+    lengths) bound each sequence too; unset, they never bind, as a sequence has at most ``capacity`` pieces and
+    ``capacity ** 2`` cost. A document whose cost alone exceeds ``max_cost`` is cut at its root. Null and empty texts
+    are one piece with only the end id; very long texts are many pieces. Repeated rows are packed each. sequence_ids
+    are group * 2**32 + number; an empty table gives an empty result; other columns are ignored.
     """
     max_docs, max_cost = max_docs or capacity, max_cost or float(capacity) ** 2
-    cut = stored(pieces(docs, path, capacity).withColumn("_row", F.monotonically_increasing_id()))
-    groups = max(1, math.ceil(cut.filter(F.col("length") < capacity).count() / GROUP))
+    longest = min(capacity, math.isqrt(int(max_cost)))
+    cut = stored(pieces(docs, path, longest).withColumn("_row", F.monotonically_increasing_id()))
+    # pieces beside which not even one token has room
+    alone_ = (F.col("length") >= capacity) | (F.pow(F.col("length"), 2) > max_cost - 1) | F.lit(max_docs == 1)
+    groups = max(1, math.ceil(cut.filter(~alone_).count() / GROUP))
     names = cut.columns[:-1]
     kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields[:-1])
 
@@ -111,7 +116,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, max_docs: int | None
         out["offset"] = offset
         return out
 
-    short = cut.filter(F.col("length") < capacity).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
+    short = cut.filter(~alone_).withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups)).cast("int"))
     packed = short.groupBy("_group").applyInPandas(place, f"{kind}, sequence_id long, offset long")
-    alone = cut.filter(F.col("length") >= capacity).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    alone = cut.filter(alone_).select(*names, (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return packed.unionByName(alone)

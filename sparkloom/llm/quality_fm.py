@@ -15,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import LOWER, PUNCT, SPACE, U64, arrow_map, batches, fold_of, mix, words
+from sparkloom.llm.common import LOWER, PUNCT, SPACE, U64, arrow_map, batches, discard, fold_of, free_names, mix, stored, words
 
 #: Buckets of the word hash; structure and metadata features come after them.
 WORD_BITS = 16
-#: Longest prefix of a sample document's feature list is never cut; this only bounds how many documents are sampled.
-MAX_TRAIN = 3000
+#: Sampled documents of each class, and feature entries (12 bytes each) of the whole sample on the driver: documents
+#: beyond that, in order of a hash, are left out of the sample; no document's features are cut.
+MAX_TRAIN, MAX_ENTRIES = 3000, 12_000_000
 #: Upper edges of the bins of each ratio between 0 and 1.
 EDGES = np.array([0.0, 0.005, 0.01, 0.02, 0.04, 0.07, 0.1, 0.15, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 0.97])
 STATS = ("upper", "digit", "punct", "symbol", "space", "wide", "newline", "doc_unique", "mean_word", "len", "n_chars", "repeat_line", "word_punct")
@@ -177,11 +178,16 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1, m
                 ["doc_id", "y", "f", "v"],
             )
 
-    rows = arrow_map(cols, extract, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, y int, f binary, v binary").orderBy("doc_id").limit(2 * max_train).collect()
-    y = np.array([r["y"] for r in rows], float)
-    f = [np.frombuffer(r["f"], np.int32) for r in rows]
-    v = [np.frombuffer(r["v"], np.float32) for r in rows]
-    doc = np.repeat(np.arange(len(rows)), [len(x) for x in f])
+    found = stored(arrow_map(cols, extract, f"doc_id {cols.schema['doc_id'].dataType.simpleString()}, y int, f binary, v binary"))
+    sizes = found.select(F.xxhash64("doc_id").alias("h"), (F.octet_length("f") / 4).alias("n")).orderBy("h").limit(2 * max_train).toArrow()  # 16 bytes a row
+    fits = int(np.searchsorted(np.cumsum(sizes.column("n").to_numpy()), MAX_ENTRIES, "right"))
+    edge = sizes.column("h")[max(0, fits - 1)].as_py() if len(sizes) else 0
+    rows = found.filter(F.xxhash64("doc_id") <= edge).orderBy("doc_id").limit(2 * max_train).toArrow()
+    discard(found)
+    y = rows.column("y").to_numpy().astype(float)
+    f = [np.frombuffer(x.as_buffer(), np.int32) for x in rows.column("f")]
+    v = [np.frombuffer(x.as_buffer(), np.float32) for x in rows.column("v")]
+    doc = np.repeat(np.arange(len(f)), [len(x) for x in f])
     return fit(doc, np.concatenate(f or [np.zeros(0, np.int32)]), np.concatenate(v or [np.zeros(0, np.float32)]).astype(float), y)
 
 
@@ -201,7 +207,13 @@ def score(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns) that score at least ``threshold``, by a model learned from all labelled rows."""
+    """The rows of ``docs`` (all columns) that score at least ``threshold``, by a model learned from labelled rows of
+    every fold.
+
+    Null and empty texts are scored by their structure features; repeated rows stay or go together; very long texts
+    are read to their end; an empty table gives an empty result; other columns stay, whatever their names.
+    """
+    (name,) = free_names(docs, "_n_chars")
     model = train(docs, labels, buckets=1, held=-1)
     shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.linear.astype(np.float32), model.factors.astype(np.float32)))
     names = docs.columns
@@ -211,10 +223,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Dat
         bias, linear, factors = shared.value
         fm = FactorisationMachine(bias, linear.astype(float), factors.astype(float))
         for batch, data, offs in batches(it, "text"):
-            s = fm.score(*features(data, offs, _n_chars(batch, "__n_chars")), len(offs) - 1)
+            s = fm.score(*features(data, offs, _n_chars(batch, name)), len(offs) - 1)
             yield batch.select(names).filter(pa.array(s >= threshold))
 
-    return arrow_map(docs.withColumn("__n_chars", n), run, docs.schema)
+    return arrow_map(docs.withColumn(name, n), run, docs.schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1, threshold: float = 0.5) -> DataFrame:
@@ -222,7 +234,9 @@ def classify(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1
 
     ``held_out`` marks rows whose crc32 of the id's text modulo ``buckets`` is ``held``: their labels are never
     learned. Null and empty texts are scored by their structure features. Null doc_ids are not held out. Without
-    usable labels every score is 0.5; with one class only, that class is predicted.
+    usable labels every score is 0.5; with one class only, that class is predicted. Very long texts are read to their
+    end; repeated rows give repeated results, equal rows equal scores; an empty table gives an empty result; columns
+    other than those three are ignored, whatever their names.
     """
     scored = score(docs, train(docs, labels, buckets, held))
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", buckets) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

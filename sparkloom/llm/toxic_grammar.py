@@ -1,21 +1,21 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five small transducers read the symbols of a text and are composed into one: *insult* and *threat* accept a
-charged word, *target* remembers that the clause addresses somebody (before or after the charged word),
-*negation* opens a scope of a few words, and *reported speech* one that lasts to the end of the sentence. The
-composed transducer outputs matched clauses, not words: a charged word becomes a clause of a type (plain,
-targeted, negated, reported) that carries the word's weight. The document's score is a logistic function of the
-weights by clause type.
-
-The lexicon of charged words and stems and the clause weights are learned from a bounded labelled sample; words
-for targets, negation, reported speech and threats are fixed lists. Batches of documents step through the
-automaton together, and only sentences with a charged word are stepped.
+Five transducers read a tape of symbols (one for each word or mark of a text) and write marks on it: *report* marks
+what lies in reported speech, *insult* and *threat* mark charged words (threats also when they are announced: "will
+hurt"), *target* marks those of a clause that addresses somebody, before or after the charged word, and *negation*
+those within its reach. :func:`compose` chains any two: the second reads the tape that the first has written. The
+chain of all five is made one deterministic transducer, whose arcs put out matched clauses by type, not words; each
+clause weighs its word's weight times its type's. The document's score is a logistic function of the sums.
+
+The lexicon of charged words and stems and the weights of clause types are learned from a bounded labelled sample;
+words for targets, negation, reported speech, announcements and threats (threats by their stems, so inflected too)
+are fixed lists. A threat counts whether or not the sample taught it as a charged word: then its type's weight tells.
+Batches of documents step through the transducer together, and only sentences with a charged word are stepped.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,53 +31,104 @@ TARGET = "you your yours yourself he she they them him her those these tu toi vo
 NEGATION = "not no never isn aren wasn weren don doesn didn won ne pas jamais nicht kein keine nie niemals nunca jamas tampoco".split()
 REPORT = "said says say claimed claims told wrote writes quoted reported alleged called according dit dite affirme sagte sagt schrieb behauptet dijo dice afirma".split()
 THREAT = "kill hurt destroy attack burn shoot stab beat murder die tuer frapper mourir sterben schlagen matar golpear morir".split()
+WILL = "will shall gonna going must vais va vas allons allez werde wird wirst werden voy vamos".split()
 
 #: Labelled documents of each class in the sample, entries in the lexicon, bytes of the stems.
 MAX_TRAIN, LEXICON, STEMS = 2500, 4096, (4, 5, 6, 8)
-SYMBOLS = OTHER, INSULT, MENACE, AIM, NOT, SAYS, CLAUSE, SENTENCE = range(8)
-#: Words that a negation reaches.
-REACH = 3
-#: Clause types: bit 0 targeted, bit 1 negated, bit 2 reported; 8 for insults and 8 for threats, and late targets.
-TYPES = 17
-LATE = 16
+SYMBOLS = OTHER, INSULT, MENACE, AIM, NOT, SAYS, FUTURE, CLAUSE, SENTENCE = range(9)
+#: Words that a negation or an announcement reaches, and the weight of a threat that the sample didn't teach.
+REACH, THREAT_WEIGHT = 3, 1.0
+#: Marks on the tape.
+HIT, THREATENS, ANNOUNCED, AIMED, NEGATED, REPORTED, LATE_AIM = (1 << i for i in range(7))
+#: Clause types: bit 0 targeted, bit 1 negated, bit 2 reported; insults, threats, announced threats; late targets.
+TYPES = 25
+LATE = 24
+#: Sums of weights of one clause type count up to this.
+SATURATE = 12.0
 
 
-def _negation(state: int, s: int) -> int:
-    if s == NOT:
-        return REACH
-    return 0 if s in (CLAUSE, SENTENCE) else max(0, state - 1)
+@dataclass(frozen=True)
+class Machine:
+    """A deterministic transducer: ``step(state, symbol, marks)`` gives the next state and the marks written."""
 
+    start: object
+    step: Callable[[object, int, int], tuple[object, int]]
 
-def _report(state: int, s: int) -> int:
-    return 1 if s == SAYS else 0 if s == SENTENCE else state
 
+def compose(first: Machine, second: Machine) -> Machine:
+    """The machine that writes what ``second`` writes on the tape that ``first`` has written."""
 
-def _target(state: int, s: int) -> int:
-    return 1 if s == AIM else 0 if s in (CLAUSE, SENTENCE) else state
+    def step(state, symbol, marks):
+        a, marks = first.step(state[0], symbol, marks)
+        b, marks = second.step(state[1], symbol, marks)
+        return (a, b), marks
 
+    return Machine((first.start, second.start), step)
 
-def _charged(state: int, s: int) -> int:
-    """1 while the clause has a charged word without a target."""
-    return 1 if s in (INSULT, MENACE) else 0 if s in (AIM, CLAUSE, SENTENCE) else state
 
+def _insult(state, symbol, marks):
+    return state, marks | HIT if symbol == INSULT else marks
 
-def compose() -> tuple[np.ndarray, np.ndarray]:
-    """(next state, output type or -1) of the product of the transducers, by state and symbol."""
-    parts = [range(REACH + 1), range(2), range(2), range(2)]
-    states = list(itertools.product(*parts))
-    number = {s: i for i, s in enumerate(states)}
-    step = np.zeros((len(states), len(SYMBOLS)), np.int64)
-    out = np.full((len(states), len(SYMBOLS)), -1, np.int64)
-    for (neg, rep, aim, hot), s in itertools.product(states, SYMBOLS):
-        step[number[neg, rep, aim, hot], s] = number[_negation(neg, s), _report(rep, s), _target(aim, s), _charged(hot, s) if not (aim and s in (INSULT, MENACE)) else 0]
-        if s in (INSULT, MENACE):
-            out[number[neg, rep, aim, hot], s] = (8 if s == MENACE else 0) + aim + 2 * (neg > 0) + 4 * rep
-        elif s == AIM and hot and not rep:
-            out[number[neg, rep, aim, hot], s] = LATE
-    return step, out
 
+def _threat(state, symbol, marks):
+    if symbol == MENACE:
+        marks |= HIT | THREATENS | (ANNOUNCED if state else 0)
+    return _countdown(state, symbol, FUTURE), marks
 
-STEP, OUT = compose()
+
+def _negation(state, symbol, marks):
+    return _countdown(state, symbol, NOT), marks | NEGATED if state and marks & HIT else marks
+
+
+def _countdown(state: int, symbol: int, opens: int) -> int:
+    return REACH if symbol == opens else 0 if symbol in (CLAUSE, SENTENCE) else max(0, state - 1)
+
+
+def _report(state, symbol, marks):
+    return 1 if symbol == SAYS else 0 if symbol == SENTENCE else state, marks | REPORTED if state else marks
+
+
+def _target(state, symbol, marks):
+    """States: nothing yet, a target seen, a charged word that waits for one (also after one was seen)."""
+    aimed, waits = state
+    if symbol == AIM:
+        return (True, False), marks | LATE_AIM if waits and not marks & REPORTED else marks
+    if symbol in (CLAUSE, SENTENCE):
+        return (False, False), marks
+    if marks & HIT:
+        return (aimed, not aimed), marks | AIMED if aimed else marks
+    return state, marks
+
+
+def tabulate(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
+    """(next state, clause type put out or -1) by state and symbol, for the states that can be reached."""
+    number, todo, step, out = {machine.start: 0}, [machine.start], [], []
+    for state in todo:
+        step.append([])
+        out.append([])
+        for symbol in SYMBOLS:
+            nxt, marks = machine.step(state, symbol, 0)
+            if nxt not in number:
+                number[nxt] = len(todo)
+                todo.append(nxt)
+            step[-1].append(number[nxt])
+            out[-1].append(_type(marks))
+    return np.array(step), np.array(out)
+
+
+def _type(marks: int) -> int:
+    if marks & LATE_AIM:
+        return LATE
+    if not marks & HIT:
+        return -1
+    kind = 2 if marks & ANNOUNCED else 1 if marks & THREATENS else 0
+    return 8 * kind + bool(marks & AIMED) + 2 * bool(marks & NEGATED) + 4 * bool(marks & REPORTED)
+
+
+GRAMMAR = Machine(0, _report)
+for _machine in (Machine(0, _insult), Machine(0, _threat), Machine((False, False), _target), Machine(0, _negation)):
+    GRAMMAR = compose(GRAMMAR, _machine)
+STEP, OUT = tabulate(GRAMMAR)
 
 
 def _hashes(items: list[str]) -> np.ndarray:
@@ -85,6 +136,17 @@ def _hashes(items: list[str]) -> np.ndarray:
     return words(data, np.array([0, len(data)]), PUNCT, LOWER)[3]
 
 
+def _stem_hashes(items: list[str]) -> np.ndarray:
+    """Hashes of the words' longest stems: words that begin with one match, whatever their ending; shorter words
+    match as a whole."""
+    data = np.frombuffer(" ".join(items).encode(), np.uint8)
+    _, _, _, whole, *stems = words(data, np.array([0, len(data)]), PUNCT, LOWER, STEMS)
+    out = whole
+    for h in stems:
+        out = np.where(h != 0, h, out)
+    return out
+
+
 @dataclass
 class Grammar:
     """Sorted hashes with their symbols and weights, and the logistic weights of the clause features."""
@@ -97,14 +159,14 @@ class Grammar:
     @staticmethod
     def of(keys: np.ndarray, weight: np.ndarray) -> Grammar:
         """Charged words first; a learned word that is also on the threat list is a threat."""
-        fixed = {AIM: _hashes(TARGET), NOT: _hashes(NEGATION), SAYS: _hashes(REPORT)}
-        threats = _hashes(THREAT)
+        fixed = {AIM: _hashes(TARGET), NOT: _hashes(NEGATION), SAYS: _hashes(REPORT), FUTURE: _hashes(WILL)}
+        threats = np.unique(np.r_[_hashes(THREAT), _stem_hashes(THREAT)])
         k, s, w = [keys], [np.where(np.isin(keys, threats), MENACE, INSULT)], [weight]
-        for symbol, h in fixed.items():
+        for symbol, h in {MENACE: threats, **fixed}.items():
             h = np.setdiff1d(h, keys)
             k.append(h)
             s.append(np.full(len(h), symbol))
-            w.append(np.zeros(len(h)))
+            w.append(np.full(len(h), THREAT_WEIGHT if symbol == MENACE else 0.0))
         k, s, w = np.concatenate(k), np.concatenate(s), np.concatenate(w)
         k, first = np.unique(k, return_index=True)
         return Grammar(k, s[first].astype(np.int64), w[first])
@@ -150,7 +212,7 @@ def clauses(data: np.ndarray, offs: np.ndarray, g: Grammar) -> tuple[np.ndarray,
     keep = np.zeros(sentence[-1] + 1, bool)
     keep[hot] = True
     pick = np.flatnonzero(keep[sentence])
-    # a run of words without a symbol only lets a negation run out: REACH of them tell it all
+    # a run of words without a symbol only lets a negation or an announcement run out: REACH of them tell it all
     s = sym[pick]
     brk = np.r_[True, (s[1:] != OTHER) | (s[:-1] != OTHER) | (sentence[pick][1:] != sentence[pick][:-1])]
     in_run = np.arange(len(s)) - np.maximum.accumulate(np.where(brk, np.arange(len(s)), 0))
@@ -184,7 +246,7 @@ def clause_features(data: np.ndarray, offs: np.ndarray, g: Grammar) -> np.ndarra
     docs = len(offs) - 1
     d, kind, w = clauses(data, offs, g)
     out = np.zeros((docs, N_FEATURES))
-    out[:, :TYPES] = np.minimum(np.bincount(d * TYPES + kind, w, docs * TYPES).reshape(docs, TYPES), 12.0)
+    out[:, :TYPES] = np.minimum(np.bincount(d * TYPES + kind, w, docs * TYPES).reshape(docs, TYPES), SATURATE)
     np.maximum.at(out[:, TYPES], d, w)
     out[:, TYPES + 1] = np.log1p(np.bincount(d, w, docs))
     out[:, TYPES + 2] = np.log1p(np.bincount(d, minlength=docs))
@@ -281,7 +343,8 @@ def classify(docs: DataFrame, labels: DataFrame, buckets: int = 4, held: int = 2
     ``held_out`` marks rows whose crc32 of the id's text modulo ``buckets`` is ``held``: their labels are never
     learned. Null and empty texts, and texts without a match, score the logistic's base rate. Null doc_ids are not
     held out. Without labels of both classes every score is the share of label 1 (0.5 without labels, clipped to
-    0.01-0.99).
+    0.01-0.99). Very long texts are read to their end; repeated rows give repeated results, equal scores stay equal;
+    an empty table gives an empty result; other columns are ignored, whatever their names.
     """
     scored = score(docs, train(docs, labels, buckets, held))
     return scored.select("doc_id", F.coalesce(fold_of("doc_id", buckets) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -286,3 +286,125 @@ def test_vector_tree_takes_large_and_small_components(spark):
     out = vector_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()
     assert [r["vec_id"] for r in out] == [2, 1, 3]
     assert np.allclose([r["score"] for r in out], [3 / 10**0.5, 1 / 2**0.5, -1])
+
+
+# --- brute-force versions
+
+
+def test_language_margins_by_loops():
+    rng = np.random.default_rng(2)
+    texts = ["Hello, Wörld! 12", "", "a", "der die das", "xyz"]
+    raw = [x.encode() for x in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    model = language_ecoc.Model(["a", "b", "c"], language_ecoc.codewords(3), rng.normal(size=(1 << language_ecoc.N_BITS, 3)), rng.normal(size=3), np.array([1.0, 0.5, 2.0]))
+    got = language_ecoc.margins(data, offs, model)
+    for d, text in enumerate(raw):
+        low = [c + 32 if 65 <= c <= 90 else c if c > 127 or 97 <= c <= 122 else 32 for c in text]
+        total = np.zeros(3)
+        for order in language_ecoc.ORDERS:
+            for i in range(len(low)):
+                h = 0
+                for k in range(order):
+                    h = ((h * 0x01000193) & 0xFFFFFFFF) ^ ((low[i + k] if i + k < len(low) else 32) + k + 1)
+                total += model.weights[((h * 2654435761) & 0xFFFFFFFF) >> (32 - language_ecoc.N_BITS)]
+        assert got[d] == pytest.approx(total / max(1, len(text)) + model.bias)
+    best, _, _ = language_ecoc.decode(got, model)
+    for d in range(len(texts)):
+        loss = [sum(model.alpha[b] * np.exp(-np.clip(got[d, b] * code[b], -8, 8)) for b in range(3)) for code in model.codes]
+        assert best[d] == int(np.argmin(loss))
+
+
+def test_quality_features_and_scores_by_loops():
+    import re
+
+    from sparkloom.llm.common import LOWER, PUNCT, U64, words
+
+    texts = ["One two two.\nOne two two.\nThree!! #4 %5", "", "ÄÖ über 12,5 €", "word"]
+    n_chars = [40.0, float("nan"), 14.0, 4.0]
+    raw = [x.encode() for x in texts]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(x) for x in raw])]
+    doc, feature, value = quality_fm.features(data, offs, np.array(n_chars))
+    rng = np.random.default_rng(3)
+    fm = quality_fm.FactorisationMachine(0.1, rng.normal(size=quality_fm.N_FEATURES), rng.normal(size=(quality_fm.N_FEATURES, 3)))
+    score = fm.score(doc, feature, value, len(texts))
+    for d, text in enumerate(raw):
+        found = re.findall(rb"[0-9A-Za-z\x80-\xff]+", text)
+        count = {}
+        for w in found:
+            b = int(words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), PUNCT, LOWER)[3][0] >> U64(64 - quality_fm.WORD_BITS))
+            count[b] = count.get(b, 0) + 1
+        norm = sum(np.log1p(n) ** 2 for n in count.values()) ** 0.5
+        want = {b: np.log1p(n) / norm for b, n in count.items()}
+        size, per = max(1, len(text)), max(1, len(found))
+        kinds = {k: sum(c in s for c in text) for k, s in {"upper": range(65, 91), "digit": range(48, 58), "punct": b".,;:!?'\"()-", "symbol": b"#$%&*+/<=>@[\\]^_`{|}~", "space": b" \t\n\v\f\r", "wide": range(128, 256)}.items()}
+        lines = [x.lower() for x in re.split(rb"[\n\r.]+", text) if x]
+        follow = sum(m.end() < len(text) and text[m.end()] in b"!#$%&*|" for m in re.finditer(rb"[0-9A-Za-z\x80-\xff]+", text))
+        ratio = [kinds["upper"] / size, kinds["digit"] / size, kinds["punct"] / size, kinds["symbol"] / size, kinds["space"] / size, kinds["wide"] / size, text.count(b"\n") / size * 10]
+        ratio += [len(count) / per, (size - kinds["space"]) / per / 20, np.log1p(size) / 15, 1.0 if np.isnan(n_chars[d]) else np.log1p(n_chars[d]) / 15, 1 - len(set(lines)) / max(1, len(lines)), follow / per]
+        for k, r in enumerate(ratio):
+            want[(1 << quality_fm.WORD_BITS) + k * quality_fm.BINS + sum(r > e for e in quality_fm.EDGES)] = 0.5
+        mine = doc == d
+        assert dict(zip(feature[mine].tolist(), value[mine].tolist())) == pytest.approx(want)
+        keys = sorted(want)
+        margin = fm.bias + sum(fm.linear[k] * want[k] for k in keys) + sum(fm.factors[a] @ fm.factors[b] * want[a] * want[b] for i, a in enumerate(keys) for b in keys[:i])
+        assert score[d] == pytest.approx(1 / (1 + np.exp(-margin)), rel=1e-6)
+
+
+def clauses_by_words(symbols):
+    """The clause types of a string of symbols, with the rules spelled out word by word."""
+    T = toxic_grammar
+    out, aimed, waits, reported, last_not, last_will = [], False, False, False, -99, -99
+    for i, s in enumerate(symbols):
+        if s in (T.INSULT, T.MENACE):
+            kind = 0 if s == T.INSULT else 2 if i - last_will <= T.REACH else 1
+            out.append(8 * kind + aimed + 2 * (i - last_not <= T.REACH) + 4 * reported)
+            waits = not aimed
+        elif s == T.AIM:
+            if waits and not reported:
+                out.append(T.LATE)
+            aimed, waits = True, False
+        elif s == T.NOT:
+            last_not = i
+        elif s == T.FUTURE:
+            last_will = i
+        elif s == T.SAYS:
+            reported = True
+        elif s in (T.CLAUSE, T.SENTENCE):
+            aimed = waits = False
+            last_not = last_will = -99
+            reported = reported and s == T.CLAUSE
+    return out
+
+
+def test_grammar_reads_symbols_as_its_rules_say():
+    T = toxic_grammar
+    text_of = {T.OTHER: "stone", T.INSULT: "knave", T.MENACE: "destroying", T.AIM: "you", T.NOT: "not", T.SAYS: "said", T.FUTURE: "will", T.CLAUSE: ",", T.SENTENCE: "."}
+    g = T.Grammar.of(T._hashes(["knave"]), np.array([2.0]))
+    rng = np.random.default_rng(5)
+    for _ in range(400):
+        symbols = rng.choice(len(text_of), rng.integers(1, 25), p=[0.3, 0.15, 0.1, 0.15, 0.08, 0.06, 0.06, 0.05, 0.05]).tolist()
+        data = np.frombuffer(" ".join(text_of[s] for s in symbols).encode(), np.uint8)
+        doc, kind, weight = T.clauses(data, np.array([0, len(data)]), g)
+        assert sorted(kind.tolist()) == sorted(clauses_by_words(symbols)), symbols
+        state, out = 0, []
+        for s in symbols:
+            out.append(int(T.OUT[state, s]))
+            state = int(T.STEP[state, s])
+        assert [x for x in out if x >= 0] == clauses_by_words(symbols)
+
+
+def test_threats_count_without_being_taught(spark):
+    """Documents that are toxic by announced threats only, with words that are no insult elsewhere."""
+    import random
+
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        bad = i % 3 == 0
+        verb = rng.choice(["hurt", "destroy", "attack", "murder", "beat"])
+        text = f"{prose(rng, 15)}. I will {verb} you" if bad else f"{prose(rng, 15)}. They {verb} the old wall"
+        rows.append((i, f"{text}. {prose(rng, 10)}", "en", "s", 9))
+        labels.append((i, 1, int(bad)))
+    out = toxic_grammar.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held_out = [(r["predicted"], r["doc_id"] % 3 == 0) for r in out if r["held_out"]]
+    assert np.mean([p == y for p, y in held_out]) > 0.95

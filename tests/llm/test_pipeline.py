@@ -3,6 +3,7 @@ from collections import Counter
 import corpus_pipeline
 import pytest
 from helpers import SCHEMA, awkward_rows, docs, prose
+from pyspark.sql import functions as F
 from test_text_operators import exact_brute, join_brute
 
 
@@ -54,3 +55,41 @@ def test_run_packs_what_the_stages_keep(spark, sf):
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_take_an_empty_table(spark, sf, name, stage):
     assert stage(spark, spark.createDataFrame([], SCHEMA), sf).count() == 0
+
+
+def test_passages_stage_cuts_what_repeats(spark, sf):
+    rows = [r for r in awkward_rows() if r[1] is None or r[1].isascii()]
+    texts = Counter((r[1] or "")[i : i + 250] for r in rows for i in range(len(r[1] or "") - 249))
+    want = []
+    for r in rows:
+        gone = [False] * len(r[1] or "")
+        for i in range(len(gone) - 249):
+            if texts[r[1][i : i + 250]] > 1:
+                gone[i : i + 250] = [True] * 250
+        want.append((r[0], None if r[1] is None else "".join(c for c, g in zip(r[1], gone) if not g)))
+    out = corpus_pipeline.passages(spark, docs(spark, rows), sf)
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter(want)
+
+
+def test_quality_stage_keeps_what_the_model_scores(spark, sf):
+    from sparkloom.llm import quality_fm
+
+    src = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = quality_fm.score(src, quality_fm.train(src, spark.read.parquet(f"{sf}/labels.parquet"), buckets=1, held=-1)).collect()
+    want = Counter(r["doc_id"] for r in scores if r["score"] >= 0.5)
+    assert Counter(r["doc_id"] for r in corpus_pipeline.quality(spark, src, sf).collect()) == want
+
+
+RESERVED = "__id __key __ranges __text __k __kept __n_bytes __n_removed __n_spans __sha __sha2 __n_chars _gone _id _key _ranges _text _k kept_bytes n_bytes n_removed n_spans _sha _sha_of _n_chars _row _group _hot _salt n digest norm key".split()
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES[:-1])
+def test_stages_keep_columns_of_any_name(spark, sf, name, stage):
+    src = docs(spark)
+    plain = Counter(tuple(r) for r in stage(spark, src, sf).collect())
+    extra = src.select("*", *(F.concat(F.lit(f"{c}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))).alias(c) for c in RESERVED))
+    out = stage(spark, extra, sf)
+    assert out.columns == extra.columns
+    rows = out.collect()
+    assert Counter(tuple(r)[: len(src.columns)] for r in rows) == plain
+    assert all(r[c] == f"{c}:{'-' if r['doc_id'] is None else r['doc_id']}" for r in rows for c in RESERVED)

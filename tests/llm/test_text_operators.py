@@ -320,6 +320,47 @@ def test_encode_texts(path):
         assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
 
 
+SCRIPTS = ["Привет, мир! Ёлка", "Ελληνικά ΌΣΟΣ", "日本語のテキスト。漢字", "مرحبا بالعالم ١٢٣", "हिन्दी में", "😀👍🏽 ok 😀", "ﬁne Ⅻ ½ ²", "e\u0301 \u1e9b\u0323 Å", "a\u3000b\u2003\u2003c\u2028d \u00a0\u00a0x", "\u0378 \u1c89"]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_encode_texts_of_every_script(monkeypatch, path):
+    """Only texts with unassigned characters reach the library's encoder."""
+    import random
+
+    rng = random.Random(6)
+    letters = "".join(SCRIPTS) + " \n'st9!"
+    texts = SCRIPTS + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    texts += [a + "<|endoftext|>" + b for a, b in zip(texts[:5], texts[5:10])] + ["<|endoftext|><|endoftext|>"]
+    library = Tokenizer.from_file(path)
+    v = bpe.vocabulary(path)
+    seen = []
+
+    class Library:
+        normalizer = library.normalizer
+
+        def encode(self, text, **how):
+            seen.append(text)
+            return library.encode(text, **how)
+
+    monkeypatch.setattr(v, "_library", Library(), raising=False)
+    ids, ends = bpe.encode_texts(pa.array(texts), v)
+    for i, t in enumerate(texts):
+        assert ids[ends[i] : ends[i + 1]].tolist() == library.encode(t, add_special_tokens=False).ids, t
+    assert seen and all("\u0378" in t or "\u1c89" in t for t in seen)
+
+
+def test_other_tokenizer_files_are_refused(tmp_path):
+    import json
+
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(other))
+
+
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_encode_texts_finds_odd_letters_before_lower_case(path):
     """Letters whose lower case is Latin, each alone in a Latin text."""
@@ -396,3 +437,18 @@ def test_pack(spark):
         assert at <= 2048
     assert len(seqs) <= -(-sum(w[3] for w in want) // 2048) + 1
     assert packing.pack(spark.createDataFrame([], SCHEMA), WORD).count() == 0
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_pack_under_all_limits(spark, rule):
+    seqs = defaultdict(list)
+    for r in packing.pack(docs(spark), WORD, 256, 3, 256.0**2 / 2, rule).collect():
+        seqs[r["sequence_id"]].append((r["offset"], r["length"]))
+    binds = set()
+    for spans in seqs.values():
+        spans.sort()
+        assert [o for o, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))]
+        tokens, cost = sum(n for _, n in spans), sum(n * n for _, n in spans)
+        assert tokens <= 256 and len(spans) <= 3 and cost <= 256**2 / 2
+        binds |= {"docs"} if len(spans) == 3 and tokens < 200 else {"cost"} if len(spans) < 3 and tokens < 250 else set()
+    assert binds == {"docs", "cost"}
