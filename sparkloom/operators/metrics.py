@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import unit_bin
-from sparkloom.operators.stats import midranks
+from sparkloom.operators.stats import midranks, running_sums
 
 
 def confusion(df: DataFrame, y: str, pred: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -57,18 +57,21 @@ def auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
 def curve_points(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
     """(keys, threshold, tp, fp, recall, fpr, precision) at every distinct score, falling."""
     g = df.groupBy(*keys, p).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
-    c = g.withColumns({"tp": F.sum("_tp").over(down), "_all": F.sum("_n").over(down), "_p": F.sum("_tp").over(whole), "_t": F.sum("_n").over(whole)})
+    total = df.groupBy(*keys).agg(F.sum(y).alias("_p"), F.count(F.lit(1)).alias("_t"))
+    c = running_sums(g, p, {"_tp_upto": "_tp", "_n_upto": "_n"}, keys)
+    c = c.join(F.broadcast(total), list(keys)) if keys else c.crossJoin(F.broadcast(total))  # a row a key
+    c = c.withColumns({"tp": F.col("_p") - F.col("_tp_upto") + F.col("_tp"), "_all": F.col("_t") - F.col("_n_upto") + F.col("_n")})
     fp = F.col("_all") - F.col("tp")
     return c.select(*keys, F.col(p).alias("threshold"), "tp", fp.alias("fp"), _div(F.col("tp"), F.col("_p")).alias("recall"), _div(fp, F.col("_t") - F.col("_p")).alias("fpr"), _div(F.col("tp"), F.col("_all")).alias("precision"))
 
 
 def average_precision(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Step-wise area under the precision-recall curve."""
-    c = curve_points(df, y, p, keys)
-    gain = F.col("recall") - F.lag("recall", 1, 0.0).over(Window.partitionBy(*keys).orderBy(F.desc("threshold")))
-    return c.withColumn("_g", gain * F.col("precision")).groupBy(*keys).agg(F.sum("_g").alias("average_precision"))
+    """Step-wise area under the precision-recall curve: each score adds its own rows' share of the positives."""
+    own = df.groupBy(*keys, F.col(p).alias("threshold")).agg(F.sum(y).alias("_own"))
+    total = df.groupBy(*keys).agg(F.sum(y).alias("_pos"))
+    c = curve_points(df, y, p, keys).join(own, [*keys, "threshold"])
+    c = c.join(F.broadcast(total), list(keys)) if keys else c.crossJoin(F.broadcast(total))  # a row a key
+    return c.withColumn("_g", _div(F.col("_own"), F.col("_pos")) * F.col("precision")).groupBy(*keys).agg(F.sum("_g").alias("average_precision"))
 
 
 def probability_scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), eps: float = 1e-6) -> DataFrame:
@@ -117,3 +120,20 @@ def subgroup_errors(df: DataFrame, y: str, pred: Column, masks: Mapping[str, Col
     c = rates(confusion(long, y, F.col("_pred"), ["group"]))
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
     return c.select("group", n.alias("n"), ((F.col("fn") + F.col("tp")) / n).alias("base_rate"), "f1", (F.col("fp") / n).alias("fp_share"), (F.col("fn") / n).alias("fn_share"))
+
+
+def summary(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
+    """One row: the rates at a threshold, and the AUC, from one count by score."""
+    g = df.groupBy(p).agg(F.sum(y).cast("long").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    g = running_sums(g, p, {"_upto": "_n"})
+    flagged = F.col(p) >= threshold
+    mid = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
+    one = g.agg(
+        F.sum(F.when(flagged, F.col("_p")).otherwise(0)).alias("tp"),
+        F.sum(F.when(flagged, F.col("_n") - F.col("_p")).otherwise(0)).alias("fp"),
+        F.sum(F.when(flagged, 0).otherwise(F.col("_p"))).alias("fn"),
+        F.sum(F.when(flagged, 0).otherwise(F.col("_n") - F.col("_p"))).alias("tn"),
+        F.sum(F.col("_p") * mid).alias("_s"),
+    )
+    n1, n0 = (F.col("tp") + F.col("fn")).cast("double"), (F.col("tn") + F.col("fp")).cast("double")
+    return rates(one).withColumn("auc", F.try_divide(F.col("_s") - n1 * (n1 + 1) / 2, n1 * n0)).drop("_s")

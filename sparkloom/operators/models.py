@@ -47,6 +47,7 @@ class Spec:
     scale: bool = False
     weights: bool = True
     cost: int = 1
+    expand: Callable | None = None  # (rows with features, parameters, dimensions) -> rows with other features
 
 
 def _params(p: Mapping, **defaults) -> dict:
@@ -62,6 +63,8 @@ SPECS: dict[str, Spec] = {
         Spec("random_forest", lambda p, n: RandomForestClassifier(numTrees=p.get("n_trees", 40), maxDepth=p.get("max_depth", 8), featureSubsetStrategy=p.get("features", "sqrt"), weightCol="weight", seed=42), [{"name": "n_trees", "type": "int", "low": 20, "high": 100}, {"name": "max_depth", "type": "int", "low": 3, "high": 12}], cost=3),
         Spec("gradient_boosting", lambda p, n: GBTClassifier(maxIter=p.get("rounds", 30), maxDepth=p.get("max_depth", 4), stepSize=p.get("rate", 0.1), subsamplingRate=p.get("subsample", 1.0), weightCol="weight", seed=42), [{"name": "rounds", "type": "int", "low": 20, "high": 100}, {"name": "rate", "type": "float", "low": 0.01, "high": 0.3, "log": True}], cost=4),
         Spec("linear_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}], scale=True, cost=2),
+        # the kernel machine: a linear one on random Fourier features
+        Spec("rbf_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "gamma", "type": "float", "low": 0.01, "high": 1, "log": True}], scale=True, cost=3, expand=lambda df, p, dims: fourier_features(df, "features", dims, p.get("gamma", 1 / dims), p.get("count", 64), output="features")),
     )
 }
 TECHNIQUES = ("none", "class_weight", "smote", "adasyn")
@@ -106,10 +109,11 @@ class Fitted:
 
     prepare: PipelineModel
     model: object
+    expand: Callable[[DataFrame], DataFrame] = lambda df: df
 
     def transform(self, df: DataFrame, p: str = "p") -> DataFrame:
         """``df`` with the score of class 1."""
-        out = self.model.transform(self.prepare.transform(df))
+        out = self.model.transform(self.expand(self.prepare.transform(df)))
         # a model fitted on one class has one probability, that of class 0
         raw = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)) if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
         return out.withColumn(p, raw).select(*df.columns, p)
@@ -128,12 +132,17 @@ def fit(train: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[
         arrays = ready.select(id_col, "label", vector_to_array("features").alias("x"))
         made = (splits.smote if technique == "smote" else splits.adasyn)(arrays, id_col, "x", "label")
         ready = made.select("label", array_to_vector("x").alias("features"))
-    ready = weighted(ready, "label", technique).persist()
+    expand = lambda df: df
+    if spec.expand:
+        first = ready.select(F.size(vector_to_array("features"))).first()
+        dims, chosen = (first[0] if first else 1), dict(params or {})
+        expand = lambda df: spec.expand(df, chosen, dims)
+    ready = weighted(expand(ready), "label", technique).persist()
     try:
         model_ = spec.factory(dict(params or {}), ready.count()).fit(ready)
     finally:
         ready.unpersist()
-    return Fitted(prepare, model_)
+    return Fitted(prepare, model_, expand)
 
 
 def knn_vote(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k: int, p: int = 2, weights: str = "uniform", balanced: bool = True) -> DataFrame:

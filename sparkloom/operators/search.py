@@ -129,3 +129,18 @@ def optimise(method: str, specs: Sequence[Mapping], score: Score, **options) ->
     if method not in OPTIMISERS:
         raise ValueError(f"unknown method {method}; known: {sorted(OPTIMISERS)}")
     return OPTIMISERS[method](specs, score, **options)
+
+
+def _foxholes(x: Sequence[float]) -> float:
+    grid = (-32.0, -16.0, 0.0, 16.0, 32.0)
+    return 1 / (0.002 + sum(1 / (j + 1 + (x[0] - grid[j % 5]) ** 6 + (x[1] - grid[j // 5]) ** 6) for j in range(25)))
+
+
+#: De Jong's five functions as (low, high, dimensions, value); the quartic's noise is left out.
+TEST_FUNCTIONS: dict[str, tuple[float, float, int, Callable[[Sequence[float]], float]]] = {
+    "sphere": (-5.12, 5.12, 3, lambda x: sum(v * v for v in x)),
+    "rosenbrock": (-2.048, 2.048, 2, lambda x: 100 * (x[0] ** 2 - x[1]) ** 2 + (1 - x[0]) ** 2),
+    "steps": (-5.12, 5.12, 5, lambda x: 30 + sum(math.floor(v) for v in x)),
+    "quartic": (-1.28, 1.28, 30, lambda x: sum((i + 1) * v**4 for i, v in enumerate(x))),
+    "foxholes": (-65.536, 65.536, 2, _foxholes),
+}

@@ -17,7 +17,20 @@ def hash_key(id_col: str, seed: int | str) -> Column:
 
 
 def hash_rank(df: DataFrame, id_col: str, seed, keys: Sequence[str] = (), name: str = "_rank") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(hash_key(id_col, seed), id_col)))
+    """The place of each row among those of its keys in the order of a hash.
+
+    Rows are dealt by the hash's first two digits, ranked within each of the 256 parts, and the sizes of the parts
+    before (256 rows a key) are added, so that no task sorts a whole class."""
+    own = [f"_key_{i}" for i in range(len(keys))]
+    dealt = df.withColumn("_h", hash_key(id_col, seed)).withColumn("_part", F.substring("_h", 1, 2))
+    inside = F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h", id_col))
+    sizes = dealt.groupBy(*[F.col(k).alias(o) for k, o in zip(keys, own)], F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*own).orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    same = F.col("_part") == F.col("_of")
+    for k, o in zip(keys, own):
+        same = same & F.col(k).eqNullSafe(F.col(o))
+    return dealt.withColumn("_in", inside).join(sizes, same).select(*df.columns, (F.col("_in") + F.col("_before")).alias(name))
 
 
 def stratified_folds(df: DataFrame, id_col: str, y: str, k: int, seed: int = 42) -> DataFrame:
@@ -25,19 +38,24 @@ def stratified_folds(df: DataFrame, id_col: str, y: str, k: int, seed: int = 42)
     return hash_rank(df, id_col, seed, [y]).withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank")
 
 
+def class_sizes(df: DataFrame, y: str) -> DataFrame:
+    """(_class, _n): one row per class."""
+    return df.groupBy(F.col(y).alias("_class")).agg(F.count(F.lit(1)).alias("_n"))
+
+
 def stratified_sample(df: DataFrame, id_col: str, y: str, fraction: float, seed: int = 42) -> DataFrame:
     """round(fraction * n) rows of every class; all rows at fraction >= 1."""
     if fraction >= 1:
         return df
-    size = F.count(F.lit(1)).over(Window.partitionBy(y))
-    return hash_rank(df, id_col, seed, [y]).withColumn("_n", size).filter(F.col("_rank") <= F.round(F.col("_n") * fraction)).drop("_rank", "_n")
+    ranked = hash_rank(df, id_col, seed, [y]).join(F.broadcast(class_sizes(df, y)), F.col(y).eqNullSafe(F.col("_class")))  # one row per class
+    return ranked.filter(F.col("_rank") <= F.round(F.col("_n") * fraction)).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, id_col: str, y: str, test: float, seed: int = 42) -> DataFrame:
     """``part`` is "test" for round(test * n) rows of every class, else "train"."""
-    size = F.count(F.lit(1)).over(Window.partitionBy(y))
     part = F.when(F.col("_rank") <= F.round(F.col("_n") * test), "test").otherwise("train")
-    return hash_rank(df, id_col, seed, [y]).withColumn("_n", size).withColumn("part", part).drop("_rank", "_n")
+    ranked = hash_rank(df, id_col, seed, [y]).join(F.broadcast(class_sizes(df, y)), F.col(y).eqNullSafe(F.col("_class")))  # one row per class
+    return ranked.select(*df.columns, part.alias("part"))
 
 
 def label_noise(df: DataFrame, id_col: str, y: str, rate: float, seed: int = 42) -> DataFrame:
@@ -91,18 +109,21 @@ def bootstrap_weights(df: DataFrame, id_col: str, rounds: int, seed: int = 42) -
         acc += term
         cuts.append(acc)
         term /= i + 1
-    u = (F.pmod(F.xxhash64(F.col(id_col), F.col("round"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53))
+    u = _unit(F.col(id_col), F.col("round"), F.lit(seed))
     weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
     return df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("weight", weight).filter("weight > 0")
 
 
 def _unit(*parts) -> Column:
-    return F.pmod(F.xxhash64(*parts), F.lit(1 << 53)) / float(1 << 53)
+    """A number in [0, 1) from the MD5 of the parts: the same in any engine."""
+    digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)
+    return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
 def smote(df: DataFrame, id_col: str, x: str, y: str, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
-    """Original and synthetic rows (x, y, synthetic) with classes of equal size: each synthetic row lies between a
-    minority row and one of its k nearest minority rows."""
+    """Original and synthetic rows (x, y, synthetic) with classes of exactly equal size: each synthetic row lies between
+    a minority row and one of its k nearest minority rows. Every minority row makes as many, and those with the
+    smallest hashes one more."""
     sizes = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     few = sizes.get(minority, 0)
     many = max((n for c, n in sizes.items() if c != minority), default=0)
@@ -111,15 +132,16 @@ def smote(df: DataFrame, id_col: str, x: str, y: str, minority: int = 1, k: int
         return base
     rows = df.filter(F.col(y) == minority)
     near = knn(rows, rows, id_col, id_col, x, x, safe_neighbours(few, k))
-    return base.unionByName(_between(rows, near, id_col, x, F.lit((many - few) / few), minority, y, seed))
+    each, rest = divmod(many - few, few)
+    more = rows.select(id_col, hash_key(id_col, seed).alias("_h")).orderBy("_h", id_col).limit(rest).select(id_col, F.lit(1).alias("_more"))
+    counted = rows.join(more, id_col, "left").withColumn("_count", F.lit(each) + F.coalesce("_more", F.lit(0)))
+    return base.unionByName(_between(counted, near, id_col, x, minority, y, seed))
 
 
-def _between(rows: DataFrame, near: DataFrame, id_col: str, x: str, per_row: Column, label: int, y: str, seed: int) -> DataFrame:
-    """``per_row`` synthetic rows (a fraction by a hash draw) from each row towards hash-chosen neighbours."""
-    share = per_row - F.floor(per_row)
-    count = (F.floor(per_row) + (_unit(F.col(id_col), F.lit(seed), F.lit("n")) < share).cast("int")).cast("int")
+def _between(rows: DataFrame, near: DataFrame, id_col: str, x: str, label: int, y: str, seed: int) -> DataFrame:
+    """``_count`` synthetic rows from each row towards hash-chosen neighbours."""
     hood = near.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))).alias("_near"))  # k entries
-    made = rows.join(hood, id_col).withColumn("_count", count).filter("_count > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_count"))))
+    made = rows.join(hood, id_col).filter("_count > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_count"))))
     pick = F.floor(_unit(F.col(id_col), F.col("_i"), F.lit(seed), F.lit("k")) * F.size("_near")).cast("int")
     made = made.withColumn("_to", F.element_at("_near", pick + 1)["neighbour"]).withColumn("_u", _unit(F.col(id_col), F.col("_i"), F.lit(seed), F.lit("u")))
     other = rows.select(F.col(id_col).alias("_to"), F.col(x).alias("_x2"))
@@ -127,7 +149,8 @@ def _between(rows: DataFrame, near: DataFrame, id_col: str, x: str, per_row: Col
 
 
 def adasyn(df: DataFrame, id_col: str, x: str, y: str, minority: int = 1, k: int = 5, seed: int = 42) -> DataFrame:
-    """Like :func:`smote`, with more synthetic rows where more of a row's k nearest rows are of other classes."""
+    """Like :func:`smote`, with more synthetic rows where more of a row's k nearest rows are of other classes: each row
+    makes its rounded share of what the minority lacks (so the sum may differ from it by the rounding)."""
     sizes = {r[y]: r["n"] for r in df.groupBy(y).agg(F.count(F.lit(1)).alias("n")).collect()}
     few = sizes.get(minority, 0)
     many = max((n for c, n in sizes.items() if c != minority), default=0)
@@ -136,13 +159,13 @@ def adasyn(df: DataFrame, id_col: str, x: str, y: str, minority: int = 1, k: int
         return base
     rows, kk = df.filter(F.col(y) == minority), safe_neighbours(few, k)
     mixed = knn(rows, df, id_col, id_col, x, x, kk, extra=[y])
-    hard = mixed.groupBy(id_col).agg(F.avg((F.col(y) != minority).cast("double")).alias("_r"))
-    total = hard.agg(F.sum("_r")).first()[0] or 0.0
+    hard = mixed.groupBy(id_col).agg(F.count_if(F.col(y) != minority).alias("_others"))
+    total = hard.agg(F.sum("_others")).first()[0] or 0
     if total == 0:
         return base
     near = knn(rows, rows, id_col, id_col, x, x, kk)
-    weighted = rows.join(hard, id_col)
-    return base.unionByName(_between(weighted, near, id_col, x, F.col("_r") * ((many - few) / total), minority, y, seed))
+    counted = rows.join(hard, id_col).withColumn("_count", F.round(F.col("_others") * (many - few) / total).cast("int"))
+    return base.unionByName(_between(counted, near, id_col, x, minority, y, seed))
 
 
 def grid_values(spec: Mapping, points: int) -> list:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,7 +64,11 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(splits.class_weights(scored(spark, sf), "y"), "balanced", "ratio")
 
 
-@query()
+CUTS = [sum(1 / math.factorial(j) for j in range(i + 1)) / math.e for i in range(12)]
+UNIT = "CAST(concat('0x', substr(md5(concat_ws(':', id, r, 42)), 1, 13)) AS BIGINT) / 4503599627370496.0"
+
+
+@query(f"WITH {SCORED_SQL}, u AS (SELECT r, {UNIT} AS u FROM scored, range(0, 20) t(r)), w AS (SELECT r, {' + '.join(f'(u > {c!r})::INT' for c in CUTS)} AS weight FROM u) SELECT CAST(r AS INTEGER) AS round, sum(weight)::BIGINT AS draws, count(*) AS rows, max(weight) AS most FROM w WHERE weight > 0 GROUP BY 1")
 def bootstrap_weights(spark: SparkSession, sf: str) -> DataFrame:
     w = splits.bootstrap_weights(scored(spark, sf).select("id", "y"), "id", 20)
     return w.groupBy("round").agg(F.sum("weight").alias("draws"), F.count(F.lit(1)).alias("rows"), F.max("weight").alias("most"))
@@ -311,13 +317,20 @@ def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joins.knn(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "embedding", 5, extra=["label"]), "distance")
 
 
-@query()
+FEW = "e AS (SELECT vec_id, embedding, CAST(label = 0 AS INTEGER) AS y FROM embeddings), c AS (SELECT y, count(*) AS n FROM e GROUP BY 1), s AS (SELECT max(n) FILTER (y = 1) AS n1, max(n) FILTER (y = 0) AS n0 FROM c)"
+
+
+@query(f"WITH {FEW} SELECT y, false AS synthetic, n FROM c UNION ALL SELECT 1, true, n0 - n1 FROM s WHERE n0 > n1 AND n1 > 1")
 def smote_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
     return splits.smote(e, "vec_id", "embedding", "y").groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"WITH {FEW}, d AS (SELECT q.vec_id, t.y, row_number() OVER (PARTITION BY q.vec_id ORDER BY sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 FOR x IN list_zip(q.embedding, t.embedding)])), t.vec_id) AS rank FROM e q, e t WHERE q.y = 1 AND t.vec_id <> q.vec_id), "
+    "h AS (SELECT vec_id, count(*) FILTER (y <> 1) AS others FROM d, s WHERE rank <= greatest(1, least(5, n1 - 1)) GROUP BY 1), g AS (SELECT sum(round(others * (n0 - n1) / (SELECT sum(others) FROM h)))::BIGINT AS n FROM h, s WHERE n0 > n1) "
+    "SELECT y, false AS synthetic, n FROM c UNION ALL SELECT 1, true, n FROM g WHERE n > 0"
+)
 def adasyn_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
     return splits.adasyn(e, "vec_id", "embedding", "y").groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))

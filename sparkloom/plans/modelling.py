@@ -30,9 +30,9 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_partkey").alias("id"), "q", "t", "d", (F.col("price") > 53000).cast("int").alias("y"))
 
 
-def _report(scored_rows: DataFrame) -> DataFrame:
-    m = metrics.rates(metrics.confusion(scored_rows, "y", X.at_least("p", 0.5))).select("accuracy", "f1")
-    return m.crossJoin(metrics.auc(scored_rows, "y", "p").select("auc"))  # one row each
+def report(scored_rows: DataFrame) -> DataFrame:
+    """One row: accuracy, F1 and AUC, from one pass over the scored rows."""
+    return metrics.summary(scored_rows.select("y", "p"), "y", "p").select("accuracy", "f1", "auc")
 
 
 @query(f"WITH {CUSTOMER}, tr AS (SELECT * FROM cust WHERE id % 5 <> 0), s AS (SELECT y, avg(n_orders) AS m1, var_pop(n_orders) AS v1, avg(total) AS m2, var_pop(total) AS v2 FROM tr GROUP BY 1), e AS (SELECT 1e-9 * greatest(var_pop(n_orders), var_pop(total)) AS e FROM tr), l AS (SELECT id, s.y, -0.5 * (ln(2 * pi() * (v1 + e)) + (n_orders - m1) ** 2 / (v1 + e)) - 0.5 * (ln(2 * pi() * (v2 + e)) + (total - m2) ** 2 / (v2 + e)) AS l FROM cust, s, e WHERE id % 5 = 0) SELECT id, round(1 / (1 + exp(max(CASE WHEN y = 0 THEN l END) - max(CASE WHEN y = 1 THEN l END))), 6) AS p FROM l GROUP BY 1")
@@ -41,20 +41,30 @@ def gaussian_nb_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(models.gaussian_nb(c.filter("id % 5 <> 0"), c.filter("id % 5 = 0"), "id", "y", ["n_orders", "total"]), "p")
 
 
-@query()
+KNN_VOTES = (
+    "WITH e AS (SELECT vec_id, embedding, CAST(label = 0 AS INTEGER) AS y FROM embeddings), tr AS (SELECT * FROM e WHERE vec_id % 10 <> 0), "
+    "d AS (SELECT q.vec_id, t.vec_id AS other, t.y, sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 FOR x IN list_zip(q.embedding, t.embedding)])) AS d FROM e q, tr t WHERE q.vec_id % 10 = 0), "
+    "n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, other) AS rank FROM d) WHERE rank <= 7), "
+    "w AS (SELECT y, (SELECT count(*) FROM tr) / (2.0 * count(*)) AS balanced FROM tr GROUP BY 1), v AS (SELECT vec_id, y, balanced * CASE WHEN d > 0 THEN 1 / d ELSE 1e12 END AS v FROM n JOIN w USING (y)) "
+    "SELECT vec_id, round(sum(CASE WHEN y = 1 THEN v ELSE 0 END) / sum(v), 6) AS p FROM v GROUP BY 1"
+)
+
+
+@query(KNN_VOTES)
 def knn_votes(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
-    return models.knn_vote(e.filter("vec_id % 10 <> 0"), e.filter("vec_id % 10 = 0"), "vec_id", "embedding", "y", 7, weights="distance")
+    return rounded(models.knn_vote(e.filter("vec_id % 10 <> 0"), e.filter("vec_id % 10 = 0"), "vec_id", "embedding", "y", 7, weights="distance"), "p")
 
 
 @query()
 def classifier_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
+    """Six models with small settings (10 trees, 5 boosting rounds) on one split, which is computed once."""
+    rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25).persist()
     train, test = rows.filter("part = 'train'").drop("part"), rows.filter("part = 'test'").drop("part")
     out = None
     for name in ("logistic_regression", "naive_bayes", "decision_tree", "random_forest", "gradient_boosting", "linear_svm"):
         params = {"n_trees": 10, "rounds": 5}
-        part = _report(models.fit(train, "y", ["q", "t", "d"], [], name, params, "class_weight").transform(test)).withColumn("model", F.lit(name))
+        part = report(models.fit(train, "y", ["q", "t", "d"], [], name, params, "class_weight").transform(test)).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -104,7 +114,7 @@ def genetic_benchmark(spark: SparkSession, sf: str) -> DataFrame:
 def oblique_forest(spark: SparkSession, sf: str) -> DataFrame:
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
     forest = oblique.fit_forest(rows.filter("part = 'train'"), "id", "y", ["q", "t", "d"], trees=16, q=2, max_depth=6)
-    out = _report(forest.transform(rows.filter("part = 'test'")))
+    out = report(forest.transform(rows.filter("part = 'test'")))
     return out.withColumn("oblique_share", F.lit(forest.oblique_share()))
 
 
@@ -141,6 +151,27 @@ def importance_stability(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.stability(attribution.importance(values, ["fold"]), "fold", [0, 1], 2)
 
 
+@query()
+def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """Genetic against random search on five test functions (sphere, Rosenbrock, steps, noisy quartic, foxholes), ten
+    seeds and two budgets, a task for each: the best value found and the evaluations spent."""
+    import pandas as pd
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        name, seed, size, generations = (pdf[c].iloc[0] for c in ("function", "seed", "size", "generations"))
+        low, high, dims, value = search.TEST_FUNCTIONS[name]
+        specs = [{"name": f"x{i}", "type": "float", "low": low, "high": high} for i in range(dims)]
+        score = lambda p, share: -value([p[f"x{i}"] for i in range(dims)])
+        ga = search.genetic(specs, score, int(size), int(generations), seed=int(seed))
+        rs = search.randomised(specs, score, len(ga), int(seed))
+        return pd.DataFrame({"function": [name], "seed": [seed], "size": [size], "evaluations": [len(ga)], "genetic": [-max(t["score"] for t in ga)], "random": [-max(t["score"] for t in rs)]})
+
+    runs = spark.range(10).select(F.col("id").cast("int").alias("seed"), F.explode(F.array(*[F.lit(n) for n in search.TEST_FUNCTIONS])).alias("function"))
+    runs = runs.withColumn("budget", F.explode(F.array(F.struct(F.lit(16).alias("size"), F.lit(10).alias("generations")), F.struct(F.lit(50).alias("size"), F.lit(50).alias("generations"))))).select("seed", "function", "budget.*")
+    out = runs.groupBy("function", "seed", "size").applyInPandas(run, "function string, seed int, size int, evaluations int, genetic double, random double")
+    return out.groupBy("function", "size").agg(F.median("genetic").alias("genetic"), F.median("random").alias("random"), F.max("evaluations").alias("evaluations"), F.count(F.lit(1)).alias("seeds"))
+
+
 @query()
 def synthetic_rows(spark: SparkSession, sf: str) -> DataFrame:
     from sparkloom.sources.tables import synthetic
@@ -148,7 +179,10 @@ def synthetic_rows(spark: SparkSession, sf: str) -> DataFrame:
     return synthetic(spark, 2000).groupBy("target", "SEX", "EDUCATION").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+HOLES = " + ".join(f"1.0 / ({j + 1} + pow(a - ({(j % 5 - 2) * 16}), 6) + pow(b - ({(j // 5 - 2) * 16}), 6))" for j in range(25))
+
+
+@query(f"SELECT vec_id, round(1.0 / (0.002 + {HOLES}), 6) AS value FROM (SELECT vec_id, embedding[1]::DOUBLE * 32 AS a, embedding[2]::DOUBLE * 32 AS b FROM embeddings)")
 def foxhole_values(spark: SparkSession, sf: str) -> DataFrame:
     v = read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda e: e.cast("double") * 32).alias("x"))
-    return v.select("vec_id", X.foxholes("x").alias("value"))
+    return rounded(v.select("vec_id", X.foxholes("x").alias("value")), "value")

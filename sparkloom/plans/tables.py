@@ -348,10 +348,10 @@ def cost_to_target(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins, sets, reshapes
 
 
-@query("SELECT d.c_custkey, d.c_mktsegment FROM customer d WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = d.c_custkey AND o_totalprice > 100000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = d.c_custkey AND o_orderstatus = 'P')")
+@query("SELECT d.c_custkey, d.c_mktsegment FROM customer d WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = d.c_custkey AND o_totalprice > 250000) AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = d.c_custkey AND o_orderstatus = 'P')")
 def pending_plan(spark: SparkSession, sf: str) -> DataFrame:
     o = read(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey")
-    return joins.pending(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), [o.filter("o_totalprice > 100000"), o.filter("o_orderstatus = 'P'")], ["c_custkey"])
+    return joins.pending(read(spark, sf, "customer").select("c_custkey", "c_mktsegment"), [o.filter("o_totalprice > 250000"), o.filter("o_orderstatus = 'P'")], ["c_custkey"])
 
 
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'F'")
