@@ -33,7 +33,7 @@ from sparkloom.llm.components import components
 
 #: Least and most bits of the frequency sketch's bucket numbers (it only orders tokens: any order gives the same
 #: links), shingles that a bucket should hold, and buckets that travel as one row.
-SKETCH_BITS, MOST_BITS, BUCKET_SHINGLES = 20, 24, 64
+SKETCH_BITS, MOST_BITS, BUCKET_SHINGLES = 20, 22, 512
 CHUNK = 1 << 12
 MAX_MATCH = 3
 SMALL_LIST = 32
