@@ -145,8 +145,9 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", n.alias("n_chars"))
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, buckets: int, held: int, limit: int) -> DataFrame:
-    """At most about ``limit`` rows of each class with a non-null label outside the held-out fold.
+def sample_labelled(labels: DataFrame, label: str, buckets: int, held: int, limit: int) -> DataFrame:
+    """(doc_id, y): at most ``limit`` rows of each class with a non-null label outside the held-out fold, few enough to
+    be broadcast, so that texts are filtered where they are read.
 
     The rows are those with the smallest hash of the id; labels repeated for an id count once (the largest).
     """
@@ -156,13 +157,12 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, label: str, buckets: int
     for value in (0, 1):
         part = known.filter(F.col("y") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
         rows = part if rows is None else rows.unionByName(part)
-    picked = F.broadcast(rows)  # at most 2 * limit rows of 12 bytes
-    return docs.join(picked, "doc_id")
+    return F.broadcast(rows)  # at most 2 * limit rows of 12 bytes
 
 
 def train(docs: DataFrame, labels: DataFrame, buckets: int = 3, held: int = 1, max_train: int = MAX_TRAIN) -> FactorisationMachine:
     """Fit on a bounded labelled sample; the tasks extract the features, the driver gets their sparse rows."""
-    cols = _prepared(docs).join(sample_labelled(docs.select("doc_id"), labels, "quality", buckets, held, max_train).distinct(), "doc_id")
+    cols = _prepared(docs).join(sample_labelled(labels, "quality", buckets, held, max_train), "doc_id")
 
     def extract(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text"):

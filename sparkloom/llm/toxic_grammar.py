@@ -280,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, buckets: int = 4, held: int = 2, m
     Words and stems are counted by Spark; the lexicon (``LEXICON`` entries) comes from two thirds of the sample and
     the clause weights from the other third, so that the weights are not fitted to words learned by heart.
     """
-    picked = docs.select("doc_id", "text").join(sample_labelled(docs.select("doc_id"), labels, "toxic", buckets, held, max_train).distinct(), "doc_id")
+    picked = docs.select("doc_id", "text").join(sample_labelled(labels, "toxic", buckets, held, max_train), "doc_id")
     picked = picked.withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(3)).cast("int"))
     known = labels.filter(F.col("toxic").isin(0, 1)).filter(fold_of("doc_id", buckets) != held)
     share = known.agg(F.avg("toxic")).first()[0]
