@@ -14,47 +14,69 @@ from sparkloom.operators.comparison import spearman
 Predict = Callable[[np.ndarray], np.ndarray]
 
 
+#: Cells of one prediction step: rows are taken so many at a time that rows x background x columns stay below it.
+STEP_CELLS = 1 << 20
+
+
+def _rows(it: Iterator[pd.DataFrame], id_col: str, names: Sequence[str], per_row: int) -> Iterator[tuple[pd.Series, np.ndarray]]:
+    """(ids, matrix) of slices of the batches for which a step of ``per_row`` predictions a row stays small."""
+    size = max(1, STEP_CELLS // max(1, per_row * len(names)))
+    for pdf in it:
+        for at in range(0, len(pdf), size):
+            part = pdf.iloc[at : at + size]
+            yield part[id_col], part[list(names)].to_numpy(float)
+
+
+def _long(ids: pd.Series, id_col: str, names: Sequence[str], value: np.ndarray, **more: np.ndarray) -> pd.DataFrame:
+    k = len(names)
+    return pd.DataFrame({id_col: ids.repeat(k).to_numpy(), "feature": np.tile(np.array(names, object), len(ids)), "value": value.ravel(), **{n: np.repeat(v, k) for n, v in more.items()}})
+
+
 def shapley(df: DataFrame, id_col: str, cols: Sequence[str], predict: Predict, background: np.ndarray, permutations: int = 8, seed: int = 42) -> DataFrame:
-    """(id, feature, value, base, score): contributions that add up to score - base, over antithetic permutations."""
+    """(id, feature, value, base, score): contributions that add up to score - base, over antithetic permutations.
+
+    All rows follow the same permutations, so that a step predicts many rows at once and no result depends on how
+    rows are dealt."""
     names = list(cols)
+    rng = np.random.default_rng(seed)
+    orders = [o for _ in range(permutations) for p in [rng.permutation(len(names))] for o in (p, p[::-1])]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        base = float(predict(background).mean())
-        for pdf in it:
-            out = []
-            for row_id, x in zip(pdf[id_col], pdf[names].to_numpy(float)):
-                rng = np.random.default_rng([seed, abs(hash(int(row_id))) % (1 << 32)])
-                phi = np.zeros(len(names))
-                orders = [o for _ in range(permutations) for p in [rng.permutation(len(names))] for o in (p, p[::-1])]
-                for order in orders:
-                    work = np.repeat(background[None], len(names) + 1, 0)
-                    for i, f in enumerate(order):
-                        work[i + 1 :, :, f] = x[f]
-                    means = predict(work.reshape(-1, len(names))).reshape(len(names) + 1, -1).mean(1)
-                    phi[order] += np.diff(means)
-                out.append(pd.DataFrame({id_col: row_id, "feature": names, "value": phi / len(orders), "base": base, "score": float(predict(x[None])[0])}))
-            if out:
-                yield pd.concat(out)
+        base, b = float(predict(background).mean()), len(background)
+        for ids, x in _rows(it, id_col, names, b):
+            score = predict(x)
+            phi = np.zeros(x.shape)
+            for order in orders:
+                work = np.repeat(background[None], len(x), 0)
+                before = np.full(len(x), base)
+                for f in order:
+                    work[:, :, f] = x[:, f, None]
+                    now = predict(work.reshape(-1, len(names))).reshape(len(x), b).mean(1)
+                    phi[:, f] += now - before
+                    before = now
+            yield _long(ids, id_col, names, phi / len(orders), base=np.full(len(x), base), score=score)
 
     return df.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, feature string, value double, base double, score double")
 
 
+def additivity(values: DataFrame, id_col: str) -> DataFrame:
+    """One row: the largest and mean gap between a row's summed attributions and its score above the base."""
+    gap = values.groupBy(id_col).agg(F.abs(F.sum("value") - (F.first("score") - F.first("base"))).alias("gap"))
+    return gap.agg(F.max("gap").alias("worst_gap"), F.avg("gap").alias("mean_gap"), F.count(F.lit(1)).alias("n"))
+
+
 def lime(df: DataFrame, id_col: str, cols: Sequence[str], predict: Predict, scale: np.ndarray, samples: int = 300, ridge: float = 1e-3, seed: int = 42) -> DataFrame:
-    """(id, feature, value): weights of a local linear fit to scores around the row."""
+    """(id, feature, value): weights of a local linear fit to scores around the row (the same draws around each)."""
     names = list(cols)
+    z = np.random.default_rng(seed).normal(size=(samples, len(names)))
+    w = np.exp(-(z**2).sum(1) / (2 * 0.75**2 * len(names)))
+    a = np.c_[np.ones(samples), z]
+    solve = np.linalg.solve((a * w[:, None]).T @ a + ridge * np.eye(a.shape[1]), (a * w[:, None]).T)
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for row_id, x in zip(pdf[id_col], pdf[names].to_numpy(float)):
-                rng = np.random.default_rng([seed, abs(hash(int(row_id))) % (1 << 32)])
-                z = rng.normal(size=(samples, len(names)))
-                w = np.exp(-(z**2).sum(1) / (2 * 0.75**2 * len(names)))
-                a = np.c_[np.ones(samples), z]
-                coef = np.linalg.solve((a * w[:, None]).T @ a + ridge * np.eye(a.shape[1]), (a * w[:, None]).T @ predict(x + z * scale))
-                out.append(pd.DataFrame({id_col: row_id, "feature": names, "value": coef[1:]}))
-            if out:
-                yield pd.concat(out)
+        for ids, x in _rows(it, id_col, names, samples):
+            near = predict((x[:, None] + z * scale).reshape(-1, len(names))).reshape(len(x), samples)
+            yield _long(ids, id_col, names, (near @ solve.T)[:, 1:])
 
     return df.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, feature string, value double")
 
@@ -67,22 +89,19 @@ def grouped_shapley(df: DataFrame, id_col: str, groups: dict[str, Sequence[str]]
     names, keys = list(cols), list(groups)
     index = {k: [names.index(c) for c in groups[k]] for k in keys}
     n = len(keys)
+    sets = [s for r in range(n + 1) for s in combinations(range(n), r)]
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in it:
-            out = []
-            for row_id, x in zip(pdf[id_col], pdf[names].to_numpy(float)):
-                value = {}
-                for r in range(n + 1):
-                    for s in combinations(range(n), r):
-                        work = background.copy()
-                        for g in s:
-                            work[:, index[keys[g]]] = x[index[keys[g]]]
-                        value[s] = float(predict(work).mean())
-                phi = [sum(factorial(len(s)) * factorial(n - len(s) - 1) / factorial(n) * (value[tuple(sorted((*s, g)))] - value[s]) for s in value if g not in s) for g in range(n)]
-                out.append(pd.DataFrame({id_col: row_id, "feature": keys, "value": phi}))
-            if out:
-                yield pd.concat(out)
+        for ids, x in _rows(it, id_col, names, len(background)):
+            value = {}
+            for s in sets:
+                work = np.repeat(background[None], len(x), 0)
+                for g in s:
+                    work[:, :, index[keys[g]]] = x[:, None, index[keys[g]]]
+                value[s] = predict(work.reshape(-1, len(names))).reshape(len(x), -1).mean(1)
+            share = lambda s: factorial(len(s)) * factorial(n - len(s) - 1) / factorial(n)
+            phi = np.stack([sum(share(s) * (value[tuple(sorted((*s, g)))] - value[s]) for s in sets if g not in s) for g in range(n)], 1)
+            yield _long(ids, id_col, keys, phi)
 
     return df.select(id_col, *[F.col(c).cast("double").alias(c) for c in names]).mapInPandas(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, feature string, value double")
 
@@ -111,8 +130,9 @@ def stability(by_fold: DataFrame, fold: str, folds: Sequence, k: int) -> DataFra
 
 
 def agreement(a: DataFrame, b: DataFrame, id_col: str, k: int) -> DataFrame:
-    """Per row: overlap of the k features of largest size, and share of features with equal sign."""
+    """Per row: overlap of the k features of largest size, share of features with equal sign, and Spearman's rho of the
+    sizes (null for a single feature)."""
     both = a.select(id_col, "feature", F.col("value").alias("va")).join(b.select(id_col, "feature", F.col("value").alias("vb")), [id_col, "feature"])
     for c in ("va", "vb"):
         both = both.withColumn(f"r{c}", F.row_number().over(Window.partitionBy(id_col).orderBy(F.desc(F.abs(c)), "feature")))
-    return both.groupBy(id_col).agg((F.count_if((F.col("rva") <= k) & (F.col("rvb") <= k)) / k).alias("top_overlap"), F.avg((F.signum("va") == F.signum("vb")).cast("int")).alias("sign_agreement"))
+    return both.groupBy(id_col).agg((F.count_if((F.col("rva") <= k) & (F.col("rvb") <= k)) / k).alias("top_overlap"), F.avg((F.signum("va") == F.signum("vb")).cast("int")).alias("sign_agreement"), F.try_divide(F.covar_pop("rva", "rvb"), F.stddev_pop("rva") * F.stddev_pop("rvb")).alias("rho"))

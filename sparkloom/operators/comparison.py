@@ -84,6 +84,14 @@ def nemenyi(df: DataFrame, block: str, treatment: str, value: str) -> DataFrame:
     return a.join(F.broadcast(b), F.col("a") < F.col("b")).withColumn("p", tail(F.col("rank_a") - F.col("rank_b"), F.col("n"))).drop("n")  # treatments are few
 
 
+def factor_comparison(df: DataFrame, block: str, level: str, value: str, alpha: float = 0.05) -> DataFrame:
+    """One row: levels, blocks, Friedman's chi2 with p, the critical difference of mean ranks, and whether it could
+    separate any levels at all (mean ranks differ by at most one less than the levels)."""
+    test = friedman(df, block, level, value).first()
+    cd = critical_difference(test["treatments"], test["blocks"], alpha)
+    return df.sparkSession.createDataFrame([(test["treatments"], test["blocks"], test["chi2"], test["p"], cd, cd < test["treatments"] - 1)], "levels long, blocks long, chi2 double, p double, cd double, powered boolean")
+
+
 def cd_groups(ranks: DataFrame, name: str, rank: str, cd: float) -> DataFrame:
     """(first, last, size) of the maximal runs of ranked treatments that the critical difference doesn't separate."""
     order = ranks.withColumn("_i", F.row_number().over(Window.orderBy(rank, name)))  # one row per treatment

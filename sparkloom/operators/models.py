@@ -212,22 +212,53 @@ def nested_cv(df: DataFrame, y: str, id_col: str, outer: int, candidates: Sequen
     return cross_validate(rows, y, "fold", range(outer), one), traces
 
 
-def run_plan(plan: DataFrame, key: Sequence[str], done_path: str, run: Callable[[Mapping], Mapping], schema: str) -> DataFrame:
+def run_plan(plan: DataFrame, key: Sequence[str], done_path: str, run: Callable[[Mapping], Mapping], schema: str, timeout: float | None = None, skip: Callable[[Mapping], str | None] | None = None) -> DataFrame:
     """Run what ``done_path`` (parquet) lacks, appending one row per finished combination; errors become rows with
-    ``error`` and aren't tried again. Returns the whole table."""
+    ``error`` and aren't tried again. ``skip`` may name a reason not to run a combination, which is logged as its
+    error; one that takes longer than ``timeout`` seconds has its Spark jobs cancelled. Returns the whole table."""
     spark = plan.sparkSession
     done = read_or_empty(spark, done_path, schema)
     names = done.columns
     for row in plan.join(done.select(*key), list(key), "left_anti").orderBy(*key).collect():  # a plan of combinations
         combo = {k: row[k] for k in key}
+        reason = skip(combo) if skip else None
         try:
-            result = {**combo, **run(combo), "error": None}
+            result = {**combo, "error": f"skipped: {reason}"} if reason else {**combo, **within(spark, timeout, lambda c=combo: run(c)), "error": None}
         except Exception as e:  # noqa: BLE001  a failed combination must not stop the others
             result = {**combo, "error": f"{type(e).__name__}: {e}"[:500]}
         spark.createDataFrame([tuple(result.get(c) for c in names)], schema).write.mode("append").parquet(done_path)
     return read_or_empty(spark, done_path, schema)
 
 
+def within(spark, seconds: float | None, run: Callable):
+    """The result of ``run()``; beyond ``seconds`` its Spark jobs are cancelled and TimeoutError is raised."""
+    if seconds is None:
+        return run()
+    import uuid
+
+    from pyspark import InheritableThread
+
+    group, out = uuid.uuid4().hex, {}
+
+    def work() -> None:
+        spark.sparkContext.setJobGroup(group, "a combination with a time limit", interruptOnCancel=True)
+        try:
+            out["result"] = run()
+        except Exception as e:  # noqa: BLE001  raised again below
+            out["error"] = e
+
+    thread = InheritableThread(target=work, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if thread.is_alive():
+        spark.sparkContext.cancelJobGroup(group)
+        thread.join(30)
+        raise TimeoutError(f"longer than {seconds} s")
+    if "error" in out:
+        raise out["error"]
+    return out["result"]
+
+
 def read_or_empty(spark, path: str, schema: str) -> DataFrame:
     from pyspark.errors import AnalysisException
 

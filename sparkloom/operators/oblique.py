@@ -146,16 +146,19 @@ class ObliqueForest:
         return df.withColumn(p, score(F.struct(*[F.col(c).cast("double").alias(c) for c in cols])))
 
 
-def fit_forest(df: DataFrame, id_col: str, y: str, cols: Sequence[str], trees: int = 50, q: int | None = None, max_depth: int = 10, min_leaf: int = 5, weight: str | dict | float | None = "balanced", seed: int = 42, oblique: bool = True) -> ObliqueForest:
-    """Fit on rows without nulls or NaN and with classes 0 and 1 only; anything else raises ValueError."""
+def fit_forest(df: DataFrame, id_col: str, y: str, cols: Sequence[str], trees: int = 50, q: int | None = None, max_depth: int = 10, min_leaf: int = 5, weight: str | dict | float | None = "balanced", seed: int = 42, oblique: bool = True, max_rows: int = MAX_ROWS) -> ObliqueForest:
+    """Fit on rows without nulls or NaN and with classes 0 and 1 only; anything else raises ValueError.
+
+    Trees grow side by side in tasks, each on all of at most about ``max_rows`` rows (a stratified sample of a larger
+    table), which are broadcast: 8 bytes a value."""
     bad = F.lit(False)
     for c in cols:
         bad = bad | F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
     check = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad"), F.count_if(~F.coalesce(F.col(y).isin(0, 1), F.lit(False))).alias("other")).first()
     if check["bad"] or check["other"]:
         raise ValueError(f"{check['bad']} rows with missing values, {check['other']} labels other than 0 and 1")
-    rows = df if check["n"] <= MAX_ROWS else stratified_sample(df, id_col, y, MAX_ROWS / check["n"], seed)
-    pdf = rows.select(id_col, F.col(y).cast("int").alias(y), *[F.col(c).cast("double").alias(c) for c in cols]).orderBy(id_col).toPandas()  # at most about MAX_ROWS rows
+    rows = df if check["n"] <= max_rows else stratified_sample(df, id_col, y, max_rows / check["n"], seed)
+    pdf = rows.select(id_col, F.col(y).cast("int").alias(y), *[F.col(c).cast("double").alias(c) for c in cols]).orderBy(id_col).toPandas()  # at most about max_rows rows
     x, labels = pdf[list(cols)].to_numpy(float), pdf[y].to_numpy()
     factors = class_factors(labels, weight)
     q = q or max(1, int(np.sqrt(len(cols))))

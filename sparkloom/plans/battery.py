@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.operators import battery, models, search, splits
+from sparkloom.operators import battery, comparison, joins, models, search, splits
 from sparkloom.plans.composites import RES, results
 from sparkloom.plans.modelling import parts
 from sparkloom.plans.registry import SCORED_SQL, query, read, rounded, scored
@@ -107,6 +107,17 @@ def ablation_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(out, "full_mean", "variant_mean", "mean_diff"), "t", digits=4)
 
 
+LEVELS_SQL = f"{RES}, v AS (SELECT technique, concat(model, method) AS block, round(avg(f1), 6) AS value FROM res GROUP BY 1, 2), w AS (SELECT block FROM v GROUP BY 1 HAVING count(*) = 3), r AS (SELECT technique, block, value, rank() OVER (PARTITION BY block ORDER BY value DESC) + (count(*) OVER (PARTITION BY block, value) - 1) / 2.0 AS r FROM v JOIN w USING (block)), s AS (SELECT sum(s * s) AS ss, max(n) AS n FROM (SELECT technique, sum(r) AS s, count(*) AS n FROM r GROUP BY 1)), ties AS (SELECT sum(c ** 3 - c) AS t FROM (SELECT count(*) AS c FROM r GROUP BY block, value))"
+
+
+@query(f"WITH {LEVELS_SQL} SELECT 3::BIGINT AS levels, n AS blocks, round((12.0 / (n * 12) * ss - 12 * n) / (1 - t / (n * 24.0)), 5) AS chi2, round(3.3145 / sqrt(2) * sqrt(12 / (6.0 * n)), 2) AS cd, 3.3145 / sqrt(2) * sqrt(12 / (6.0 * n)) < 2 AS powered FROM s, ties")
+def factor_power(spark: SparkSession, sf: str) -> DataFrame:
+    """Levels of one factor over the complete blocks of the others; 3.3145 is the studentised range of three means."""
+    v = results(spark, sf).groupBy("technique", F.concat("model", "method").alias("block")).agg(F.round(F.avg("f1"), 6).alias("value"))
+    out = comparison.factor_comparison(v, "block", "technique", "value").drop("p")
+    return rounded(rounded(out, "chi2", digits=5), "cd", digits=2)
+
+
 @query("SELECT * FROM (VALUES ('full', 'trees', '200', false), ('full', 'q', '2', false), ('full', 'weights', 'on', false), ('one column', 'trees', '200', false), ('one column', 'q', '1', true), ('one column', 'weights', 'on', false), ('plain', 'trees', '200', false), ('plain', 'q', '2', false), ('plain', 'weights', 'off', true)) t(variant, parameter, value, changed)")
 def design_variants(spark: SparkSession, sf: str) -> DataFrame:
     rows = battery.design_variants({"trees": 200, "q": 2, "weights": "on"}, {"full": {}, "one column": {"q": 1}, "plain": {"weights": "off"}})
@@ -215,3 +226,11 @@ def fourier_machine(spark: SparkSession, sf: str) -> DataFrame:
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
     fitted = models.fit(rows.filter("part = 'train'"), "y", ["q", "t", "d"], [], "rbf_svm", {"gamma": 0.5, "count": 48}, "class_weight")
     return report(fitted.transform(rows.filter("part = 'test'")))
+
+
+@query(f"WITH {SCORED_SQL} SELECT fold, count(*) AS n, round(max(abs(p - p2)), 6) AS worst_gap FROM scored GROUP BY 1")
+def paired_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Two scored sets aligned by id; a row on one side only would raise."""
+    s = scored(spark, sf)
+    both = joins.paired(s.select("id", "fold", "p"), s.select("id", "p2"), "id")
+    return rounded(both.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("p") - F.col("p2"))).alias("worst_gap")), "worst_gap")

@@ -135,13 +135,22 @@ def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.shapley(rows, "id", cols, predict, background, permutations=3)
 
 
+@query()
+def shapley_additivity(spark: SparkSession, sf: str) -> DataFrame:
+    rows, cols, predict, background = _explained(spark, sf)
+    return attribution.additivity(attribution.shapley(rows, "id", cols, predict, background, permutations=2), "id")
+
+
 @query()
 def attribution_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """Shapley values and local surrogates of all test rows: agreement with each other, and of two seeds."""
     rows, cols, predict, background = _explained(spark, sf)
     shap = attribution.grouped_shapley(rows, "id", {"volume": ["q"], "rates": ["t", "d"]}, predict, background, cols)
-    local = attribution.lime(rows, "id", cols, predict, background.std(0) + 1e-9, samples=200)
-    local = attribution.regroup(local.withColumn("feature", F.when(F.col("feature") == "q", "volume").otherwise("rates")), "id")
-    return attribution.agreement(shap, local, "id", 1).agg(F.avg("top_overlap").alias("top_overlap"), F.avg("sign_agreement").alias("sign_agreement"), F.count(F.lit(1)).alias("n"))
+    surrogate = lambda seed: attribution.lime(rows, "id", cols, predict, background.std(0) + 1e-9, samples=200, seed=seed)
+    local = attribution.regroup(surrogate(42).withColumn("feature", F.when(F.col("feature") == "q", "volume").otherwise("rates")), "id")
+    both = attribution.agreement(shap, local, "id", 1).agg(F.avg("top_overlap").alias("top_overlap"), F.avg("sign_agreement").alias("sign_agreement"), F.avg("rho").alias("rho"), F.count(F.lit(1)).alias("n"))
+    seeds = attribution.agreement(surrogate(42), surrogate(43), "id", 1).agg(F.avg("top_overlap").alias("seed_overlap"))
+    return both.crossJoin(seeds)  # one row each
 
 
 @query()

@@ -172,3 +172,83 @@ def test_attributions_cover_every_test_row(spark):
     out = plans.QUERIES["shapley_values"](spark, sf)
     assert len(want) > 40 and out.count() == 3 * len(want) and {r["id"] for r in out.select("id").distinct().collect()} == want
     assert plans.QUERIES["attribution_agreement"](spark, sf).first()["n"] == len(want)
+
+
+def test_smote_and_adasyn_counts(spark):
+    import numpy as np
+
+    from sparkloom.operators import splits
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=3).tolist(), int(i % 7 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    few = sum(r[2] for r in rows)
+    count = {(r["y"], r["synthetic"]): r["n"] for r in splits.smote(df, "id", "x", "y").groupBy("y", "synthetic").count().withColumnRenamed("count", "n").collect()}
+    assert count == {(0, False): 200 - few, (1, False): few, (1, True): 200 - 2 * few}
+    made = splits.adasyn(df, "id", "x", "y").filter("synthetic").count()
+    assert abs(made - (200 - 2 * few)) <= few / 2
+
+
+def test_running_sums_and_hash_ranks_equal_one_sort(spark):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import splits, stats
+
+    df = spark.range(3000).select("id", (F.pmod(F.xxhash64("id"), F.lit(500)) / 7.0).alias("v"), F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 3).alias("k"))
+    counts = df.groupBy("k", "v").agg(F.count(F.lit(1)).alias("n"))
+    want = counts.withColumn("s", F.sum("n").over(Window.partitionBy("k").orderBy("v")))
+    assert sorted(map(tuple, stats.running_sums(counts, "v", {"s": "n"}, ["k"]).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    want = df.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy(splits.hash_key("id", 42), "id")))
+    assert sorted(map(tuple, splits.hash_rank(df, "id", 42, ["k"]).collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+
+
+def test_plan_skips_and_times_out(spark, tmp_path):
+    from sparkloom.operators import models
+
+    plan = spark.createDataFrame([("a",), ("b",), ("c",)], "name string")
+
+    def run(combo):
+        if combo["name"] == "c":
+            spark.range(0, 10**14, 1, 4).selectExpr("sum(id * 3 % 7)").collect()
+        return {"value": 1.0}
+
+    args = (plan, ["name"], str(tmp_path / "done"), run, "name string, value double, error string")
+    out = {r["name"]: (r["value"], r["error"]) for r in models.run_plan(*args, timeout=3, skip=lambda c: "not wanted" if c["name"] == "b" else None).collect()}
+    assert out["a"] == (1.0, None) and out["b"] == (None, "skipped: not wanted") and out["c"][1].startswith("TimeoutError")
+    assert models.run_plan(*args).count() == 3
+
+
+def test_attributions_do_not_depend_on_how_rows_are_dealt(spark, monkeypatch):
+    import numpy as np
+
+    from sparkloom.operators import attribution
+
+    predict = lambda x: x[:, 0] * x[:, 1] + x[:, 2]
+    rng = np.random.default_rng(2)
+    background = rng.normal(size=(5, 3))
+    df = spark.createDataFrame([(f"r{i}", *map(float, rng.normal(size=3))) for i in range(40)], "id string, a double, b double, c double")
+    value = lambda d: sorted((r["id"], r["feature"], round(r["value"], 9)) for r in attribution.shapley(d, "id", ["a", "b", "c"], predict, background, 4).collect())
+    first = value(df)
+    monkeypatch.setattr(attribution, "STEP_CELLS", 30)
+    assert value(df.repartition(7)) == first
+    out = attribution.additivity(attribution.shapley(df, "id", ["a", "b", "c"], predict, background, 2), "id").first()
+    assert out["worst_gap"] < 1e-9 and out["n"] == 40
+
+
+def test_bca_interval_covers_the_metric(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from sparkloom.operators import battery
+
+    rng = np.random.default_rng(5)
+    x = rng.exponential(size=400)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "id long, x double")
+    out = battery.bca_interval(df, "id", {"n": F.lit(1), "x": F.col("x")}, lambda c: c("x") / c("n"), rounds=300).first()
+    boot = np.array([rng.choice(x, 400).mean() for _ in range(2000)])
+    assert abs(out["point"] - x.mean()) < 1e-12 and out["low"] < out["point"] < out["high"]
+    assert abs(out["low"] - np.quantile(boot, 0.025)) < 0.04 and abs(out["high"] - np.quantile(boot, 0.975)) < 0.05
+    jack = (x.sum() - x) / 399
+    u = jack.mean() - jack
+    assert abs(out["acceleration"] - (u**3).sum() / (6 * (u**2).sum() ** 1.5)) < 1e-9
