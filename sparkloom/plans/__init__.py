@@ -1,6 +1,6 @@
 """Named queries over the driver tables, by theme."""
 
-from sparkloom.plans import battery, composites, evaluation, modelling, tables
+from sparkloom.plans import battery, composites, evaluation, modelling, storage, tables
 from sparkloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "battery", "composites", "evaluation", "modelling", "tables"]
+__all__ = ["QUERIES", "SQL", "battery", "composites", "evaluation", "modelling", "storage", "tables"]
