@@ -31,6 +31,8 @@ TARGET = "you your yours yourself he she they them him her those these tu toi vo
 NEGATION = "not no never isn aren wasn weren don doesn didn won ne pas jamais nicht kein keine nie niemals nunca jamas tampoco".split()
 REPORT = "said says say claimed claims told wrote writes quoted reported alleged called according dit dite affirme sagte sagt schrieb behauptet dijo dice afirma".split()
 THREAT = "kill hurt destroy attack burn shoot stab beat murder die tuer frapper mourir sterben schlagen matar golpear morir".split()
+#: Threats that are function words of another language: they count only if the sample taught them.
+AMBIGUOUS = {"die"}
 WILL = "will shall gonna going must vais va vas allons allez werde wird wirst werden voy vamos".split()
 
 #: Labelled documents of each class in the sample, entries in the lexicon, bytes of the stems.
@@ -136,14 +138,26 @@ def _hashes(items: list[str]) -> np.ndarray:
     return words(data, np.array([0, len(data)]), PUNCT, LOWER)[3]
 
 
-def _stem_hashes(items: list[str]) -> np.ndarray:
-    """Hashes of the words' longest stems: words that begin with one match, whatever their ending; shorter words
-    match as a whole."""
-    data = np.frombuffer(" ".join(items).encode(), np.uint8)
-    _, _, _, whole, *stems = words(data, np.array([0, len(data)]), PUNCT, LOWER, STEMS)
-    out = whole
-    for h in stems:
-        out = np.where(h != 0, h, out)
+def _threat_hashes() -> np.ndarray:
+    """Hashes of the threats, their regular English inflections and, of words of five letters or more, their longest
+    stems, so that whatever begins with one matches."""
+    forms = []
+    for w in THREAT:
+        if w not in AMBIGUOUS:
+            base = w[:-1] if w.endswith("e") else w
+            forms += [w, f"{w}s", f"{base}ed", f"{base}ing", f"{w}{w[-1]}ed", f"{w}{w[-1]}ing"]
+    long = [w for w in THREAT if len(w) >= 5]
+    data = np.frombuffer(" ".join(long).encode(), np.uint8)
+    stems = words(data, np.array([0, len(data)]), PUNCT, LOWER, STEMS)[5:]  # of five letters or more
+    return np.unique(np.r_[_hashes(forms), *[h[h != 0] for h in _longest(stems)]])
+
+
+def _longest(stems: list[np.ndarray]) -> list[np.ndarray]:
+    """Each word's hash at its longest stem only."""
+    out, free = [], np.ones(len(stems[0]), bool)
+    for h in reversed(stems):
+        out.append(np.where(free, h, U64(0)))
+        free &= h == 0
     return out
 
 
@@ -160,8 +174,8 @@ class Grammar:
     def of(keys: np.ndarray, weight: np.ndarray) -> Grammar:
         """Charged words first; a learned word that is also on the threat list is a threat."""
         fixed = {AIM: _hashes(TARGET), NOT: _hashes(NEGATION), SAYS: _hashes(REPORT), FUTURE: _hashes(WILL)}
-        threats = np.unique(np.r_[_hashes(THREAT), _stem_hashes(THREAT)])
-        k, s, w = [keys], [np.where(np.isin(keys, threats), MENACE, INSULT)], [weight]
+        threats = _threat_hashes()
+        k, s, w = [keys], [np.where(np.isin(keys, np.r_[threats, _hashes(THREAT)]), MENACE, INSULT)], [weight]
         for symbol, h in {MENACE: threats, **fixed}.items():
             h = np.setdiff1d(h, keys)
             k.append(h)
