@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -213,9 +213,12 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
         found = _sort_shards(bodies.select("gram", "stretch", "size", "body"), length)
         marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
     if hot_total:
-        found = _match_strings(_strings(keyed, need.join(heavy, "gram", "left_semi"), length))
+        strings = stored(_strings(keyed, need.join(heavy, "gram", "left_semi"), length))
+        found = _match_strings(strings)
         marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
     marks = stored(marks)
+    if hot_total:
+        discard(strings)
     ranges = _ranges(live.select("doc_id", "key", "firsts", "size", "gram", "stretch").join(marks, ["gram", "stretch"]), length)
     out = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("los", "his")).alias("ranges")))
     discard(live, kinds, need, weights, marks)
@@ -279,7 +282,8 @@ def _strings(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
 
 def _match_strings(strings: DataFrame) -> DataFrame:
     """(gram, stretch, starts) as :func:`_sort_shards` gives them: the strings that several stretches own."""
-    same = strings.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("gram", "hash"))).filter("n > 1")
+    again = strings.groupBy("gram", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    same = strings.join(again, ["gram", "hash"], "left_semi")  # one string may be in a third of all stretches
     lists = same.groupBy("gram", "stretch").agg(F.sort_array(F.collect_list("start")).alias("starts"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
