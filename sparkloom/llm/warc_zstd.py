@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import arrow_map, scratch, stored
+from sparkloom.llm.common import arrow_map, discard_path, scratch, stored
 
 DICT_MAGIC = struct.pack("<I", 0x184D2A5D)
 #: An empty skippable frame (magic 0x184D2A50), which separates the frames of an archive.
@@ -217,12 +217,15 @@ def round_trip(pages: DataFrame, min_revisit_bytes: int = 0) -> DataFrame:
 
     Of equal payloads of at least ``min_revisit_bytes`` bytes the record with the smallest page_id is the response
     and the others revisit it; rows repeated with that page_id are responses too. Null html is an empty payload. A
-    row without page_id revisits its group's smallest page_id; without such it is a response.
+    row without page_id revisits its group's smallest page_id; without such it is a response. Very long payloads are
+    records like others; an empty table gives an empty result; other columns are ignored, whatever their names. The
+    archives are deleted once they are read: :func:`write_archives` keeps them.
     """
     path = scratch(pages.sparkSession)
     write_archives(pages, path, min_revisit_bytes)
     read = read_archives(pages.sparkSession, path).drop("payload")
     read = stored(read)
+    discard_path(pages.sparkSession, path)
     ids = read.filter("record_type = 'response' and page_id is not null").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to")).distinct()
     revisits = read.filter("record_type = 'revisit'").join(ids, "refers_to_id", "left")
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
