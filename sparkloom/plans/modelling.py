@@ -71,10 +71,11 @@ def classifier_comparison(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def nested_cv_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Two outer and two inner folds over a grid of one parameter; every fit sees all rows of its folds."""
     def run(train: DataFrame, test: DataFrame, params) -> DataFrame:
         return models.fit(train, "y", ["q", "t", "d"], [], "logistic_regression", params).transform(test)
 
-    oof, _ = models.nested_cv(parts(spark, sf), "y", "id", 2, [{"C": 0.1}, {"C": 10.0}], run)
+    oof, _ = models.nested_cv(parts(spark, sf), "y", "id", 2, splits.parameter_grid([{"name": "C", "type": "float", "low": 0.1, "high": 10.0, "log": True}], points=2), run)
     return models.fold_summary(oof, "y", "fold")
 
 
