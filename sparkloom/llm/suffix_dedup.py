@@ -44,6 +44,8 @@ ANCHOR_BYTES = 1 << 20
 SHARD_BYTES = 4 << 20
 #: A gram with more bytes of different stretches goes by the hashes of its owned strings.
 HOT_BYTES = SHARD_BYTES >> 3
+#: Hot grams (8 bytes each) that are broadcast; more are joined by gram.
+BROADCAST_GRAMS = 1_000_000
 INVERSE = U64(pow(int(BASE), -1, 1 << 64))
 
 _INVERSES = np.ones(1, U64)
@@ -204,8 +206,10 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
     need = stored(_with_company(kinds.filter("mixed").select("gram", "stretch", "at.*")))
     weights = stored(need.groupBy("gram").agg(F.sum(F.col("size") + length).alias("bytes")))
     hot = F.col("bytes") > HOT_BYTES
-    total, hot_total = weights.agg(F.sum(F.when(~hot, F.col("bytes"))), F.sum(F.when(hot, F.col("bytes")))).first()
-    heavy = F.broadcast(weights.filter(hot).select("gram"))  # at most a row for each HOT_BYTES
+    total, hot_total, hot_grams = weights.agg(F.sum(F.when(~hot, F.col("bytes"))), F.sum(F.when(hot, F.col("bytes"))), F.count_if(hot)).first()
+    heavy = weights.filter(hot).select("gram")
+    if hot_grams <= BROADCAST_GRAMS:
+        heavy = F.broadcast(heavy)
     marks = whole.withColumn("starts", F.lit(None).cast("binary"))
     if total:
         shards = max(1, -(-int(total) // SHARD_BYTES))
