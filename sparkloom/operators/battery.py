@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
 from sparkloom.operators import comparison, splits
-from sparkloom.operators.stats import average_rank, midranks
+from sparkloom.operators.stats import average_rank, range_edges, rank_table
 
 
 def placements(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
     """y and, for each score, the share of the other class that a row is placed right against."""
     d = df.select(F.col(y).alias("_y"), *scores)
+    base, edges = d, range_edges(d, scores)
     for s in scores:
-        d = midranks(midranks(d, s, f"_all_{s}"), s, f"_own_{s}", ["_y"])
-    size = d.agg(F.count_if(F.col("_y") == 1).alias("_m"), F.count_if(F.col("_y") == 0).alias("_k"))
+        d = d.join(rank_table(base, s, f"_all_{s}", (), edges[s]), s).join(rank_table(base, s, f"_own_{s}", ["_y"], edges[s]), ["_y", s])
+    size = base.agg(F.count_if(F.col("_y") == 1).alias("_m"), F.count_if(F.col("_y") == 0).alias("_k"))
     d = d.crossJoin(F.broadcast(size))  # one row
     other = F.when(F.col("_y") == 1, F.col("_k")).otherwise(F.col("_m"))
     right = {s: (F.col(f"_all_{s}") - F.col(f"_own_{s}")) / other for s in scores}

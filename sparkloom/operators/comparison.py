@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sparkloom.functions import dist
-from sparkloom.operators.stats import average_rank, midranks
+from sparkloom.operators.stats import average_rank, midranks, range_edges, rank_table
 
 
 def _corr(a: str, b: str) -> Column:
@@ -104,9 +104,11 @@ def cd_groups(ranks: DataFrame, name: str, rank: str, cd: float) -> DataFrame:
 def delong(df: DataFrame, y: str, p1: str, p2: str) -> DataFrame:
     """One row: both AUCs, z and p of their difference, from midranks; equal variances of 0 give z 0 and p 1."""
     d = df.select(F.col(y).alias("y"), F.col(p1).alias("s1"), F.col(p2).alias("s2"), F.monotonically_increasing_id().alias("_id"))
+    edges = range_edges(d, ["s1", "s2"])
+    base = d
     for s in ("s1", "s2"):
-        d = midranks(midranks(d, s, f"all_{s}"), s, f"own_{s}", ["y"])
-    size = d.agg(F.count_if(F.col("y") == 1).alias("m"), F.count_if(F.col("y") == 0).alias("n"))
+        d = d.join(rank_table(base, s, f"all_{s}", (), edges[s]), s).join(rank_table(base, s, f"own_{s}", ["y"], edges[s]), ["y", s])
+    size = base.agg(F.count_if(F.col("y") == 1).alias("m"), F.count_if(F.col("y") == 0).alias("n"))
     v = d.crossJoin(F.broadcast(size))  # one row
     other = F.when(F.col("y") == 1, F.col("n")).otherwise(F.col("m"))
     place = {s: F.when(F.col("y") == 1, (F.col(f"all_{s}") - F.col(f"own_{s}")) / other).otherwise(1 - (F.col(f"all_{s}") - F.col(f"own_{s}")) / other) for s in ("s1", "s2")}
@@ -217,8 +219,9 @@ def chi2_independence(df: DataFrame, c: str, y: str) -> DataFrame:
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(a, b, rho) of every pair of columns, from midranks."""
     d = df.select(*cols)
+    base, edges = d, range_edges(d, cols)
     for c in cols:
-        d = midranks(d, c, f"_r_{c}")
+        d = d.join(rank_table(base, c, f"_r_{c}", (), edges[c]), c)
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i + 1 :]]
     row = d.agg(*[_corr(f"_r_{a}", f"_r_{b}").alias(f"{i}") for i, (a, b) in enumerate(pairs)])
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"{i}").alias("rho")) for i, (a, b) in enumerate(pairs)])).alias("r")).select("r.*")

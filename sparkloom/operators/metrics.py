@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import unit_bin
-from sparkloom.operators.stats import midranks, running_sums
+from sparkloom.operators.stats import midranks, range_edges, running_sums, with_keys
 
 
 def confusion(df: DataFrame, y: str, pred: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -58,8 +58,8 @@ def curve_points(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> Dat
     """(keys, threshold, tp, fp, recall, fpr, precision) at every distinct score, falling."""
     g = df.groupBy(*keys, p).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
     total = df.groupBy(*keys).agg(F.sum(y).alias("_p"), F.count(F.lit(1)).alias("_t"))
-    c = running_sums(g, p, {"_tp_upto": "_tp", "_n_upto": "_n"}, keys)
-    c = c.join(F.broadcast(total), list(keys)) if keys else c.crossJoin(F.broadcast(total))  # a row a key
+    c = running_sums(g, p, {"_tp_upto": "_tp", "_n_upto": "_n"}, keys, range_edges(df, [p])[p])
+    c = with_keys(c, total, keys)
     c = c.withColumns({"tp": F.col("_p") - F.col("_tp_upto") + F.col("_tp"), "_all": F.col("_t") - F.col("_n_upto") + F.col("_n")})
     fp = F.col("_all") - F.col("tp")
     return c.select(*keys, F.col(p).alias("threshold"), "tp", fp.alias("fp"), _div(F.col("tp"), F.col("_p")).alias("recall"), _div(fp, F.col("_t") - F.col("_p")).alias("fpr"), _div(F.col("tp"), F.col("_all")).alias("precision"))
@@ -69,8 +69,7 @@ def average_precision(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -
     """Step-wise area under the precision-recall curve: each score adds its own rows' share of the positives."""
     own = df.groupBy(*keys, F.col(p).alias("threshold")).agg(F.sum(y).alias("_own"))
     total = df.groupBy(*keys).agg(F.sum(y).alias("_pos"))
-    c = curve_points(df, y, p, keys).join(own, [*keys, "threshold"])
-    c = c.join(F.broadcast(total), list(keys)) if keys else c.crossJoin(F.broadcast(total))  # a row a key
+    c = with_keys(with_keys(curve_points(df, y, p, keys), own, [*keys, "threshold"]), total, keys)
     return c.withColumn("_g", _div(F.col("_own"), F.col("_pos")) * F.col("precision")).groupBy(*keys).agg(F.sum("_g").alias("average_precision"))
 
 
@@ -125,7 +124,7 @@ def subgroup_errors(df: DataFrame, y: str, pred: Column, masks: Mapping[str, Col
 def summary(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
     """One row: the rates at a threshold, and the AUC, from one count by score."""
     g = df.groupBy(p).agg(F.sum(y).cast("long").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    g = running_sums(g, p, {"_upto": "_n"})
+    g = running_sums(g, p, {"_upto": "_n"}, edges=range_edges(df, [p])[p])
     flagged = F.col(p) >= threshold
     mid = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
     one = g.agg(

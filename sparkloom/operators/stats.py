@@ -90,17 +90,36 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, descending: boo
     return df.withColumn(name, first + (ties - 1) / 2)
 
 
+def with_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left`` with the columns of the ``right`` row of equal keys; null keys are equal to each other. Without keys,
+    ``right`` is one row."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, same).drop(*[f"_k_{k}" for k in keys])
+
+
 #: Ranges of values that a cumulative sum is dealt into.
 RANGES = 64
 
 
-def running_sums(counts: DataFrame, value: str, sums: dict[str, str], keys: Sequence[str] = ()) -> DataFrame:
+def range_edges(df: DataFrame, cols: Sequence[str]) -> dict[str, list[float]]:
+    """Approximate quantiles of several columns in one pass, fewer than ``RANGES`` numbers each."""
+    found = df.approxQuantile(list(cols), [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)
+    return {c: sorted(set(q)) for c, q in zip(cols, found)}
+
+
+def running_sums(counts: DataFrame, value: str, sums: dict[str, str], keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
     """``counts`` (one row for each key and number ``value``) with, for each column of ``sums``, its running sum by
     rising value within the keys, under the given name.
 
     Values are dealt into ranges at approximate quantiles; sums run inside each range, and the totals of the ranges
-    below (a few rows a key) are added, so that no task sorts a whole key."""
-    edges = sorted(set(counts.approxQuantile(value, [i / RANGES for i in range(1, RANGES)], 0.5 / RANGES)))  # fewer than RANGES numbers
+    below (a few rows a key) are added, so that no task sorts a whole key. ``edges`` are those of
+    :func:`range_edges`, where the caller has them."""
+    edges = range_edges(counts, [value])[value] if edges is None else edges
     number = F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]), lambda e: e < F.col(value))) if edges else F.lit(0)
     dealt = counts.withColumn("_range", number)
     inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
@@ -108,22 +127,23 @@ def running_sums(counts: DataFrame, value: str, sums: dict[str, str], keys: Sequ
     totals = dealt.groupBy(*keys, "_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
     totals = totals.select(*keys, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_s_{n}") for n in sums])
     out = dealt.withColumns({n: F.sum(c).over(inside) for n, c in sums.items()})
-    same = F.lit(True)
-    other = totals.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_range").alias("_r"), *[f"_s_{n}" for n in sums])
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    out = out.join(other, (F.col("_range") == F.col("_r")) & same)
+    out = with_keys(out, totals, [*keys, "_range"])
     return out.select(*counts.columns, *[(F.col(n) + F.col(f"_s_{n}")).alias(n) for n in sums])
 
 
-def midranks(df: DataFrame, value: str, name: str = "midrank", keys: Sequence[str] = ()) -> DataFrame:
+def midranks(df: DataFrame, value: str, name: str = "midrank", keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
     """Ascending average ranks over all rows (or within ``keys``), by counting below instead of one global sort.
 
-    Distinct values are counted first, so only one row per value and key is ranked."""
+    For several columns, join :func:`rank_table` of the same rows: each further call would hold all plans before."""
+    return df.join(rank_table(df, value, name, keys, edges), [*keys, value])
+
+
+def rank_table(df: DataFrame, value: str, name: str, keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
+    """(keys, value, name): the average rank of each distinct value, which are counted first."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_sums(counts, value, {"_upto": "_n"}, keys).withColumn("_below", F.col("_upto") - F.col("_n"))
-    ranked = ranked.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranked, [*keys, value])
+    edges = range_edges(df, [value])[value] if edges is None else edges
+    ranked = running_sums(counts, value, {"_upto": "_n"}, keys, edges).withColumn("_below", F.col("_upto") - F.col("_n"))
+    return ranked.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, cost: str) -> DataFrame:
