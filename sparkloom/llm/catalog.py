@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import bpe_transducer, exact_dedup, impact_slices, language_ecoc, ngram_join, packing, quality_fm, suffix_dedup, toxic_grammar, vector_tree, warc_zstd, word_runs
+from sparkloom.llm import bpe_transducer, exact_dedup, impact_slices, language_ecoc, license_scan, ngram_join, packing, quality_fm, suffix_dedup, toxic_grammar, vector_tree, warc_zstd, word_runs
 from sparkloom.llm.common import table
 
 
@@ -65,8 +65,12 @@ def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_runs.digests(table(spark, sf_dir, "documents"))
 
 
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.labels(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    numbered = (op1_warc, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_bpe_transducer, op6_vector_tree, op7_toxic_grammar, op8_quality_classifier, op9_ngram_join, op10_exact_dedup, op11_impact_slices, op12_word_runs)
+    numbered = (op1_warc, op2_language_id, op3_best_fit_packing, op4_suffix_dedup, op5_bpe_transducer, op6_vector_tree, op7_toxic_grammar, op8_quality_classifier, op9_ngram_join, op10_exact_dedup, op11_impact_slices, op12_word_runs, op13_license_scan)
     return {f.__name__: f for f in (*numbered, packing_limits)}
 
 
