@@ -261,7 +261,8 @@ def rules() -> tuple[Rule, ...]:
     for phrase, label in BASE:
         put("base", label, NOTICE, phrase, *phrase.split(), base=True)
     for label, groups, pattern in SENTENCES:
-        put("sentence", label, SENTENCE, pattern, *groups.split(";"))
+        lead = rf"(?:{_UNDER} )?" if pattern.startswith("gnu ") else ""  # so that it contains the notice it ends
+        put("sentence", label, SENTENCE, lead + pattern, *groups.split(";"))
     for label, keys, pattern in ADDRESSES:
         put("address", label, ADDRESS, pattern, keys, "org net com info uk eu")
     suffix = r"(?: (?:software |public |international |unported )*licen[sc]es?)?"
