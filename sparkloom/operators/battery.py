@@ -12,12 +12,14 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
 from sparkloom.operators import comparison, splits
+from sparkloom.operators.metrics import known
 from sparkloom.operators.stats import average_rank, range_edges, rank_table
 
 
 def placements(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
-    """y and, for each score, the share of the other class that a row is placed right against."""
-    d = df.select(F.col(y).alias("_y"), *scores)
+    """y and, for each score, the share of the other class that a row is placed right against.
+    Rows without a label or one of the scores take no part."""
+    d = known(df, y, *scores).select(F.col(y).alias("_y"), *scores)
     base, edges = d, range_edges(d, scores)
     for s in scores:
         d = d.join(rank_table(base, s, f"_all_{s}", (), edges[s]), s).join(rank_table(base, s, f"_own_{s}", ["_y"], edges[s]), ["_y", s])

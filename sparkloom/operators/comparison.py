@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sparkloom.functions import dist
-from sparkloom.operators.stats import average_rank, midranks, range_edges, rank_table
+from sparkloom.operators.metrics import known
+from sparkloom.operators.stats import average_rank, mid_rank, range_edges, rank_table, tallies
 
 
 def _corr(a: str, b: str) -> Column:
@@ -102,8 +103,9 @@ def cd_groups(ranks: DataFrame, name: str, rank: str, cd: float) -> DataFrame:
 
 
 def delong(df: DataFrame, y: str, p1: str, p2: str) -> DataFrame:
-    """One row: both AUCs, z and p of their difference, from midranks; equal variances of 0 give z 0 and p 1."""
-    d = df.select(F.col(y).alias("y"), F.col(p1).alias("s1"), F.col(p2).alias("s2"), F.monotonically_increasing_id().alias("_id"))
+    """One row: both AUCs, z and p of their difference, from midranks; equal variances of 0 give z 0 and p 1. Rows without
+    a label or one of the scores take no part."""
+    d = known(df, y, p1, p2).select(F.col(y).alias("y"), F.col(p1).alias("s1"), F.col(p2).alias("s2"), F.monotonically_increasing_id().alias("_id"))
     edges = range_edges(d, ["s1", "s2"])
     base = d
     for s in ("s1", "s2"):
@@ -188,10 +190,12 @@ def benjamini_hochberg(df: DataFrame, p: str, ties: Sequence[str], keys: Sequenc
 
 
 def mann_whitney(df: DataFrame, y: str, cols: Sequence[str]) -> DataFrame:
-    """(column, u, z, p) of class 1 against class 0, normal law with tie correction and continuity."""
-    long = df.select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("y", "r.*")
-    ties = long.groupBy("column", "x").agg(F.count(F.lit(1)).alias("t")).groupBy("column").agg(F.sum(F.pow("t", F.lit(3)) - F.col("t")).alias("ties"))
-    g = midranks(long, "x", "mid", ["column"]).groupBy("column").agg(F.sum(F.when(F.col("y") == 1, F.col("mid"))).alias("r1"), F.count_if(F.col("y") == 1).cast("double").alias("n1"), F.count_if(F.col("y") == 0).cast("double").alias("n0")).join(ties, "column")
+    """(column, u, z, p) of class 1 against class 0, normal law with tie correction and continuity. Values that are null
+    or have no label take no part."""
+    long = df.filter(F.col(y).isin(0, 1)).select(F.col(y).alias("y"), F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("y", "r.*")
+    counted = tallies(long, "x", ["column"], {"_one": F.count_if(F.col("y") == 1)})
+    ties = F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n"))
+    g = counted.groupBy("column").agg(F.sum(F.col("_one") * mid_rank()).alias("r1"), F.sum("_one").cast("double").alias("n1"), F.sum(F.col("n") - F.col("_one")).cast("double").alias("n0"), ties.alias("ties"))
     n1, n0 = F.col("n1"), F.col("n0")
     n = n1 + n0
     u = F.col("r1") - n1 * (n1 + 1) / 2
@@ -217,8 +221,8 @@ def chi2_independence(df: DataFrame, c: str, y: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(a, b, rho) of every pair of columns, from midranks."""
-    d = df.select(*cols)
+    """(a, b, rho) of every pair of columns, from midranks of the rows that have all columns."""
+    d = df.select(*cols).na.drop()
     base, edges = d, range_edges(d, cols)
     for c in cols:
         d = d.join(rank_table(base, c, f"_r_{c}", (), edges[c]), c)
@@ -245,7 +249,8 @@ def dominance(df: DataFrame, group: str, value: str, pairs_of: Sequence[str]) ->
     for i, a in enumerate(pairs_of):
         for b in pairs_of[i + 1 :]:
             two = df.filter(F.col(group).isin(a, b)).select(F.col(group).alias("g"), F.col(value).alias("x"))
-            g = midranks(two, "x", "mid").agg(F.sum(F.when(F.col("g") == a, F.col("mid"))).alias("r"), F.count_if(F.col("g") == a).cast("double").alias("m"), F.count_if(F.col("g") == b).cast("double").alias("n"))
+            counted = tallies(two, "x", (), {"_a": F.count_if(F.col("g") == a)})
+            g = counted.agg(F.sum(F.col("_a") * mid_rank()).alias("r"), F.sum("_a").cast("double").alias("m"), F.sum(F.col("n") - F.col("_a")).cast("double").alias("n"))
             a12 = (F.col("r") - F.col("m") * (F.col("m") + 1) / 2) / (F.col("m") * F.col("n"))
             row = g.select(F.lit(a).alias("a"), F.lit(b).alias("b"), (2 * a12 - 1).alias("delta"), a12.alias("a12"))
             out = row if out is None else out.unionByName(row)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import unit_bin
-from sparkloom.operators.stats import midranks, range_edges, running_sums, with_keys
+from sparkloom.operators.stats import mid_rank, tallies, with_keys
 
 
 def confusion(df: DataFrame, y: str, pred: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -47,30 +47,42 @@ def counts_from_rates(df: DataFrame, precision: str, recall: str, positives: str
     return df.withColumns({"tp": tp, "fp": F.coalesce(F.try_divide(tp, F.col(precision)), tp) - tp})
 
 
+def known(df: DataFrame, y: str, *scores: str) -> DataFrame:
+    """The rows that have a label and all scores: the others take no part in a metric."""
+    for c in (y, *scores):
+        df = df.filter(F.col(c).isNotNull())
+    return df
+
+
 def auc(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Area under the ROC curve by midranks; null without both classes."""
-    r = midranks(df, p, "_mid", keys).groupBy(*keys).agg(F.sum(F.when(F.col(y) == 1, F.col("_mid"))).alias("_s"), F.count_if(F.col(y) == 1).alias("positives"), F.count_if(F.col(y) != 1).alias("negatives"))
+    """Area under the ROC curve by midranks of the counted scores; null without both classes. Rows without a label or
+    score take no part; null keys are a group."""
+    g = tallies(known(df, y, p), p, keys, {"_pos": F.count_if(F.col(y) == 1), "_neg": F.count_if(F.col(y) != 1)})
+    r = g.groupBy(*keys).agg(F.sum(F.col("_pos") * mid_rank()).alias("_s"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("negatives"))
     n1, n0 = F.col("positives").cast("double"), F.col("negatives").cast("double")
     return r.select(*keys, "positives", "negatives", F.try_divide(F.col("_s") - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
 
 
+def _curve(df: DataFrame, y: str, p: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, threshold, own, tp, all, positives, total): counts at each distinct score and from it on."""
+    rows = known(df, y, p)
+    g = tallies(rows, p, keys, {"_own": F.sum(y)})
+    c = with_keys(g, rows.groupBy(*keys).agg(F.sum(y).alias("_p"), F.count(F.lit(1)).alias("_t")), keys)
+    return c.select(*keys, F.col(p).alias("threshold"), F.col("_own").alias("own"), (F.col("_p") - F.col("upto__own") + F.col("_own")).alias("tp"), (F.col("_t") - F.col("upto_n") + F.col("n")).alias("all"), F.col("_p").alias("positives"), F.col("_t").alias("total"))
+
+
 def curve_points(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """(keys, threshold, tp, fp, recall, fpr, precision) at every distinct score, falling."""
-    g = df.groupBy(*keys, p).agg(F.sum(y).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    total = df.groupBy(*keys).agg(F.sum(y).alias("_p"), F.count(F.lit(1)).alias("_t"))
-    c = running_sums(g, p, {"_tp_upto": "_tp", "_n_upto": "_n"}, keys, range_edges(df, [p])[p])
-    c = with_keys(c, total, keys)
-    c = c.withColumns({"tp": F.col("_p") - F.col("_tp_upto") + F.col("_tp"), "_all": F.col("_t") - F.col("_n_upto") + F.col("_n")})
-    fp = F.col("_all") - F.col("tp")
-    return c.select(*keys, F.col(p).alias("threshold"), "tp", fp.alias("fp"), _div(F.col("tp"), F.col("_p")).alias("recall"), _div(fp, F.col("_t") - F.col("_p")).alias("fpr"), _div(F.col("tp"), F.col("_all")).alias("precision"))
+    """(keys, threshold, tp, fp, recall, fpr, precision) at every distinct score, falling; rows without a label or
+    score take no part."""
+    c, fp = _curve(df, y, p, keys), F.col("all") - F.col("tp")
+    return c.select(*keys, "threshold", "tp", fp.alias("fp"), _div(F.col("tp"), F.col("positives")).alias("recall"), _div(fp, F.col("total") - F.col("positives")).alias("fpr"), _div(F.col("tp"), F.col("all")).alias("precision"))
 
 
 def average_precision(df: DataFrame, y: str, p: str, keys: Sequence[str] = ()) -> DataFrame:
-    """Step-wise area under the precision-recall curve: each score adds its own rows' share of the positives."""
-    own = df.groupBy(*keys, F.col(p).alias("threshold")).agg(F.sum(y).alias("_own"))
-    total = df.groupBy(*keys).agg(F.sum(y).alias("_pos"))
-    c = with_keys(with_keys(curve_points(df, y, p, keys), own, [*keys, "threshold"]), total, keys)
-    return c.withColumn("_g", _div(F.col("_own"), F.col("_pos")) * F.col("precision")).groupBy(*keys).agg(F.sum("_g").alias("average_precision"))
+    """Step-wise area under the precision-recall curve: each score adds its own rows' share of the positives. Rows
+    without a label or score take no part."""
+    step = _div(F.col("own"), F.col("positives")) * _div(F.col("tp"), F.col("all"))
+    return _curve(df, y, p, keys).groupBy(*keys).agg(F.sum(step).alias("average_precision"))
 
 
 def probability_scores(df: DataFrame, y: str, p: str, keys: Sequence[str] = (), eps: float = 1e-6) -> DataFrame:
@@ -121,18 +133,17 @@ def subgroup_errors(df: DataFrame, y: str, pred: Column, masks: Mapping[str, Col
     return c.select("group", n.alias("n"), ((F.col("fn") + F.col("tp")) / n).alias("base_rate"), "f1", (F.col("fp") / n).alias("fp_share"), (F.col("fn") / n).alias("fn_share"))
 
 
-def summary(df: DataFrame, y: str, p: str, threshold: float = 0.5) -> DataFrame:
-    """One row: the rates at a threshold, and the AUC, from one count by score."""
-    g = df.groupBy(p).agg(F.sum(y).cast("long").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    g = running_sums(g, p, {"_upto": "_n"}, edges=range_edges(df, [p])[p])
+def summary(df: DataFrame, y: str, p: str, threshold: float = 0.5, keys: Sequence[str] = ()) -> DataFrame:
+    """The rates at a threshold, and the AUC, from one count by score: one row (or one for each key). Rows without a
+    label or score take no part."""
+    g = tallies(known(df, y, p), p, keys, {"_pos": F.sum(y).cast("long")})
     flagged = F.col(p) >= threshold
-    mid = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
-    one = g.agg(
-        F.sum(F.when(flagged, F.col("_p")).otherwise(0)).alias("tp"),
-        F.sum(F.when(flagged, F.col("_n") - F.col("_p")).otherwise(0)).alias("fp"),
-        F.sum(F.when(flagged, 0).otherwise(F.col("_p"))).alias("fn"),
-        F.sum(F.when(flagged, 0).otherwise(F.col("_n") - F.col("_p"))).alias("tn"),
-        F.sum(F.col("_p") * mid).alias("_s"),
+    one = g.groupBy(*keys).agg(
+        F.sum(F.when(flagged, F.col("_pos")).otherwise(0)).alias("tp"),
+        F.sum(F.when(flagged, F.col("n") - F.col("_pos")).otherwise(0)).alias("fp"),
+        F.sum(F.when(flagged, 0).otherwise(F.col("_pos"))).alias("fn"),
+        F.sum(F.when(flagged, 0).otherwise(F.col("n") - F.col("_pos"))).alias("tn"),
+        F.sum(F.col("_pos") * mid_rank()).alias("_s"),
     )
     n1, n0 = (F.col("tp") + F.col("fn")).cast("double"), (F.col("tn") + F.col("fp")).cast("double")
     return rates(one).withColumn("auc", F.try_divide(F.col("_s") - n1 * (n1 + 1) / 2, n1 * n0)).drop("_s")

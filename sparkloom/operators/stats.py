@@ -132,18 +132,30 @@ def running_sums(counts: DataFrame, value: str, sums: dict[str, str], keys: Sequ
 
 
 def midranks(df: DataFrame, value: str, name: str = "midrank", keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
-    """Ascending average ranks over all rows (or within ``keys``), by counting below instead of one global sort.
+    """Ascending average ranks over all rows (or within ``keys``, null keys being one), by counting below instead of
+    one global sort. Rows without a value have no rank and are left out.
 
     For several columns, join :func:`rank_table` of the same rows: each further call would hold all plans before."""
-    return df.join(rank_table(df, value, name, keys, edges), [*keys, value])
+    return with_keys(df.filter(F.col(value).isNotNull()), rank_table(df, value, name, keys, edges), [*keys, value])
 
 
-def rank_table(df: DataFrame, value: str, name: str, keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
-    """(keys, value, name): the average rank of each distinct value, which are counted first."""
-    counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def tallies(df: DataFrame, value: str, keys: Sequence[str] = (), sums: dict[str, Column] | None = None, edges: Sequence[float] | None = None) -> DataFrame:
+    """(keys, value, n, the ``sums`` of its rows, and each of these running by rising value as ``upto_...``): one row
+    for each key and distinct value; rows without a value are left out."""
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"), *[c.alias(n) for n, c in (sums or {}).items()])
     edges = range_edges(df, [value])[value] if edges is None else edges
-    ranked = running_sums(counts, value, {"_upto": "_n"}, keys, edges).withColumn("_below", F.col("_upto") - F.col("_n"))
-    return ranked.select(*keys, value, (F.col("_below") + (F.col("_n") + 1) / 2).alias(name))
+    return running_sums(counts, value, {f"upto_{c}": c for c in ["n", *(sums or {})]}, keys, edges)
+
+
+def mid_rank() -> Column:
+    """The average rank of the values of a row of :func:`tallies`."""
+    return F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2
+
+
+def rank_table(df: DataFrame, value: str, name: str, keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
+    """(keys, value, name): the average rank of each distinct value that isn't null, which are counted first."""
+    return tallies(df, value, keys, edges=edges).select(*keys, value, mid_rank().alias(name))
 
 
 def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], score: str, cost: str) -> DataFrame:

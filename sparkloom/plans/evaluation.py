@@ -334,3 +334,36 @@ def smote_rows(spark: SparkSession, sf: str) -> DataFrame:
 def adasyn_rows(spark: SparkSession, sf: str) -> DataFrame:
     e = read(spark, sf, "embeddings").select("vec_id", "embedding", (F.col("label") == 0).cast("int").alias("y"))
     return splits.adasyn(e, "vec_id", "embedding", "y").groupBy("y", "synthetic").agg(F.count(F.lit(1)).alias("n"))
+
+#: ``scored`` with missing scores, labels and keys.
+GAPPY_SQL = f"""{SCORED_SQL}, gappy AS (SELECT id, CASE WHEN id % 13 <> 0 THEN y END AS y, CASE WHEN id % 7 <> 0 THEN fold END AS fold, CASE WHEN id % 11 <> 0 THEN p END AS p, CASE WHEN id % 17 <> 0 THEN p2 END AS p2 FROM scored)"""
+
+
+def gappy(spark: SparkSession, sf: str) -> DataFrame:
+    """The table of ``GAPPY_SQL``."""
+    return scored(spark, sf).select("id", *[F.when(F.col("id") % m != 0, F.col(c)).alias(c) for c, m in (("y", 13), ("fold", 7), ("p", 11), ("p2", 17))])
+
+
+@query(f"WITH {GAPPY_SQL}, known AS (SELECT * FROM gappy WHERE y IS NOT NULL AND p IS NOT NULL), r AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS mid FROM known), g AS (SELECT fold, sum(CASE WHEN y = 1 THEN mid END) AS s, count(*) FILTER (y = 1) AS positives, count(*) FILTER (y = 0) AS negatives FROM r GROUP BY 1) SELECT fold, positives, negatives, round((s - positives * (positives + 1) / 2) / (positives::DOUBLE * negatives), 6) AS auc FROM g")
+def auc_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.auc(gappy(spark, sf), "y", "p", ["fold"]), "auc")
+
+
+@query(f"WITH {GAPPY_SQL}, g AS (SELECT fold, p, sum(y) AS tp, count(*) AS n FROM gappy WHERE y IS NOT NULL AND p IS NOT NULL GROUP BY 1, 2), c AS (SELECT fold, p, sum(tp) OVER w AS tp, sum(n) OVER w AS n, sum(tp) OVER (PARTITION BY fold) AS pos FROM g WINDOW w AS (PARTITION BY fold ORDER BY p DESC)), s AS (SELECT fold, tp / pos AS recall, tp / n AS precision, lag(tp / pos, 1, 0) OVER (PARTITION BY fold ORDER BY p DESC) AS before FROM c) SELECT fold, round(sum((recall - before) * precision), 6) AS average_precision FROM s GROUP BY 1")
+def average_precision_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.average_precision(gappy(spark, sf), "y", "p", ["fold"]), "average_precision")
+
+
+@query(f"WITH {GAPPY_SQL.replace('scored AS', 'whole AS').replace('FROM scored', 'FROM whole')}, scored AS (SELECT * FROM gappy WHERE y IS NOT NULL AND p IS NOT NULL AND p2 IS NOT NULL), {MID} SELECT round(auc_a, 6) AS auc_a, round(auc_b, 6) AS auc_b, round(variance * 1e6, 4) AS variance_ppm, round((auc_a - auc_b) / sqrt(variance), 5) AS z FROM g")
+def delong_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return comparison.delong(gappy(spark, sf), "y", "p", "p2").select(F.round("auc_a", 6).alias("auc_a"), F.round("auc_b", 6).alias("auc_b"), F.round(F.col("variance") * 1e6, 4).alias("variance_ppm"), F.round("z", 5).alias("z"))
+
+
+@query(f"WITH {GAPPY_SQL}, k AS (SELECT * FROM gappy WHERE y IS NOT NULL AND p IS NOT NULL), r AS (SELECT y, p, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS mid FROM k) SELECT round(sum(CASE WHEN (p >= 0.5) = (y = 1) THEN 1.0 ELSE 0.0 END) / count(*), 6) AS accuracy, round((sum(CASE WHEN y = 1 THEN mid END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))::DOUBLE), 6) AS auc FROM r")
+def summary_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(metrics.summary(gappy(spark, sf), "y", "p").select("accuracy", "auc"), "accuracy", "auc")
+
+
+@query(f"WITH {GAPPY_SQL}, k AS (SELECT id::DOUBLE AS id, p, p2 FROM gappy WHERE p IS NOT NULL AND p2 IS NOT NULL), r AS (SELECT rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS a, rank() OVER (ORDER BY p2) + (count(*) OVER (PARTITION BY p2) - 1) / 2.0 AS b FROM k) SELECT 'p' AS a, 'p2' AS b, round(corr(a, b), 6) AS rho FROM r")
+def spearman_with_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(comparison.spearman(gappy(spark, sf), ["p", "p2"]), "rho")
