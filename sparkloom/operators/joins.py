@@ -62,41 +62,152 @@ def distance(a: Column | str, b: Column | str, p: int = 2) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, v: s + v))
 
 
-def knn(queries: DataFrame, rows: DataFrame, qid: str, rid: str, q: str, x: str, k: int, p: int = 2, extra: Sequence[str] = (), block_rows: int = 2000) -> DataFrame:
-    """(qid, rank, rid, distance, extra): exact nearest rows of a stated query set, ties to the smaller id.
+#: Pivots that cells of rows are made around, rows of a cell that one task compares, cells that a query meets in the
+#: second round (the last takes all that its bound allows), and numbers of one array step.
+PIVOTS, BLOCK, SECOND, STEP = 256, 4000, 8, 1 << 21
 
-    Queries are dealt into blocks of about ``block_rows``; every block meets every partition of the rows inside
-    tasks and only the best k of a partition leave it, so no table of all pairs is made.
-    """
-    import math
 
+def _apart(a, b, p: int):
+    """Distances of all rows of ``a`` from all of ``b``, by differences (a few rows of ``a`` at a time)."""
+    import numpy as np
+
+    out = np.empty((len(a), len(b)))
+    step = max(1, STEP // max(1, b.size))
+    for i in range(0, len(a), step):
+        gap = a[i : i + step, None] - b[None]
+        out[i : i + step] = np.abs(gap).sum(2) if p == 1 else np.sqrt((gap**2).sum(2))
+    return out
+
+
+def _cells(rows: DataFrame, p: int) -> tuple[DataFrame, list[tuple], object]:
+    """(rows with their cell ``_c``, (cell, rows, nearest, farthest) of each cell, pivots): a row's cell is its nearest
+    pivot, and pivots are rows of the smallest hashes."""
     import numpy as np
     import pandas as pd
 
-    blocks = max(1, math.ceil(queries.count() / block_rows))
-    left = queries.select(F.col(qid).alias("_q"), F.col(q).cast("array<double>").alias("_v")).withColumn("_b", F.pmod(F.xxhash64("_q"), F.lit(blocks)))
-    right = rows.select(F.col(rid).alias("_r"), F.col(x).cast("array<double>").alias("_w"), *extra)
-    parts = max(1, math.ceil(rows.count() / (block_rows * 5)))
-    right = right.withColumn("_p", F.pmod(F.xxhash64("_r"), F.lit(parts))).withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    left = left.withColumn("_p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+    from sparkloom.sources.scratch import stored
+
+    n = rows.count()
+    few = rows.select("_r", "_w").orderBy(F.xxhash64("_r"), "_r").limit(max(1, min(PIVOTS, int(n**0.5 / 2)))).collect()  # at most PIVOTS rows
+    if not few:
+        return rows.withColumns({"_c": F.lit(0), "_d": F.lit(0.0)}), [], None
+    pivots = np.unique(np.array([r["_w"] for r in few], float), axis=0)
+    names = rows.columns
+
+    def deal(it):
+        for pdf in it:
+            if len(pdf):
+                d = _apart(np.array(pdf["_w"].tolist(), float), pivots, p)
+                yield pdf.assign(_c=d.argmin(1).astype("int32"), _d=d.min(1))
+
+    fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names)
+    dealt = stored(rows.mapInPandas(deal, f"{fields}, _c int, _d double"))
+    stats = dealt.groupBy("_c").agg(F.count(F.lit(1)), F.min("_d"), F.max("_d")).collect()  # a row a pivot
+    return dealt, sorted(tuple(r) for r in stats), pivots
+
+
+def knn(queries: DataFrame, rows: DataFrame, qid: str, rid: str, q: str, x: str, k: int, p: int = 2, extra: Sequence[str] = (), report: bool = False) -> DataFrame:
+    """(qid, rank, neighbour, distance, extra): the exact ``k`` nearest rows (other than the one of the query's id) by
+    L2 or L1 distance, ties to the smaller id. With ``report`` one row instead: pairs compared, all pairs, and the
+    share that was skipped.
+
+    Rows lie in cells around pivots. A query first meets the cells nearest to it that hold ``k`` rows; then, in two
+    rounds, only cells that may hold a row as near as its k-th so far: by the triangle inequality none in a cell is
+    nearer than the pivot's distance less the cell's radius. A cell of many rows is dealt to several tasks, and so are
+    its queries; only the best ``k`` of a task leave it. Null vectors and ids take no part."""
+    import numpy as np
+    import pandas as pd
+
+    from sparkloom.sources.scratch import discard, stored
+
     names = list(extra)
+    right = rows.select(F.col(rid).alias("_r"), F.col(x).cast("array<double>").alias("_w"), *names).filter("_r is not null and _w is not null")
+    left = queries.select(F.col(qid).alias("_q"), F.col(q).cast("array<double>").alias("_v")).filter("_q is not null and _v is not null")
+    cells, stats, pivots = _cells(right, p)
+    q_kind, r_kind = left.schema["_q"].dataType.simpleString(), right.schema["_r"].dataType.simpleString()
+    fields = ", ".join([f"_q {q_kind}", f"_r {r_kind}", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in names), "distance double"])
+    number = np.array([s[0] for s in stats], int)
+    count, near, far = (np.array([s[i] for s in stats], float) for i in (1, 2, 3))
+    blocks = {int(c): max(1, -(-int(n) // BLOCK)) for c, n in zip(number, count)}
+
+    def plan(round_: int):
+        """A query's cells in a round: (query, vector, cell) rows from (query, vector, its bound or null)."""
+
+        def run(it):
+            for pdf in it:
+                if not len(pdf) or not len(number):
+                    continue
+                v = np.array(pdf["_v"].tolist(), float)
+                d = _apart(v, pivots, p)[:, number]
+                least = np.maximum(0, np.maximum(d - far, near - d)) * (1 - 1e-12)
+                order = np.lexsort((np.broadcast_to(number, d.shape), d), axis=1)
+                total = np.take_along_axis(np.broadcast_to(count, d.shape), order, 1).cumsum(1)
+                first = 1 + (total < k + 1).sum(1)  # cells of the first round, one row of them may be the query itself
+                bound = pdf["_t"].to_numpy(float) if round_ else np.full(len(v), np.inf)
+                bound = np.where(np.isnan(bound), np.inf, bound) * (1 + 1e-12)
+                place = np.empty_like(order)
+                np.put_along_axis(place, order, np.broadcast_to(np.arange(len(number)), order.shape), 1)
+                lo, hi = [(0, first), (first, first + SECOND), (first + SECOND, np.full(len(v), len(number)))][round_]
+                row, cell = np.nonzero((place >= np.reshape(lo, (-1, 1))) & (place < np.reshape(hi, (-1, 1))) & (least <= bound[:, None]))
+                if not len(row):
+                    continue
+                yield pd.DataFrame({"_q": pdf["_q"].to_numpy()[row], "_v": [pdf["_v"].iloc[i] for i in row], "_c": number[cell].astype("int32")})
+
+        return run
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(a) and len(b):
-            w, r = np.array(b["_w"].tolist(), float), b["_r"].to_numpy()
-            for query, v in zip(a["_q"], a["_v"]):
-                d = np.abs(w - v).sum(1) if p == 1 else np.sqrt(((w - v) ** 2).sum(1))
-                d = np.where(r == query, np.inf, d)
-                top = np.lexsort((r, d))[:k]
-                top = top[np.isfinite(d[top])]
-                part = b.iloc[top][["_r", *names]].copy()
-                part.insert(0, "_q", query)
-                part["distance"] = d[top]
-                out.append(part)
-        return pd.concat(out) if out else pd.DataFrame(columns=["_q", "_r", *names, "distance"])
-
-    schema = ", ".join([f"_q {left.schema['_q'].dataType.simpleString()}", f"_r {right.schema['_r'].dataType.simpleString()}", *(f"{c} {rows.schema[c].dataType.simpleString()}" for c in names), "distance double"])
-    found = left.groupBy("_b", "_p").cogroup(right.groupBy("_b", "_p")).applyInPandas(best, schema)
+        if not len(a) or not len(b):
+            return pd.DataFrame(columns=["_q", "_r", *names, "distance"])
+        r, w, out = b["_r"].to_numpy(), np.array(b["_w"].tolist(), float), []
+        v = np.array(a["_v"].tolist(), float)
+        step = max(1, STEP // max(1, len(b)))
+        by_id = np.argsort(np.argsort(r, kind="stable"), kind="stable")
+        for i in range(0, len(a), step):
+            d = _apart(v[i : i + step], w, p)
+            d[a["_q"].to_numpy()[i : i + step, None] == r[None]] = np.inf
+            order = np.lexsort((np.broadcast_to(by_id, d.shape), d), axis=1)[:, :k]
+            query, at = np.repeat(np.arange(i, i + len(d)), order.shape[1]), order.ravel()
+            dist = np.take_along_axis(d, order, 1).ravel()
+            use = np.isfinite(dist)
+            part = b.iloc[at[use]][["_r", *names]].reset_index(drop=True)
+            part.insert(0, "_q", a["_q"].to_numpy()[query[use]])
+            part["distance"] = dist[use]
+            out.append(part)
+        return pd.concat(out)
+
+    def compare(visits: DataFrame) -> DataFrame:
+        """The best of each (query, cell): blocks of the cell's rows by parts of its queries."""
+        asked = {r["_c"]: max(1, -(-r["n"] // BLOCK)) for r in visits.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a pivot
+        if not asked:
+            return visits.sparkSession.createDataFrame([], fields)
+        table = visits.sparkSession.createDataFrame([(int(c), int(blocks[c]), int(m)) for c, m in asked.items()], "_c int, _nb int, _ns int")
+        known = F.broadcast(table)  # a row a pivot
+        a = visits.join(known, "_c").withColumn("_s", F.pmod(F.xxhash64("_q"), F.col("_ns")).cast("int")).withColumn("_b", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb", "_ns")
+        b = cells.drop("_d").join(known, "_c").withColumn("_b", F.pmod(F.xxhash64("_r"), F.col("_nb")).cast("int")).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_ns") - 1))).drop("_nb", "_ns")
+        return a.groupBy("_c", "_b", "_s").cogroup(b.groupBy("_c", "_b", "_s")).applyInPandas(best, fields)
+
     w = Window.partitionBy("_q").orderBy("distance", "_r")
-    return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(F.col("_q").alias(qid), "rank", F.col("_r").alias("neighbour"), "distance", *names)
+    found, pairs = None, 0
+    for round_ in range(3):
+        if round_ == 0:
+            known = left.withColumn("_t", F.lit(None).cast("double"))
+        else:
+            bound = found.groupBy("_q").agg(F.when(F.count(F.lit(1)) >= k, F.max("distance")).alias("_t"))
+            known = left.join(bound, "_q", "left")
+        visits = stored(known.mapInPandas(plan(round_), f"_q {q_kind}, _v array<double>, _c int"))
+        if report:
+            sizes = visits.groupBy("_c").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a pivot
+            pairs += sum(r["n"] * int(count[list(number).index(r["_c"])]) for r in sizes)
+        new = compare(visits)
+        both = new if found is None else found.unionByName(new)
+        kept = stored(both.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k"))
+        if found is not None:
+            discard(found)
+        discard(visits)
+        found = kept
+    if pivots is not None:
+        discard(cells)
+    if report:
+        total = left.count() * int(count.sum())
+        return left.sparkSession.createDataFrame([(int(pairs), total, 1 - pairs / total if total else 0.0)], "pairs long, all_pairs long, skipped double")
+    return found.withColumn("rank", F.row_number().over(w)).select(F.col("_q").alias(qid), "rank", F.col("_r").alias("neighbour"), "distance", *names)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import unit_bin
-from sparkloom.operators.stats import mid_rank, tallies, with_keys
+from sparkloom.operators.stats import column_quantiles, mid_rank, tallies, with_keys
 
 
 def confusion(df: DataFrame, y: str, pred: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -105,7 +105,7 @@ def ece_quantile(df: DataFrame, y: str, p: str, bins: int = 10) -> DataFrame:
     """Expected calibration error over bins with edges at the scores' quantiles."""
     from sparkloom.functions.expressions import edge_bin
 
-    edges = df.agg(F.percentile(p, F.array(*[F.lit(i / bins) for i in range(1, bins)]))).first()[0] or []
+    edges = column_quantiles(df, [p], [i / bins for i in range(1, bins)])[p]
     r = df.groupBy(edge_bin(p, sorted(set(edges))).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.avg(p).alias("mean_p"), F.avg(y).alias("mean_y"))
     return r.agg((F.sum(F.col("n") * F.abs(F.col("mean_p") - F.col("mean_y"))) / F.sum("n")).alias("ece"))
 

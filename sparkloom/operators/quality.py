@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
+from sparkloom.operators.stats import column_quantiles
 
 
 def drop_duplicate_rows(df: DataFrame, subset: Sequence[str] | None = None, order: Sequence[str] = ()) -> DataFrame:
@@ -64,10 +65,10 @@ def census(df: DataFrame, conditions: Mapping[str, Column]) -> DataFrame:
 
 def tukey_outliers(df: DataFrame, cols: Sequence[str], reach: float = 1.5) -> DataFrame:
     """(column, low, high, share) of values outside the quartiles by more than ``reach`` interquartile ranges."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(c) for c in cols]).first()
+    q = column_quantiles(df, cols, [0.25, 0.75])
     out = None
     for c in cols:
-        q1, q3 = q[c]
+        q1, q3 = q[c] or (float("nan"),) * 2
         low, high = q1 - reach * (q3 - q1), q3 + reach * (q3 - q1)
         row = df.agg(F.lit(c).alias("column"), F.lit(low).alias("low"), F.lit(high).alias("high"), F.avg(((F.col(c) < low) | (F.col(c) > high)).cast("double")).alias("share"))
         out = row if out is None else out.unionByName(row)
@@ -76,8 +77,8 @@ def tukey_outliers(df: DataFrame, cols: Sequence[str], reach: float = 1.5) -> Da
 
 def winsorise(df: DataFrame, cols: Sequence[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Each column clipped to its own quantiles."""
-    q = df.agg(*[F.percentile(c, F.array(F.lit(low), F.lit(high))).alias(c) for c in cols]).first()
-    return df.withColumns({c: X.clip(c, q[c][0], q[c][1]) for c in cols})
+    q = column_quantiles(df, cols, [low, high])
+    return df.withColumns({c: X.clip(c, q[c][0], q[c][1]) for c in cols if q[c]})
 
 
 def coverage(plan: DataFrame, done: DataFrame, key: Sequence[str], applies: Column) -> DataFrame:

@@ -114,6 +114,58 @@ def bootstrap_weights(df: DataFrame, id_col: str, rounds: int, seed: int = 42) -
     return df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("weight", weight).filter("weight > 0")
 
 
+#: Rows that a part of :func:`bootstrap_counts` has, and parts at most (their sizes go to every task).
+PART_ROWS, MOST_PARTS = 20_000, 1 << 16
+
+
+def part_draws(sizes: "np.ndarray", part: int, total: int, seed: int, round_: int) -> int:
+    """How many of ``total`` draws fall into a part: at each node of a binary tree over the parts they split by a binomial
+    of the halves' sizes, whose numbers depend on the node only, so that every task finds its own part's draws."""
+    import numpy as np
+
+    ends = np.r_[0, np.cumsum(sizes)]
+    lo, hi, node = 0, len(sizes), 1
+    while hi - lo > 1 and total:
+        mid = (lo + hi) // 2
+        whole = int(ends[hi] - ends[lo])
+        left = int(np.random.default_rng([seed, round_, node]).binomial(total, (ends[mid] - ends[lo]) / whole)) if whole else 0
+        lo, hi, node, total = (lo, mid, 2 * node, left) if part < mid else (mid, hi, 2 * node + 1, total - left)
+    return total
+
+
+def bootstrap_counts(df: DataFrame, id_col: str, rounds: int, seed: int = 42, draws: int | None = None) -> DataFrame:
+    """``df`` with ``round`` and ``weight``: how often each round draws the row, with replacement, out of all; rows that it
+    doesn't draw are left out. Weights of a round sum to exactly the number of rows (or ``draws``).
+
+    Draws split over hash parts of the rows by binomials, then fall on the rows of a part, each part in a task of its
+    own. Rows are told apart by id, then by place; an empty table has no rounds."""
+    import numpy as np
+    import pandas as pd
+
+    n = df.count()
+    total = n if draws is None else draws
+    parts = max(1, min(MOST_PARTS, -(-n // PART_ROWS)))
+    dealt = df.withColumn("_part", F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)), F.lit(parts)).cast("int"))
+    sizes = np.zeros(parts, np.int64)
+    for r in dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect():  # a row a part
+        sizes[r["_part"]] = r["n"]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["_part"].iloc[0])
+        rows = pdf.drop(columns="_part").sort_values(id_col, kind="stable", ignore_index=True)
+        out = []
+        for r in range(rounds):
+            m = part_draws(sizes, part, total, seed, r)
+            weight = np.bincount(np.random.default_rng([seed, r, part, 1]).integers(0, len(rows), m), minlength=len(rows))
+            own = rows[weight > 0].copy()
+            own["round"], own["weight"] = r, weight[weight > 0]
+            out.append(own)
+        return pd.concat(out)
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return dealt.groupBy("_part").applyInPandas(run, f"{fields}, round int, weight long")
+
+
 def _unit(*parts) -> Column:
     """A number in [0, 1) from the MD5 of the parts: the same in any engine."""
     digits = F.substring(F.md5(F.concat_ws(":", *[p.cast("string") for p in parts])), 1, 13)

@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 def describe_adjusted(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(column, n, mean, median, sd, skew, kurtosis): sample moments with the usual small-sample adjustment."""
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])).alias("r")).select("r.*")
-    raw = long.groupBy("column").agg(
-        F.count("x").alias("n"), F.avg("x").alias("mean"), F.median("x").alias("median"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2")
-    )
+    raw = long.groupBy("column").agg(F.count("x").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("g1"), F.kurtosis("x").alias("g2"))
+    raw = raw.join(order_statistics(df, cols, [0.5]).select("column", F.col("q_0").alias("median")), "column", "left")
     n = F.col("n").cast("double")
     return raw.select(
         "column",
@@ -39,7 +38,21 @@ def full_domain_counts(df: DataFrame, c: str, domain: Sequence[int]) -> DataFram
 
 
 def class_profile(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in cols for name, f in (("mean", F.avg), ("median", F.median))])
+    """Rows of each class, and mean and median of the columns."""
+    means = df.groupBy(target).agg(F.count(F.lit(1)).alias("n"), *[F.avg(c).alias(f"mean_{c}") for c in cols])
+    middles = order_statistics(df, cols, [0.5], [target]).groupBy(target).agg(*[F.max(F.when(F.col("column") == c, F.col("q_0"))).alias(f"median_{c}") for c in cols])
+    return _beside(means, middles, [target]).select(target, "n", *[f"{name}_{c}" for c in cols for name in ("mean", "median")])
+
+
+def _beside(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """All rows of ``left`` with what ``right`` has for their keys; null keys are equal."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))  # one row each
+    other = right.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return left.join(other, same, "left").drop(*[f"_k_{k}" for k in keys])
 
 
 def crosstab(df: DataFrame, c: str, target: str, values: Sequence) -> DataFrame:
@@ -52,10 +65,11 @@ def rate_by_group(df: DataFrame, c: str, target: str) -> DataFrame:
 
 
 def group_summary(df: DataFrame, keys: Sequence[str], value: str, quantiles: Sequence[float] = (0.25, 0.75)) -> DataFrame:
-    q = [F.percentile(value, F.lit(p)).alias(f"q{round(p * 100)}") for p in quantiles]
-    return df.groupBy(*keys).agg(
-        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), F.median(value).alias("median"), F.max(F.abs(value)).alias("max_abs"), *q
-    )
+    """Count, moments, extremes, median and quantiles of a value by keys."""
+    names = ["median", *(f"q{round(p * 100)}" for p in quantiles)]
+    plain = df.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.min(value).alias("low"), F.max(value).alias("high"), F.max(F.abs(value)).alias("max_abs"))
+    exact = order_statistics(df, [value], [0.5, *quantiles], keys).select(*keys, *[F.col(f"q_{i}").alias(n) for i, n in enumerate(names)])
+    return _beside(plain, exact, keys).select(*keys, "n", "mean", "sd", "low", "high", "median", "max_abs", *names[1:])
 
 
 def with_total(df: DataFrame, key: str, aggs: Sequence[Column], total: str = "ALL") -> DataFrame:
@@ -153,6 +167,37 @@ def mid_rank() -> Column:
     return F.col("upto_n") - F.col("n") + (F.col("n") + 1) / 2
 
 
+def order_statistics(df: DataFrame, cols: Sequence[str], shares: Sequence[float], keys: Sequence[str] = (), between: bool = True) -> DataFrame:
+    """(keys, column, n, q_0, q_1, ...): exact quantiles of each column at the shares, linear between neighbours (or the
+    lower neighbour), of the values that are neither null nor NaN; columns without any have no row.
+
+    Distinct values are counted, the counts run within ranges of values, and each quantile is the least value that
+    enough rows don't exceed: no task holds more than a range of a group's values. -0.0 and 0.0 are one value."""
+    long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), (F.col(c).cast("double") + F.lit(0.0)).alias("x")) for c in cols])).alias("_r")).select(*keys, "_r.*")
+    long = long.filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    by = [*keys, "column"]
+    counted = tallies(long, "x", by)
+    counted = with_keys(counted, counted.groupBy(*by).agg(F.sum("n").alias("_t")), by)
+    aggs = []
+    for i, p in enumerate(shares):
+        place = (F.col("_t") - 1) * F.lit(float(p))
+        aggs.append(F.min(F.when(F.col("upto_n") > F.floor(place), F.col("x"))).alias(f"_a{i}"))
+        if between:
+            aggs.append(F.min(F.when(F.col("upto_n") > F.ceil(place), F.col("x"))).alias(f"_b{i}"))
+    found = counted.groupBy(*by).agg(F.max("_t").alias("n"), *aggs)
+    value = []
+    for i, p in enumerate(shares):
+        place = (F.col("n") - 1) * F.lit(float(p))
+        value.append((F.col(f"_a{i}") + (place - F.floor(place)) * (F.col(f"_b{i}") - F.col(f"_a{i}")) if between else F.col(f"_a{i}")).alias(f"q_{i}"))
+    return found.select(*by, "n", *value)
+
+
+def column_quantiles(df: DataFrame, cols: Sequence[str], shares: Sequence[float], between: bool = True) -> dict[str, list[float]]:
+    """The exact quantiles of whole columns, as numbers: a row a column comes to the driver."""
+    rows = {r["column"]: [r[f"q_{i}"] for i in range(len(shares))] for r in order_statistics(df, cols, shares, (), between).collect()}
+    return {c: rows.get(c, []) for c in cols}
+
+
 def rank_table(df: DataFrame, value: str, name: str, keys: Sequence[str] = (), edges: Sequence[float] | None = None) -> DataFrame:
     """(keys, value, name): the average rank of each distinct value that isn't null, which are counted first."""
     return tallies(df, value, keys, edges=edges).select(*keys, value, mid_rank().alias(name))

@@ -74,6 +74,16 @@ def bootstrap_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.groupBy("round").agg(F.sum("weight").alias("draws"), F.count(F.lit(1)).alias("rows"), F.max("weight").alias("most"))
 
 
+@query("SELECT CAST(r AS INTEGER) AS round, count(*)::BIGINT AS draws, sum(o_orderkey * 0 + 1)::BIGINT AS rows_of_all, true AS all_ids FROM orders, range(0, 20) t(r) GROUP BY 1")
+def bootstrap_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact bootstrap weights: every round draws as many rows as there are, all of the table."""
+    rows = scored(spark, sf).select("id")
+    w = splits.bootstrap_counts(rows, "id", 20)
+    n = rows.agg(F.count(F.lit(1)).alias("rows_of_all"))
+    known = w.join(rows.distinct().withColumn("_known", F.lit(True)), "id", "left")
+    return known.groupBy("round").agg(F.sum("weight").alias("draws"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("all_ids")).crossJoin(n)  # one row
+
+
 @query("SELECT name, value FROM (VALUES ('a', 1), ('b', 1), ('c', 2)) t(name, n), unnest([10, 20, 30]) u(value) WHERE n = 1")
 def parameter_plan(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.createDataFrame([("a", 1), ("b", 1), ("c", 2)], "name string, n int")
@@ -317,6 +327,14 @@ def nearest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(joins.knn(e.filter("vec_id % 100 = 0"), e, "vec_id", "vec_id", "embedding", "embedding", 5, extra=["label"]), "distance")
 
 
+@query("WITH q AS (SELECT count(*) AS n FROM part WHERE p_partkey % 100 = 0), r AS (SELECT count(*) AS n FROM part) SELECT q.n * r.n AS all_pairs, true AS fewer FROM q, r")
+def nearest_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """Pairs that an exact search of nearest parts by size and price leaves out: fewer than all are compared."""
+    p = read(spark, sf, "part").select("p_partkey", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("x"))
+    r = joins.knn(p.filter("p_partkey % 100 = 0"), p, "p_partkey", "p_partkey", "x", "x", 5, report=True)
+    return r.select("all_pairs", (F.col("pairs") < F.col("all_pairs")).alias("fewer"))
+
+
 FEW = "e AS (SELECT vec_id, embedding, CAST(label = 0 AS INTEGER) AS y FROM embeddings), c AS (SELECT y, count(*) AS n FROM e GROUP BY 1), s AS (SELECT max(n) FILTER (y = 1) AS n1, max(n) FILTER (y = 0) AS n0 FROM c)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
-from sparkloom.operators import attribution, metrics, models, oblique, search, splits
+from sparkloom.operators import attribution, boosting, kernel_machine, metrics, models, oblique, search, splits
 from sparkloom.plans.registry import query, read, rounded
 
 CUSTOMER = "cust AS (SELECT c_custkey AS id, CAST(c_acctbal < 0 AS INTEGER) AS y, coalesce(n, 0)::DOUBLE AS n_orders, coalesce(t, 0) / 1e5 AS total, (c_custkey % 97)::DOUBLE AS noise, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
@@ -124,8 +124,7 @@ def _explained(spark: SparkSession, sf: str):
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
     cols = ["q", "t", "d"]
     forest = oblique.fit_forest(rows.filter("part = 'train'"), "id", "y", cols, trees=8, q=2, max_depth=4)
-    trees = forest.trees
-    predict = lambda x: np.mean([oblique.route(x, t) for t in trees], axis=0)
+    predict = forest.score
     background = np.array([list(r) for r in splits.sample_n(rows.filter("part = 'train'"), "id", 12).select(*cols).collect()], float)
     return rows.filter("part = 'test'"), cols, predict, background
 
@@ -161,6 +160,80 @@ def importance_stability(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.stability(attribution.importance(values, ["fold"]), "fold", [0, 1], 2)
 
 
+PARTS = "parts AS (SELECT l_partkey AS id, avg(l_quantity) AS q, avg(l_tax) AS t, avg(l_discount) AS d, CAST(avg(l_extendedprice) > 53000 AS INTEGER) AS y FROM lineitem GROUP BY 1)"
+STEPS = {"q": [10.0, 15.0, 20.0, 22.5, 25.0, 27.5, 30.0, 35.0, 40.0], "t": [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07]}
+
+
+@query(
+    f"WITH {PARTS}, gappy AS (SELECT id, y, q, CASE WHEN id % 9 <> 0 THEN t END AS t FROM parts), b AS (SELECT sum(y) * 2.0 / (sum(y) * 2.0 + count(*) - sum(y)) AS p FROM gappy), "
+    "gh AS (SELECT g.*, (p - y) * (1 + y) AS g, p * (1 - p) * (1 + y) AS h FROM gappy g, b), total AS (SELECT sum(g) AS g, sum(h) AS h, count(*) AS n FROM gh), "
+    f"cuts AS (SELECT 'q' AS col, unnest({STEPS['q']}) AS threshold UNION ALL SELECT 't', unnest({STEPS['t']})), ways AS (SELECT *, unnest(CASE WHEN col = 't' THEN [false, true] ELSE [false] END) AS missing_left FROM cuts), "
+    "s AS (SELECT col, threshold, missing_left, sum(gh.g) AS gl, sum(gh.h) AS hl, count(*) AS nl FROM ways JOIN gh ON CASE WHEN col = 'q' THEN q ELSE t END <= threshold OR (missing_left AND t IS NULL) GROUP BY 1, 2, 3) "
+    "SELECT col AS \"column\", threshold, missing_left, round(0.5 * (gl * gl / (hl + 2) + (g - gl) * (g - gl) / (h - hl + 2) - g * g / (h + 2)) - 0.01, 6) AS gain, nl::DOUBLE AS nl FROM s, total WHERE hl >= 1 AND h - hl >= 1 AND nl < n"
+)
+def boosting_gains(spark: SparkSession, sf: str) -> DataFrame:
+    """What every first cut of a boosted tree gains, missing values going either way."""
+    rows = parts(spark, sf).withColumn("t", F.when(F.col("id") % 9 != 0, F.col("t")))
+    return rounded(boosting.root_gains(rows, "id", "y", ["q", "t"], [STEPS["q"], STEPS["t"]], lam=2.0, gamma=0.01, pos_weight=2.0).select("column", "threshold", "missing_left", "gain", "nl"), "gain")
+
+
+@query()
+def boosted_trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Second-order boosting by level, by leaf and with symmetric trees on one split: rates and AUC of the test rows."""
+    rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25).persist()
+    train, test = rows.filter("part = 'train'"), rows.filter("part = 'test'")
+    out = None
+    for growth in ("level", "leaf", "symmetric"):
+        model = boosting.fit_boosted(train, "id", "y", ["q", "t", "d"], rounds=6, growth=growth, max_depth=3, leaves=8, rate=0.4, subsample=0.9, pos_weight="balanced")
+        part = report(model.transform(test)).withColumn("growth", F.lit(growth))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+SEGMENT_MEANS = (
+    f"WITH {CUSTOMER}, r AS (SELECT id, c_mktsegment, y, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id) AS rn, "
+    "coalesce(sum(y) OVER (PARTITION BY c_mktsegment ORDER BY md5(concat(CAST(id AS VARCHAR), ':42')), id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM cust) "
+    "SELECT id, round((s + 0.1 * 2) / (rn - 1 + 2), 6) AS target_mean FROM r"
+)
+
+
+@query(SEGMENT_MEANS)
+def ordered_target_means(spark: SparkSession, sf: str) -> DataFrame:
+    """A category as the mean label of its rows before in a hash order."""
+    return rounded(boosting.ordered_target_means(customers(spark, sf), "id", "c_mktsegment", "y", prior=0.1, weight=2.0).select("id", "target_mean"), "target_mean")
+
+
+def _boosted(spark: SparkSession, sf: str):
+    rows = parts(spark, sf)
+    return rows, boosting.fit_boosted(rows, "id", "y", ["q", "t", "d"], rounds=4, growth="leaf", max_depth=4, leaves=8, rate=0.4)
+
+
+@query()
+def tree_shapley_values(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact Shapley values of a boosted model's margin for every part."""
+    rows, model = _boosted(spark, sf)
+    return attribution.tree_shapley(rows, "id", model)
+
+
+@query(f"WITH {PARTS} SELECT count(*) AS n, 0.0 AS worst_gap, count(*) AS n_scored FROM parts")
+def tree_shapley_additivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The largest gap between a part's margin and its attributions with their base, to nine digits."""
+    rows, model = _boosted(spark, sf)
+    values = attribution.tree_shapley(rows, "id", model)
+    gap = values.groupBy("id").agg((F.sum("value") + F.first("base")).alias("told")).join(model.transform(rows, "margin", margin=True).select("id", "margin"), "id")
+    return gap.agg(F.count(F.lit(1)).alias("n"), F.round(F.max(F.abs(F.col("told") - F.col("margin"))), 9).alias("worst_gap"), F.count("margin").alias("n_scored"))
+
+
+@query()
+def kernel_machine_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """An RBF machine on eight numbers of each vector, label 0 against the others: test rows' rates and AUC, and how
+    many support vectors it kept."""
+    e = read(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), (F.col("label") == 0).cast("int").alias("y"), *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(8)])
+    rows = splits.stratified_split(e, "id", "y", 0.25)
+    machine = kernel_machine.fit_kernel_machine(rows.filter("part = 'train'"), "id", "y", [f"x{i}" for i in range(8)], C=1.0, weight="balanced", folds=2)
+    return report(machine.transform(rows.filter("part = 'test'"))).withColumn("vectors", F.lit(len(machine.x)))
+
+
 @query()
 def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Genetic against random search on five test functions (sphere, Rosenbrock, steps, noisy quartic, foxholes), ten

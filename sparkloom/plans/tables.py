@@ -45,7 +45,7 @@ def equal_width_bins(spark: SparkSession, sf: str) -> DataFrame:
 @query("WITH e AS (SELECT quantile_cont(o_totalprice, [0.2, 0.4, 0.6, 0.8]) AS q FROM orders) SELECT CAST((o_totalprice > q[1])::INT + (o_totalprice > q[2])::INT + (o_totalprice > q[3])::INT + (o_totalprice > q[4])::INT AS INTEGER) AS bin, count(*) AS n FROM orders, e GROUP BY 1")
 def quantile_bins(spark: SparkSession, sf: str) -> DataFrame:
     orders = read(spark, sf, "orders")
-    edges = orders.agg(F.percentile("o_totalprice", F.array(*[F.lit(q) for q in (0.2, 0.4, 0.6, 0.8)]))).first()[0]
+    edges = stats.column_quantiles(orders, ["o_totalprice"], [0.2, 0.4, 0.6, 0.8])["o_totalprice"]
     return orders.groupBy(X.edge_bin("o_totalprice", edges).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
 
 

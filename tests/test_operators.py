@@ -98,7 +98,8 @@ def test_fisher_direction_is_the_best():
     rng = np.random.default_rng(3)
     y = (rng.random(400) < 0.4).astype(int)
     x = rng.multivariate_normal([0, 0], [[1, 0.8], [0.8, 1]], 400) + np.outer(y, [0.9, 0.2])
-    d = oblique.fisher_direction(x, np.ones(400), y, ridge=0.0)
+    d, mean, deviation = oblique.fisher_direction(oblique.moments(x, np.ones(400), y), ridge=0.0)
+    assert mean == pytest.approx((x @ d).mean(), abs=1e-6) and deviation == pytest.approx((x @ d).std(), abs=1e-6)
 
     def ratio(v):
         p = x @ v
