@@ -5,9 +5,12 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
@@ -150,26 +153,68 @@ def bca_interval(df: DataFrame, id_col: str, sums: Mapping[str, Column], metric:
     return boot.agg(F.lit(s["point"]).alias("point"), F.percentile("m", F.lit(ends[0])).alias("low"), F.percentile("m", F.lit(ends[1])).alias("high"), F.lit(z0).alias("z0"), F.lit(accel).alias("acceleration"), F.count(F.lit(1)).alias("rounds"))
 
 
-def measured(name: str, fit: Callable[[], object], predict: Callable[[object], DataFrame]) -> dict:
+def job_peaks(spark: SparkSession, group: str) -> dict[str, float]:
+    """Of the jobs of a group, from Spark's status store: the most execution memory that a stage's tasks held together,
+    the largest heap and the largest memory off it of any executor while they ran (null where none of its heartbeats
+    fell into them; ``spark.executor.metrics.pollingInterval`` asks for more), and tasks and their seconds."""
+    jvm = spark.sparkContext._jsc.sc()
+    jvm.listenerBus().waitUntilEmpty(30_000)
+    tracker, store = spark.sparkContext.statusTracker(), jvm.statusStore()
+    out = {"execution_mb": 0.0, "heap_mb": None, "off_heap_mb": None, "tasks": 0, "task_seconds": 0.0}
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup(group)]
+    stages = {s for job in jobs if job for s in job.stageIds}
+    for s in sorted(stages):
+        try:
+            stage = store.lastStageAttempt(s)
+        except Py4JJavaError:  # skipped: its shuffle files were there
+            continue
+        out["execution_mb"] = max(out["execution_mb"], stage.peakExecutionMemory() / 2**20)
+        out["tasks"] += stage.numCompleteTasks()
+        out["task_seconds"] += stage.executorRunTime() / 1000
+        peak = stage.peakExecutorMetrics()
+        for key, metric in (("heap_mb", "JVMHeapMemory"), ("off_heap_mb", "JVMOffHeapMemory")):
+            if peak.isDefined() and (bytes_ := peak.get().getMetricValue(metric)) > 0:
+                out[key] = max(out[key] or 0.0, bytes_ / 2**20)
+    return out
+
+
+@contextmanager
+def job_group(spark: SparkSession, group: str) -> Iterator[None]:
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        yield
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        spark.sparkContext.setLocalProperty("spark.job.description", None)
+
+
+def measured(spark: SparkSession, name: str, fit: Callable[[], object], predict: Callable[[object], DataFrame]) -> dict:
     """Seconds of a fit and of a prediction over all rows (every row is made, none is kept), rows a second, and the
-    driver JVM's memory in use afterwards."""
+    peaks of both on the executors (:func:`job_peaks`), each in a job group of its own."""
+    run = uuid.uuid4().hex
     began = time.perf_counter()
-    model = fit()
+    with job_group(spark, f"fit-{run}"):
+        model = fit()
     fitted = time.perf_counter()
     out = predict(model)
-    rows = out.count() if not out.columns else None
-    out.write.format("noop").mode("overwrite").save()
+    with job_group(spark, f"predict-{run}"):
+        out.write.format("noop").mode("overwrite").save()
     done = time.perf_counter()
-    rows = out.count() if rows is None else rows
-    heap = out.sparkSession._jvm.java.lang.Runtime.getRuntime()
-    return {"variant": name, "fit_seconds": fitted - began, "predict_seconds": done - fitted, "rows": rows, "rows_per_second": rows / max(done - fitted, 1e-9), "driver_mb": (heap.totalMemory() - heap.freeMemory()) / 2**20}
+    rows = out.count()
+    peaks = {f"{step}_{k}": v for step in ("fit", "predict") for k, v in job_peaks(spark, f"{step}-{run}").items()}
+    return {"variant": name, "fit_seconds": fitted - began, "predict_seconds": done - fitted, "rows": rows, "rows_per_second": rows / max(done - fitted, 1e-9), **peaks}
 
 
-def cost_table(spark, runs: Sequence[Mapping]) -> DataFrame:
-    """The measurements of several variants, each against the first: how many times as fast it fits and predicts."""
+def cost_table(spark: SparkSession, runs: Sequence[Mapping]) -> DataFrame:
+    """The measurements of several variants, each against the first: how many times as fast it fits and predicts, and how
+    much of its execution memory it takes."""
     first = runs[0]
-    schema = "variant string, fit_seconds double, predict_seconds double, rows long, rows_per_second double, driver_mb double, fit_speedup double, predict_speedup double"
-    return spark.createDataFrame([(*(r[k] for k in ("variant", "fit_seconds", "predict_seconds", "rows", "rows_per_second", "driver_mb")), first["fit_seconds"] / r["fit_seconds"], first["predict_seconds"] / r["predict_seconds"]) for r in runs], schema)
+    peaks = [f"{step}_{k}" for step in ("fit", "predict") for k in ("execution_mb", "heap_mb", "off_heap_mb", "tasks", "task_seconds")]
+    names = ["variant", "fit_seconds", "predict_seconds", "rows", "rows_per_second", *peaks]
+    kinds = ["string", "double", "double", "long", "double", *["long" if p.endswith("tasks") else "double" for p in peaks]]
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds)) + ", fit_speedup double, predict_speedup double, fit_memory_share double"
+    rows = [(*(r[n] for n in names), first["fit_seconds"] / r["fit_seconds"], first["predict_seconds"] / r["predict_seconds"], r["fit_execution_mb"] / first["fit_execution_mb"] if first["fit_execution_mb"] else None) for r in runs]
+    return spark.createDataFrame(rows, schema)
 
 
 def exploration_report(df: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:

@@ -165,7 +165,7 @@ def cost_comparison(spark: SparkSession, sf: str) -> DataFrame:
     """Fit and predict times of a full and a trimmed forest; times differ from run to run."""
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25).persist()
     train, test = rows.filter("part = 'train'").drop("part"), rows.filter("part = 'test'").drop("part")
-    runs = [battery.measured(name, lambda p=p: models.fit(train, "y", ["q", "t", "d"], [], "random_forest", p), lambda m: m.transform(test)) for name, p in (("standard", {"n_trees": 20}), ("optimised", {"n_trees": 10, "max_depth": 5}))]
+    runs = [battery.measured(spark, name, lambda p=p: models.fit(train, "y", ["q", "t", "d"], [], "random_forest", p), lambda m: m.transform(test)) for name, p in (("standard", {"n_trees": 20}), ("optimised", {"n_trees": 10, "max_depth": 5}))]
     rows.unpersist()
     return battery.cost_table(spark, runs)
 

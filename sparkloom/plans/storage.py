@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkloom.operators import models
 from sparkloom.plans.modelling import parts
 from sparkloom.plans.registry import SCORED_SQL, query, read, rounded, scored
-from sparkloom.sources import sinks, tables
+from sparkloom.sources import scratch, sinks, tables, workbooks
 from sparkloom.streaming import board
 
 
@@ -192,3 +192,11 @@ def streamed_board(spark: SparkSession, sf: str) -> DataFrame:
         board.run_once(board.windowed_progress(stream), f"{path}/out", f"{path}/state")
     out = spark.read.parquet(f"{path}/out").filter("start < timestamp'2990-01-01'")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), "total", digits=4)
+
+
+@query("SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal < 0 AS owes, CASE WHEN c_custkey % 3 = 0 THEN c_mktsegment END AS segment FROM customer")
+def workbook_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers written as workbooks with a line above the header, and scanned again."""
+    c = read(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.col("c_nationkey").cast("long").alias("c_nationkey"), (F.col("c_acctbal") < 0).alias("owes"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"))
+    books = scratch.stored(workbooks.as_workbooks(c, "c_custkey", rows=400, above=["a title"]))
+    return workbooks.as_table(books, header=1)

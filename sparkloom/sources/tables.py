@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions import expressions as X
+from sparkloom.sources import workbooks
 
 
 def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -21,11 +22,8 @@ def csv(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame
 
 
 def spreadsheet(spark: SparkSession, path: str, target: str, rename_to: str, drop: Sequence[str] = ("ID",), header: int = 1) -> DataFrame:
-    """A workbook's sheet (small: it is read on the driver); target renamed, id columns dropped."""
-    import pandas as pd
-
-    df = spark.createDataFrame(pd.read_excel(path, header=header))
-    return df.withColumnRenamed(target, rename_to).drop(*drop)
+    """The first sheets of the workbooks at a path, read by Spark's tasks; target renamed, id columns dropped."""
+    return workbooks.scan(spark, path, header).withColumnRenamed(target, rename_to).drop(*drop)
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
@@ -101,6 +99,11 @@ def synthetic(spark: SparkSession, rows: int = 5000, features: int = 20, majorit
 
 
 def correlated_pair(spark: SparkSession, rows: int, mean: float, rho: float, seed: int = 42) -> DataFrame:
-    """id, a, b: bivariate normal rows with unit variances and correlation rho."""
-    df = spark.range(rows).select("id", F.randn(seed).alias("_z1"), F.randn(seed + 1).alias("_z2"))
+    """id, a, b: bivariate normal rows with unit variances and correlation rho, hashes of the id as in :func:`synthetic`."""
+
+    def normal(salt: str):
+        u, v = (((F.pmod(F.xxhash64(F.col("id"), F.lit(salt + x), F.lit(seed)), F.lit(1 << 52)) + 1) / float((1 << 52) + 2)) for x in "uv")
+        return F.sqrt(-2 * F.ln(u)) * F.cos(2 * 3.141592653589793 * v)
+
+    df = spark.range(rows).select("id", normal("a").alias("_z1"), normal("b").alias("_z2"))
     return df.select("id", (F.col("_z1") + mean).alias("a"), (rho * F.col("_z1") + (1 - rho * rho) ** 0.5 * F.col("_z2") + mean).alias("b"))
