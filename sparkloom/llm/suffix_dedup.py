@@ -9,7 +9,8 @@ it that have the same one. What an anchor owns is a *stretch* of text.
 * Stretches that are equal as a whole (gram, XXH3 digest, place of the anchor and size) are counted; all that they
   own repeats.
 * A string that contains its anchor's gram goes on for half the rest or more on one side of it. Stretches with
-  several different texts by gram are dropped unless another one has that much in common with them on that side.
+  several different texts by gram are dropped unless another one has that much in common with them on that side, and
+  of the others only the strings that reach so far on a side with company are looked at.
 * The stretches left go to *shards* by gram, one copy of each. A task spools its shard to disk, sorts the suffixes
   of the stretches by external induction with common prefixes, and reports owned strings whose common prefix with
   another one reaches ``length``.
@@ -73,11 +74,11 @@ def _range_hashes(data: np.ndarray):
 
 
 def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document, first start, starts, gram hash, stretch digest, contexts) of each anchor's owned starts, positions in
-    the document. Contexts are 31-bit hashes of the bytes that every owned string has left (upper half) or right of
+    """(document, first start, starts, gram hash, stretch digest, contexts, turn) of each anchor's owned starts, positions
+    in the document; the turn is the anchor's place after the first start. Contexts are 31-bit hashes of the bytes that every owned string has left (upper half) or right of
     the gram, 0 where none reaches so far."""
     n, window = len(data), length - gram + 1
-    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64))
+    none = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0, U64), np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64))
     if n < length:
         return none
     of, prefix, down = _range_hashes(data)
@@ -104,7 +105,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, length: int, gram: int) -> tuple
     left, right = spot - side, spot + gram + side
     reach = [(left >= first, of(np.maximum(left, 0), spot)), (right <= end, of(spot + gram, np.minimum(right, n)))]
     upper, lower = (np.where(ok, (h >> U64(33)) | U64(1), U64(0)) for ok, h in reach)
-    return owner, first - offs[owner], size, grams[spot], stretch, (upper << U64(32) | lower).view(np.int64)
+    return owner, first - offs[owner], size, grams[spot], stretch, (upper << U64(32) | lower).view(np.int64), spot - first
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -117,42 +118,43 @@ def _anchor_rows(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
-            doc, first, size, g, w, near = anchors(data, offs, length, gram)
-            order = np.lexsort((w, g, doc))
-            doc, first, size, g, w, near = doc[order], first[order], size[order], g[order], w[order], near[order]
+            found = anchors(data, offs, length, gram)
+            order = np.lexsort((found[4], found[3], found[0]))
+            doc, first, size, g, w, near, turn = (c[order] for c in found)
             new = np.ones(len(doc), bool)
             new[1:] = (doc[1:] != doc[:-1]) | (g[1:] != g[:-1]) | (w[1:] != w[:-1])
             head = np.flatnonzero(new)
             pick = pa.array(doc[head])
             firsts = pa.ListArray.from_arrays(pa.array(np.r_[head, len(doc)].astype(np.int32)), pa.array(first.astype(np.int32)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pick), batch.column("key").take(pick), firsts, pa.array(size[head].astype(np.int32)), pa.array(g[head].view(np.int64)), pa.array(w[head].view(np.int64)), pa.array(near[head])],
-                ["doc_id", "key", "firsts", "size", "gram", "stretch", "near"],
+                [batch.column("doc_id").take(pick), batch.column("key").take(pick), firsts, pa.array(size[head].astype(np.int32)), pa.array(g[head].view(np.int64)), pa.array(w[head].view(np.int64)), pa.array(near[head]), pa.array(turn[head].astype(np.int32))],
+                ["doc_id", "key", "firsts", "size", "gram", "stretch", "near", "turn"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, firsts array<int>, size int, gram long, stretch long, near long")
+    return arrow_map(docs.select("doc_id", "key", "text"), run, f"doc_id {kind}, key long, firsts array<int>, size int, gram long, stretch long, near long, turn int")
 
 
 def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
     """(gram, stretch, starts): which owned starts of each stretch (offsets, packed) repeat in another stretch.
 
-    ``rows`` (gram, stretch, size, body) come partitioned, a shard to each partition."""
+    ``rows`` (gram, stretch, lo, size, body) come partitioned, a shard to each partition; bodies begin at the owned
+    start ``lo`` of the stretch."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with tempfile.TemporaryDirectory() as folder:
-            text, meta = Spool(folder, "i2"), Spool(folder, "i8", "i8", "i4", "i8")
+            text, meta = Spool(folder, "i2"), Spool(folder, "i8", "i8", "i4", "i4", "i8")
             for batch in it:
                 if not batch.num_rows:
                     continue
                 data, offs = buffers(batch.column("body"))
                 full = np.zeros(len(data) + batch.num_rows, np.int16)
                 full[np.arange(len(data)) + np.repeat(np.arange(batch.num_rows), np.diff(offs))] = data.astype(np.int16) + 1
-                meta.add(batch.column("gram").to_numpy(), batch.column("stretch").to_numpy(), batch.column("size").to_numpy(), text.n + offs[:-1] + np.arange(batch.num_rows))
+                meta.add(batch.column("gram").to_numpy(), batch.column("stretch").to_numpy(), batch.column("lo").to_numpy(), batch.column("size").to_numpy(), text.n + offs[:-1] + np.arange(batch.num_rows))
                 text.add(full)
             if not text.n:
                 return
-            (symbols,), (gram, stretch, size, begin) = text.arrays(), meta.arrays()
+            (symbols,), (gram, stretch, above, size, begin) = text.arrays(), meta.arrays()
             hits = mapped(folder, "u1", len(symbols))
             _mark_repeats(falling(symbols, 257, length, folder), begin, size, length, hits)
             for lo in range(0, len(begin), 4000):
@@ -163,7 +165,7 @@ def _sort_shards(rows: DataFrame, length: int) -> DataFrame:
                     continue
                 row = np.searchsorted(begin[lo:hi], pos, "right") - 1 + lo
                 cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-                packed = [x.tobytes() for x in np.split((pos - begin[row]).astype(np.int32), cut[1:])]
+                packed = [x.tobytes() for x in np.split((pos - begin[row] + above[row]).astype(np.int32), cut[1:])]
                 which = row[cut]
                 yield pa.RecordBatch.from_arrays([pa.array(gram[which]), pa.array(stretch[which]), pa.array(packed, pa.binary())], ["gram", "stretch", "starts"])
 
@@ -201,23 +203,24 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
     shared = stored(rows.groupBy("gram").agg(F.sum(places).alias("n"), F.min("stretch").alias("s1"), F.max("stretch").alias("s2")).filter("n > 1"))
     live = stored(rows.join(shared.select("gram", (F.col("s1") != F.col("s2")).alias("mixed")), "gram"))
     discard(rows, shared)
-    kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size", "near")).alias("at")))
+    kinds = stored(live.groupBy("gram", "stretch").agg(F.sum(places).alias("n"), F.max("mixed").alias("mixed"), F.min(F.struct("key", "doc_id", F.col("firsts")[0].alias("first"), "size", "near", "turn")).alias("at")))
     whole = kinds.filter("n > 1").select("gram", "stretch")
-    need = stored(_with_company(kinds.filter("mixed").select("gram", "stretch", "at.*")))
+    need = stored(_with_company(kinds.filter("mixed").select("gram", "stretch", "at.*"), length, gram))
     weights = stored(need.groupBy("gram").agg(F.sum(F.col("size") + length).alias("bytes")))
     hot = F.col("bytes") > HOT_BYTES
     total, hot_total, hot_grams = weights.agg(F.sum(F.when(~hot, F.col("bytes"))), F.sum(F.when(hot, F.col("bytes"))), F.count_if(hot)).first()
-    heavy = weights.filter(hot).select("gram")
+    heavy = weights.filter(hot).select("gram", F.lit(True).alias("hot"))
     if hot_grams <= BROADCAST_GRAMS:
         heavy = F.broadcast(heavy)
     marks = whole.withColumn("starts", F.lit(None).cast("binary"))
+    # texts are brought to their cuts once, for sorted and hot grams alike
+    bodies = stored(_bodies(keyed, need.join(heavy, "gram", "left").withColumn("hot", F.coalesce("hot", F.lit(False))), length))
     if total:
         shards = max(1, -(-int(total) // SHARD_BYTES))
-        bodies = _bodies(keyed, need.join(heavy, "gram", "left_anti"), length).repartition(shards, "gram")
-        found = _sort_shards(bodies.select("gram", "stretch", "size", "body"), length)
+        found = _sort_shards(bodies.filter("not hot").repartition(shards, "gram").select("gram", "stretch", "lo", "size", "body"), length)
         marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
     if hot_total:
-        strings = stored(_strings(keyed, need.join(heavy, "gram", "left_semi"), length))
+        strings = stored(_strings(bodies.filter("hot"), length))
         found = _match_strings(strings)
         marks = marks.unionByName(found.join(whole, ["gram", "stretch"], "left_anti"))
     marks = stored(marks)
@@ -225,22 +228,27 @@ def repeated_ranges(keyed: DataFrame, length: int, gram: int = GRAM) -> DataFram
         discard(strings)
     ranges = _ranges(live.select("doc_id", "key", "firsts", "size", "gram", "stretch").join(marks, ["gram", "stretch"]), length)
     out = stored(ranges.groupBy("doc_id", "key").agg(F.collect_set(F.struct("los", "his")).alias("ranges")))
-    discard(live, kinds, need, weights, marks)
+    discard(live, kinds, need, weights, bodies, marks)
     return out
 
 
-def _with_company(need: DataFrame) -> DataFrame:
-    """The ``need`` rows that share a context (left or right) with another stretch of their gram."""
+def _with_company(need: DataFrame, length: int, gram: int) -> DataFrame:
+    """The ``need`` rows that share a context (left or right) with another stretch of their gram, cut down to the owned
+    strings (``size`` of them from ``lo`` on, ``first`` being the place of the first) that hold a shared context."""
     left, right = F.shiftright("near", 32), F.col("near").bitwiseAND(F.lit(0xFFFFFFFF))
     sides = need.select("gram", "stretch", F.explode(F.array(left * 2, right * 2 + 1)).alias("side")).filter("side > 1")
     shared = sides.groupBy("gram", "side").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    kept = sides.join(shared, ["gram", "side"], "left_semi").select("gram", "stretch").distinct()
-    return need.drop("near").join(kept, ["gram", "stretch"], "left_semi")
+    kept = sides.join(shared, ["gram", "side"], "left_semi").groupBy("gram", "stretch").agg(F.max(F.col("side") % 2 == 0).alias("_l"), F.max(F.col("side") % 2 == 1).alias("_r"))
+    side = (length - gram + 1) // 2
+    lo = F.when(F.col("_l"), 0).otherwise(F.greatest(F.lit(0), F.col("turn") - (length - gram - side)))
+    last = F.when(F.col("_r"), F.col("size") - 1).otherwise(F.least(F.col("size") - 1, F.col("turn") - side))
+    cut = need.drop("near").join(kept, ["gram", "stretch"]).withColumns({"lo": lo, "_last": last})
+    return cut.select("gram", "stretch", "key", "doc_id", (F.col("first") + F.col("lo")).alias("first"), (F.col("_last") - F.col("lo") + 1).alias("size"), "lo").filter("size > 0")
 
 
 def _with_cuts(keyed: DataFrame, need: DataFrame) -> DataFrame:
     """(text, cuts): the ``need`` rows of each document that has some."""
-    per_doc = need.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "stretch", "first", "size")).alias("cuts"))
+    per_doc = need.groupBy("key", "doc_id").agg(F.collect_list(F.struct("gram", "stretch", "first", "size", "lo", "hot")).alias("cuts"))
     per_doc = per_doc.withColumnRenamed("doc_id", "_id").withColumnRenamed("key", "_key")
     return keyed.join(per_doc, (keyed["key"] == per_doc["_key"]) & keyed["doc_id"].eqNullSafe(per_doc["_id"])).select("text", "cuts")
 
@@ -254,34 +262,33 @@ def _cuts(batch: pa.RecordBatch, offs: np.ndarray) -> tuple[pa.Array, np.ndarray
 
 
 def _bodies(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """``need`` rows (gram, stretch, size) with the bytes of the stretch, cut out of one document that has it."""
+    """``need`` rows (gram, stretch, lo, size, hot) with the bytes of their strings, cut out of one document that has them."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offs in batches(it, "text"):
             flat, lo, size = _cuts(batch, offs)
             raw = data.tobytes()
             body = [raw[a:b] for a, b in zip(lo.tolist(), (lo + size + length - 1).tolist())]
-            yield pa.RecordBatch.from_arrays([flat.field("gram"), flat.field("stretch"), flat.field("size"), pa.array(body, pa.binary())], ["gram", "stretch", "size", "body"])
+            yield pa.RecordBatch.from_arrays([*(flat.field(c) for c in ("gram", "stretch", "lo", "size", "hot")), pa.array(body, pa.binary())], ["gram", "stretch", "lo", "size", "hot", "body"])
 
-    return arrow_map(_with_cuts(keyed, need), run, "gram long, stretch long, size int, body binary")
+    return arrow_map(_with_cuts(keyed, need), run, "gram long, stretch long, lo int, size int, hot boolean, body binary")
 
 
-def _strings(keyed: DataFrame, need: DataFrame, length: int) -> DataFrame:
-    """(gram, stretch, start, hash) of every owned string of the ``need`` rows; starts count from the stretch's first."""
+def _strings(bodies: DataFrame, length: int) -> DataFrame:
+    """(gram, stretch, start, hash) of every string of the bodies; starts count from the stretch's first."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offs in batches(it, "text", ANCHOR_BYTES):
-            flat, lo, size = _cuts(batch, offs)
+        for batch, data, offs in batches(it, "body", ANCHOR_BYTES):
             of = range_hashes61(data)
-            gram, stretch = flat.field("gram").to_numpy(), flat.field("stretch").to_numpy()
+            gram, stretch, above, size = (batch.column(c).to_numpy() for c in ("gram", "stretch", "lo", "size"))
             for part in steps(size, ANCHOR_BYTES):
                 n = size[part]
                 start = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                at = np.repeat(lo[part], n) + start
-                columns = [np.repeat(gram[part], n), np.repeat(stretch[part], n), start.astype(np.int32), of(at, at + length).view(np.int64)]
+                at = np.repeat(offs[:-1][part], n) + start
+                columns = [np.repeat(gram[part], n), np.repeat(stretch[part], n), (start + np.repeat(above[part], n)).astype(np.int32), of(at, at + length).view(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["gram", "stretch", "start", "hash"])
 
-    return arrow_map(_with_cuts(keyed, need), run, "gram long, stretch long, start int, hash long")
+    return arrow_map(bodies, run, "gram long, stretch long, start int, hash long")
 
 
 def _match_strings(strings: DataFrame) -> DataFrame:
