@@ -6,6 +6,7 @@ fit and score inside is a Spark job.
 
 from __future__ import annotations
 
+import itertools
 import time
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
@@ -13,12 +14,12 @@ from dataclasses import dataclass, field
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, GBTClassifier, LinearSVC, LogisticRegression, NaiveBayes, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.expressions import at_least
-from sparkloom.operators import metrics, splits
+from sparkloom.operators import boosting, kernel_machine, metrics, oblique, splits
 from sparkloom.operators.joins import knn
 
 
@@ -54,17 +55,58 @@ def _params(p: Mapping, **defaults) -> dict:
     return {**defaults, **p}
 
 
+@dataclass
+class OnColumns:
+    """An estimator of this library behind the interface of the others: it learns from ``label``, ``features`` (a vector)
+    and ``weight`` (the ratio of the classes' mean weights is what counts), and its model adds ``probability``."""
+
+    kind: str
+    params: Mapping
+    model: object = None
+    width: int = 0
+
+    def _columns(self, df: DataFrame) -> DataFrame:
+        x = vector_to_array("features")
+        return df.withColumns({f"_f{i}": F.get(x, F.lit(i)) for i in range(self.width)})
+
+    def fit(self, ready: DataFrame) -> "OnColumns":
+        first = ready.select(F.size(vector_to_array("features"))).first()
+        self.width = first[0] if first else 0
+        mean = {r["label"]: r["w"] for r in ready.groupBy("label").agg(F.avg("weight").alias("w")).collect()}  # a row a class
+        ratio = mean.get(1, 1.0) / mean.get(0, 1.0)
+        # rows have no ids after resampling: their values stand for them
+        rows = self._columns(ready).withColumn("_id", F.xxhash64(F.col("label"), *[F.col(f"_f{i}") for i in range(self.width)]))
+        cols, p = [f"_f{i}" for i in range(self.width)], dict(self.params)
+        if self.kind == "boosting":
+            self.model = boosting.fit_boosted(rows, "_id", "label", cols, **{"pos_weight": ratio, **p})
+        elif self.kind == "forest":
+            self.model = oblique.fit_forest(rows, "_id", "label", cols, **{"weight": ratio, **p})
+        else:
+            self.model = kernel_machine.fit_kernel_machine(rows, "_id", "label", cols, **{"weight": "balanced" if abs(ratio - 1) > 1e-9 else None, **p})
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(self._columns(df), "_score").drop(*[f"_f{i}" for i in range(self.width)])
+        return out.withColumn("probability", array_to_vector(F.array(1 - F.col("_score"), F.col("_score")))).drop("_score")
+
+
+BOOSTING = [{"name": "rounds", "type": "int", "low": 100, "high": 500}, {"name": "rate", "type": "float", "low": 1e-3, "high": 0.3, "log": True}, {"name": "subsample", "type": "float", "low": 0.5, "high": 1.0}, {"name": "colsample", "type": "float", "low": 0.5, "high": 1.0}]
 SPECS: dict[str, Spec] = {
     s.name: s
     for s in (
-        Spec("logistic_regression", lambda p, n: LogisticRegression(regParam=1 / (p.get("C", 1.0) * max(n, 1)), elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, standardization=False, weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "penalty", "type": "categorical", "choices": ["l1", "l2"]}], scale=True),
+        Spec("logistic_regression", lambda p, n: LogisticRegression(regParam=0.0 if p.get("penalty") == "none" else 1 / (p.get("C", 1.0) * max(n, 1)), elasticNetParam=1.0 if p.get("penalty") == "l1" else 0.0, standardization=False, maxIter=p.get("iterations", 100), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "penalty", "type": "categorical", "choices": ["l1", "l2"]}], scale=True),
         Spec("naive_bayes", lambda p, n: NaiveBayes(modelType="gaussian", smoothing=p.get("smoothing", 1e-9), weightCol="weight"), [{"name": "smoothing", "type": "float", "low": 1e-10, "high": 1e-6, "log": True}]),
-        Spec("decision_tree", lambda p, n: DecisionTreeClassifier(maxDepth=p.get("max_depth", 6), minInstancesPerNode=p.get("min_leaf", 1), impurity=p.get("criterion", "gini"), weightCol="weight", seed=42), [{"name": "max_depth", "type": "int", "low": 2, "high": 10}, {"name": "min_leaf", "type": "int", "low": 1, "high": 40}, {"name": "criterion", "type": "categorical", "choices": ["gini", "entropy"]}]),
-        Spec("random_forest", lambda p, n: RandomForestClassifier(numTrees=p.get("n_trees", 40), maxDepth=p.get("max_depth", 8), featureSubsetStrategy=p.get("features", "sqrt"), weightCol="weight", seed=42), [{"name": "n_trees", "type": "int", "low": 20, "high": 100}, {"name": "max_depth", "type": "int", "low": 3, "high": 12}], cost=3),
-        Spec("gradient_boosting", lambda p, n: GBTClassifier(maxIter=p.get("rounds", 30), maxDepth=p.get("max_depth", 4), stepSize=p.get("rate", 0.1), subsamplingRate=p.get("subsample", 1.0), weightCol="weight", seed=42), [{"name": "rounds", "type": "int", "low": 20, "high": 100}, {"name": "rate", "type": "float", "low": 0.01, "high": 0.3, "log": True}], cost=4),
-        Spec("linear_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}], scale=True, cost=2),
+        Spec("decision_tree", lambda p, n: DecisionTreeClassifier(maxDepth=p.get("max_depth", 6), minInstancesPerNode=p.get("min_leaf", 1), impurity=p.get("criterion", "gini"), weightCol="weight", seed=p.get("seed", 42)), [{"name": "max_depth", "type": "int", "low": 2, "high": 10}, {"name": "min_leaf", "type": "int", "low": 1, "high": 40}, {"name": "criterion", "type": "categorical", "choices": ["gini", "entropy"]}]),
+        Spec("random_forest", lambda p, n: RandomForestClassifier(numTrees=p.get("n_trees", 40), maxDepth=p.get("max_depth", 8), featureSubsetStrategy=p.get("features", "sqrt"), weightCol="weight", seed=p.get("seed", 42)), [{"name": "n_trees", "type": "int", "low": 20, "high": 100}, {"name": "max_depth", "type": "int", "low": 3, "high": 12}], cost=3),
+        Spec("gradient_boosting", lambda p, n: GBTClassifier(maxIter=p.get("rounds", 30), maxDepth=p.get("max_depth", 4), stepSize=p.get("rate", 0.1), subsamplingRate=p.get("subsample", 1.0), weightCol="weight", seed=p.get("seed", 42)), [{"name": "rounds", "type": "int", "low": 20, "high": 100}, {"name": "rate", "type": "float", "low": 0.01, "high": 0.3, "log": True}], cost=4),
+        Spec("linear_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), maxIter=p.get("iterations", 100), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}], scale=True, cost=2),
         # the kernel machine: a linear one on random Fourier features
-        Spec("rbf_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "gamma", "type": "float", "low": 0.01, "high": 1, "log": True}], scale=True, cost=3, expand=lambda df, p, dims: fourier_features(df, "features", dims, p.get("gamma", 1 / dims), p.get("count", 64), output="features")),
+        Spec("rbf_svm", lambda p, n: LinearSVC(regParam=1 / (p.get("C", 1.0) * max(n, 1)), maxIter=p.get("iterations", 100), weightCol="weight"), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "gamma", "type": "float", "low": 0.01, "high": 1, "log": True}], scale=True, cost=3, expand=lambda df, p, dims: fourier_features(df, "features", dims, p.get("gamma", 1 / dims), p.get("count", 64), output="features")),
+        Spec("level_boosting", lambda p, n: OnColumns("boosting", {"growth": "level", **p}), [*BOOSTING, {"name": "max_depth", "type": "int", "low": 2, "high": 12}, {"name": "lam", "type": "float", "low": 1e-3, "high": 100, "log": True}], cost=4),
+        Spec("leaf_boosting", lambda p, n: OnColumns("boosting", {"growth": "leaf", "max_depth": 64, **p}), [*BOOSTING, {"name": "leaves", "type": "int", "low": 8, "high": 128}, {"name": "lam", "type": "float", "low": 1e-3, "high": 100, "log": True}], cost=4),
+        Spec("symmetric_boosting", lambda p, n: OnColumns("boosting", {"growth": "symmetric", **p}), [*BOOSTING, {"name": "max_depth", "type": "int", "low": 2, "high": 8}, {"name": "lam", "type": "float", "low": 1e-2, "high": 100, "log": True}], cost=4),
+        Spec("oblique_forest", lambda p, n: OnColumns("forest", p), [{"name": "trees", "type": "int", "low": 100, "high": 500}, {"name": "max_depth", "type": "int", "low": 6, "high": 14}, {"name": "min_leaf", "type": "int", "low": 10, "high": 60}, {"name": "ridge", "type": "float", "low": 1e-2, "high": 1.0, "log": True}], cost=3),
+        Spec("kernel_machine", lambda p, n: OnColumns("kernel", p), [{"name": "C", "type": "float", "low": 0.01, "high": 100, "log": True}, {"name": "gamma", "type": "float", "low": 1e-4, "high": 1, "log": True}], scale=True, cost=5),
     )
 }
 TECHNIQUES = ("none", "class_weight", "smote", "adasyn")
@@ -114,9 +156,13 @@ class Fitted:
     def transform(self, df: DataFrame, p: str = "p") -> DataFrame:
         """``df`` with the score of class 1."""
         out = self.model.transform(self.expand(self.prepare.transform(df)))
+        return out.withColumn(p, self.class_one(out)).select(*df.columns, p)
+
+    @staticmethod
+    def class_one(out: DataFrame) -> Column:
+        """The score of class 1 in a model's output."""
         # a model fitted on one class has one probability, that of class 0
-        raw = F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)) if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
-        return out.withColumn(p, raw).select(*df.columns, p)
+        return F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)) if "probability" in out.columns else 1 / (1 + F.exp(-vector_to_array("rawPrediction")[1]))
 
 
 def fit(train: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], model: str, params: Mapping | None = None, technique: str = "none", id_col: str = "id") -> Fitted:
@@ -145,6 +191,57 @@ def fit(train: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[
     return Fitted(prepare, model_, expand)
 
 
+def fit_all(train: DataFrame, y: str, numeric: Sequence[str], categorical: Sequence[str], wanted: Mapping[str, Mapping], technique: str = "none", id_col: str = "id", at_once: int = 4) -> dict[str, Fitted]:
+    """Several models (name -> parameters) on the same rows: the transformation is fitted once for those that standardise
+    and once for the others, prepared rows are kept while ``at_once`` fits at a time submit their jobs."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    from pyspark import inheritable_thread_target
+
+    if technique not in ("none", "class_weight"):
+        return {m: fit(train, y, numeric, categorical, m, p, technique, id_col) for m, p in wanted.items()}
+    for m in wanted:
+        if not is_compatible(m, technique):
+            raise ValueError(f"{m} cannot use {technique}")
+    out: dict[str, Fitted] = {}
+    for scale in sorted({SPECS[m].scale for m in wanted}):
+        names = [m for m in wanted if SPECS[m].scale == scale]
+        prepare = Pipeline(stages=preprocessing(numeric, categorical, scale)).fit(train)
+        ready = weighted(prepare.transform(train).select(F.col(y).cast("int").alias("label"), "features"), "label", technique).persist()
+        try:
+            n = ready.count()
+            first = ready.select(F.size(vector_to_array("features"))).first()
+            dims = first[0] if first else 1
+
+            def one(m: str) -> Fitted:
+                spec, params = SPECS[m], dict(wanted[m])
+                expand = (lambda df: spec.expand(df, params, dims)) if spec.expand else (lambda df: df)  # noqa: B023
+                return Fitted(prepare, spec.factory(params, n).fit(expand(ready)), expand)  # noqa: B023
+
+            with ThreadPoolExecutor(at_once) as pool:
+                futures = {m: pool.submit(inheritable_thread_target(train.sparkSession)(one), m) for m in names}
+                out |= {m: f.result() for m, f in futures.items()}
+        finally:
+            ready.unpersist()
+    return {m: out[m] for m in wanted}
+
+
+def score_all(fitted: Mapping[str, Fitted], df: DataFrame) -> DataFrame:
+    """``df`` with ``model`` and ``p``: each row once for each model, every transformation applied once."""
+    out = df
+    for i, (prepare, group) in enumerate(itertools.groupby(fitted.items(), lambda x: id(x[1].prepare))):
+        group = list(group)
+        made = [c for c in group[0][1].prepare.transform(df.limit(0)).columns if c not in df.columns]
+        out = group[0][1].prepare.transform(out).withColumnRenamed("features", "_ready")
+        out = out.drop(*[c for c in made if c != "features"])
+        for m, f in group:
+            scored = f.model.transform(f.expand(out.withColumn("features", F.col("_ready"))))
+            out = scored.withColumn(f"_p_{m}", Fitted.class_one(scored)).select(*out.columns, f"_p_{m}")
+        out = out.drop("_ready")
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_p_{m}").alias("p")) for m in fitted]))
+    return out.withColumn("_r", pairs).select(*df.columns, "_r.*")
+
+
 def knn_vote(train: DataFrame, queries: DataFrame, id_col: str, x: str, y: str, k: int, p: int = 2, weights: str = "uniform", balanced: bool = True) -> DataFrame:
     """(id, p): share of class 1 among the k nearest training rows, votes weighted by distance and class rarity."""
     near = knn(queries, train, id_col, id_col, x, x, k, p, extra=[y])

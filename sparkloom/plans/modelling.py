@@ -7,8 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
-from sparkloom.operators import attribution, boosting, kernel_machine, metrics, models, oblique, search, splits
+from sparkloom.operators import attribution, boosting, kernel_machine, metrics, models, oblique, refits, search, splits
 from sparkloom.plans.registry import query, read, rounded
+from sparkloom.sources import scratch
 
 CUSTOMER = "cust AS (SELECT c_custkey AS id, CAST(c_acctbal < 0 AS INTEGER) AS y, coalesce(n, 0)::DOUBLE AS n_orders, coalesce(t, 0) / 1e5 AS total, (c_custkey % 97)::DOUBLE AS noise, c_mktsegment FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1) ON o_custkey = c_custkey)"
 
@@ -58,15 +59,15 @@ def knn_votes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def classifier_comparison(spark: SparkSession, sf: str) -> DataFrame:
-    """Six models with small settings (10 trees, 5 boosting rounds) on one split, which is computed once."""
+    """Six models with small settings (10 trees, 5 boosting rounds, 20 iterations) on one split, prepared once; every test row is scored
+    by all in one plan."""
     rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25).persist()
     train, test = rows.filter("part = 'train'").drop("part"), rows.filter("part = 'test'").drop("part")
-    out = None
-    for name in ("logistic_regression", "naive_bayes", "decision_tree", "random_forest", "gradient_boosting", "linear_svm"):
-        params = {"n_trees": 10, "rounds": 5}
-        part = report(models.fit(train, "y", ["q", "t", "d"], [], name, params, "class_weight").transform(test)).withColumn("model", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return out
+    wanted = {m: {"n_trees": 10, "rounds": 5, "iterations": 20} for m in ("logistic_regression", "naive_bayes", "decision_tree", "random_forest", "gradient_boosting", "linear_svm")}
+    fitted = models.fit_all(train, "y", ["q", "t", "d"], [], wanted, "class_weight")
+    scored_rows = scratch.stored(models.score_all(fitted, test).select("model", "y", "p"))
+    rows.unpersist()
+    return metrics.summary(scored_rows, "y", "p", keys=["model"]).select("accuracy", "f1", "auc", "model")
 
 
 @query()
@@ -234,6 +235,69 @@ def kernel_machine_scores(spark: SparkSession, sf: str) -> DataFrame:
     return report(machine.transform(rows.filter("part = 'test'"))).withColumn("vectors", F.lit(len(machine.x)))
 
 
+def _spending(spark: SparkSession, sf: str) -> DataFrame:
+    """A learnable task: was an order one of the dearer half? Features are figures of its lines; five folds by key."""
+    li = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.max("l_tax").alias("tax"), F.avg("l_extendedprice").alias("price"))
+    return li.select(F.col("l_orderkey").alias("id"), "lines", "quantity", "discount", "tax", (F.col("price") * F.col("lines") > 110000).cast("int").alias("y"), (F.col("l_orderkey") % 3).cast("int").alias("fold"))
+
+
+SPENDING = ["lines", "quantity", "discount", "tax"]
+SETTINGS = [("decision_tree", f, f'{{"max_depth": {d}}}') for f, d in enumerate((3, 4, 3))] + [("naive_bayes", f, "{}") for f in range(3)]
+PER_FOLD = "SELECT CAST(l_orderkey % 3 AS INTEGER) AS fold, count(*) AS n, sum(y)::BIGINT AS positives FROM (SELECT l_orderkey, CAST(avg(l_extendedprice) * count(*) > 110000 AS INTEGER) AS y FROM lineitem GROUP BY 1) GROUP BY 1"
+
+
+@query(f"SELECT model, fold, n, positives, true AS learned FROM ({PER_FOLD}), (SELECT unnest(['decision_tree', 'naive_bayes']) AS model)")
+def refit_out_of_fold(spark: SparkSession, sf: str) -> DataFrame:
+    """Models refitted with the parameters chosen for each fold: every row of a fold scored once by a model that hasn't
+    seen it, better than chance."""
+    rows = _spending(spark, sf).persist()
+    settings = spark.createDataFrame(SETTINGS, "model string, fold int, params string")
+    scored_rows = refits.out_of_fold(rows, settings, "id", "y", "fold", refits.with_columns("y", SPENDING, []))
+    rows.unpersist()
+    size = scored_rows.groupBy("model", "fold").agg(F.count("p").alias("n"), F.sum("y").alias("positives"))
+    return size.join(refits.fold_metrics(scored_rows, "y", "fold"), ["model", "fold"]).select("model", "fold", "n", "positives", (F.col("auc") > 0.7).alias("learned"))
+
+
+@query(f"WITH f AS ({PER_FOLD}) SELECT 'decision_tree' AS model, 2 AS candidates, sum(n)::BIGINT AS rows, round(sum(positives)::DOUBLE / sum(n), 9) AS positive_share, 6 AS scores, true AS learned FROM f")
+def refit_final_model(spark: SparkSession, sf: str) -> DataFrame:
+    """The final tree: of the parameters that folds chose the best over all folds, fitted on all rows."""
+    rows = _spending(spark, sf).persist()
+    settings = spark.createDataFrame(SETTINGS, "model string, fold int, params string")
+    fitted, about, f1 = refits.final_model(rows, settings, "id", "y", "fold", "decision_tree", refits.with_columns("y", SPENDING, []), lambda df, p: models.fit(df, "y", SPENDING, [], "decision_tree", p))
+    auc = metrics.summary(fitted.transform(rows), "y", "p").first()["auc"]
+    out = [(about["model"], about["candidates"], about["rows"], round(about["positive_share"], 9), f1.count(), auc > 0.7)]
+    rows.unpersist()
+    return spark.createDataFrame(out, "model string, candidates int, rows long, positive_share double, scores int, learned boolean")
+
+
+@query()
+def refit_other_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    """Forests and boosting fitted again with two seeds on the same folds: how much F1 moves with the seed."""
+    rows = _spending(spark, sf).persist()
+    wanted = {"random_forest": {"n_trees": 5, "max_depth": 4}, "level_boosting": {"rounds": 2, "max_depth": 3, "rate": 0.5, "subsample": 0.5}}
+    by_seed = refits.other_seeds(rows, wanted, [1, 2], "id", "y", "fold", refits.with_columns("y", SPENDING, []))
+    rows.unpersist()
+    return refits.seed_summary(by_seed, "fold")
+
+
+@query()
+def growth_slopes(spark: SparkSession, sf: str) -> DataFrame:
+    """Powers that the time of a fit grows with in rows and columns; times differ from run to run."""
+    rows = _spending(spark, sf).persist()
+    study = refits.growth_study(rows, "id", "y", SPENDING, [0.25, 0.5, 1.0], [1, 2], {"decision_tree": {"max_depth": 4}, "naive_bayes": {}})
+    rows.unpersist()
+    return refits.growth_slopes(study)
+
+
+@query()
+def penalty_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Unpenalised, ridge and lasso regressions, C drawn at random and chosen by inner folds."""
+    rows = _spending(spark, sf).drop("fold").persist()
+    got = refits.penalty_variants(rows, "id", "y", SPENDING, draws=2, inner=2)
+    rows.unpersist()
+    return spark.createDataFrame([(r["variant"], r["params"].get("C"), float(r["score"]), r["evaluations"]) for r in got], "variant string, c double, score double, evaluations int")
+
+
 @query()
 def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
     """Genetic against random search on five test functions (sphere, Rosenbrock, steps, noisy quartic, foxholes), ten
