@@ -118,10 +118,19 @@ def factor_power(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rounded(out, "chi2", digits=5), "cd", digits=2)
 
 
-@query("SELECT * FROM (VALUES ('full', 'trees', '200', false), ('full', 'q', '2', false), ('full', 'weights', 'on', false), ('one column', 'trees', '200', false), ('one column', 'q', '1', true), ('one column', 'weights', 'on', false), ('plain', 'trees', '200', false), ('plain', 'q', '2', false), ('plain', 'weights', 'off', true)) t(variant, parameter, value, changed)")
+@query(
+    "WITH v AS (SELECT * FROM (VALUES ('full', 'all', 'off', 0), ('logged', 'all', 'on', 1), ('open', 'O', 'off', 1), ('open and logged', 'O', 'on', 2)) t(variant, status, log, changed)) "
+    "SELECT variant, changed::BIGINT AS changed, count(*) AS n, round(avg(CASE WHEN log = 'on' THEN ln(o_totalprice) ELSE o_totalprice END), 4) AS mean FROM v JOIN orders ON status = 'all' OR o_orderstatus = status GROUP BY 1, 2"
+)
 def design_variants(spark: SparkSession, sf: str) -> DataFrame:
-    rows = battery.design_variants({"trees": 200, "q": 2, "weights": "on"}, {"full": {}, "one column": {"q": 1}, "plain": {"weights": "off"}})
-    return spark.createDataFrame([(r["variant"], r["parameter"], r["value"], r["changed"]) for r in rows], "variant string, parameter string, value string, changed boolean")
+    """Variants of a design, each with what it changes of the base, and what it measures on the orders."""
+    plan = battery.design_variants({"status": "all", "log": "off"}, {"full": {}, "logged": {"log": "on"}, "open": {"status": "O"}, "open and logged": {"status": "O", "log": "on"}})
+    v = spark.createDataFrame([(r["variant"], r["parameter"], r["value"], r["changed"]) for r in plan], "variant string, parameter string, value string, changed boolean")
+    wide = v.groupBy("variant").pivot("parameter", ["status", "log"]).agg(F.first("value")).join(v.groupBy("variant").agg(F.sum(F.col("changed").cast("long")).alias("changed")), "variant")
+    orders = read(spark, sf, "orders").select("o_orderstatus", "o_totalprice")
+    both = orders.join(F.broadcast(wide), (F.col("status") == "all") | (F.col("o_orderstatus") == F.col("status")))  # a row a variant
+    value = F.when(F.col("log") == "on", F.ln("o_totalprice")).otherwise(F.col("o_totalprice"))
+    return rounded(both.groupBy("variant", "changed").agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean")), "mean", digits=4)
 
 
 @query(f"WITH {RES}, c AS (SELECT model, concat(technique, '|', method) AS candidate, fold, f1 FROM res), w AS (SELECT model, candidate, min(fold) AS first FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY f1 DESC, candidate) AS i FROM c) WHERE i = 1 GROUP BY 1, 2), m AS (SELECT model, candidate, any_value(first) AS first, avg(f1) AS f1 FROM c JOIN w USING (model, candidate) GROUP BY 1, 2) SELECT model, candidate, candidates, round(f1, 6) AS f1 FROM (SELECT *, count(*) OVER (PARTITION BY model) AS candidates, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, first) AS i FROM m) WHERE i = 1")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
-from sparkloom.operators import attribution, boosting, kernel_machine, metrics, models, oblique, refits, search, splits
+from sparkloom.operators import attribution, boosting, kernel_machine, metrics, models, oblique, refits, search, splits, stats
 from sparkloom.plans.registry import query, read, rounded
 from sparkloom.sources import scratch
 
@@ -31,6 +31,9 @@ def parts(spark: SparkSession, sf: str) -> DataFrame:
     return li.select(F.col("l_partkey").alias("id"), "q", "t", "d", (F.col("price") > 53000).cast("int").alias("y"))
 
 
+PARTS = "parts AS (SELECT l_partkey AS id, avg(l_quantity) AS q, avg(l_tax) AS t, avg(l_discount) AS d, CAST(avg(l_extendedprice) > 53000 AS INTEGER) AS y FROM lineitem GROUP BY 1)"
+
+
 def report(scored_rows: DataFrame) -> DataFrame:
     """One row: accuracy, F1 and AUC, from one pass over the scored rows."""
     return metrics.summary(scored_rows.select("y", "p"), "y", "p").select("accuracy", "f1", "auc")
@@ -96,20 +99,27 @@ def hyperband_trace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(t["eval"], t["round"], t["fidelity"], float(t["score"])) for t in trace], "eval int, round int, fidelity double, score double")
 
 
-@query()
+@query("SELECT s_suppkey AS seed, true AS equal, true AS found FROM supplier")
 def genetic_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Genetic against random search on the sphere, equal evaluations, a task per seed."""
+    """Genetic against random search for a supplier's place (a sphere around a point made of its figures), equal
+    evaluations, a search for each supplier: both spend what they may, and the genetic one comes near."""
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        seed = int(pdf["seed"].iloc[0])
-        specs = [{"name": f"x{i}", "type": "float", "low": -5.12, "high": 5.12} for i in range(3)]
-        value = lambda p, share: -sum(v * v for v in p.values())
-        ga = search.genetic(specs, value, 16, 10, seed=seed)
-        rs = search.randomised(specs, value, len(ga), seed)
-        return pd.DataFrame({"seed": [seed], "evaluations": [len(ga)], "genetic": [-max(t["score"] for t in ga)], "random": [-max(t["score"] for t in rs)]})
+    def run(it):
+        for pdf in it:
+            out = []
+            for seed, balance, nation in zip(pdf["s_suppkey"], pdf["s_acctbal"], pdf["s_nationkey"]):
+                centre = (balance / 1e4 * 5, nation / 5 - 2.5, 1.0)
+                specs = [{"name": f"x{i}", "type": "float", "low": -5.12, "high": 5.12} for i in range(3)]
+                value = lambda p, share: -sum((v - c) ** 2 for v, c in zip(p.values(), centre))  # noqa: B023, E731
+                ga = search.genetic(specs, value, 16, 10, seed=int(seed))
+                rs = search.randomised(specs, value, len(ga), int(seed))
+                best = -max(t["score"] for t in ga)
+                out.append((seed, 0 < len(ga) == len(rs) <= 160, best < 20))
+            yield pd.DataFrame(out, columns=["seed", "equal", "found"])
 
-    return spark.range(5).select(F.col("id").cast("int").alias("seed")).groupBy("seed").applyInPandas(run, "seed int, evaluations int, genetic double, random double")
+    s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
+    return s.mapInPandas(run, "seed long, equal boolean, found boolean")
 
 
 @query()
@@ -136,10 +146,11 @@ def shapley_values(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.shapley(rows, "id", cols, predict, background, permutations=3)
 
 
-@query()
+@query(f"WITH {PARTS} SELECT 0.0 AS worst_gap, 0.0 AS mean_gap, sum(round(0.25 * n))::BIGINT AS n FROM (SELECT y, count(*) AS n FROM parts GROUP BY 1)")
 def shapley_additivity(spark: SparkSession, sf: str) -> DataFrame:
+    """The gap between a test row's score and its attributions with their base, to nine digits."""
     rows, cols, predict, background = _explained(spark, sf)
-    return attribution.additivity(attribution.shapley(rows, "id", cols, predict, background, permutations=2), "id")
+    return rounded(attribution.additivity(attribution.shapley(rows, "id", cols, predict, background, permutations=2), "id"), "worst_gap", "mean_gap", digits=9)
 
 
 @query()
@@ -161,7 +172,6 @@ def importance_stability(spark: SparkSession, sf: str) -> DataFrame:
     return attribution.stability(attribution.importance(values, ["fold"]), "fold", [0, 1], 2)
 
 
-PARTS = "parts AS (SELECT l_partkey AS id, avg(l_quantity) AS q, avg(l_tax) AS t, avg(l_discount) AS d, CAST(avg(l_extendedprice) > 53000 AS INTEGER) AS y FROM lineitem GROUP BY 1)"
 STEPS = {"q": [10.0, 15.0, 20.0, 22.5, 25.0, 27.5, 30.0, 35.0, 40.0], "t": [0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07]}
 
 
@@ -300,30 +310,40 @@ def penalty_variants(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
-    """Genetic against random search on five test functions (sphere, Rosenbrock, steps, noisy quartic, foxholes), ten
-    seeds and two budgets, a task for each: the best value found and the evaluations spent."""
+    """Genetic against random search on five test functions (sphere, Rosenbrock, steps, quartic, foxholes), moved by a
+    supplier's balance, two budgets for every supplier: medians of the best values found, and evaluations spent."""
     import pandas as pd
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        name, seed, size, generations = (pdf[c].iloc[0] for c in ("function", "seed", "size", "generations"))
-        low, high, dims, value = search.TEST_FUNCTIONS[name]
-        specs = [{"name": f"x{i}", "type": "float", "low": low, "high": high} for i in range(dims)]
-        score = lambda p, share: -value([p[f"x{i}"] for i in range(dims)])
-        ga = search.genetic(specs, score, int(size), int(generations), seed=int(seed))
-        rs = search.randomised(specs, score, len(ga), int(seed))
-        return pd.DataFrame({"function": [name], "seed": [seed], "size": [size], "evaluations": [len(ga)], "genetic": [-max(t["score"] for t in ga)], "random": [-max(t["score"] for t in rs)]})
-
-    runs = spark.range(10).select(F.col("id").cast("int").alias("seed"), F.explode(F.array(*[F.lit(n) for n in search.TEST_FUNCTIONS])).alias("function"))
-    runs = runs.withColumn("budget", F.explode(F.array(F.struct(F.lit(16).alias("size"), F.lit(10).alias("generations")), F.struct(F.lit(50).alias("size"), F.lit(50).alias("generations"))))).select("seed", "function", "budget.*")
-    out = runs.groupBy("function", "seed", "size").applyInPandas(run, "function string, seed int, size int, evaluations int, genetic double, random double")
-    return out.groupBy("function", "size").agg(F.median("genetic").alias("genetic"), F.median("random").alias("random"), F.max("evaluations").alias("evaluations"), F.count(F.lit(1)).alias("seeds"))
-
-
-@query()
+    def run(it):
+        for pdf in it:
+            out = []
+            for seed, balance, name, size, generations in zip(*(pdf[c] for c in ("s_suppkey", "s_acctbal", "function", "size", "generations"))):
+                low, high, dims, value = search.TEST_FUNCTIONS[name]
+                shift = balance / 1e5 * (high - low)
+                specs = [{"name": f"x{i}", "type": "float", "low": low, "high": high} for i in range(dims)]
+                score = lambda p, share: -value([p[f"x{i}"] - shift for i in range(dims)])  # noqa: B023, E731
+                ga = search.genetic(specs, score, int(size), int(generations), seed=int(seed))
+                rs = search.randomised(specs, score, len(ga), int(seed))
+                out.append((name, size, len(ga), -max(t["score"] for t in ga), -max(t["score"] for t in rs)))
+            yield pd.DataFrame(out, columns=["function", "size", "evaluations", "genetic", "random"])
+
+    s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.explode(F.array(*[F.lit(n) for n in search.TEST_FUNCTIONS])).alias("function"))
+    runs = s.withColumn("budget", F.explode(F.array(F.struct(F.lit(16).alias("size"), F.lit(10).alias("generations")), F.struct(F.lit(30).alias("size"), F.lit(20).alias("generations"))))).select("s_suppkey", "s_acctbal", "function", "budget.*")
+    out = scratch.stored(runs.repartition("s_suppkey", "function").mapInPandas(run, "function string, size int, evaluations int, genetic double, random double"))
+    middle = stats.order_statistics(out, ["genetic", "random"], [0.5], ["function", "size"]).groupBy("function", "size").agg(*[F.max(F.when(F.col("column") == c, F.col("q_0"))).alias(c) for c in ("genetic", "random")])
+    return middle.join(out.groupBy("function", "size").agg(F.max("evaluations").alias("evaluations"), F.count(F.lit(1)).alias("searches")), ["function", "size"])
+
+
+@query("SELECT count(*) AS n, true AS near_share, 3::BIGINT AS most_education FROM customer")
 def synthetic_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """As many synthetic rows as there are customers: the share of class 1 within four deviations of what was asked, and
+    bins used."""
     from sparkloom.sources.tables import synthetic
 
-    return synthetic(spark, 2000).groupBy("target", "SEX", "EDUCATION").agg(F.count(F.lit(1)).alias("n"))
+    n = read(spark, sf, "customer").count()
+    share = 0.22 * 0.98 + 0.78 * 0.02
+    rows = synthetic(spark, n)
+    return rows.agg(F.count(F.lit(1)).alias("n"), (F.abs(F.avg("target") - share) < 4 * (share * (1 - share) / n) ** 0.5).alias("near_share"), F.least(F.countDistinct("EDUCATION"), F.lit(3)).alias("most_education"))
 
 
 HOLES = " + ".join(f"1.0 / ({j + 1} + pow(a - ({(j % 5 - 2) * 16}), 6) + pow(b - ({(j // 5 - 2) * 16}), 6))" for j in range(25))

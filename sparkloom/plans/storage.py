@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +10,10 @@ from sparkloom.operators import models
 from sparkloom.plans.modelling import parts
 from sparkloom.plans.registry import SCORED_SQL, query, read, rounded, scored
 from sparkloom.sources import scratch, sinks, tables, workbooks
+from sparkloom.sources.scratch import folder
 from sparkloom.streaming import board
 
 
-def folder(spark: SparkSession) -> str:
-    """A new folder in the shared one of ``spark.checkpoint.dir``, or a temporary one where everything is one process."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = "file://" + tempfile.mkdtemp()
-    return f"{base.rstrip('/')}/storage-{uuid.uuid4().hex}"
-
-
 SUPPLIER = "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"
 
 

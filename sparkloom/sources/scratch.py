@@ -20,10 +20,25 @@ def scratch(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/rows-{uuid.uuid4().hex}"
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """Have what is at the path deleted when the driver ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
+def folder(spark: SparkSession) -> str:
+    """A new path in a new folder, which is deleted when the driver ends."""
+    parent = spark._jvm.org.apache.hadoop.fs.Path(scratch(spark))
+    parent.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(parent)
+    delete_at_exit(spark, parent.toString())
+    return f"{parent.toString()}/table"
+
+
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as parquet and read again."""
+    """``df`` written as parquet and read again. :func:`discard` deletes it; what is left goes when the driver ends."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
+    delete_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
