@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions import expressions as X
-from sparkloom.operators import metrics, quality, stats
+from sparkloom.operators import anytime, metrics, quality, stats
 from sparkloom.plans.registry import SCORED_SQL, query, read, rounded, scored
 from sparkloom.plans.tables import DAILY, daily
 from sparkloom.streaming import board
@@ -128,3 +128,55 @@ def sensitivity_scenarios(spark: SparkSession, sf: str) -> DataFrame:
 def bands_over_runs(spark: SparkSession, sf: str) -> DataFrame:
     r = rounded(results(spark, sf), "f1", digits=3)
     return r.groupBy("technique", "fold").agg(F.median("f1").alias("median"), F.percentile("f1", F.lit(0.25)).alias("q25"), F.percentile("f1", F.lit(0.75)).alias("q75"))
+
+
+#: Events of two kinds as runs of two methods for every user: running cost, regret against the user's best.
+RUNS = (
+    "t AS (SELECT user_id, user_id % 3 AS model, event_type AS method, row_number() OVER w AS eval, sum(1 + value / 100) OVER w AS cost, max(value) OVER (PARTITION BY user_id) - max(value) OVER w AS regret, value FROM events "
+    "WHERE event_type IN ('click', 'view') WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)), "
+    "finals AS (SELECT user_id, model, method, count(*) AS n, max(cost) AS total, avg(value) AS outer_score FROM t GROUP BY 1, 2, 3)"
+)
+
+
+def runs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The tables ``t`` and ``finals`` of ``RUNS``."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    e = read(spark, sf, "events").filter(F.col("event_type").isin("click", "view"))
+    e = e.withColumns({"eval": F.count(F.lit(1)).over(w), "cost": F.sum(1 + F.col("value") / 100).over(w), "regret": F.max("value").over(Window.partitionBy("user_id")) - F.max("value").over(w)})
+    t = e.select("user_id", (F.col("user_id") % 3).alias("model"), F.col("event_type").alias("method"), "eval", "cost", "regret", "value")
+    return t, t.groupBy("user_id", "model", "method").agg(F.count(F.lit(1)).alias("n"), F.max("cost").alias("total"), F.avg("value").alias("outer_score"))
+
+
+@query(
+    f"WITH {RUNS}, s AS (SELECT user_id, model, method, min(CASE WHEN regret <= 25 THEN cost END) AS reach, arg_max(regret, eval) AS final FROM t GROUP BY 1, 2, 3) "
+    "SELECT model, method, round(avg(n), 4) AS evaluations, round(avg(total), 4) AS total_cost, round(median(reach), 4) AS cost_to_target, count(reach) AS reached, round(avg(final), 4) AS final_regret, round(avg(outer_score), 4) AS outer_mean, round(stddev_samp(outer_score), 4) AS outer_sd, count(*) AS runs FROM s JOIN finals USING (user_id, model, method) GROUP BY 1, 2"
+)
+def anytime_table(spark: SparkSession, sf: str) -> DataFrame:
+    t, finals = runs(spark, sf)
+    run = ["user_id", "model", "method"]
+    out = anytime.anytime_table(anytime.run_targets(t, run, "eval", "regret", "cost", 25), finals, run, ["model", "method"], "n", "total", "outer_score")
+    return rounded(out, "evaluations", "total_cost", "cost_to_target", "final_regret", "outer_mean", "outer_sd", digits=4)
+
+
+@query(f"WITH {RUNS}, p AS (SELECT a.user_id, a.model, b.outer_score - a.outer_score AS gain, b.total / a.total AS ratio FROM finals a JOIN finals b ON a.user_id = b.user_id AND a.method = 'click' AND b.method = 'view') SELECT model, round(avg(gain), 4) AS mean_gain, round(stddev_samp(gain), 4) AS sd_gain, round(avg(ratio), 4) AS mean_cost_ratio, count(*) AS n FROM p GROUP BY 1")
+def method_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of two methods paired: gain in the outer score and ratio of costs."""
+    pairs = anytime.method_pairs(runs(spark, sf)[1], ["user_id", "model"], "method", "click", "view", "outer_score", "total")
+    return rounded(anytime.pair_summary(pairs, ["model"]), "mean_gain", "sd_gain", "mean_cost_ratio", digits=4)
+
+
+@query(
+    "WITH u AS (SELECT s_nationkey AS model, s_acctbal AS score, s_suppkey AS k, 'supplier' AS origin, NULL AS segment FROM supplier UNION ALL SELECT c_nationkey, c_acctbal, c_custkey, 'customer', c_mktsegment FROM customer) "
+    "SELECT model, score, k, origin, segment, true AS told FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY score DESC, origin, k) AS i FROM u) WHERE i = 1"
+)
+def best_of_united(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of several studies united, one that isn't there told, and the best row of each model."""
+    from sparkloom.sources.scratch import folder
+
+    base = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("model"), F.col("s_acctbal").alias("score"), F.col("s_suppkey").alias("k")).withColumn("origin", F.lit("supplier"))
+    path = folder(spark)
+    read(spark, sf, "customer").select(F.col("c_nationkey").alias("model"), F.col("c_acctbal").alias("score"), F.col("c_custkey").alias("k"), F.col("c_mktsegment").alias("segment")).write.parquet(path)
+    table, missing = anytime.united(spark, base, {"customer": path, "nowhere": f"{path}-missing"})
+    return anytime.best_of_each(table, "model", "score", ["origin", "k"]).select("model", "score", "k", "origin", "segment", F.lit(missing == ["nowhere"]).alias("told"))

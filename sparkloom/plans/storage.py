@@ -187,3 +187,20 @@ def workbook_scan(spark: SparkSession, sf: str) -> DataFrame:
     c = read(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast("double").alias("c_acctbal"), F.col("c_nationkey").cast("long").alias("c_nationkey"), (F.col("c_acctbal") < 0).alias("owes"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_mktsegment")).alias("segment"))
     books = scratch.stored(workbooks.as_workbooks(c, "c_custkey", rows=400, above=["a title"]))
     return workbooks.as_table(books, header=1)
+
+
+@query(
+    "WITH d AS (SELECT 'orders' AS name, count(*) AS n, sum(CAST(o_orderstatus = 'F' AS INT))::BIGINT AS positives, 'o_orderpriority' AS categorical, 'o_orderkey,o_custkey,o_totalprice,o_orderdate' AS numeric FROM orders WHERE o_totalprice > 1000), "
+    "p AS (SELECT 'parts' AS name, count(*) AS n, sum(CAST(p_size = 2 AS INT))::BIGINT AS positives, 'p_name,p_brand,p_type' AS categorical, 'p_partkey,p_retailprice' AS numeric FROM part) SELECT * FROM d UNION ALL SELECT * FROM p"
+)
+def described_datasets(spark: SparkSession, sf: str) -> DataFrame:
+    """Two data sets, each with its label rule, filter and the roles that its columns' types give them; the second is
+    made and kept first."""
+    path = folder(spark)
+    specs = {"orders": {"path": f"{sf}/orders.parquet", "target": "o_orderstatus", "positive": "F", "keep": "o_totalprice > 1000"}, "parts": {"path": path, "target": "p_size", "positive": 2}}
+    out = None
+    for name, spec in specs.items():
+        df, roles = tables.dataset(spark, spec, (lambda: read(spark, sf, "part")) if name == "parts" else None)
+        row = df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("n"), F.sum(spec["target"]).alias("positives"), F.lit(",".join(roles["categorical"])).alias("categorical"), F.lit(",".join(roles["numeric"])).alias("numeric"))
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -77,6 +77,17 @@ def named_dataset(spark: SparkSession, path: str, target: str, positive: object
     return df.withColumn(target, y)
 
 
+def dataset(spark: SparkSession, spec: Mapping, make=None) -> tuple[DataFrame, dict[str, list[str]]]:
+    """(table, roles) of a data set described by ``path``, ``target`` and, where wanted, ``positive`` (the value that is
+    class 1; else the target is cast), ``keep`` (a row filter), ``drop`` and ``categorical`` (columns that are codes
+    though numbers). A path that isn't there is made by ``make()`` and kept; roles follow from the columns' types."""
+    if make is not None:
+        cached(spark, spec["path"], make)
+    df = named_dataset(spark, spec["path"], spec["target"], spec.get("positive"), spec.get("keep")).drop(*spec.get("drop", ()))
+    features_and_target(df, spec["target"])
+    return df, roles(df, spec["target"], spec.get("categorical", ()))
+
+
 def synthetic(spark: SparkSession, rows: int = 5000, features: int = 20, majority: float = 0.78, flip: float = 0.02, binned: dict[str, int] | None = None, seed: int = 42) -> DataFrame:
     """id, feature_i, target: two Gaussian clusters with a share of flipped labels; ``binned`` columns (name -> number
     of equal-width bins) are made from the first features. Every value is a hash of the id, so any partitioning
