@@ -3,7 +3,7 @@
 Five transducers read a tape of symbols (one for each word or mark of a text) and write marks on it: *report* marks
 what lies in reported speech, *insult* and *threat* mark charged words (threats also when they are announced: "will
 hurt"), *target* marks those of a clause that addresses somebody, before or after the charged word, and *negation*
-those within its reach. :func:`compose` chains any two: the second reads the tape that the first has written. The
+those within its reach, before the charged word or after it ("schlage dich nicht"). :func:`compose` chains any two: the second reads the tape that the first has written. The
 chain of all five is made one deterministic transducer, whose arcs put out matched clauses by type, not words; each
 clause weighs its word's weight times its type's. The document's score is a logistic function of the sums.
 
@@ -41,10 +41,11 @@ SYMBOLS = OTHER, INSULT, MENACE, AIM, NOT, SAYS, FUTURE, CLAUSE, SENTENCE = rang
 #: Words that a negation or an announcement reaches, and the weight of a threat that the sample didn't teach.
 REACH, THREAT_WEIGHT = 3, 1.0
 #: Marks on the tape.
-HIT, THREATENS, ANNOUNCED, AIMED, NEGATED, REPORTED, LATE_AIM = (1 << i for i in range(7))
-#: Clause types: bit 0 targeted, bit 1 negated, bit 2 reported; insults, threats, announced threats; late targets.
-TYPES = 25
-LATE = 24
+HIT, THREATENS, ANNOUNCED, AIMED, NEGATED, REPORTED, LATE_AIM, LATE_NOT = (1 << i for i in range(8))
+#: Clause types: bit 0 targeted, bit 1 negated, bit 2 reported; insults, threats, announced threats; then late targets
+#: and late negations, which come after their charged word.
+TYPES = 26
+LATE, DENIED = 24, 25
 #: Sums of weights of one clause type count up to this.
 SATURATE = 12.0
 
@@ -79,10 +80,16 @@ def _threat(state, symbol, marks):
 
 
 def _negation(state, symbol, marks):
-    return _countdown(state, symbol, NOT), marks | NEGATED if state and marks & HIT else marks
+    """States: words that a negation still reaches, words in which one may still come for a charged word before."""
+    ahead, behind = state
+    if symbol == NOT and behind:
+        return (REACH, 0), marks | LATE_NOT
+    if marks & HIT:
+        return (_countdown(ahead, symbol, NOT), 0 if ahead else REACH), marks | NEGATED if ahead else marks
+    return (_countdown(ahead, symbol, NOT), _countdown(behind, symbol, None)), marks
 
 
-def _countdown(state: int, symbol: int, opens: int) -> int:
+def _countdown(state: int, symbol: int, opens: int | None) -> int:
     return REACH if symbol == opens else 0 if symbol in (CLAUSE, SENTENCE) else max(0, state - 1)
 
 
@@ -121,6 +128,8 @@ def tabulate(machine: Machine) -> tuple[np.ndarray, np.ndarray]:
 def _type(marks: int) -> int:
     if marks & LATE_AIM:
         return LATE
+    if marks & LATE_NOT:
+        return DENIED
     if not marks & HIT:
         return -1
     kind = 2 if marks & ANNOUNCED else 1 if marks & THREATENS else 0
@@ -128,7 +137,7 @@ def _type(marks: int) -> int:
 
 
 GRAMMAR = Machine(0, _report)
-for _machine in (Machine(0, _insult), Machine(0, _threat), Machine((False, False), _target), Machine(0, _negation)):
+for _machine in (Machine(0, _insult), Machine(0, _threat), Machine((False, False), _target), Machine((0, 0), _negation)):
     GRAMMAR = compose(GRAMMAR, _machine)
 STEP, OUT = tabulate(GRAMMAR)
 

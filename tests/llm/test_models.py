@@ -147,6 +147,8 @@ def test_clause_types():
     assert grammar_kinds("the man said so. A knave") == [0]
     assert grammar_kinds("knave is what you are") == [0, toxic_grammar.LATE]
     assert grammar_kinds("A knave, you see") == [0]
+    assert grammar_kinds("a knave he is not") == [0, toxic_grammar.LATE, toxic_grammar.DENIED]
+    assert grammar_kinds("a knave, not this") == [0] and grammar_kinds("not a knave not") == [2]
     assert grammar_kinds("nothing here") == []
 
 
@@ -353,25 +355,28 @@ def test_quality_features_and_scores_by_loops():
 def clauses_by_words(symbols):
     """The clause types of a string of symbols, with the rules spelled out word by word."""
     T = toxic_grammar
-    out, aimed, waits, reported, last_not, last_will = [], False, False, False, -99, -99
+    out, aimed, waits, reported, last_not, last_will, last_hit = [], False, False, False, -99, -99, -99
     for i, s in enumerate(symbols):
         if s in (T.INSULT, T.MENACE):
             kind = 0 if s == T.INSULT else 2 if i - last_will <= T.REACH else 1
-            out.append(8 * kind + aimed + 2 * (i - last_not <= T.REACH) + 4 * reported)
-            waits = not aimed
+            negated = i - last_not <= T.REACH
+            out.append(8 * kind + aimed + 2 * negated + 4 * reported)
+            waits, last_hit = not aimed, -99 if negated else i
         elif s == T.AIM:
             if waits and not reported:
                 out.append(T.LATE)
             aimed, waits = True, False
         elif s == T.NOT:
-            last_not = i
+            if i - last_hit <= T.REACH:
+                out.append(T.DENIED)
+            last_not, last_hit = i, -99
         elif s == T.FUTURE:
             last_will = i
         elif s == T.SAYS:
             reported = True
         elif s in (T.CLAUSE, T.SENTENCE):
             aimed = waits = False
-            last_not = last_will = -99
+            last_not = last_will = last_hit = -99
             reported = reported and s == T.CLAUSE
     return out
 
