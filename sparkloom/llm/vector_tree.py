@@ -218,7 +218,8 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
 
     Candidates are all rows but those with the query's own id; nearness is the cosine in double precision, ties go
     to the smaller vec_id. Null, zero or non-finite vectors, null ids and vectors of another than the most
-    frequent dimension take no part. Rows repeated with one vec_id count once, as their nearest. With fewer than
+    frequent dimension take no part. Rows repeated with one vec_id count once, as their nearest; as a query, the one of
+    the least vector (by its first component that differs) stands for the id. With fewer than
     ``k`` candidates all are returned; an empty table gives an empty result. Other columns are ignored, whatever their
     names. Components of any finite size take part (they are scaled before they are squared).
     """
@@ -227,7 +228,8 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
     total = rows.count()
     x = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column(0).combine_chunks())
     x = unit(x) if len(x) else np.zeros((0, 1))
-    leaves = min(MAX_LEAVES, max(1, total // LEAF_ROWS))
+    # a small table has a dozen leaves too, so that its tree is walked
+    leaves = min(MAX_LEAVES, max(1, total // min(LEAF_ROWS, max(25, total // 12))))
     tree = build(x, max(8, len(x) // leaves))
     shared = spark.sparkContext.broadcast(tree)
 
@@ -251,7 +253,7 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
         discard(upper)
     else:
         filed = filed.withColumn("twig", F.lit(0))
-    queries = filed.filter(F.col("vec_id") % query_step == 0).dropDuplicates(["vec_id"]).select("vec_id", "embedding")
+    queries = filed.filter(F.col("vec_id") % query_step == 0).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     chosen = queries.orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(CALIBRATE).toArrow()
     visits, inner = 1, 1
     if chosen.num_rows:

@@ -413,3 +413,29 @@ def test_threats_count_without_being_taught(spark):
     out = toxic_grammar.classify(docs(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
     held_out = [(r["predicted"], r["doc_id"] % 3 == 0) for r in out if r["held_out"]]
     assert np.mean([p == y for p, y in held_out]) > 0.95
+
+
+def test_tree_recall_beyond_its_calibration_queries(spark, monkeypatch):
+    """Twenty queries calibrate the visits; all queries are held against brute force."""
+    monkeypatch.setattr(vector_tree, "CALIBRATE", 20)
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(15, 16)) * 2
+    x = centres[rng.integers(0, 15, 900)] + rng.normal(size=(900, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vector_tree.search(df, query_step=5).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, 900, 5):
+        s = u @ u[i]
+        s[i] = -2
+        hits += len(got[i] & set(np.lexsort((np.arange(900), -s))[:5].tolist()))
+    assert hits / (5 * 180) >= 0.9
+
+
+def test_tree_query_of_an_id_with_several_vectors(spark):
+    rows = [(0, [0.0, 1.0]), (0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.1, 0.9])]
+    for n in (1, 3):
+        out = vector_tree.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(n), k=1).collect()
+        assert [(r["query_id"], r["vec_id"]) for r in out] == [(0, 2)]
