@@ -58,6 +58,7 @@ class Plan:
     ridge: float
     oblique: bool
     seed: int
+    bootstrap: bool = True
 
     def features(self, tree: int, path: int) -> np.ndarray:
         """The features that a node tries; the root's path is 1, children of ``p`` are 2p and 2p + 1."""
@@ -65,7 +66,9 @@ class Plan:
         return np.sort(np.random.default_rng([self.seed, tree, path]).choice(n, min(self.q, n), replace=False))
 
     def draws(self, key: np.ndarray, tree: int) -> np.ndarray:
-        """How often the tree's bootstrap draws each row."""
+        """How often the tree's bootstrap draws each row: once if there is none."""
+        if not self.bootstrap:
+            return np.ones(len(key))
         return np.searchsorted(_DRAWS, uniform(key, self.seed, tree), "right").astype(float)
 
 
@@ -360,7 +363,7 @@ def _finish(rows: DataFrame, plan: Plan, cuts: list[dict[int, Cut]], nodes: list
 
 
 def fit_forest(
-    df: DataFrame, id_col: str, y: str, cols: Sequence[str], trees: int = 50, q: int | None = None, max_depth: int = 10, min_leaf: int = 5, weight: str | dict | float | None = "balanced", seed: int = 42, oblique: bool = True, ridge: float = 1e-3, in_task: int = IN_TASK
+    df: DataFrame, id_col: str, y: str, cols: Sequence[str], trees: int = 50, q: int | None = None, max_depth: int = 10, min_leaf: int = 5, weight: str | dict | float | None = "balanced", seed: int = 42, oblique: bool = True, ridge: float = 1e-3, bootstrap: bool = True, in_task: int = IN_TASK
 ) -> ObliqueForest:
     """Fit on rows without nulls or NaN and with classes 0 and 1 only; anything else raises ValueError.
 
@@ -376,7 +379,7 @@ def fit_forest(
         raise ValueError(f"{check['bad']} rows with missing values, {check['other']} labels other than 0 and 1")
     edges = cut_points(df, names, BINS)
     centre = np.array([e[len(e) // 2] if len(e) else 0.0 for e in edges])
-    plan = Plan(edges, centre, class_factors(check["n"] - check["n1"], check["n1"], weight), q or max(1, int(np.sqrt(len(names)))), max_depth, min_leaf, ridge, oblique, seed)
+    plan = Plan(edges, centre, class_factors(check["n"] - check["n1"], check["n1"], weight), q or max(1, int(np.sqrt(len(names)))), max_depth, min_leaf, ridge, oblique, seed, bootstrap)
 
     def pack(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:

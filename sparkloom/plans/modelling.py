@@ -353,3 +353,25 @@ HOLES = " + ".join(f"1.0 / ({j + 1} + pow(a - ({(j % 5 - 2) * 16}), 6) + pow(b -
 def foxhole_values(spark: SparkSession, sf: str) -> DataFrame:
     v = read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 2), lambda e: e.cast("double") * 32).alias("x"))
     return rounded(v.select("vec_id", X.foxholes("x").alias("value")), "value")
+
+
+FIRST_CUT = (
+    "WITH r AS (SELECT l_orderkey AS id, count(*)::DOUBLE AS lines, avg(l_quantity) AS quantity, max(l_tax) AS tax, CAST(avg(l_extendedprice) * count(*) > 110000 AS INTEGER) AS y FROM lineitem GROUP BY 1), "
+    "v AS (SELECT 0 AS f, 'lines' AS col, lines AS x, y FROM r UNION ALL SELECT 1, 'quantity', quantity, y FROM r UNION ALL SELECT 2, 'tax', tax, y FROM r), "
+    "o AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY x) - 1 AS place, count(*) OVER (PARTITION BY f) AS n FROM v), "
+    "e AS (SELECT DISTINCT f, col, x AS edge FROM o WHERE place IN (SELECT floor((n - 1) * i / 64.0) FROM range(1, 64) t(i), (SELECT count(*) AS n FROM r))), "
+    "c AS (SELECT e.f, e.col, edge, count(*) FILTER (x <= edge) AS nl, sum(y) FILTER (x <= edge) AS pl, count(*) AS n, sum(y) AS p FROM e JOIN v USING (f) GROUP BY 1, 2, 3), "
+    "g AS (SELECT *, round(2 * pl * (1 - pl / nl) + 2 * (p - pl) * (1 - (p - pl) / (n - nl)), 9) AS impurity FROM c WHERE nl >= 5 AND n - nl >= 5) "
+    "SELECT col AS \"column\", round(edge, 6) AS threshold, nl::DOUBLE AS left_rows, (n - nl)::DOUBLE AS right_rows, round(pl / nl, 9) AS left_share, round((p - pl) / (n - nl), 9) AS right_share FROM g ORDER BY impurity, f, edge LIMIT 1"
+)
+
+
+@query(FIRST_CUT)
+def forest_first_cut(spark: SparkSession, sf: str) -> DataFrame:
+    """The root of a tree on all rows without a bootstrap: the axis cut of the least Gini impurity among all features'
+    quantile bins, found by jobs over all rows."""
+    cols = ["lines", "quantity", "tax"]
+    tree = oblique.fit_forest(_spending(spark, sf), "id", "y", cols, trees=1, q=3, max_depth=1, weight=None, oblique=False, bootstrap=False, in_task=0).trees[0]
+    a, b = tree["left"][0], tree["right"][0]
+    row = (cols[tree["features"][0][0]], round(tree["threshold"][0], 6), tree["cover"][a], tree["cover"][b], round(tree["value"][a], 9), round(tree["value"][b], 9))
+    return spark.createDataFrame([row], "column string, threshold double, left_rows double, right_rows double, left_share double, right_share double")
