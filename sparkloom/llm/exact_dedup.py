@@ -1,10 +1,11 @@
 """Exact deduplication with static binary-fuse filters.
 
-An immutable snapshot is written once: its distinct digests in *buckets* (folders by a hash of the digest) and one
-static 3-wise binary-fuse filter of 8-bit fingerprints for each bucket. It is opened again by its path for any
+An immutable snapshot is written once: its distinct digests in *buckets* (by a hash of the digest; a folder, or
+shelf, holds ``SHELF`` of them) and one static 3-wise binary-fuse filter of 8-bit fingerprints for each bucket. It is opened again by its path for any
 number of batches. An incoming batch is first grouped within itself, so that its own duplicates cost one probe; the
 distinct digests are then screened by the filters. A negative is certainly new. A positive (true, or one of the
-1/256 false ones) joins the exact buckets, of which only those with positives are read and shuffled. Texts behind
+1/256 false ones) joins the exact buckets: shelves without a positive are not read for that, buckets without one not
+shuffled. Texts behind
 equal digests are compared byte by byte with the text of the row that stays.
 
 Scale: mostly digests are shuffled (a third of all rows may share one: groups are pre-aggregated, and joins of rows
@@ -26,6 +27,8 @@ from sparkloom.llm.common import U64, discard, discard_path, free_names, mix, sc
 
 #: Distinct digests that one filter holds on average.
 BUCKET_KEYS = 1 << 17
+#: Buckets of a folder, and of those that a task writes together; buckets (a number each) whose list is broadcast.
+SHELF, TOGETHER, HIT_BUCKETS = 64, 8, 1_000_000
 #: ASCII white space that normalisation folds.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -122,6 +125,11 @@ def bucketed(groups: DataFrame, buckets: int) -> DataFrame:
     return groups.withColumn("bucket", F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int"))
 
 
+def _shelf(bucket: str = "bucket") -> Column:
+    """The folder of a bucket."""
+    return F.floor(F.col(bucket) / SHELF).cast("int")
+
+
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     """``incoming`` distinct digests with ``maybe``: False only if the snapshot surely lacks the digest."""
     schema = incoming.schema
@@ -159,7 +167,8 @@ class Snapshot:
         """Keep :func:`digest_groups` as a snapshot under a new ``path``."""
         groups = stored(groups)
         buckets = max(1, math.ceil(groups.count() / bucket_keys))
-        bucketed(groups, buckets).repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/groups")
+        placed = bucketed(groups, buckets).withColumn("shelf", _shelf())
+        placed.repartition(F.floor(F.col("bucket") / TOGETHER)).sortWithinPartitions("shelf", "bucket").write.partitionBy("shelf").parquet(f"{path}/groups")
         snapshot_filters(groups, buckets).write.parquet(f"{path}/filters")
         groups.sparkSession.createDataFrame([(buckets, groups.schema["first_id"].dataType.simpleString())], "buckets int, kind string").write.parquet(f"{path}/about")
         discard(groups)
@@ -168,20 +177,23 @@ class Snapshot:
     @staticmethod
     def open(spark: SparkSession, path: str) -> Snapshot:
         about = spark.read.parquet(f"{path}/about").first()
-        groups = spark.read.schema(f"digest binary, first_id {about['kind']}, size long, bucket int").parquet(f"{path}/groups")
+        groups = spark.read.schema(f"digest binary, first_id {about['kind']}, size long, bucket int, shelf int").parquet(f"{path}/groups")
         return Snapshot(path, about["buckets"], groups, spark.read.schema("bucket int, seed int, seg int, prints binary").parquet(f"{path}/filters"))
 
     def merged(self, incoming: DataFrame) -> DataFrame:
         """Digest groups of the snapshot and a batch together (``incoming``: :func:`digest_groups` of the batch).
 
-        Only positives meet the exact buckets, and only buckets with positives (at most one number each comes to
-        the driver) are read for that; what the positives don't touch passes through without a shuffle."""
+        Only positives meet the exact buckets; what lies in buckets without a positive passes through without a
+        shuffle. The buckets with positives (one row each) stay a table and join the snapshot by shelf and bucket."""
         screened = stored(screen(incoming, self.filters, self.buckets))
         new = screened.filter(~F.col("maybe")).select("digest", "first_id", "size")
         maybe = bucketed(screened.filter("maybe"), self.buckets).select("bucket", "digest", F.col("first_id").alias("in_id"), F.col("size").alias("in_size"))
-        hit = [r["bucket"] for r in maybe.select("bucket").distinct().collect()]
-        rest = self.groups.filter(~F.col("bucket").isin(hit)) if hit else self.groups
-        known = self.groups.filter(F.col("bucket").isin(hit)).join(maybe, ["bucket", "digest"], "full").select(
+        hit = maybe.select("bucket").distinct().withColumn("shelf", _shelf())
+        if self.buckets <= HIT_BUCKETS:
+            hit = F.broadcast(hit)
+        on = ["shelf", "bucket"]
+        rest = self.groups.join(hit, on, "left_anti")
+        known = self.groups.join(hit, on, "left_semi").join(maybe, ["bucket", "digest"], "full").select(
             "digest", F.least("first_id", "in_id").alias("first_id"), (F.coalesce("size", F.lit(0)) + F.coalesce("in_size", F.lit(0))).alias("size")
         )
         return rest.select("digest", "first_id", "size").unionByName(known).unionByName(new)

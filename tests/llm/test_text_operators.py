@@ -71,6 +71,22 @@ def test_snapshot_is_opened_again_for_each_batch(spark, tmp_path):
         assert {bytes(r["digest"]): (r["first_id"], r["size"]) for r in out.collect()} == {k: (min(v), len(v)) for k, v in want.items()}
 
 
+@pytest.mark.parametrize("hit_buckets", [1_000_000, 0])
+def test_snapshot_keeps_several_buckets_in_a_folder(spark, tmp_path, monkeypatch, hit_buckets):
+    from pyspark.sql import functions as F
+
+    for name, value in (("SHELF", 4), ("TOGETHER", 2), ("HIT_BUCKETS", hit_buckets)):
+        monkeypatch.setattr(exact_dedup, name, value)
+    group = lambda ids: exact_dedup.digest_groups(spark.createDataFrame([(i, f"t{i}") for i in ids], "doc_id long, text string").select("doc_id", F.unhex(F.sha2("text", 256)).alias("digest")))
+    snapshot = exact_dedup.Snapshot.write(group(range(200)), f"file://{tmp_path}/snapshot", bucket_keys=10)
+    assert snapshot.buckets == 20
+    assert sorted(x.name for x in (tmp_path / "snapshot" / "groups").iterdir() if x.is_dir()) == [f"shelf={i}" for i in range(5)]
+    out = snapshot.merged(group([7, 7, 500]))
+    size = {bytes(r["digest"]): r["size"] for r in out.collect()}
+    assert len(size) == 201 and sum(size.values()) == 203
+    assert size[hashlib.sha256(b"t7").digest()] == 3
+
+
 def test_exact_groups_deals_large_groups(spark, monkeypatch):
     for name, value in (("LARGE", 5), ("SALTS", 4), ("HOT_GROUPS", 1)):
         monkeypatch.setattr(exact_dedup, name, value)
