@@ -1,8 +1,27 @@
 """What queries must keep doing on larger tables: values that don't hang on how rows are dealt, nothing whole in the driver."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from sparkloom.plans import modelling
 from sparkloom.plans.registry import rounded
 
 
+def drifting_parts(spark, sf=None):
+    """Parts whose tax is another number each time that it is computed, as a mean's last digits are."""
+    draw = F.udf(lambda i: random.random(), "double").asNondeterministic()
+    rows = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("q"), draw("id").alias("t"), (F.col("id") % 5).cast("double").alias("d"))
+    return rows.withColumn("y", (F.col("id") % 7 > 3).cast("int"))
+
+
+def test_tree_shapley_additivity_reads_its_rows_once(spark, monkeypatch):
+    noisy = lambda s, sf: drifting_parts(s).withColumn("y", (F.col("t") > 0.5).cast("int"))
+    monkeypatch.setattr(modelling, "parts", noisy)
+    out = modelling.tree_shapley_additivity(spark, "").first()
+    assert (out["n"], out["n_scored"], out["worst_gap"]) == (400, 400, 0.0)
+
+
 def test_rounding_is_that_of_the_sql(spark):
     df = spark.createDataFrame([(9.97975,), (-9.97975,), (2.5,), (None,), (float("inf"),)], "x double")
     assert [r["x"] for r in rounded(df, "x", digits=4).collect()] == [9.9797, -9.9797, 2.5, None, float("inf")]
