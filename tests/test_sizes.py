@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from sparkloom.plans import modelling
+from sparkloom.operators import models
+from sparkloom.plans import modelling, storage
 from sparkloom.plans.registry import rounded
 
 
@@ -22,6 +23,30 @@ def test_tree_shapley_additivity_reads_its_rows_once(spark, monkeypatch):
     assert (out["n"], out["n_scored"], out["worst_gap"]) == (400, 400, 0.0)
 
 
+def test_model_artifact_compares_the_same_rows(spark, monkeypatch):
+    noisy = lambda s, sf: drifting_parts(s).withColumn("y", (F.col("t") > 0.5).cast("int"))
+    monkeypatch.setattr(storage, "parts", noisy)
+    out = storage.model_artifact(spark, "").first()
+    assert out["round_trip"] and out["n"] == 400
+
+
 def test_rounding_is_that_of_the_sql(spark):
     df = spark.createDataFrame([(9.97975,), (-9.97975,), (2.5,), (None,), (float("inf"),)], "x double")
     assert [r["x"] for r in rounded(df, "x", digits=4).collect()] == [9.9797, -9.9797, 2.5, None, float("inf")]
+
+
+def test_medians_are_exact_and_no_estimator_sees_all_rows(spark, monkeypatch):
+    seen = []
+
+    class Counted(models.Imputer):
+        def _fit(self, dataset):
+            seen.append(dataset.count())
+            return super()._fit(dataset)
+
+    monkeypatch.setattr(models, "Imputer", Counted)
+    rows = spark.range(60).select("id", (F.col("id") % 2).cast("int").alias("y"), F.when(F.col("id") % 3 != 0, F.col("id")).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b"))
+    fitted = models.fit(rows, "y", ["a", "b"], [], "naive_bayes")
+    known = sorted(i for i in range(60) if i % 3)
+    surrogate = fitted.prepare.stages[0].surrogateDF.first()
+    assert (surrogate["a"], surrogate["b"]) == (known[(len(known) - 1) // 2], sorted(i % 11 for i in range(60))[29])
+    assert max(seen) == 1
