@@ -1,10 +1,13 @@
 """What queries must keep doing on larger tables: values that don't hang on how rows are dealt, nothing whole in the driver."""
 
+import math
 import random
+import time
 
 from pyspark.sql import functions as F
 
-from sparkloom.operators import models
+from sparkloom.functions import dist
+from sparkloom.operators import models, search, splits, stats
 from sparkloom.plans import modelling, storage
 from sparkloom.plans.registry import rounded
 
@@ -50,3 +53,38 @@ def test_medians_are_exact_and_no_estimator_sees_all_rows(spark, monkeypatch):
     surrogate = fitted.prepare.stages[0].surrogateDF.first()
     assert (surrogate["a"], surrogate["b"]) == (known[(len(known) - 1) // 2], sorted(i % 11 for i in range(60))[29])
     assert max(seen) == 1
+
+
+def test_lower_medians_count_only_what_lies_near(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.col("id") * 31 % 4999).cast("double").alias("a"), (F.col("id") % 3).cast("int").alias("b"), F.lit(None).cast("double").alias("c"), F.when(F.col("id") < 2, F.col("id")).otherwise(float("nan")).alias("d"))
+    known = sorted(i * 31 % 4999 for i in range(5000) if i % 7)
+    assert stats.lower_medians(rows, ["a", "b", "c", "d"]) == {"a": known[(len(known) - 1) // 2], "b": 1.0, "c": None, "d": 0.0}
+
+
+def test_coin_test_of_many_throws_is_exact_and_quick():
+    for n, k in ((1001, 480), (2000, 1000), (5000, 2300), (4001, 12), (3000, 0)):
+        whole = sum(math.comb(n, i) for i in range(min(k, n - k) + 1))
+        assert math.isclose(dist.binomial_two_sided(k, n), min(1.0, 2 * (whole / 2**n)), rel_tol=1e-11)
+    began = time.perf_counter()
+    assert 0.1 < dist.binomial_two_sided(999_000, 2_000_000) < 0.2
+    assert time.perf_counter() - began < 5
+
+
+def test_tournaments_do_not_ask_for_a_score_again():
+    asked = []
+
+    class Counted(float):
+        def __hash__(self):
+            asked.append(1)
+            return super().__hash__()
+
+    specs = [{"name": "x", "type": "categorical", "choices": [Counted(i) for i in range(50)]}]
+    trace = search.genetic(specs, lambda p, share: -abs(p["x"] - 20), 10, 6, seed=3)
+    assert len(trace) <= 60 and len(asked) <= 60 * 4  # a tournament of three for each parent asked for ten times as many
+
+
+def test_draws_and_searches_are_spread_over_the_cores(spark, monkeypatch):
+    few = spark.range(200).coalesce(1).select("id")
+    assert splits.bootstrap_weights(few, "id", 3).rdd.getNumPartitions() == splits.SPREAD * spark.sparkContext.defaultParallelism
+    plan = splits.bootstrap_weights(few, "id", 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") <= 2  # a filter on the weight took it for every cut
