@@ -17,6 +17,7 @@ from sparkloom.functions import dist
 from sparkloom.operators import comparison, splits
 from sparkloom.operators.metrics import known
 from sparkloom.operators.stats import average_rank, range_edges, rank_table
+from sparkloom.sources.scratch import stored
 
 
 def placements(df: DataFrame, y: str, scores: Sequence[str]) -> DataFrame:
@@ -136,6 +137,7 @@ def bca_interval(df: DataFrame, id_col: str, sums: Mapping[str, Column], metric:
     rows = df.select(id_col, *[c.cast("double").alias(n) for n, c in sums.items()])
     total = rows.agg(*[F.sum(n).alias(n) for n in names])
     boot = splits.bootstrap_weights(rows, id_col, rounds, seed).groupBy("round").agg(*[F.sum(F.col(n) * F.col("weight")).alias(n) for n in names]).select(metric(F.col).alias("m"))
+    boot = stored(boot)  # a row a round, read twice
     point = total.select(metric(F.col).alias("point"))
     less = rows.crossJoin(F.broadcast(total.select(*[F.col(n).alias(f"_t_{n}") for n in names])))  # one row
     less = less.select(metric(lambda n: F.col(f"_t_{n}") - F.col(n)).alias("x"))

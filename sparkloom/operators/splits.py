@@ -103,15 +103,32 @@ def safe_neighbours(n_minority: int, k: int = 5, cv: int = 1) -> int:
 
 
 def bootstrap_weights(df: DataFrame, id_col: str, rounds: int, seed: int = 42) -> DataFrame:
-    """Poisson(1) weights of each row in each round, from a hash (zero weights are left out)."""
+    """Poisson(1) weights of each row in each round, from a hash (zero weights are left out).
+
+    Rows are dealt to ``SPREAD`` tasks a core before they are repeated, as a small file of many rows is one task's."""
     cuts, acc, term = [], 0.0, math.exp(-1)
     for i in range(12):
         acc += term
         cuts.append(acc)
         term /= i + 1
-    u = _unit(F.col(id_col), F.col("round"), F.lit(seed))
-    weight = sum(((u > c).cast("int") for c in cuts[1:]), (u > cuts[0]).cast("int"))
-    return df.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("weight", weight).filter("weight > 0")
+    # the hash as a number in [0, 1) exceeds a cut if its digits come after the cut's; a filter on the weight would take
+    # the hash once for each cut
+    most = 1 << 52
+    ends = [f"{math.floor(c * most) + 1:013x}" for c in cuts if math.floor(c * most) + 1 < most]
+    digits = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.col("round").cast("string"), F.lit(str(seed))))
+    drawn = spread(df, id_col).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("_u", digits).filter(F.col("_u") >= ends[0])
+    weight = sum(((F.col("_u") >= e).cast("int") for e in ends[1:]), F.lit(1))
+    return drawn.withColumn("weight", weight).drop("_u")
+
+
+#: Tasks a core for rows that each are much work.
+SPREAD = 4
+
+
+def spread(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` dealt to as many tasks as keep all cores busy, however small its file; a number, so that adaptive plans
+    don't merge them."""
+    return df.repartition(SPREAD * df.sparkSession.sparkContext.defaultParallelism, *cols)
 
 
 #: Rows that a part of :func:`bootstrap_counts` has, and parts at most (their sizes go to every task).
