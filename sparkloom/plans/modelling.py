@@ -119,7 +119,7 @@ def genetic_benchmark(spark: SparkSession, sf: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["seed", "equal", "found"])
 
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
-    return s.mapInPandas(run, "seed long, equal boolean, found boolean")
+    return splits.spread(s, "s_suppkey").mapInPandas(run, "seed long, equal boolean, found boolean")
 
 
 @query()
@@ -329,7 +329,7 @@ def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
 
     s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.explode(F.array(*[F.lit(n) for n in search.TEST_FUNCTIONS])).alias("function"))
     runs = s.withColumn("budget", F.explode(F.array(F.struct(F.lit(16).alias("size"), F.lit(10).alias("generations")), F.struct(F.lit(30).alias("size"), F.lit(20).alias("generations"))))).select("s_suppkey", "s_acctbal", "function", "budget.*")
-    out = scratch.stored(runs.repartition("s_suppkey", "function").mapInPandas(run, "function string, size int, evaluations int, genetic double, random double"))
+    out = scratch.stored(splits.spread(runs, "s_suppkey", "function", "size").mapInPandas(run, "function string, size int, evaluations int, genetic double, random double"))
     middle = stats.order_statistics(out, ["genetic", "random"], [0.5], ["function", "size"]).groupBy("function", "size").agg(*[F.max(F.when(F.col("column") == c, F.col("q_0"))).alias(c) for c in ("genetic", "random")])
     return middle.join(out.groupBy("function", "size").agg(F.max("evaluations").alias("evaluations"), F.count(F.lit(1)).alias("searches")), ["function", "size"])
 
