@@ -21,17 +21,17 @@ from pyspark.sql import functions as F
 from sparkloom.functions.expressions import at_least
 from sparkloom.operators import boosting, kernel_machine, metrics, oblique, splits
 from sparkloom.operators.joins import knn
-from sparkloom.operators.stats import column_quantiles
+from sparkloom.operators.stats import lower_medians
 
 
 def median_imputer(train: DataFrame, cols: Sequence[str]):
-    """A fitted imputer of the columns' exact medians (the lower of two), found by counts of distinct values: the
-    estimator's own quantiles without error would bring every value to the driver."""
-    found = column_quantiles(train, cols, [0.5], between=False)
-    missing = [c for c in cols if not found[c]]
+    """A fitted imputer of the columns' exact medians (the lower of two): the estimator's own quantiles without error
+    would bring every value to the driver."""
+    found = lower_medians(train, cols)
+    missing = [c for c in cols if found[c] is None]
     if missing:
         raise ValueError(f"columns without values: {missing}")
-    row = train.sparkSession.createDataFrame([tuple(float(found[c][0]) for c in cols)], ", ".join(f"`{c}` double" for c in cols))
+    row = train.sparkSession.createDataFrame([tuple(found[c] for c in cols)], ", ".join(f"`{c}` double" for c in cols))
     row = row.select(*[F.col(c).cast(train.schema[c].dataType).alias(c) for c in cols])
     return Imputer(inputCols=list(cols), outputCols=[f"{c}__i" for c in cols], strategy="median").fit(row)
 
