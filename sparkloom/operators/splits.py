@@ -61,10 +61,10 @@ def stratified_split(df: DataFrame, id_col: str, y: str, test: float, seed: int
 def label_noise(df: DataFrame, id_col: str, y: str, rate: float, seed: int = 42) -> DataFrame:
     """Exactly round(rate * n) labels flipped.
 
-    The flipped rows are found by a threshold on the hash order, computed from one limited sort."""
+    The flipped rows are the first of the hash order, ranked in parts, so that no task reads all of them."""
     n = df.count()
     m = round(rate * n)
-    flipped = df.select(id_col, hash_key(id_col, seed).alias("_h")).orderBy("_h", id_col).limit(m).select(id_col).withColumn("_flip", F.lit(True))
+    flipped = hash_rank(df.select(id_col), id_col, seed).filter(F.col("_rank") <= m).select(id_col, F.lit(True).alias("_flip"))
     return df.join(flipped, id_col, "left").withColumn(y, F.when(F.col("_flip"), 1 - F.col(y)).otherwise(F.col(y))).drop("_flip")
 
 

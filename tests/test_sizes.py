@@ -88,3 +88,10 @@ def test_draws_and_searches_are_spread_over_the_cores(spark, monkeypatch):
     assert splits.bootstrap_weights(few, "id", 3).rdd.getNumPartitions() == splits.SPREAD * spark.sparkContext.defaultParallelism
     plan = splits.bootstrap_weights(few, "id", 3)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5") <= 2  # a filter on the weight took it for every cut
+
+
+def test_label_noise_brings_its_rows_to_no_single_task(spark):
+    rows = spark.range(300).select("id", (F.col("id") % 2).cast("int").alias("y"))
+    noisy = splits.label_noise(rows, "id", "y", 0.1)
+    assert "GlobalLimit" not in noisy._jdf.queryExecution().optimizedPlan().toString()
+    assert noisy.filter(F.col("y") != F.col("id") % 2).count() == 30 and noisy.count() == 300
