@@ -35,6 +35,8 @@ SAMPLE, BRANCH, LEAF_ROWS, MAX_LEAVES = 20_000, 12, 400, 2048
 #: Queries whose exact neighbours calibrate the visits, and the share of them to be found.
 CALIBRATE, TARGET = 96, 0.98
 BLOCK, QUERY_BLOCK = 4096, 512
+#: Visits (each with its query's vector) that a task hands over at a time, and parts that the queries are dealt to per core.
+VISITS, SPREAD = 8192, 4
 #: Vectors of a leaf from which its lower tree is built.
 LOWER_SAMPLE = 4000
 
@@ -268,14 +270,12 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
             m = _matrix(batch.column("embedding"))
             if not len(m):
                 continue
-            lists = [visit_order(u, shared.value, visits, ids, k + 1) for u in unit(m)]
-            pick = pa.array(np.repeat(np.arange(len(m)), [len(x) for x in lists]))
-            leaf = np.concatenate([np.array(x, np.int32) for x in lists])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pick), batch.column("embedding").take(pick), pa.array(leaf)], ["vec_id", "embedding", "leaf"])
+            yield from _visits(batch, (visit_order(u, shared.value, visits, ids, k + 1) for u in unit(m)))
 
+    queries = queries.repartition(SPREAD * spark.sparkContext.defaultParallelism, "vec_id")
     visited = stored(arrow_map(queries, walk, "vec_id long, embedding array<double>, leaf int"))
     if lower is not None:
-        upper, visited = visited, stored(_in_lower(visited, lower, "vec_id long, embedding array<double>, leaf int", lambda m, low: _twigs_for(m, low, inner)))
+        upper, visited = visited, stored(_in_lower(visited, lower, "vec_id long, embedding array<double>, leaf int", lambda m, low: _twigs_for(m, low, inner), inner))
         discard(upper)
     else:
         visited = visited.withColumn("twig", F.lit(0))
@@ -295,6 +295,18 @@ def search(vectors: DataFrame, query_step: int = 50, k: int = 5, target: float =
     return ranked(found, k)
 
 
+def _visits(batch: pa.RecordBatch, lists: Iterator[list[int]]) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batch``, each with every leaf of its list, about ``VISITS`` at a time: a query may visit hundreds."""
+    first, held, total = 0, [], 0
+    for at, leaves in enumerate(lists):
+        held.append(np.array(leaves, np.int32))
+        total += len(leaves)
+        if total >= VISITS or at == batch.num_rows - 1:
+            pick = pa.array(np.repeat(np.arange(first, at + 1), [len(x) for x in held]))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pick), batch.column("embedding").take(pick), pa.array(np.concatenate(held))], ["vec_id", "embedding", "leaf"])
+            first, held, total = at + 1, [], 0
+
+
 def lower_trees(filed: DataFrame, sizes: np.ndarray) -> DataFrame:
     """(leaf, tree): a pickled tree for each leaf, from at most about ``LOWER_SAMPLE`` of its vectors."""
     table = filed.sparkSession.createDataFrame([(i, int(n)) for i, n in enumerate(sizes.tolist())], "leaf int, n long")
@@ -319,10 +331,10 @@ def _twigs_for(m: np.ndarray, low: Tree, visits: int) -> tuple[np.ndarray, np.nd
     return np.repeat(np.arange(len(m)), [len(x) for x in lists]), np.concatenate([np.array(x, np.int64) for x in lists])
 
 
-def _in_lower(rows: DataFrame, lower: DataFrame, schema: str, find: Callable) -> DataFrame:
-    """``rows`` (vec_id, embedding, leaf) with their ``twig`` or twigs in the lower tree of their leaf (0 without one);
-    rows meet the tree in groups of about ``BLOCK``."""
-    loads = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))  # one row per leaf
+def _in_lower(rows: DataFrame, lower: DataFrame, schema: str, find: Callable, fan: int = 1) -> DataFrame:
+    """``rows`` (vec_id, embedding, leaf) with their ``twig`` or twigs, at most ``fan``, in the lower tree of their leaf
+    (0 without one); rows meet the tree in groups of which about ``BLOCK`` come out."""
+    loads = rows.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) * fan / BLOCK).alias("parts"))  # one row per leaf
     left = rows.join(F.broadcast(loads), "leaf").withColumn("part", F.pmod(F.xxhash64("vec_id", "embedding"), F.col("parts")))
     right = lower.join(F.broadcast(loads), "leaf").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
 

@@ -4,10 +4,13 @@ import math
 import random
 import time
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
-from sparkloom.operators import models, search, splits, stats
+from sparkloom.llm import vector_tree
+from sparkloom.operators import joins, models, search, splits, stats
 from sparkloom.plans import modelling, storage
 from sparkloom.plans.registry import rounded
 
@@ -95,3 +98,40 @@ def test_label_noise_brings_its_rows_to_no_single_task(spark):
     noisy = splits.label_noise(rows, "id", "y", 0.1)
     assert "GlobalLimit" not in noisy._jdf.queryExecution().optimizedPlan().toString()
     assert noisy.filter(F.col("y") != F.col("id") % 2).count() == 30 and noisy.count() == 300
+
+
+def test_nearest_rows_hand_over_few_visits_at_a_time(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 12))
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "id long, x array<double>").repartition(2)
+    taken, kind = [], type(rows)
+    plain = kind.mapInPandas
+
+    def counted(df, fn, schema):
+        if "_c int" not in schema or "_d" in schema:
+            return plain(df, fn, schema)
+        seen = lambda it: (pdf.assign(_q=len(pdf)) for pdf in fn(it))
+        taken.extend(r["_q"] for r in plain(df, seen, schema).select("_q").distinct().collect())
+        return plain(df, fn, schema)
+
+    whole = sorted(map(tuple, joins.knn(rows, rows, "id", "id", "x", "x", 4).collect()))
+    monkeypatch.setattr(joins, "VISITS", 50)
+    monkeypatch.setattr(kind, "mapInPandas", counted)
+    assert sorted(map(tuple, joins.knn(rows, rows, "id", "id", "x", "x", 4).collect())) == whole
+    assert taken and max(taken) <= 50
+
+
+def test_vector_tree_hands_over_few_visits_at_a_time(monkeypatch):
+    monkeypatch.setattr(vector_tree, "VISITS", 100)
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(30)), "embedding": [[float(i)] for i in range(30)]})
+    out = list(vector_tree._visits(batch, iter([[i, i + 1] * 20 for i in range(30)])))
+    assert max(b.num_rows for b in out) < 100 + 40 and len(out) == 10
+    got = [(r["vec_id"], r["embedding"][0], r["leaf"]) for b in out for r in b.to_pylist()]
+    assert got == [(i, float(i), leaf) for i in range(30) for leaf in [i, i + 1] * 20]
+
+
+def test_near_pairs_keep_ties_and_large_numbers():
+    a, b = np.array([[0.0, 0.0], [1e200, 0.0]]), np.array([[1.0, 0.0], [0.0, 1.0], [3.0, 0.0], [0.0, -1.0]])
+    i, j = joins._near(a[:1], b, np.zeros((1, 4), bool), 2)
+    assert j.tolist() == [0, 1, 3]
+    assert len(joins._near(a, b, np.zeros((2, 4), bool), 2)[0]) == 8
