@@ -63,8 +63,9 @@ def distance(a: Column | str, b: Column | str, p: int = 2) -> Column:
 
 
 #: Pivots that cells of rows are made around, rows of a cell that one task compares, cells that a query meets in the
-#: second round (the last takes all that its bound allows), and numbers of one array step.
-PIVOTS, BLOCK, SECOND, STEP = 256, 4000, 8, 1 << 21
+#: second round (the last takes all that its bound allows), numbers of one array step, visits (each with its query's
+#: vector) that a task hands over at a time, and queries that it plans them for.
+PIVOTS, BLOCK, SECOND, STEP, VISITS, PLANNED = 256, 4000, 8, 1 << 21, 8192, 1024
 
 
 def _apart(a, b, p: int):
@@ -79,6 +80,34 @@ def _apart(a, b, p: int):
     return out
 
 
+def _pairs_apart(a, b, i, j, p: int):
+    """Distances of the rows ``i`` of ``a`` from the rows ``j`` of ``b``, pair by pair as :func:`_apart` has them."""
+    import numpy as np
+
+    out = np.empty(len(i))
+    step = max(1, STEP // max(1, b.shape[1]))
+    for at in range(0, len(i), step):
+        gap = a[i[at : at + step]] - b[j[at : at + step]]
+        out[at : at + step] = np.abs(gap).sum(1) if p == 1 else np.sqrt((gap**2).sum(1))
+    return out
+
+
+def _near(a, b, own, k: int):
+    """(row of ``a``, row of ``b``) of all pairs that may be among a row's ``k`` nearest by L2 distance, ties included,
+    leaving out those of ``own``: a matrix product tells, up to far more than its rounding."""
+    import numpy as np
+
+    with np.errstate(over="ignore", invalid="ignore"):
+        aa, bb = (a**2).sum(1)[:, None], (b**2).sum(1)[None]
+        rough = aa + bb - 2 * a @ b.T
+        slack = 1e-9 * (aa[:, 0] + bb.max())
+    if not np.isfinite(rough).all() or not np.isfinite(slack).all():
+        return np.nonzero(~own)
+    rough[own] = np.inf
+    edge = np.partition(rough, k - 1, axis=1)[:, k - 1] if b.shape[0] > k else np.full(len(a), np.inf)
+    return np.nonzero((rough <= (edge + slack)[:, None]) & ~own)
+
+
 def _cells(rows: DataFrame, p: int) -> tuple[DataFrame, list[tuple], object]:
     """(rows with their cell ``_c``, (cell, rows, nearest, farthest) of each cell, pivots): a row's cell is its nearest
     pivot, and pivots are rows of the smallest hashes."""
@@ -134,8 +163,8 @@ def knn(queries: DataFrame, rows: DataFrame, qid: str, rid: str, q: str, x: str,
         """A query's cells in a round: (query, vector, cell) rows from (query, vector, its bound or null)."""
 
         def run(it):
-            for pdf in it:
-                if not len(pdf) or not len(number):
+            for pdf in (whole.iloc[i : i + PLANNED] for whole in it for i in range(0, len(whole), PLANNED)):
+                if not len(number):
                     continue
                 v = np.array(pdf["_v"].tolist(), float)
                 d = _apart(v, pivots, p)[:, number]
@@ -149,9 +178,10 @@ def knn(queries: DataFrame, rows: DataFrame, qid: str, rid: str, q: str, x: str,
                 np.put_along_axis(place, order, np.broadcast_to(np.arange(len(number)), order.shape), 1)
                 lo, hi = [(0, first), (first, first + SECOND), (first + SECOND, np.full(len(v), len(number)))][round_]
                 row, cell = np.nonzero((place >= np.reshape(lo, (-1, 1))) & (place < np.reshape(hi, (-1, 1))) & (least <= bound[:, None]))
-                if not len(row):
-                    continue
-                yield pd.DataFrame({"_q": pdf["_q"].to_numpy()[row], "_v": [pdf["_v"].iloc[i] for i in row], "_c": number[cell].astype("int32")})
+                ids, vectors = pdf["_q"].to_numpy(), pdf["_v"].to_numpy()
+                for i in range(0, len(row), VISITS):
+                    few = row[i : i + VISITS]
+                    yield pd.DataFrame({"_q": ids[few], "_v": vectors[few], "_c": number[cell[i : i + VISITS]].astype("int32")})
 
         return run
 
@@ -163,14 +193,15 @@ def knn(queries: DataFrame, rows: DataFrame, qid: str, rid: str, q: str, x: str,
         step = max(1, STEP // max(1, len(b)))
         by_id = np.argsort(np.argsort(r, kind="stable"), kind="stable")
         for i in range(0, len(a), step):
-            d = _apart(v[i : i + step], w, p)
-            d[a["_q"].to_numpy()[i : i + step, None] == r[None]] = np.inf
-            order = np.lexsort((np.broadcast_to(by_id, d.shape), d), axis=1)[:, :k]
-            query, at = np.repeat(np.arange(i, i + len(d)), order.shape[1]), order.ravel()
-            dist = np.take_along_axis(d, order, 1).ravel()
-            use = np.isfinite(dist)
+            few, own = v[i : i + step], a["_q"].to_numpy()[i : i + step, None] == r[None]
+            query, at = _near(few, w, own, k) if p == 2 else np.nonzero(~own)
+            dist = _pairs_apart(few, w, query, at, p)
+            order = np.lexsort((by_id[at], dist, query))
+            order = order[np.isfinite(dist[order])]
+            query, at, dist = query[order], at[order], dist[order]
+            use = np.arange(len(query)) - np.searchsorted(query, query, "left") < k
             part = b.iloc[at[use]][["_r", *names]].reset_index(drop=True)
-            part.insert(0, "_q", a["_q"].to_numpy()[query[use]])
+            part.insert(0, "_q", a["_q"].to_numpy()[i + query[use]])
             part["distance"] = dist[use]
             out.append(part)
         return pd.concat(out)
