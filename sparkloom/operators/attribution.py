@@ -39,7 +39,7 @@ def shapley(df: DataFrame, id_col: str, cols: Sequence[str], predict: Predict, b
     """(id, feature, value, base, score): contributions that add up to score - base, over antithetic permutations.
 
     All rows follow the same permutations, so that a step predicts many rows at once and no result depends on how
-    rows are dealt."""
+    rows are dealt; a set of features that several permutations begin with is predicted once."""
     names = list(cols)
     rng = np.random.default_rng(seed)
     orders = [o for _ in range(permutations) for p in [rng.permutation(len(names))] for o in (p, p[::-1])]
@@ -48,13 +48,15 @@ def shapley(df: DataFrame, id_col: str, cols: Sequence[str], predict: Predict, b
         base, b = float(predict(background).mean()), len(background)
         for ids, x in _rows(it, id_col, names, b):
             score = predict(x)
-            phi = np.zeros(x.shape)
+            phi, known = np.zeros(x.shape), {}
             for order in orders:
                 work = np.repeat(background[None], len(x), 0)
                 before = np.full(len(x), base)
-                for f in order:
+                for n, f in enumerate(order, 1):
                     work[:, :, f] = x[:, f, None]
-                    now = predict(work.reshape(-1, len(names))).reshape(len(x), b).mean(1)
+                    now = known.get(met := frozenset(order[:n].tolist()))
+                    if now is None:
+                        now = known[met] = predict(work.reshape(-1, len(names))).reshape(len(x), b).mean(1)
                     phi[:, f] += now - before
                     before = now
             yield _long(ids, id_col, names, phi / len(orders), base=np.full(len(x), base), score=score)

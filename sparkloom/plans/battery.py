@@ -230,9 +230,9 @@ def scaling_slope(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def fourier_machine(spark: SparkSession, sf: str) -> DataFrame:
     """The kernel machine on its random Fourier features."""
-    from sparkloom.plans.modelling import report
+    from sparkloom.plans.modelling import report, split_parts
 
-    rows = splits.stratified_split(parts(spark, sf), "id", "y", 0.25)
+    rows = split_parts(spark, sf)
     fitted = models.fit(rows.filter("part = 'train'"), "y", ["q", "t", "d"], [], "rbf_svm", {"gamma": 0.5, "count": 48}, "class_weight")
     return report(fitted.transform(rows.filter("part = 'test'")))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
 from sparkloom.llm import vector_tree
-from sparkloom.operators import joins, models, search, splits, stats
+from sparkloom.operators import attribution, joins, models, search, splits, stats
 from sparkloom.plans import modelling, storage
 from sparkloom.plans.registry import rounded
 
@@ -135,3 +135,25 @@ def test_near_pairs_keep_ties_and_large_numbers():
     i, j = joins._near(a[:1], b, np.zeros((1, 4), bool), 2)
     assert j.tolist() == [0, 1, 3]
     assert len(joins._near(a, b, np.zeros((2, 4), bool), 2)[0]) == 8
+
+
+def test_split_parts_are_made_once(spark, monkeypatch):
+    noisy = lambda s, sf: drifting_parts(s).withColumn("y", (F.col("t") > 0.5).cast("int"))
+    monkeypatch.setattr(modelling, "parts", noisy)
+    rows = modelling.split_parts(spark, "")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, rows.collect())) and rows.count() == 400
+
+
+def test_shapley_predicts_a_set_of_features_once(spark):
+    asked = spark.sparkContext.accumulator(0)
+
+    def predict(x):
+        asked.add(1)
+        return x[:, 0] * x[:, 1] + x[:, 2]
+
+    rows = spark.createDataFrame([(i, i % 5 / 2, i % 3 - 1.0, i * 0.1) for i in range(40)], "id long, a double, b double, c double").coalesce(1)
+    back = np.array([[0.0, 1.0, 2.0], [1.0, -1.0, 0.5]])
+    out = attribution.shapley(rows, "id", ["a", "b", "c"], predict, back, permutations=3)
+    gap = attribution.additivity(out, "id").first()
+    assert gap["worst_gap"] < 1e-9 and gap["n"] == 40
+    assert asked.value <= 2 + 7  # base, score and the seven sets; each place of six orders was one before
