@@ -22,6 +22,7 @@ from sparkloom.functions.expressions import at_least
 from sparkloom.operators import boosting, kernel_machine, metrics, oblique, splits
 from sparkloom.operators.joins import knn
 from sparkloom.operators.stats import lower_medians
+from sparkloom.sources.scratch import discard, stored
 
 
 def median_imputer(train: DataFrame, cols: Sequence[str]):
@@ -312,7 +313,9 @@ def search(df: DataFrame, y: str, id_col: str, candidates: Sequence[Mapping], fi
 
 def nested_cv(df: DataFrame, y: str, id_col: str, outer: int, candidates: Sequence[Mapping], fit_predict: Callable, inner: int = 2, seed: int = 42) -> tuple[DataFrame, list[dict]]:
     """Outer folds scored by the candidate that won on their training rows' inner folds: (out-of-fold rows, traces)."""
-    rows = splits.stratified_folds(df, id_col, y, outer, seed)
+    made = stored(df)  # every fit and score below reads the folds
+    rows = stored(splits.stratified_folds(made, id_col, y, outer, seed))
+    discard(made)
     traces: list[dict] = []
 
     def one(train: DataFrame, test: DataFrame) -> DataFrame:
