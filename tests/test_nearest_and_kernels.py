@@ -120,3 +120,23 @@ def test_kernel_machine_scores(spark):
     for bad in (df.withColumn("a", F.lit(None).cast("double")), df.withColumn("y", F.col("y") + 1)):
         with pytest.raises(ValueError):
             kernel_machine.fit_kernel_machine(bad, "id", "y", ["a", "b"])
+
+
+def test_kernel_machine_of_more_vectors_than_a_set(spark, monkeypatch):
+    for name in ("MOST", "WORK"):
+        monkeypatch.setattr(kernel_machine, name, 150, raising=False)
+    monkeypatch.setattr(kernel_machine, "LANDMARKS", 60, raising=False)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(600, 3)), (rng.random(600) < 0.25).astype(int)  # labels that nothing tells: most rows are support vectors
+    df = spark.createDataFrame(pd.DataFrame({"id": range(600), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y})).repartition(3)
+    m = kernel_machine.fit_kernel_machine(df, "id", "y", ["a", "b", "c"], weight="balanced", tol=1e-4, folds=0)
+    z, s = (x - m.mean) / m.scale, 2.0 * y - 1
+    top = np.where(y == 1, 300 / y.sum(), 300 / (600 - y.sum()))
+    alpha = kernel_machine.solve(z, s, top, m.gamma, 1e-7)
+    np.testing.assert_allclose(m.decide(x), kernel_machine.kernel(z, z, m.gamma) @ (alpha * s), atol=2e-3)
+    assert len(m.x) > 300 and m.rounds > 1
+    slope = m.decide(x) * s - 1
+    weight = {tuple(np.round(v, 9)): abs(w) for v, w in zip(m.x, m.weight)}
+    alpha = np.array([weight.get(tuple(np.round(v, 9)), 0.0) for v in z])
+    assert np.count_nonzero(alpha) == len(m.x) and (alpha <= top + 1e-9).all()
+    assert slope[alpha < top - 1e-9].min() > -2e-4 and slope[alpha > 0].max() < 2e-4
