@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.operators import metrics, models, refits
+from sparkloom.plans import modelling
 
 COLS = ["a", "b"]
 
@@ -78,3 +79,22 @@ def test_growth_and_penalties(rows):
     assert slopes["row_sizes"] == 2 and slopes["column_sizes"] == 2
     got = refits.penalty_variants(rows, "id", "y", COLS, draws=2, inner=2)
     assert [r["variant"] for r in got] == ["unpenalised", "ridge", "lasso"] and [r["evaluations"] for r in got] == [1, 2, 2] and all(r["score"] > 0.7 for r in got)
+
+
+def test_other_seeds_fit_whole_models(spark, rows, monkeypatch):
+    seen, plain = [], models.fit
+
+    def kept(train, y, numeric, categorical, model, *rest, **named):
+        out = plain(train, y, numeric, categorical, model, *rest, **named)
+        seen.append((model, out.model))
+        return out
+
+    few = rows.select("id", "y", "fold", *[F.col("a" if i % 2 else "b").alias(c) for i, c in enumerate(modelling.SPENDING)])
+    monkeypatch.setattr(models, "fit", kept)
+    monkeypatch.setattr(modelling, "_spending", lambda s, sf: few)
+    out = {r["model"]: r for r in modelling.refit_other_seeds(spark, "").collect()}
+    assert {m: r["n"] for m, r in out.items()} == {"random_forest": 10, "level_boosting": 10}
+    assert len(seen) == 20 and {len(m.model.trees) for name, m in seen if name == "level_boosting"} == {100}
+    assert {m.getNumTrees for name, m in seen if name == "random_forest"} == {40}
+    assert len({m.params["seed"] for name, m in seen if name == "level_boosting"}) == 5
+    assert not any(m.params.get("subsample") for name, m in seen if name == "level_boosting")

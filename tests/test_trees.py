@@ -189,3 +189,17 @@ def test_tree_shapley_of_forests(rows):
     assert both.agg(F.max(F.abs(F.col("told") - F.col("p")))).first()[0] < 1e-9
     with pytest.raises(ValueError):
         attribution.tree_shapley(whole, "id", oblique.fit_forest(whole, "id", "y", COLS, trees=3, q=3, max_depth=4))
+
+
+@pytest.mark.parametrize("growth", ["level", "leaf"])
+def test_trees_grown_in_a_task_are_those_of_jobs(spark, growth):
+    rng = np.random.default_rng(9)
+    pdf = pd.DataFrame({"id": range(500), **{c: np.where(rng.random(500) < 0.1, np.nan, np.round(rng.normal(size=500), 1)) for c in "abc"}})
+    pdf["y"] = (pdf["a"].fillna(0.4) + rng.normal(0, 0.5, 500) > 0).astype(int)
+    df = spark.createDataFrame(pdf).repartition(3)
+    how = dict(rounds=3, growth=growth, max_depth=4, leaves=7, rate=0.5, subsample=0.8, colsample=0.7, pos_weight=2.0, gamma=0.05, seed=3)
+    jobs, task = (boosting.fit_boosted(df, "id", "y", ["a", "b", "c"], in_task=n, **how) for n in (0, 500))
+    assert len(task.trees) == 3 and max(len(t.value) for t in task.trees) > 5
+    for a, b in zip(jobs.trees, task.trees):
+        assert (a.feature, a.cut, a.missing_left, a.left, a.right) == (b.feature, b.cut, b.missing_left, b.left, b.right)
+        np.testing.assert_allclose([a.value, a.cover, a.gain], [b.value, b.cover, b.gain], atol=1e-9)
