@@ -113,18 +113,17 @@ def genetic_benchmark(spark: SparkSession, sf: str) -> DataFrame:
     evaluations, a search for each supplier: both spend what they may, and the genetic one comes near."""
     import pandas as pd
 
+    specs = [{"name": f"x{i}", "type": "float", "low": -5.12, "high": 5.12} for i in range(3)]
+
     def run(it):
         for pdf in it:
-            out = []
-            for seed, balance, nation in zip(pdf["s_suppkey"], pdf["s_acctbal"], pdf["s_nationkey"]):
-                centre = (balance / 1e4 * 5, nation / 5 - 2.5, 1.0)
-                specs = [{"name": f"x{i}", "type": "float", "low": -5.12, "high": 5.12} for i in range(3)]
-                value = lambda p, share: -sum((v - c) ** 2 for v, c in zip(p.values(), centre))  # noqa: B023, E731
-                ga = search.genetic(specs, value, 16, 10, seed=int(seed))
-                rs = search.randomised(specs, value, len(ga), int(seed))
-                best = -max(t["score"] for t in ga)
-                out.append((seed, 0 < len(ga) == len(rs) <= 160, best < 20))
-            yield pd.DataFrame(out, columns=["seed", "equal", "found"])
+            for lo in range(0, len(pdf), search.SEARCHES):
+                part = pdf.iloc[lo : lo + search.SEARCHES]
+                centre = np.column_stack([part["s_acctbal"] / 1e4 * 5, part["s_nationkey"] / 5 - 2.5, np.ones(len(part))])[:, None]
+                score, seeds = lambda x: -((x - centre) ** 2).sum(-1), part["s_suppkey"].tolist()  # noqa: B023, E731
+                best, evaluations = search.genetic_many(specs, score, seeds, 16, 10)
+                _, drawn = search.randomised_many(specs, score, evaluations, seeds)
+                yield pd.DataFrame({"seed": part["s_suppkey"], "equal": (evaluations > 0) & (evaluations == drawn) & (drawn <= 160), "found": -best < 20})
 
     s = read(spark, sf, "supplier").select(F.col("s_suppkey").cast("long").alias("s_suppkey"), F.col("s_acctbal").cast("double").alias("s_acctbal"), F.col("s_nationkey").cast("long").alias("s_nationkey"))
     return splits.spread(s, "s_suppkey").mapInPandas(run, "seed long, equal boolean, found boolean")
@@ -326,16 +325,16 @@ def genetic_functions(spark: SparkSession, sf: str) -> DataFrame:
 
     def run(it):
         for pdf in it:
-            out = []
-            for seed, balance, name, size, generations in zip(*(pdf[c] for c in ("s_suppkey", "s_acctbal", "function", "size", "generations"))):
+            for (name, size, generations), runs in pdf.groupby(["function", "size", "generations"]):
                 low, high, dims, value = search.TEST_FUNCTIONS[name]
-                shift = balance / 1e5 * (high - low)
                 specs = [{"name": f"x{i}", "type": "float", "low": low, "high": high} for i in range(dims)]
-                score = lambda p, share: -value([p[f"x{i}"] - shift for i in range(dims)])  # noqa: B023, E731
-                ga = search.genetic(specs, score, int(size), int(generations), seed=int(seed))
-                rs = search.randomised(specs, score, len(ga), int(seed))
-                out.append((name, size, len(ga), -max(t["score"] for t in ga), -max(t["score"] for t in rs)))
-            yield pd.DataFrame(out, columns=["function", "size", "evaluations", "genetic", "random"])
+                for lo in range(0, len(runs), search.SEARCHES):
+                    part = runs.iloc[lo : lo + search.SEARCHES]
+                    shift = (part["s_acctbal"] / 1e5 * (high - low)).to_numpy()[:, None]
+                    score, seeds = lambda x: -value([x[..., i] - shift for i in range(dims)]), part["s_suppkey"].tolist()  # noqa: B023, E731
+                    ga, evaluations = search.genetic_many(specs, score, seeds, int(size), int(generations))
+                    rs, _ = search.randomised_many(specs, score, evaluations, seeds)
+                    yield pd.DataFrame({"function": name, "size": size, "evaluations": evaluations, "genetic": -ga, "random": -rs})
 
     s = read(spark, sf, "supplier").select("s_suppkey", F.col("s_acctbal").cast("double").alias("s_acctbal"), F.explode(F.array(*[F.lit(n) for n in search.TEST_FUNCTIONS])).alias("function"))
     runs = s.withColumn("budget", F.explode(F.array(F.struct(F.lit(16).alias("size"), F.lit(10).alias("generations")), F.struct(F.lit(30).alias("size"), F.lit(20).alias("generations"))))).select("s_suppkey", "s_acctbal", "function", "budget.*")

@@ -6,6 +6,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import dist
@@ -86,6 +87,32 @@ def test_tournaments_do_not_ask_for_a_score_again():
     assert len(trace) <= 60 and len(asked) <= 60 * 4  # a tournament of three for each parent asked for ten times as many
 
 
+def test_many_searches_are_those_of_each_seed():
+    seeds, asked = [0, 1, 17, 999, 2**32 + 5], []
+    shifts = np.array([0.0, 0.1, -0.2, 0.3, 0.05])
+    for low, high, dims, value in search.TEST_FUNCTIONS.values():
+        specs = [{"name": f"x{i}", "type": "float", "low": low, "high": high} for i in range(dims)]
+
+        def many(x):
+            asked.append(len(x))
+            return -value([x[..., i] - shifts[:, None] for i in range(dims)])  # noqa: B023
+
+        for size, generations in ((16, 10), (30, 4), (3, 5)):  # samples of few and of many are drawn in two ways
+            asked.clear()
+            best, spent = search.genetic_many(specs, many, seeds, size, generations)
+            assert asked == [len(seeds)] * generations  # a step of all searches at a time
+            drawn, counted = search.randomised_many(specs, many, spent, seeds)
+            for i, seed in enumerate(seeds):
+                one = lambda p, share: -value([v - shifts[i] for v in p.values()])  # noqa: B023, E731
+                ga = search.genetic(specs, one, size, generations, seed=seed)
+                rs = search.randomised(specs, one, len(ga), seed)
+                assert spent[i] == counted[i] == len(ga)
+                assert math.isclose(best[i], max(t["score"] for t in ga), rel_tol=1e-12)
+                assert math.isclose(drawn[i], max(t["score"] for t in rs), rel_tol=1e-12)
+    with pytest.raises(ValueError):
+        search.genetic_many([{"name": "x", "type": "int", "low": 1, "high": 5}], many, seeds)
+
+
 def test_draws_and_searches_are_spread_over_the_cores(spark, monkeypatch):
     few = spark.range(200).coalesce(1).select("id")
     assert splits.bootstrap_weights(few, "id", 3).rdd.getNumPartitions() == splits.SPREAD * spark.sparkContext.defaultParallelism
